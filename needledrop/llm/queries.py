@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm import op1_mixture, op8_kdtree, op9_reputation
+from needledrop.llm import op1_mixture, op3_rules, op4_decontaminate, op6_compression, op7_warc, op8_kdtree, op9_reputation
 
 #: The source tree of the mixture: domains by the number in a source's name.
 DOMAINS = ("web", "books", "news")
@@ -29,6 +29,24 @@ def op1_mixture_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_mixture.mix(table(spark, sf_dir, "documents"), domain_of_source(), MIX_WEIGHTS, fraction=0.5, max_epochs=2, seed=MIX_SEED)
 
 
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = op3_rules.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), containment=0.8)
+
+
+def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_compression.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = op7_warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0, chunk_bytes=1 << 15)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_kdtree.shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
 
@@ -40,6 +58,10 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_of_sources": op1_mixture_of_sources,
+    "op3_decision_list": op3_decision_list,
+    "op4_benchmark_leaks": op4_benchmark_leaks,
+    "op6_compression_quality": op6_compression_quality,
+    "op7_warc_round_trip": op7_warc_round_trip,
     "op8_kdtree_shards": op8_kdtree_shards,
     "op9_host_reputation": op9_host_reputation,
 }
@@ -83,4 +105,23 @@ select doc_id, domain, lang, source, tokens, unnest(range(epochs + case when par
 """
 )
 
-ORACLE_SQL: dict[str, str] = {"op1_mixture_of_sources": OP1_SQL}
+OP4_SQL = r"""
+with w as (select doc_id as id, false as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[a-z0-9]|[^\x00-\x7F])+') as ws from documents
+  union all select item_id, true, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[a-z0-9]|[^\x00-\x7F])+') from (select distinct item_id, text from benchmark)),
+s as (select distinct item, id, array_to_string(ws[i:i + 4], ' ') as shingle from (select item, id, ws, unnest(range(1, len(ws) - 3)) as i from w)),
+n as (select id, count(*) as n from s where item group by id)
+select d.id as doc_id, i.id as item_id, count(*)::bigint as n_shared, any_value(n.n)::bigint as n_shingles
+from s d join s i on d.shingle = i.shingle and not d.item and i.item join n on n.id = i.id
+group by d.id, i.id having count(*) >= 0.8 * any_value(n.n) - 1e-9
+"""
+
+OP7_SQL = r"""
+with d as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as code from pages),
+b as (select page_id, payload_bytes, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(code, (k // 8) * 10 + 1, 10))::bigint >> (35 - 5 * (k % 8))) & 31) + 1)::int, 1), '' order by k) as payload_digest
+  from d, (select unnest(range(32))::int as k) group by page_id, payload_bytes),
+r as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as response_id from b)
+select page_id, payload_bytes, payload_digest, case when page_id = response_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> response_id then response_id end as refers_to from r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixture_of_sources": OP1_SQL, "op4_benchmark_leaks": OP4_SQL, "op7_warc_round_trip": OP7_SQL}
