@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm import op1_mixture, op3_rules, op4_decontaminate, op6_compression, op7_warc, op8_kdtree, op9_reputation
+from needledrop.llm import op1_mixture, op2_runindex, op3_rules, op4_decontaminate, op6_compression, op7_warc, op8_kdtree, op9_reputation
 
 #: The source tree of the mixture: domains by the number in a source's name.
 DOMAINS = ("web", "books", "news")
@@ -29,6 +29,10 @@ def op1_mixture_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_mixture.mix(table(spark, sf_dir, "documents"), domain_of_source(), MIX_WEIGHTS, fraction=0.5, max_epochs=2, seed=MIX_SEED)
 
 
+def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_runindex.drop_repeats(table(spark, sf_dir, "documents"), width=50).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = op3_rules.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -58,6 +62,7 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_of_sources": op1_mixture_of_sources,
+    "op2_run_length_index": op2_run_length_index,
     "op3_decision_list": op3_decision_list,
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op6_compression_quality": op6_compression_quality,
