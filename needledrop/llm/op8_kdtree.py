@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from needledrop.scratch import materialise
@@ -32,6 +32,13 @@ def _place(dim: str, low: float, high: float) -> Column:
     return F.lit(0).cast("bigint") if not span > 0 else F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(dim) - low) / span)) * (2**31 - 1))
 
 
+def _small_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A table of literal rows, made on the JVM; one row at least for each node, 40 bytes each."""
+    values = ", ".join(f"({', '.join(map(repr, r))})" for r in rows)
+    casts = ", ".join(f"cast({n} as {t}) as {n}" for n, t in (c.split() for c in columns.split(", ")))
+    return F.broadcast(spark.sql(f"select {casts} from values {values} as t({', '.join(c.split()[0] for c in columns.split(', '))})"))
+
+
 def kd_shards(rows: DataFrame, dims: list[str], n_shards: int | None = None, target_bytes: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """Add ``shard`` (0 up to the number of leaves) to rows with ``row_id``, ``size`` and numeric ``dims``.
 
@@ -56,7 +63,7 @@ def kd_shards(rows: DataFrame, dims: list[str], n_shards: int | None = None, tar
         """Walk every row down the levels that are split so far."""
         df = df.withColumn("shard", F.lit(0))
         for level in cuts:
-            table = F.broadcast(spark.createDataFrame(level, "node int, at int, dim int, cut bigint"))
+            table = _small_table(spark, level, "node int, at int, dim int, cut bigint")
             key = F.element_at(F.array(*[F.col(f"p{n}") for n in names]), F.col("dim") + 1) * 2**31 + F.col("tie")
             df = df.join(table, F.col("shard") == F.col("node"), "left").withColumn("shard", F.when(F.col("node").isNotNull() & (key >= F.col("cut")), F.col("at")).otherwise(F.col("shard"))).drop("node", "at", "dim", "cut")
         return df
@@ -68,7 +75,7 @@ def kd_shards(rows: DataFrame, dims: list[str], n_shards: int | None = None, tar
         done, bits = {}, 0
         while search and bits < KEY_BITS:
             step = min(DIGIT, KEY_BITS - bits)
-            table = F.broadcast(spark.createDataFrame([(k, v["dim"], v["prefix"]) for k, v in search.items()], "node int, dim int, prefix bigint"))
+            table = _small_table(spark, [(k, v["dim"], v["prefix"]) for k, v in search.items()], "node int, dim int, prefix bigint")
             key = F.element_at(F.array(*[F.col(f"p{n}") for n in names]), F.col("dim") + 1) * 2**31 + F.col("tie")
             bins = (
                 now.join(table, F.col("shard") == F.col("node"))
@@ -78,7 +85,7 @@ def kd_shards(rows: DataFrame, dims: list[str], n_shards: int | None = None, tar
                 .agg(F.sum("size").alias("bytes"))
             )
             upto = Window.partitionBy("node").orderBy("bin")
-            goal = F.broadcast(spark.createDataFrame([(k, float(v["left"])) for k, v in search.items()], "node int, goal double"))
+            goal = _small_table(spark, [(k, float(v["left"])) for k, v in search.items()], "node int, goal double")
             hit = (
                 bins.withColumn("upto", F.sum("bytes").over(upto)).join(goal, "node")
                 .filter(F.col("upto") >= F.col("goal"))
