@@ -121,3 +121,10 @@ def take(rows: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .drop("n", "epochs", "cut_key")
     )
+
+
+def keep_mixture(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, float]], fraction: float, seed: int = 17) -> DataFrame:
+    """The rows of ``docs``, all columns, that the mixture takes in one epoch; no shuffle of texts."""
+    _, cuts = plan_mixture(docs, domain, weights, fraction, 1, seed)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", *labelled(docs, domain), n_tokens(F.col("text")).alias("tokens"))
+    return take(rows, cuts, seed).select("row.*")

@@ -77,26 +77,38 @@ class Index:
         return found
 
 
+def leaks_of(index: Index, exact: dict[int, set], column, containment: float) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, shared, shingles of the item) for every leak in an Arrow column of texts as bytes."""
+    for at, _, data, offsets in tokens.slices(column):
+        word, text, *_ = tokens.words(data, offsets)
+        hashes, owner, _ = tokens.shingles(word, text, K)
+        for doc, some in index.candidates(hashes, owner).items():
+            have = exact_shingles(bytes(data[offsets[doc] : offsets[doc + 1]]).decode("utf-8", "replace"))
+            for i in some:
+                want = exact.setdefault(i, exact_shingles(index.items[i][1]))
+                n = len(want & have)
+                if n >= containment * len(want) - 1e-9:
+                    yield at + doc, i, n, len(want)
+
+
+def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    queries = benchmark.filter("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
+    blocks = max(1, -(-queries.count() // BLOCK_ITEMS))
+    for block in range(blocks):
+        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        yield [(r["item_id"], r["text"]) for r in part.collect()]
+
+
 def _search(docs: DataFrame, items: list[tuple[int, str]], containment: float) -> DataFrame:
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
-        exact: dict[int, set] = {}
+        index, exact = Index(shared.value), {}
         for batch in batches:
-            rows, ids, column = [], batch.column(0), batch.column(1)
-            for at, _, data, offsets in tokens.slices(column):
-                word, text, *_ = tokens.words(data, offsets)
-                hashes, owner, _ = tokens.shingles(word, text, K)
-                for doc, some in index.candidates(hashes, owner).items():
-                    have = exact_shingles(bytes(data[offsets[doc] : offsets[doc + 1]]).decode("utf-8", "replace"))
-                    for i in some:
-                        want = exact.setdefault(i, exact_shingles(index.items[i][1]))
-                        n = len(want & have)
-                        if n >= containment * len(want) - 1e-9:
-                            rows.append((ids[at + doc].as_py(), index.items[i][0], n, len(want)))
+            ids = batch.column(0)
+            rows = [(ids[row].as_py(), index.items[i][0], n, size) for row, i, n, size in leaks_of(index, exact, batch.column(1), containment)]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["doc_id", "item_id", "n_shared", "n_shingles"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(run, PAIR)
@@ -110,11 +122,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8)
     and match nothing. Repeated document rows give repeated pairs; empty tables give none; further
     columns are ignored. Each block of items passes through the driver and over all documents.
     """
-    queries = benchmark.filter("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
-    blocks = max(1, -(-queries.count() // BLOCK_ITEMS))
     out = None
-    for block in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        pairs = _search(docs, [(r["item_id"], r["text"]) for r in part.collect()], containment)
+    for items in _item_blocks(benchmark):
+        pairs = _search(docs, items, containment)
         out = pairs if out is None else out.unionByName(pairs)
     return out
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, that leak no item; no shuffle of texts."""
+    import pyarrow as pa
+
+    column = docs.columns.index("text")
+    for items in _item_blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index, exact = Index(shared.value), {}
+            for batch in batches:
+                text = batch.column(column)
+                if text.null_count:
+                    text = text.fill_null("")
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[[row for row, *_ in leaks_of(index, exact, text, containment)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

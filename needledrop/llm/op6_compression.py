@@ -124,3 +124,19 @@ def classify(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
     """
     model = fit(docs, labels, **fitting)
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least_score: float = 0.5, **fitting) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least ``least_score``; no shuffle of texts."""
+    import pyarrow as pa
+
+    model, at = fit(docs, labels, **fitting), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = compressor(model["good"]), compressor(model["bad"])
+        for batch in batches:
+            gaps = np.array([size_difference(t.as_buffer().to_pybytes() if t.is_valid else b"", *tools) for t in batch.column(at)], dtype=np.float64)
+            scores = 1 / (1 + np.exp(-np.clip(model["slope"] * gaps + model["intercept"], -30, 30)))
+            yield batch.filter(pa.array(scores >= least_score))
+
+    return docs.mapInArrow(run, docs.schema)

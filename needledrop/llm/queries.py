@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm import op1_mixture, op2_runindex, op3_rules, op4_decontaminate, op6_compression, op7_warc, op8_kdtree, op9_reputation
+from needledrop.llm import op1_mixture, op2_runindex, op3_rules, op4_decontaminate, op5_orderminhash, op6_compression, op7_warc, op8_kdtree, op9_reputation
 
 #: The source tree of the mixture: domains by the number in a source's name.
 DOMAINS = ("web", "books", "news")
@@ -42,6 +42,10 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), containment=0.8)
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_orderminhash.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8)
+
+
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_compression.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_run_length_index": op2_run_length_index,
     "op3_decision_list": op3_decision_list,
     "op4_benchmark_leaks": op4_benchmark_leaks,
+    "op5_order_minhash": op5_order_minhash,
     "op6_compression_quality": op6_compression_quality,
     "op7_warc_round_trip": op7_warc_round_trip,
     "op8_kdtree_shards": op8_kdtree_shards,
