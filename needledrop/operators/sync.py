@@ -100,7 +100,7 @@ def coalesce_patches(patches: DataFrame, *by: Column | str) -> DataFrame:
     tempo = F.max(F.when(F.col("bpm").isNotNull(), F.struct("seq", "bpm", "bpm_confidence")))
     key = F.max(F.when(F.col("key_pc").isNotNull(), F.struct("seq", "key_pc")))
     rows = patches.groupBy(*by, "path").agg(tempo.alias("tempo"), key.alias("key"), F.bool_or("waveform").alias("waveform"))
-    return rows.select(*[c if isinstance(c, str) else c.alias("window") for c in by], "path", "tempo.bpm", "tempo.bpm_confidence", "key.key_pc", "waveform")
+    return rows.select(*rows.columns[: len(by)], "path", "tempo.bpm", "tempo.bpm_confidence", "key.key_pc", "waveform")
 
 
 def apply_patches(tracks: DataFrame, patches: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from needledrop.plans import catalog_queries, evaluate_queries, match_queries, sync_queries  # noqa: F401
+from needledrop.plans import catalog_queries, evaluate_queries, match_queries, signal_queries, stream_queries, sync_queries  # noqa: F401
 from needledrop.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
