@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: File extensions that name comparison ignores.
 EXTENSIONS = ("aiff", "aif", "wav", "flac", "alac", "m4a", "mp3", "aac", "ogg", "opus", "wma")
@@ -91,13 +92,13 @@ def natural_key(c: Column) -> Column:
     return F.array_join(F.transform(runs, lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(p, 20, "0")).otherwise(p)), "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.str.normalize("NFKD")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.str.normalize("NFC")
