@@ -21,10 +21,11 @@ NAMES = ["block", "bucket", "payload"]
 BLOCK_BYTES = 6 << 20
 
 
-def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """As many blocks as the bytes of all texts need, and some for each shuffle partition."""
+def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:
+    """Numbers of blocks and of buckets: as many as the bytes of all texts need, and some for each shuffle partition."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    return max(-(-total // block_bytes), 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    needed, partitions = -(-total // block_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(needed, partitions), max(needed, partitions)
 
 
 def in_blocks(docs: DataFrame, n: int) -> DataFrame:
@@ -109,3 +110,16 @@ def unpack(payload: bytes, *types) -> list[np.ndarray]:
         out.append(np.frombuffer(payload, dtype=t, count=n // np.dtype(t).itemsize, offset=at))
         at += n
     return out
+
+
+def answer_with(sent: DataFrame, more: DataFrame, work: Callable[[int, list[tuple[int, bytes]], list[tuple[int, bytes]]], list[tuple[int, int, bytes]]]) -> DataFrame:
+    """As ``answer_each``, with further messages to the buckets: ``work(bucket, sent, more)``, both ordered by block."""
+
+    def pairs(table: pa.Table) -> list[tuple[int, bytes]]:
+        return sorted(zip(table.column("block").to_pylist(), table.column("payload").to_pylist(), strict=True))
+
+    def run(key, first, second):
+        bucket = (first if first.num_rows else second).column("bucket")[0].as_py()
+        return messages(work(bucket, pairs(first), pairs(second)))
+
+    return sent.groupBy("bucket").cogroup(more.groupBy("bucket")).applyInArrow(run, MESSAGE)

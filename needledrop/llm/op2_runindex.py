@@ -190,37 +190,49 @@ def send_fragments(block: int, table: pa.Table, got: list[tuple[int, bytes]], wi
     return blocks.messages(rows)
 
 
+#: With fewer suffixes than this, two ranks and a place share one 64-bit number, which sorts fastest.
+PACKED = 1 << 21
+
+
+def _sorted_by(rank: np.ndarray, follow: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``rows`` by (rank, follow, place), with their ranks and follows (-1 or more)."""
+    if n < PACKED:
+        packed = (rank.astype(np.uint64) << np.uint64(43)) | ((follow + 1).astype(np.uint64) << np.uint64(21)) | rows.astype(np.uint64)
+        packed.sort()
+        low = np.uint64((1 << 21) - 1)
+        return (packed & low).astype(np.int64), (packed >> np.uint64(43)).astype(np.int64), ((packed >> np.uint64(21)) & np.uint64((1 << 22) - 1)).astype(np.int64) - 1
+    order = np.lexsort((rows, follow, rank))
+    return rows[order], rank[order], follow[order]
+
+
 def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Suffixes in order; ``left`` is the number of bytes up to and with the end of the fragment, past which no comparison goes (ties: by place)."""
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, dtype=np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | np.where(left > j, padded[j : j + n], np.uint64(0))
-    place = np.arange(n)
-    order = np.argsort(key, kind="stable")
-    depth = 8
-    rank = np.empty(n, dtype=np.int64)
-    fresh = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-    ended = left <= depth
-    fresh |= ended[order]  # a suffix that ended is ordered among its equals by place
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    while True:
-        sorted_rank = rank[order]
-        alone = np.concatenate((sorted_rank[1:] != sorted_rank[:-1], [True])) & np.concatenate(([True], sorted_rank[1:] != sorted_rank[:-1]))
-        open_at = np.flatnonzero(~alone)
-        if not len(open_at):
-            return order
+    n, depth = len(text), 5
+    padded = np.concatenate([text, np.zeros(depth, dtype=np.uint8)])
+    key = text.astype(np.int64)
+    for j in range(1, depth):
+        key = (key << 8) | (padded[j : j + n] * (left > j))
+    if n < PACKED:
+        packed = (key.astype(np.uint64) << np.uint64(21)) | np.arange(n, dtype=np.uint64)
+        packed.sort()
+        order, key = (packed & np.uint64(PACKED - 1)).astype(np.int64), packed >> np.uint64(21)
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    fresh = np.concatenate(([True], key[1:] != key[:-1])) | (left <= depth)[order]  # a suffix that ended is ordered among its equals by place
+    rank = np.empty(n, dtype=np.int32 if n < PACKED else np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=rank.dtype), rank.dtype.type(0)))
+    open_at = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+    while len(open_at):
         rows = order[open_at]
-        follow = rank[np.minimum(rows + depth, n - 1)]
-        follow = np.where(left[rows] > depth, follow, -1)
-        again = np.lexsort((place[rows], follow, rank[rows]))
-        rows, follow = rows[again], follow[again]
+        follow = np.where(left[rows] > depth, rank[np.minimum(rows + depth, n - 1)], -1)
+        rows, head, follow = _sorted_by(rank[rows], follow, rows, n)
         order[open_at] = rows
-        head = rank[rows]
-        same = np.concatenate(([False], (head[1:] == head[:-1]) & (follow[1:] == follow[:-1]) & (left[rows][1:] > depth)))
-        rank[rows] = np.maximum.accumulate(np.where(same, 0, open_at))
+        fresh = np.concatenate(([True], (head[1:] != head[:-1]) | (follow[1:] != follow[:-1]) | (left[rows][1:] <= depth)))
+        rank[rows] = np.maximum.accumulate(np.where(fresh, open_at, 0)).astype(rank.dtype)
+        open_at = open_at[~(fresh & np.append(fresh[1:], True))]
         depth *= 2
+    return order
 
 
 class RunIndex:
@@ -244,46 +256,60 @@ class RunIndex:
         self.common = self._common_prefix(text, left)
 
     def _common_prefix(self, text: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Common prefix of each run head with the suffix before it, within both fragments."""
+        """Common prefix of each run head with the suffix before it, within both fragments; eight bytes at a time."""
         a, b = self.head, np.maximum(self.before, 0)
         limit = np.where(self.before >= 0, np.minimum(left[a], left[b]) - 1, 0)
+        padded = np.concatenate([text, np.zeros(16, dtype=np.uint8)])
+        eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(text) + 8]).view(">u8").ravel().astype(np.uint64)
         out = np.zeros(len(a), dtype=np.int64)
         live = np.flatnonzero(limit > 0)
         while len(live):
-            same = text[a[live] + out[live]] == text[b[live] + out[live]]
-            live = live[same]
-            out[live] += 1
-            live = live[out[live] < limit[live]]
-        return out
+            at = out[live]
+            x = eight[a[live] + at] ^ eight[b[live] + at]
+            same = np.zeros(len(live), dtype=np.int64)
+            for k in range(8):
+                same += x < np.uint64(1 << (56 - 8 * k))
+            out[live] = at + same
+            live = live[(x == 0) & (out[live] < limit[live])]
+        return np.minimum(out, limit)
 
     def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For every position, streamed from the samples: the preceding suffix and the common prefix with it."""
-        by_place = np.argsort(self.head)
-        at, before, common = self.head[by_place], self.before[by_place], self.common[by_place]
-        place = np.arange(self.n)
-        last = np.searchsorted(at, place, "right") - 1
-        gone = place - at[last]
-        return np.where(before[last] >= 0, before[last] + gone, -1), common[last] - gone
+        place, last = np.arange(self.n), np.zeros(self.n, dtype=np.int64)
+        last[self.head] = self.head
+        np.maximum.accumulate(last, out=last)
+        before, common = np.empty(self.n, dtype=np.int64), np.empty(self.n, dtype=np.int64)
+        before[self.head], common[self.head] = self.before, self.common
+        gone, start = place - last, before[last]
+        return np.where(start >= 0, start + gone, -1), common[last] - gone
 
 
-def least_documents(fragments: list[bytes], docs: np.ndarray, width: int) -> list[np.ndarray]:
-    """Per fragment the smallest document of each of its windows, among all the fragments."""
+def least_documents(fragments: list[bytes], docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest document of every window among all the fragments, as runs: runs of each fragment, their lengths and documents."""
     sizes = np.array([len(f) + 1 for f in fragments], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     text = np.frombuffer(bytes([END]).join([*fragments, b""]), dtype=np.uint8)
     index = RunIndex(text, starts, sizes, width)
     link, length = index.matching_statistics()
-    link = np.where(length >= width, link, np.arange(index.n))
-    while True:  # to the first suffix of the class of equal windows, doubling the step
-        far = link[link]
-        if np.array_equal(far, link):
-            break
-        link = far
+    live = np.flatnonzero(length >= width)
+    first = np.arange(index.n)
+    first[live] = link[live]
+    while len(live):  # to the first suffix of the class of equal windows, doubling the step
+        far = first[first[live]]
+        moved = far != first[live]
+        first[live] = far
+        live = live[moved]
     owner = np.repeat(docs, sizes)
     least = np.full(index.n, NO_DOC, dtype=np.int64)
-    np.minimum.at(least, link, owner)
-    least = least[link]
-    return [least[s : s + n - width] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    np.minimum.at(least, first, owner)
+    windows = sizes - width
+    at = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+    found = least[first[at]]
+    begins = np.zeros(len(found), dtype=bool)
+    begins[np.cumsum(windows) - windows] = True
+    head = np.flatnonzero(begins | np.concatenate(([True], found[1:] != found[:-1])))
+    counts = np.bincount(np.repeat(np.arange(len(windows)), windows)[head], minlength=len(windows))
+    return counts, np.diff(np.append(head, len(found))), found[head]
 
 
 def index_bucket(bucket: int, got: list[tuple[int, bytes]], width: int, buckets: int) -> list[tuple[int, int, bytes]]:
@@ -303,15 +329,18 @@ def index_bucket(bucket: int, got: list[tuple[int, bytes]], width: int, buckets:
                 least[k] = doc
         local.append(numbers)
     fragments = list(known)
-    answer: list[np.ndarray | None] = [None] * len(fragments)
+    docs, order, parts = np.array(least, dtype=np.int64), [], []
     for group in index_groups(fragments, width):
-        for i, found in zip(group, least_documents([fragments[i] for i in group], np.array([least[i] for i in group], dtype=np.int64), width), strict=True):
-            first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-            answer[i] = (np.diff(np.append(first, len(found))), found[first])
+        order += group
+        parts.append(least_documents([fragments[i] for i in group], docs[group], width))
+    counts, lengths, found = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    begin, n_runs = np.empty(len(fragments), dtype=np.int64), np.empty(len(fragments), dtype=np.int64)
+    begin[order], n_runs[order] = np.cumsum(counts) - counts, counts
     out = []
     for (block, _), numbers in zip(got, local, strict=True):
-        runs = [answer[k] for k in numbers.tolist()]
-        out.append((block, bucket + buckets, blocks.pack(np.array([len(r[0]) for r in runs], dtype=np.uint32), np.concatenate([r[0] for r in runs]).astype(np.uint32), np.concatenate([r[1] for r in runs]))))
+        n = n_runs[numbers]
+        run = np.repeat(begin[numbers] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out.append((block, bucket + buckets, blocks.pack(n.astype(np.uint32), lengths[run].astype(np.uint32), found[run])))
     return out
 
 
@@ -385,10 +414,10 @@ def drop_repeats(docs: DataFrame, width: int = 50, block_bytes: int = blocks.BLO
     match each other; a null doc_id comes after all others; an empty table gives none; further
     columns are ignored.
     """
-    n = blocks.block_count(docs, block_bytes)
+    blocks_n, n = blocks.block_count(docs, block_bytes)
     if n > 1 << 16:
-        raise ValueError("more than 65536 blocks: raise block_bytes")
-    rows = blocks.in_blocks(docs, n)
+        raise ValueError("more than 65536 buckets: raise block_bytes")
+    rows = blocks.in_blocks(docs, blocks_n)
     told = blocks.answer_each(blocks.send_each(rows, lambda b, t: send_minimisers(b, t, width, n)), lambda b, got: share_minimisers(b, got, hot))
     sent = blocks.with_answers(rows, told, lambda b, t, got: send_fragments(b, t, got, width, n), blocks.MESSAGE)
     found = blocks.answer_each(sent, lambda b, got: index_bucket(b, got, width, n))
