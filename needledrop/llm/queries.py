@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm import op1_mixture, op2_runindex, op3_rules, op4_decontaminate, op5_orderminhash, op6_compression, op7_warc, op8_kdtree, op9_reputation
+from needledrop.llm import op1_mixture, op2_runindex, op3_rules, op4_decontaminate, op5_orderminhash, op6_compression, op7_warc, op8_kdtree, op9_reputation, op10_lines
 
 #: The source tree of the mixture: domains by the number in a source's name.
 DOMAINS = ("web", "books", "news")
@@ -64,6 +64,10 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_reputation.filter_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES, threshold=0.5).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_lines.drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256", "removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_of_sources": op1_mixture_of_sources,
     "op2_run_length_index": op2_run_length_index,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc_round_trip": op7_warc_round_trip,
     "op8_kdtree_shards": op8_kdtree_shards,
     "op9_host_reputation": op9_host_reputation,
+    "op10_line_join": op10_line_join,
 }
 
 _SHARE = """
