@@ -139,4 +139,21 @@ select page_id, payload_bytes, payload_digest, case when page_id = response_id t
   case when page_id <> response_id then response_id end as refers_to from r
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixture_of_sources": OP1_SQL, "op4_benchmark_leaks": OP4_SQL, "op7_warc_round_trip": OP7_SQL}
+_RHO = "case when sum(n) is null or sum(n) <= count(*) then 99.0::double else 1 / least(greatest((sum(n * pow(k / n - least(greatest(parent, 1e-6), 1 - 1e-6), 2) / (least(greatest(parent, 1e-6), 1 - 1e-6) * (1 - least(greatest(parent, 1e-6), 1 - 1e-6)))) - count(*)) / (sum(n) - count(*)), 0.001), 0.5) - 1 end as s"
+OP9_SQL = rf"""
+with p as (select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) as path from pages),
+o as (select doc_id as page_id, count(*) as n, count(*) filter (where quality = 1) as k from labels where doc_id is not null and quality is not null group by 1),
+c as (select host, string_split(host, '.') as l, coalesce(sum(n), 0)::double as n, coalesce(sum(k), 0)::double as k from p left join o using (page_id) group by host),
+h as (select host, n, k, case when array_to_string(l[-2:], '.') in ('ac.uk', 'co.jp', 'co.nz', 'co.uk', 'com.au', 'com.br', 'gov.uk', 'org.uk') then array_to_string(l[-2:], '.') else l[-1] end as suffix,
+  case when array_to_string(l[-2:], '.') in ('ac.uk', 'co.jp', 'co.nz', 'co.uk', 'com.au', 'com.br', 'gov.uk', 'org.uk') then array_to_string(l[-3:], '.') else array_to_string(l[-2:], '.') end as domain from c),
+d as (select suffix, domain, sum(n) as n, sum(k) as k from h group by 1, 2), x as (select suffix, sum(n) as n, sum(k) as k from d group by 1),
+x1 as (select *, (select coalesce(sum(k) / nullif(sum(n), 0), 0.5) from x) as parent from x), xs as (select {_RHO} from x1 where n > 0),
+xm as (select suffix, (k + s * parent) / (n + s) as parent from x1, xs), d1 as (select d.*, xm.parent from d join xm using (suffix)), ds as (select {_RHO} from d1 where n > 0),
+dm as (select domain, (k + s * parent) / (n + s) as parent from d1, ds), h1 as (select h.*, dm.parent from h join dm using (domain)), hs as (select {_RHO} from h1 where n > 0),
+b as (select host, k + s * parent as a, n - k + s * (1 - parent) as b from h1, hs), v as (select host, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) as bound from b),
+r as (select * from (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) t(act, rh, rp)),
+m as (select distinct host, path, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(act, length(rh || rp)) as act from (select distinct host, path from p) join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by host, path)
+select page_id, host, path, rule, coalesce(act, case when bound >= 0.5 then 'allow' else 'block' end) as verdict from p join v using (host) left join m using (host, path)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixture_of_sources": OP1_SQL, "op4_benchmark_leaks": OP4_SQL, "op7_warc_round_trip": OP7_SQL, "op9_host_reputation": OP9_SQL}
