@@ -258,9 +258,11 @@ class Entries:
 def _asks(bucket: int, e: Entries, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Ask the earlier lines' blocks to send their words to the later lines' blocks."""
     out = []
+    if not len(y):
+        return out
     order = np.argsort(e.block[y], kind="stable")
     x, y = x[order], y[order]
-    edges = np.flatnonzero(np.concatenate(([True], e.block[y][1:] != e.block[y][:-1]))) if len(y) else []
+    edges = np.flatnonzero(np.concatenate(([True], e.block[y][1:] != e.block[y][:-1])))
     for a, b in zip(edges, np.append(edges[1:], len(y)), strict=True):
         out.append((int(e.block[y[a]]), bucket, blocks.pack(e.line[y[a:b]].astype(np.uint32), e.block[x[a:b]].astype(np.uint32), e.line[x[a:b]].astype(np.uint32))))
     return out
