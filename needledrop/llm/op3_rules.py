@@ -21,16 +21,19 @@ SPACES = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Ratios on which rules may set thresholds.
-RATIOS = {
-    "words": F.col("n_words").cast("double"),
-    "word_length": F.try_divide("word_chars", "n_words"),
-    "symbols": F.try_divide("n_symbols", "n_words"),
-    "duplicate_lines": F.try_divide("n_dup_lines", "n_lines"),
-    "repeated_words": F.try_divide("n_repeat_words", "n_words"),
-    "upper_case": F.try_divide("n_upper", "word_chars"),
-    "exclamations": F.try_divide("n_exclamations", "n_words"),
-}
+
+
+def ratios() -> dict[str, Column]:
+    """The ratios on which rules may set thresholds; null where a text has no word or line."""
+    return {
+        "words": F.col("n_words").cast("double"),
+        "word_length": F.try_divide("word_chars", "n_words"),
+        "symbols": F.try_divide("n_symbols", "n_words"),
+        "duplicate_lines": F.try_divide("n_dup_lines", "n_lines"),
+        "repeated_words": F.try_divide("n_repeat_words", "n_words"),
+        "upper_case": F.try_divide("n_upper", "word_chars"),
+        "exclamations": F.try_divide("n_exclamations", "n_words"),
+    }
 
 
 def without(text: Column, characters: str) -> Column:
@@ -177,11 +180,11 @@ def judge_quality(docs: DataFrame, labels: DataFrame, **learning) -> DataFrame:
     table gives none; further columns are ignored.
     """
     stats = materialise(text_statistics(docs))
-    ratios = list(RATIOS)
+    names = list(ratios())
     known = labels.filter("quality in (0, 1)").select(F.col("doc_id").alias("labelled"), (F.col("quality") == 0).alias("bad"))
-    labelled = materialise(stats.join(known, F.col("doc_id") == F.col("labelled")).select("bad", *[c.alias(n) for n, c in RATIOS.items()]))
+    labelled = materialise(stats.join(known, F.col("doc_id") == F.col("labelled")).select("bad", *[c.alias(n) for n, c in ratios().items()]))
     both = labelled.agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).first()
-    rules = learn_list(labelled, ratios, **learning) if both["bad"] and both["good"] else []
+    rules = learn_list(labelled, names, **learning) if both["bad"] and both["good"] else []
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = stats.withColumns(RATIOS).withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & as_expression(rules))
-    return out.withColumn("rules", F.lit("; ".join(" and ".join(map(str, r)) for r in rules))).drop(*ratios)
+    out = stats.withColumns(ratios()).withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & as_expression(rules))
+    return out.withColumn("rules", F.lit("; ".join(" and ".join(map(str, r)) for r in rules))).drop(*names)
