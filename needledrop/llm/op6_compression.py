@@ -70,7 +70,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(beta[0] / scale), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, bytes_per_row: int = 8192, dictionary_bytes: int = 65536) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2000, bytes_per_row: int = 4096, dictionary_bytes: int = 65536) -> dict:
     """Fit on at most ``rows_per_class`` rows a class, the smallest by a hash of their id.
 
     Of longer texts, ``bytes_per_row`` characters about the middle serve. Two thirds of the rows

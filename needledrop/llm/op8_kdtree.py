@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from needledrop.scratch import materialise
@@ -32,11 +32,21 @@ def _place(dim: str, low: float, high: float) -> Column:
     return F.lit(0).cast("bigint") if not span > 0 else F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(dim) - low) / span)) * (2**31 - 1))
 
 
-def _small_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
-    """A table of literal rows, made on the JVM; one row at least for each node, 40 bytes each."""
+#: Up to so many nodes a table of them is one literal map; more are joined.
+LITERAL_NODES = 256
+
+
+def _looked_up(df: DataFrame, rows: list[tuple], columns: str) -> DataFrame:
+    """Add the columns after ``node`` of a small table to the rows whose shard is its node; null elsewhere."""
+    kinds = [c.split() for c in columns.split(", ")]
+    if len(rows) <= LITERAL_NODES:
+        cells = [x for r in rows for x in (F.lit(r[0]), F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r[1:], kinds, strict=True)]))]
+        found = df.withColumn("found", F.try_element_at(F.create_map(*cells), F.col("shard")))
+        return found.select("*", *[F.col("found")[n].alias(n) for n, _ in kinds]).drop("found")
     values = ", ".join(f"({', '.join(map(repr, r))})" for r in rows)
-    casts = ", ".join(f"cast({n} as {t}) as {n}" for n, t in (c.split() for c in columns.split(", ")))
-    return F.broadcast(spark.sql(f"select {casts} from values {values} as t({', '.join(c.split()[0] for c in columns.split(', '))})"))
+    casts = ", ".join(f"cast({n} as {t}) as {n}" for n, t in kinds)
+    table = df.sparkSession.sql(f"select node, {casts} from values {values} as t(node, {', '.join(n for n, _ in kinds)})")
+    return df.join(F.broadcast(table), F.col("shard") == F.col("node"), "left").drop("node")
 
 
 def kd_shards(rows: DataFrame, dims: list[str], n_shards: int | None = None, target_bytes: int | None = None, tolerance: float = 1e-4) -> DataFrame:
@@ -48,7 +58,6 @@ def kd_shards(rows: DataFrame, dims: list[str], n_shards: int | None = None, tar
     Null dims count as the smallest value; the split points of all nodes, 40 bytes each, pass
     through the driver.
     """
-    spark = rows.sparkSession
     names = [f"d{i}" for i in range(len(dims))]
     base = rows.select("*", *[F.coalesce(F.col(d), F.lit(0.0)).cast("double").alias(n) for d, n in zip(dims, names, strict=True)], (F.xxhash64("row_id").bitwiseAND(2**31 - 1)).alias("tie"))
     whole = base.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), *[f(n).alias(f"{k}{n}") for n in names for k, f in (("low", F.min), ("high", F.max))]).first()
@@ -56,40 +65,33 @@ def kd_shards(rows: DataFrame, dims: list[str], n_shards: int | None = None, tar
     ends = {n: (whole[f"low{n}"] or 0.0, whole[f"high{n}"] or 0.0) for n in names}
     base = base.select("*", *[_place(n, *ends[n]).alias(f"p{n}") for n in names]).drop(*names)
     #: first shard of a node -> (number of its shards)
-    nodes, cuts = {0: leaves}, []
+    nodes = {0: leaves}
     slack = tolerance * whole["bytes"] / leaves
 
-    def placed(df: DataFrame) -> DataFrame:
-        """Walk every row down the levels that are split so far."""
-        df = df.withColumn("shard", F.lit(0))
-        for level in cuts:
-            table = _small_table(spark, level, "node int, at int, dim int, cut bigint")
-            key = F.element_at(F.array(*[F.col(f"p{n}") for n in names]), F.col("dim") + 1) * 2**31 + F.col("tie")
-            df = df.join(table, F.col("shard") == F.col("node"), "left").withColumn("shard", F.when(F.col("node").isNotNull() & (key >= F.col("cut")), F.col("at")).otherwise(F.col("shard"))).drop("node", "at", "dim", "cut")
-        return df
+    def key_along() -> Column:
+        return F.try_element_at(F.array(*[F.col(f"p{n}") for n in names]), F.col("dim") + 1) * 2**31 + F.col("tie")
+
+    #: written once a level, which keeps the plans of all later passes small
+    now = materialise(base.withColumn("shard", F.lit(0)))
 
     while any(k > 1 for k in nodes.values()):
-        now = placed(base)
         spans = now.groupBy("shard").agg(F.sum("size").alias("bytes"), *[(F.max(f"p{n}") - F.min(f"p{n}")).alias(n) for n in names]).collect()
         search = {r["shard"]: {"dim": max(range(len(names)), key=lambda i, r=r: (r[names[i]], -i)), "prefix": 0, "left": r["bytes"] * (nodes[r["shard"]] // 2) / nodes[r["shard"]]} for r in spans if nodes[r["shard"]] > 1}
         done, bits = {}, 0
         while search and bits < KEY_BITS:
             step = min(DIGIT, KEY_BITS - bits)
-            table = _small_table(spark, [(k, v["dim"], v["prefix"]) for k, v in search.items()], "node int, dim int, prefix bigint")
-            key = F.element_at(F.array(*[F.col(f"p{n}") for n in names]), F.col("dim") + 1) * 2**31 + F.col("tie")
             bins = (
-                now.join(table, F.col("shard") == F.col("node"))
-                .withColumn("key", key)
+                _looked_up(now, [(k, v["dim"], v["prefix"]) for k, v in search.items()], "dim int, prefix bigint")
+                .withColumn("key", key_along())
                 .filter(F.shiftright("key", KEY_BITS - bits) == F.col("prefix"))
-                .groupBy("node", F.shiftright("key", KEY_BITS - bits - step).alias("bin"))
+                .groupBy("shard", F.shiftright("key", KEY_BITS - bits - step).alias("bin"))
                 .agg(F.sum("size").alias("bytes"))
             )
-            upto = Window.partitionBy("node").orderBy("bin")
-            goal = _small_table(spark, [(k, float(v["left"])) for k, v in search.items()], "node int, goal double")
+            upto = Window.partitionBy("shard").orderBy("bin")
             hit = (
-                bins.withColumn("upto", F.sum("bytes").over(upto)).join(goal, "node")
+                _looked_up(bins.withColumn("upto", F.sum("bytes").over(upto)), [(k, float(v["left"])) for k, v in search.items()], "goal double")
                 .filter(F.col("upto") >= F.col("goal"))
-                .groupBy("node").agg(F.min_by(F.struct("bin", "bytes", "upto"), "bin").alias("hit"))
+                .groupBy(F.col("shard").alias("node")).agg(F.min_by(F.struct("bin", "bytes", "upto"), "bin").alias("hit"))
             )
             bits += step
             for r in hit.collect():
@@ -108,8 +110,10 @@ def kd_shards(rows: DataFrame, dims: list[str], n_shards: int | None = None, tar
             nodes[node], nodes[node + half] = half, nodes[node] - half
         for node in [k for k, v in nodes.items() if v > 1 and k not in done and not any(x[1] == k for x in level)]:
             nodes[node] = 1  # a node without rows has nothing to split
-        cuts.append(level) if level else None
-    return placed(base).drop("tie", *[f"p{n}" for n in names])
+        if level:
+            split = _looked_up(now, level, "at int, dim int, cut bigint")
+            now = materialise(split.withColumn("shard", F.when(key_along() >= F.col("cut"), F.col("at")).otherwise(F.col("shard"))).drop("at", "dim", "cut"))
+    return now.drop("tie", *[f"p{n}" for n in names])
 
 
 def slots(sharded: DataFrame) -> DataFrame:
