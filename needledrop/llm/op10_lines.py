@@ -206,22 +206,42 @@ def send_prefixes(block: int, table: pa.Table, got: list[tuple[int, bytes]], ran
     keep[first[_is_first(codes, first, dict(got), buckets)]] = True
     owner, word, place = sets.prefixes()
     mine = keep[owner]
+    # a word of a hash class with one occurrence in the corpus is in no other line
+    mine &= ranks[(word % np.uint64(CLASSES)).astype(np.int64)] > 1
     owner, word, place = owner[mine], word[mine], place[mine]
     parity, line = sets.parities(), sets.line[owner]
-    columns = (word, line.astype(np.uint32), place.astype(np.uint32), sets.n[owner].astype(np.uint32), parity[owner], ids[lines.doc[line]], lines.place[line].astype(np.uint32))
-    return blocks.messages([(block, b, blocks.pack(*(c[at] for c in columns))) for b, at in blocks.by_bucket((word % np.uint64(buckets)).astype(np.int64), buckets)])
+    columns = (line.astype(np.uint32), *map(_narrow, (place, sets.n[owner])), parity[owner], ids[lines.doc[line]])
+    return blocks.messages([(block, b, blocks.pack(_five(word[at]), *(c[at] for c in columns))) for b, at in blocks.by_bucket((word % np.uint64(buckets)).astype(np.int64), buckets)])
+
+
+def _five(word: np.ndarray) -> np.ndarray:
+    """The upper five bytes of hashes. Within a bucket they tell words apart but for rare chances, which only add candidates."""
+    return np.ascontiguousarray(word.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 3:]
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers of two bytes, or of four where one needs them."""
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32)
+
+
+def _wide(raw: np.ndarray, count: int) -> np.ndarray:
+    return raw.view(np.uint16 if len(raw) == 2 * count else np.uint32).astype(np.int64)
 
 
 class Entries:
     """Prefix entries of a bucket, by word and size."""
 
     def __init__(self, got: list[tuple[int, bytes]]) -> None:
-        parts = [blocks.unpack(p, np.uint64, np.uint32, np.uint32, np.uint32, np.uint64, np.int64, np.uint32) for _, p in got]
-        block = np.repeat(np.array([b for b, _ in got], dtype=np.int64), [len(p[0]) for p in parts])
-        word, line, place, n, parity, doc, at = (np.concatenate([p[i] for p in parts]) for i in range(7))
+        parts = [blocks.unpack(p, np.uint8, np.uint32, np.uint8, np.uint8, np.uint64, np.int64) for _, p in got]
+        block = np.repeat(np.array([b for b, _ in got], dtype=np.int64), [len(p[1]) for p in parts])
+        five, line, parity, doc = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 4, 5))
+        place, n = (np.concatenate([_wide(p[i], len(p[1])) for p in parts]) for i in (2, 3))
+        eight = np.zeros((len(line), 8), dtype=np.uint8)
+        eight[:, :5] = five.reshape(-1, 5)
+        word = eight.view("<u8").ravel()
         order = np.lexsort((n, word))
         self.block, self.line, self.place, self.n = block[order], line[order].astype(np.int64), place[order].astype(np.int64), n[order].astype(np.int64)
-        self.parity, self.doc, self.at, word = parity[order], doc[order], at[order].astype(np.int64), word[order]
+        self.parity, self.doc, word = parity[order], doc[order], word[order]
         group = np.cumsum(np.concatenate(([False], word[1:] != word[:-1])))
         #: the entries after each one with its word and a size within the ratio
         reach = np.searchsorted(group * (1 << 34) + self.n, group * (1 << 34) + self.n * UNDER // OVER, "right")
@@ -247,7 +267,7 @@ class Entries:
                 gap = np.bitwise_count(self.parity[i] ^ self.parity[j]).astype(np.int64)
                 ok = gap * (OVER + UNDER) <= (UNDER - OVER) * both
                 i, j, gap = i[ok], j[ok], gap[ok]
-                later = (self.doc[i] > self.doc[j]) | ((self.doc[i] == self.doc[j]) & (self.at[i] > self.at[j]))
+                later = (self.doc[i] > self.doc[j]) | ((self.doc[i] == self.doc[j]) & (self.line[i] > self.line[j]))  # lines of one id are in one block, in order
                 x, y = np.where(later, i, j), np.where(later, j, i)
                 if wanted is not None:
                     ok = wanted[x]
@@ -274,7 +294,7 @@ def ask_best(bucket: int, got: list[tuple[int, bytes]]) -> list[tuple[int, int,
     name = e.block * (1 << 32) + e.line
     best = None
     for x, y, gap in e.pairs():
-        rows = np.stack([name[x], gap, e.doc[y], e.at[y], x, y])
+        rows = np.stack([name[x], gap, e.doc[y], e.line[y], x, y])
         rows = rows if best is None else np.concatenate([best, rows], axis=1)
         rows = rows[:, np.lexsort(rows[3::-1])]
         best = rows[:, np.concatenate(([True], rows[0][1:] != rows[0][:-1]))] if rows.shape[1] else rows
