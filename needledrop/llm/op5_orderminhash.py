@@ -4,7 +4,8 @@ A text's five-word shingles are labelled with their occurrence number. Each of s
 sketches takes the labelled shingles of the least hashes and keeps them in their order in
 the text, so that agreement follows edit similarity. Texts that share a sketch are linked to
 the sketch's first text, and to the first of about their own length; a link stands if the banded
-alignment of the words has at most a fifth of the longer text in edits.
+alignment of the words has at most a fifth of the longer text in edits. All other pairs that share
+a sketch and are not in one class by then are aligned in a second step, so none is left out.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from needledrop.llm import tokens
@@ -30,21 +31,30 @@ LAST = np.uint64(2**64 - 1)
 WORD = re.compile(rb"(?:[A-Za-z0-9]|[\x80-\xff])+")
 #: Members that are aligned with one text in one group; more are dealt over several.
 MEMBERS = 256
+#: Texts of a key that are compared pair by pair; those of larger keys meet by rare word pairs.
+FEW = 64
 #: Bytes of text in a group of alignments.
 GROUP_BYTES = 4 << 20
 
 
-def order_minhash(word: np.ndarray, text: np.ndarray, n_texts: int, sketches: int = SKETCHES) -> list[np.ndarray]:
-    """Sketch keys of each text; none for a text of fewer than five words."""
-    value, owner, _ = tokens.shingles(word, text, K)
+def labelled(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each value with its occurrence number within its text, and the text."""
     if not len(value):
-        return [np.zeros(0, np.int64)] * n_texts
+        return np.zeros(0, np.uint64), owner
     order = np.lexsort((value, owner))
     v, o = value[order], owner[order]
     first = np.maximum.accumulate(np.where(np.concatenate(([True], (v[1:] != v[:-1]) | (o[1:] != o[:-1]))), np.arange(len(v)), 0))
     occurrence = np.empty(len(v), dtype=np.uint64)
     occurrence[order] = np.arange(len(v)) - first
-    label = tokens.mix(value + occurrence * tokens.BASE)
+    return tokens.mix(value + occurrence * tokens.BASE), owner
+
+
+def order_minhash(word: np.ndarray, text: np.ndarray, n_texts: int, sketches: int = SKETCHES) -> list[np.ndarray]:
+    """Sketch keys of each text; none for a text of fewer than five words."""
+    value, owner, _ = tokens.shingles(word, text, K)
+    if not len(value):
+        return [np.zeros(0, np.int64)] * n_texts
+    label, _ = labelled(value, owner)
     starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     sizes = np.diff(np.append(starts, len(owner)))
     group = np.repeat(np.arange(len(starts)), sizes)
@@ -148,22 +158,83 @@ def alike(a: list, b: list, similarity: float, bag_a: Counter | None = None) ->
     return longer - common <= most and banded_distance(a, b, most) <= most
 
 
-def candidate_pairs(reps: DataFrame, similarity: float) -> DataFrame:
+def shared_keys(reps: DataFrame) -> DataFrame:
+    """(key, doc_id, n_words, c) for each text and sketch key that it shares with another; c is the key's first text."""
+    entries = reps.select("doc_id", "n_words", F.explode("keys").alias("key"))
+    first = F.min(F.struct("doc_id", "n_words"))
+    firsts = entries.groupBy("key").agg(first.alias("c"), F.count("*").alias("n")).filter("n > 1").select("key", "c")
+    return entries.join(firsts, "key").select("key", "doc_id", "n_words", "c")
+
+
+def _within(a: str, b: str, similarity: float):
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+
+def candidate_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     """Distinct (center, doc_id, n_words) of texts with a sketch in common, lengths within the bound.
 
-    ``reps`` has doc_id, n_words and keys. A sketch links each text to its first text and to
-    the first of the text's own length class and of the classes beside it: links grow with the texts, not with their pairs.
+    A sketch links each text to its first text and to the first of both pairs of neighbouring length
+    classes that hold the text: links grow with the texts, not with their pairs. ``other_pairs`` has the rest.
     """
     step = float(np.log(1 / similarity))
-    entries = reps.select("doc_id", "n_words", F.floor(F.log("n_words") / step).alias("class"), F.explode("keys").alias("key"))
+    level = F.floor(F.log("n_words") / step)
+    entries = shared.select("key", "doc_id", "n_words", F.explode(F.array(level, level + 1)).alias("class"))
     first = F.min(F.struct("doc_id", "n_words"))
-    whole = entries.groupBy("key").agg(first.alias("c"), F.count("*").alias("n")).filter("n > 1").select("key", "c")
-    per_class = entries.select("key", "doc_id", "n_words", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class")).groupBy("key", "class").agg(first.alias("c"), F.count("*").alias("n")).filter("n > 1").select("key", "class", "c")
-    links = entries.join(whole, "key").select("c", "doc_id", "n_words")
-    links = links.unionByName(entries.join(per_class, ["key", "class"]).select("c", "doc_id", "n_words"))
+    per_class = entries.groupBy("key", "class").agg(first.alias("c"), F.count("*").alias("n")).filter("n > 1").select("key", "class", "c")
+    links = shared.select("c", "doc_id", "n_words").unionByName(entries.join(per_class, ["key", "class"]).select("c", "doc_id", "n_words"))
     links = links.select(F.col("c.doc_id").alias("center"), F.col("c.n_words").alias("center_words"), "doc_id", "n_words").filter("center <> doc_id")
-    within = F.least("n_words", "center_words") >= similarity * F.greatest("n_words", "center_words") - 1e-9
-    return links.filter(within).select(F.least("center", "doc_id").alias("center"), F.greatest("center", "doc_id").alias("doc_id"), (F.col("n_words") + F.col("center_words")).alias("n_words")).distinct()
+    links = links.filter(_within("n_words", "center_words", similarity))
+    return links.select(F.least("center", "doc_id").alias("center"), F.greatest("center", "doc_id").alias("doc_id"), (F.col("n_words") + F.col("center_words")).alias("n_words")).distinct()
+
+
+def rare_grams(docs: DataFrame, wanted: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, gram) of the wanted texts: so many of the rarest word pairs that two texts alike share one of them.
+
+    An edit breaks at most two of the n - 1 word pairs of the longer text, so that (2 * similarity - 1) * n - 1
+    of them are in the other text too; repeats within a text count as different pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            for at, _, data, offsets in tokens.slices(column):
+                word, text, *_ = tokens.words(data, offsets)
+                value, owner, _ = tokens.shingles(word, text, 2)
+                label, owner = labelled(value, owner)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + owner]), pa.array(label.view(np.int64))], ["doc_id", "gram"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    grams = materialise(texts.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id").mapInArrow(run, "doc_id bigint, gram bigint").distinct())
+    often = grams.groupBy("gram").agg(F.count("*").alias("often")).filter("often > 1")  # a pair of one text meets nothing, but takes its place
+    ranked = grams.join(often, "gram", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    w = Window.partitionBy("doc_id")
+    ranked = ranked.withColumns({"place": F.row_number().over(w.orderBy("often", "gram")), "n": F.count("*").over(w) + 1})
+    return ranked.filter(F.col("place") <= F.col("n") - F.ceil((2 * similarity - 1) * F.col("n") - 1 - 1e-6)).filter("often > 1").select("doc_id", "gram")
+
+
+def other_pairs(docs: DataFrame, shared: DataFrame, tried: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """All further pairs with a sketch in common that can be alike and that ``classes`` does not join yet.
+
+    A key whose texts are in one class asks nothing, so a large group of copies costs no pairs. A mixed key of
+    up to ``FEW`` texts asks all pairs of texts in different classes; the texts of larger ones, as of a common
+    passage, meet by their rarest word pairs instead, which no pair alike can miss.
+    """
+    named = materialise(shared.join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", "n_words", "c", F.coalesce("component", "doc_id").alias("part")))
+    mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2")
+    members = materialise(named.join(mixed.select("key", "n"), "key"))
+    few = members if similarity <= 0.6 else members.filter(F.col("n") <= FEW)  # word pairs tell too little of looser bounds
+    many = members.filter(F.lit(similarity > 0.6) & (F.col("n") > FEW)).select("doc_id", "n_words", "part").distinct()
+    grams = many.join(rare_grams(docs, many, similarity), "doc_id")
+    sides = few.filter("doc_id <> c.doc_id").select("key", "doc_id", "n_words", "part"), few.select("key", "doc_id", "n_words", "part")
+    grams = materialise(grams.select(F.col("gram").alias("key"), "doc_id", "n_words", "part"))
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        left = left.select("key", F.col("doc_id").alias("center"), F.col("n_words").alias("center_words"), F.col("part").alias("center_part"))
+        pairs = left.join(right.hint("merge"), "key").filter("center < doc_id and center_part <> part").filter(_within("n_words", "center_words", similarity))
+        return pairs.select("center", "doc_id", (F.col("n_words") + F.col("center_words")).alias("n_words"))
+
+    pairs = meet(*sides).unionByName(meet(grams, grams)).distinct()
+    return pairs.join(tried.select("center", "doc_id").hint("merge"), ["center", "doc_id"], "left_anti")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -207,9 +278,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = SK
     copies = materialise(facts.filter("doc_id is not null").groupBy("code").agg(F.min("doc_id").alias("rep")))
     owners = facts.filter("doc_id is not null").groupBy("doc_id").agg(F.min("code").alias("code")).join(copies, "code").select("doc_id", "rep")
     reps = facts.join(copies, [facts["code"] == copies["code"], facts["doc_id"] == copies["rep"]], "left_semi").dropDuplicates(["doc_id"]).filter("n_words > 0")
-    pairs = materialise(candidate_pairs(reps.select("doc_id", "n_words", "keys"), similarity))
+    shared = materialise(shared_keys(reps.select("doc_id", "n_words", "keys")))
+    pairs = materialise(candidate_pairs(shared, similarity))
     edges = materialise(verify(docs, pairs, similarity))
-    classes = connected_components(edges)
+    classes = materialise(connected_components(edges))
+    rest = materialise(other_pairs(docs, shared, pairs, classes, similarity))
+    further = materialise(verify(docs, rest, similarity))
+    classes = connected_components(edges.unionByName(further))
     named = owners.join(classes, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(named, "doc_id", "left")
 

@@ -164,6 +164,40 @@ def test_op5_classes(spark):
     assert op5_orderminhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def brute_classes(docs, similarity=0.8, asked=lambda a, b: True):
+    """Classes of (doc_id, text) by aligning all asked pairs with the full table."""
+    words = {i: [w.lower() for w in re.findall("[A-Za-z0-9]+", t)] for i, t in docs}
+    name = {i: i for i in words}
+    for a in sorted(words):
+        for b in sorted(words):
+            if a < b and asked(a, b) and edit_distance(words[a], words[b]) <= int((1 - similarity) * max(len(words[a]), len(words[b])) + 1e-9):
+                old, new = max(name[a], name[b]), min(name[a], name[b])
+                name = {i: new if c == old else c for i, c in name.items()}
+    return name
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_op5_pairs_beside_a_dissimilar_centre(spark, monkeypatch, few):
+    """Texts that share a template with a smaller id, too far from it, but near to each other."""
+    monkeypatch.setattr(op5_orderminhash, "FEW", few, raising=False)
+    rng = random.Random(12)
+    docs = []
+    for family in range(8):
+        template = prose(rng, 72)
+        docs += [(family * 100 + k, template + " " + prose(rng, 28)) for k in range(3)]
+        for k in range(4):
+            tail = prose(rng, 28).split()
+            docs.append((family * 100 + 10 + 2 * k, template + " " + " ".join(tail)))
+            docs.append((family * 100 + 11 + 2 * k, template + " " + " ".join(tail[:18]) + " " + prose(rng, 10)))
+    rows = documents(spark, docs)
+    keys = {r["doc_id"]: set(r["keys"]) for r in op5_orderminhash.sketch(rows, 2).collect()}
+    want = brute_classes(docs, asked=lambda a, b: bool(keys[a] & keys[b]))
+    got = {r["doc_id"]: r["class_id"] for r in op5_orderminhash.near_duplicates(rows, sketches=2).collect()}
+    assert all(got[i] == got[c] for i, c in want.items()) and len(set(want.values())) < len(docs) - 4
+    whole = brute_classes(docs)
+    assert all(whole[i] == whole[c] for i, c in got.items())
+
+
 def test_op6_held_out_accuracy_and_edges(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, 60) if i % 3 else " ".join(w.upper() + "$$$" for w in prose(rng, 60).split())) for i in range(300)] + [(900, None), (901, ""), (None, "x")]
