@@ -1,6 +1,6 @@
 """Near-duplicate search by Order MinHash.
 
-A text's five-word shingles are labelled with their occurrence number. Each of several
+A text's three-word shingles (a short one's words too) are labelled with their occurrence number. Each of several
 sketches takes the labelled shingles of the least hashes and keeps them in their order in
 the text, so that agreement follows edit similarity. Texts that share a sketch are linked to
 the sketch's first text, and to the first of about their own length; a link stands if the banded
@@ -23,8 +23,11 @@ from needledrop.llm import tokens
 from needledrop.operators.components import connected_components
 from needledrop.scratch import materialise
 
-K = 5
-SKETCHES = 20
+#: Words in a shingle.
+K = 3
+SKETCHES = 40
+#: Texts of up to so many words have as many sketches of single words besides, since few edits break all their shingles.
+SHORT = 40
 #: Shingles kept in one sketch.
 KEPT = 2
 LAST = np.uint64(2**64 - 1)
@@ -49,9 +52,11 @@ def labelled(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tokens.mix(value + occurrence * tokens.BASE), owner
 
 
-def order_minhash(word: np.ndarray, text: np.ndarray, n_texts: int, sketches: int = SKETCHES) -> list[np.ndarray]:
-    """Sketch keys of each text; none for a text of fewer than five words."""
-    value, owner, _ = tokens.shingles(word, text, K)
+def order_minhash(word: np.ndarray, text: np.ndarray, n_texts: int, sketches: int = SKETCHES, k: int = K) -> list[np.ndarray]:
+    """Sketch keys of each text; none for a text of fewer than ``k`` + 1 words."""
+    value, owner, _ = tokens.shingles(word, text, k)
+    several = np.bincount(owner, minlength=n_texts)[owner] >= KEPT
+    value, owner = value[several], owner[several]
     if not len(value):
         return [np.zeros(0, np.int64)] * n_texts
     label, _ = labelled(value, owner)
@@ -68,7 +73,7 @@ def order_minhash(word: np.ndarray, text: np.ndarray, n_texts: int, sketches: in
             places.append(place)
             h[place] = LAST
         chosen = np.sort(np.stack(places), axis=0)
-        key = np.full(len(starts), np.uint64(j), dtype=np.uint64)
+        key = np.full(len(starts), np.uint64(j + 1000 * (k != K)), dtype=np.uint64)
         for row in chosen:
             key = tokens.mix(key * tokens.BASE + value[row])
         out[:, j] = key
@@ -77,6 +82,12 @@ def order_minhash(word: np.ndarray, text: np.ndarray, n_texts: int, sketches: in
     return [by_text.get(i, np.zeros(0, np.int64)) for i in range(n_texts)]
 
 
+def sketch_keys(word: np.ndarray, text: np.ndarray, n_texts: int, sketches: int = SKETCHES) -> list[np.ndarray]:
+    """Sketch keys of each text, those of single words too where it is short."""
+    short = np.bincount(text, minlength=n_texts)[text] <= SHORT
+    return [np.concatenate(both) for both in zip(order_minhash(word, text, n_texts, sketches), order_minhash(word[short], text[short], n_texts, sketches, 1), strict=True)]
+
+
 def sketch(docs: DataFrame, sketches: int = SKETCHES) -> DataFrame:
     """doc_id, a 128-bit hash of the text (null: empty), n_words and the sketch keys of every row."""
 
@@ -85,7 +96,7 @@ def sketch(docs: DataFrame, sketches: int = SKETCHES) -> DataFrame:
             ids, column, code = batch.column(0), batch.column(1), batch.column(2)
             for at, end, data, offsets in tokens.slices(column):
                 word, text, *_ = tokens.words(data, offsets)
-                keys = order_minhash(word, text, end - at, sketches)
+                keys = sketch_keys(word, text, end - at, sketches)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, end - at), code.slice(at, end - at), pa.array(np.bincount(text, minlength=end - at), pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                     ["doc_id", "code", "n_words", "keys"],
@@ -270,7 +281,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = SK
     """(doc_id, class_id) of every row; class_id is the smallest doc_id of its group of near copies.
 
     Equal texts are one text from the start, empty and null ones too. Texts of fewer than five
-    words have no sketch and match equal texts only. A doc_id names one text: of rows that repeat an
+    words match equal texts only, as an edit is over a fifth of them. A doc_id names one text: of rows that repeat an
     id with other texts, the one of the smallest text hash is compared. Rows with a null id are in no
     group (null class_id). An empty table gives none; further columns are ignored.
     """

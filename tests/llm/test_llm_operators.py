@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from needledrop.llm import op1_mixture, op2_runindex, op3_rules, op4_decontaminate, op5_orderminhash, op6_compression, op7_warc, op8_kdtree, op9_reputation, op10_lines
+from needledrop.llm import op1_mixture, op2_runindex, op3_rules, op4_decontaminate, op5_orderminhash, op6_compression, op7_warc, op8_kdtree, op9_reputation, op10_lines, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block string, bucket string, payload string, size string, shard string, tokens string, key string"
 WORDS = [f"w{i}x" for i in range(400)]
@@ -198,6 +198,30 @@ def test_op5_pairs_beside_a_dissimilar_centre(spark, monkeypatch, few):
     assert all(whole[i] == whole[c] for i, c in got.items())
 
 
+def scattered(rng, words, edits):
+    """Words with so many scattered single-word edits: substitutions, deletions and insertions in turn."""
+    out = list(words)
+    for n, at in enumerate(sorted(rng.sample(range(len(words)), edits), reverse=True)):
+        out[at : at + 1] = [["new"], [], ["new", out[at]]][n % 3]
+    return out
+
+
+@pytest.mark.parametrize("n_words, similarity, least", [(10, 0.8, 0.95), (20, 0.8, 0.95), (45, 0.8, 0.95), (200, 0.8, 0.95), (200, 0.85, 0.99), (200, 0.9, 0.99)])
+def test_op5_recall_of_scattered_edits(n_words, similarity, least):
+    rng = random.Random(13)
+    found = asked = 0
+    while asked < 300:
+        a = prose(rng, n_words).split()
+        b = scattered(rng, a, round(n_words * (1 - similarity)))
+        if op5_orderminhash.alike(a, b, 0.8):
+            asked += 1
+            data = [" ".join(w).encode() for w in (a, b)]
+            word, text, *_ = tokens.words(np.frombuffer(b"".join(data), np.uint8), np.array([0, len(data[0]), len(data[0]) + len(data[1])]))
+            make = getattr(op5_orderminhash, "sketch_keys", op5_orderminhash.order_minhash)
+            found += bool(set(make(word, text, 2)[0]) & set(make(word, text, 2)[1]))
+    assert found >= least * asked, found / asked
+
+
 def test_op6_held_out_accuracy_and_edges(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, 60) if i % 3 else " ".join(w.upper() + "$$$" for w in prose(rng, 60).split())) for i in range(300)] + [(900, None), (901, ""), (None, "x")]
