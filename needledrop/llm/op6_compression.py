@@ -70,12 +70,12 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(beta[0] / scale), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2000, bytes_per_row: int = 4096, dictionary_bytes: int = 65536) -> dict:
-    """Fit on at most ``rows_per_class`` rows a class, the smallest by a hash of their id.
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, sample_blocks: int = 8192, dictionary_bytes: int = 65536) -> dict:
+    """Fit on at most ``rows_per_class`` whole rows a class, the smallest by a hash of their id.
 
-    Of longer texts, ``bytes_per_row`` characters about the middle serve. Two thirds of the rows
-    build the dictionaries, one third fits the curve, weighted to the classes' true shares.
-    At most 2 x rows_per_class x bytes_per_row characters reach the driver.
+    Two thirds of the rows build the dictionaries, from about ``sample_blocks`` blocks a class taken by hash
+    all along the texts; one third fits the curve, weighted to the classes' true shares. Its differences come
+    from executors; the driver gets the sampled blocks and a few numbers a row.
     """
     known = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     shares = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
@@ -83,22 +83,28 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 2000, bytes_pe
     for quality in (0, 1):
         some = known.filter(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class)
         picked = some if picked is None else picked.unionByName(some)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    middle = F.substring(text, F.greatest(F.lit(1), F.floor((F.length(text) - bytes_per_row) / 2).cast("int")), F.lit(bytes_per_row))
-    rows = docs.select("doc_id", middle.alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)).alias("part")).collect()
-    rows = sorted(((r["quality"], r["part"], r["doc_id"], r["text"].encode()) for r in rows if r["text"]), key=lambda r: r[:3])
-    if {r[0] for r in rows} != {0, 1}:
+    text = F.col("text").cast("binary")
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").withColumns({"part": F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)), "blocks": F.ceil(F.octet_length("text") / BLOCK)}).filter("blocks > 0")
+    facts = rows.groupBy("quality", (F.col("part") == 0).alias("curve")).agg(F.sum("blocks").alias("blocks")).collect()
+    if {r["quality"] for r in facts} != {0, 1}:
         share = shares.get(1, 0) / sum(shares.values()) if shares else 1.0
         return {"good": b" " * 8, "bad": b" " * 8, "slope": 0.0, "intercept": 4.0 * (share - 0.5)}
-    good, bad = (build_dictionary([t for q, part, _, t in rows if q == quality and part != 0], dictionary_bytes) for quality in (1, 0))
-    tools = compressor(good), compressor(bad)
-    fitted = [r for r in rows if r[1] == 0] or rows
-    x = np.array([size_difference(t, *tools) for _, _, _, t in fitted])
-    y = np.array([float(q) for q, *_ in fitted])
+    total = {q: sum(r["blocks"] for r in facts if r["quality"] == q and not r["curve"]) for q in (0, 1)}
+    keep = {q: int(2**30 * min(1.0, sample_blocks / max(1, total[q]))) for q in (0, 1)}
+    places = rows.filter("part <> 0").withColumn("at", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    places = places.filter(F.pmod(F.xxhash64("doc_id", "at"), F.lit(2**30)) < F.when(F.col("quality") == 1, keep[1]).otherwise(keep[0]))
+    samples = places.select("quality", "doc_id", "at", F.substring("text", F.col("at") * BLOCK + 1, F.lit(BLOCK)).alias("block")).collect()
+    samples = sorted((r["quality"], r["doc_id"], r["at"], bytes(r["block"])) for r in samples)
+    good, bad = (build_dictionary([b for q, _, _, b in samples if q == quality], dictionary_bytes) for quality in (1, 0))
+    model = {"good": good, "bad": bad, "slope": 0.0, "intercept": 0.0}
+    curve = rows.filter("part = 0") if any(r["curve"] for r in facts) else rows
+    fitted = sorted((r["doc_id"], r["difference"], r["quality"]) for r in score(curve, model).join(F.broadcast(picked.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality")), "doc_id").select("doc_id", "difference", "quality").collect())
+    x = np.array([d for _, d, _ in fitted])
+    y = np.array([float(q) for _, _, q in fitted])
     n = {q: max(1, int((y == q).sum())) for q in (0, 1)}
     weight = np.array([shares[int(q)] / sum(shares.values()) / n[int(q)] * len(y) for q in y])
     slope, intercept = fit_curve(x, y, weight)
-    return {"good": good, "bad": bad, "slope": slope, "intercept": intercept}
+    return model | {"slope": slope, "intercept": intercept}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

@@ -239,6 +239,16 @@ def test_op6_held_out_accuracy_and_edges(spark):
     assert kept.columns == documents(spark, rows).columns
 
 
+def test_op6_fits_on_whole_texts(spark):
+    """Texts whose classes differ in head and tail only, 4 KB and more from the middle."""
+    rng = random.Random(21)
+    ends = [" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(60)) for c in "bg"]
+    rows = [(i, ends[i % 2] + " " + prose(rng, 2500) + " " + ends[i % 2]) for i in range(90)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    got = [r for r in op6_compression.classify(documents(spark, rows), labels).collect() if r["held_out"]]
+    assert got and sum(r["predicted"] == r["doc_id"] % 2 for r in got) / len(got) > 0.9
+
+
 def test_op7_round_trip(spark):
     rng = random.Random(9)
     long = "\r\n\r\nWARC/1.1\r\n" + prose(rng, 900) + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" + "é" * 700
