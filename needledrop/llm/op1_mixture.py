@@ -18,8 +18,10 @@ from needledrop.scratch import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 TREE = ("domain", "lang", "source")
-#: A leaf's epoch is cut in so many hash ranges; only the one that holds the cut is put in order.
-RANGES = 4096
+#: A leaf's epoch is cut in so many hash ranges, the one that holds the cut again, and so on; the last is put in order.
+RANGES = 256
+#: Ranges are cut until the largest leaf has about so many rows in one.
+ORDERED = 1024
 #: 15 hexadecimal digits of the order hash.
 KEY_SPAN = 16**15
 
@@ -71,21 +73,29 @@ def leaf_budgets(leaves: DataFrame, budget: float, max_epochs: int, weights: Map
     return leaves.join(given, list(TREE)).select(*TREE, "tokens", F.least(F.floor("given"), F.col("tokens") * max_epochs).cast("bigint").alias("budget"))
 
 
-def select_epochs(meta: DataFrame, leaves: DataFrame, seed: int) -> DataFrame:
+def select_epochs(meta: DataFrame, leaves: DataFrame, seed: int, most_rows: int) -> DataFrame:
     """Where each leaf's selection ends: (domain, lang, source, epochs, cut_key).
 
     A row is in epochs 0 to ``epochs`` - 1, and in the next if its order key is at most ``cut_key``.
+    ``most_rows`` is the largest leaf's number of rows: each pass over the keys narrows the cut down
+    to one of ``RANGES`` ranges, and there are as many passes as leave ``ORDERED`` rows to order.
     """
-    leaves = leaves.filter("tokens > 0").select(*TREE, F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("epochs"), F.pmod("budget", "tokens").alias("rest"))
-    keyed = meta.filter("tokens > 0").join(leaves, list(TREE)).withColumn("key", order_key(seed, F.col("epochs"), F.col("doc_id"))).withColumn("range", F.floor(F.col("key") / (KEY_SPAN // RANGES)))
-    upto = Window.partitionBy(*TREE).orderBy("range")
-    ranges = keyed.groupBy(*TREE, "range").agg(F.sum("tokens").alias("n")).withColumn("upto", F.sum("n").over(upto))
-    cuts = ranges.join(leaves, list(TREE)).filter(F.col("upto") > F.col("rest")).groupBy(*TREE).agg(F.min("range").alias("range"), F.min(F.col("upto") - F.col("n")).alias("before"))
-    within = keyed.join(cuts, [*TREE, "range"]).withColumn("upto", F.col("before") + F.sum("tokens").over(Window.partitionBy(*TREE).orderBy("key")))
-    last = within.filter("upto <= rest").groupBy(*TREE).agg(F.max("key").alias("last"))
-    out = leaves.join(cuts, list(TREE), "left").join(last, list(TREE), "left")
-    start = F.col("range") * (KEY_SPAN // RANGES) - 1
-    return out.select(*TREE, "epochs", F.coalesce(F.col("last"), start, F.lit(KEY_SPAN)).alias("cut_key"))
+    tree = list(TREE)
+    leaves = leaves.filter("tokens > 0").select(*tree, F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("epochs"), F.pmod("budget", "tokens").alias("rest"))
+    keyed = meta.filter("tokens > 0").join(leaves, tree).select(*tree, "tokens", order_key(seed, F.col("epochs"), F.col("doc_id")).alias("key"))
+    span, rows = KEY_SPAN, most_rows
+    cuts = leaves.select(*tree, "rest", F.lit(0).cast("bigint").alias("range"), F.lit(0).cast("bigint").alias("before"))
+    while rows > ORDERED and span > RANGES or span == KEY_SPAN:
+        inside = keyed.join(cuts, tree).filter(F.floor(F.col("key") / F.lit(span)) == F.col("range"))
+        span, rows = span // RANGES, rows / RANGES
+        sums = inside.groupBy(*tree, "rest", "before", F.floor(F.col("key") / F.lit(span)).alias("range")).agg(F.sum("tokens").alias("n"))
+        sums = sums.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*tree).orderBy("range")))
+        cuts = materialise(sums.filter("upto > rest").groupBy(*tree, "rest").agg(F.min("range").alias("range"), F.min(F.col("upto") - F.col("n")).alias("before")))
+    inside = keyed.join(cuts, tree).filter(F.floor(F.col("key") / F.lit(span)) == F.col("range"))
+    inside = inside.withColumn("upto", F.col("before") + F.sum("tokens").over(Window.partitionBy(*tree).orderBy("key")))
+    last = inside.filter("upto <= rest").groupBy(*tree).agg(F.max("key").alias("last"))
+    out = leaves.join(cuts.drop("rest"), tree, "left").join(last, tree, "left")
+    return out.select(*tree, "epochs", F.coalesce(F.col("last"), F.col("range") * F.lit(span) - 1, F.lit(KEY_SPAN)).alias("cut_key"))
 
 
 def mix(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, float]], fraction: float = 0.5, max_epochs: int = 2, seed: int = 17) -> DataFrame:
@@ -105,10 +115,10 @@ def labelled(docs: DataFrame, domain: Column) -> list[Column]:
 
 def plan_mixture(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, float]], fraction: float, max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
     meta = materialise(docs.select("doc_id", *labelled(docs, domain), n_tokens(F.col("text")).alias("tokens")))
-    leaves = materialise(meta.groupBy(*TREE).agg(F.sum("tokens").alias("tokens")))
-    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
-    budgets = materialise(leaf_budgets(leaves, fraction * total, max_epochs, weights))
-    return meta, materialise(select_epochs(meta, budgets, seed))
+    leaves = materialise(meta.groupBy(*TREE).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")))
+    whole = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.max("rows"), F.lit(0)).alias("rows")).first()
+    budgets = materialise(leaf_budgets(leaves, fraction * whole["tokens"], max_epochs, weights))
+    return meta, materialise(select_epochs(meta, budgets, seed, whole["rows"]))
 
 
 def take(rows: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:
@@ -124,7 +134,12 @@ def take(rows: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:
 
 
 def keep_mixture(docs: DataFrame, domain: Column, weights: Mapping[str, Mapping[str, float]], fraction: float, seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, all columns, that the mixture takes in one epoch; no shuffle of texts."""
+    """The rows of ``docs``, all columns, that the mixture takes in one epoch; no shuffle of texts.
+
+    Null domain, lang or source is the value ``-``, in the tree only. Texts without words, null and empty
+    ones too, are never taken. Rows of equal doc_id in one leaf, null ids too, are taken or left together;
+    an empty table gives none; further columns stay, whatever their names.
+    """
     _, cuts = plan_mixture(docs, domain, weights, fraction, 1, seed)
     rows = docs.select(F.struct("*").alias("row"), "doc_id", *labelled(docs, domain), n_tokens(F.col("text")).alias("tokens"))
     return take(rows, cuts, seed).select("row.*")

@@ -21,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def domain_of_source() -> Column:
-    digits = F.regexp_extract(F.col("source"), "([0-9]+)$", 1)
-    return F.when(digits == "", "-").otherwise(F.element_at(F.array(*map(F.lit, DOMAINS)), (F.pmod(digits.cast("bigint"), F.lit(3)) + 1).cast("int")))
+    """The domain of a source by its last number, of which the last 18 digits count; ``-`` for a null source or one that ends in no digit."""
+    digits = F.nullif(F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,18})$", 1), F.lit(""))
+    return F.coalesce(F.get(F.array(*map(F.lit, DOMAINS)), F.pmod(digits.cast("bigint"), F.lit(3)).cast("int")), F.lit("-"))
 
 
 def op1_mixture_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
