@@ -44,7 +44,8 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     """doc_id with the counts of the module's contract and a few more, all long.
 
     Words are runs outside space and \\x09-\\x0D. A null or empty text has no words and zero counts.
-    Equal word triples are found by a 64-bit hash, sorted together with their places.
+    Equal word triples meet by the upper bits of a hash, sorted together with their places, and count
+    where the whole 64-bit hash and the three words are equal.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(HAS_WORD))
@@ -61,6 +62,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("bigint").alias("n_lines"),
         (F.length("text") - without(F.col("text"), UPPER)).cast("bigint").alias("n_upper"),
         (F.length("text") - without(F.col("text"), "!")).cast("bigint").alias("n_exclamations"),
+        "words",
         triples.alias("triples"),
     )
     bits = F.ceil(F.log2(F.size("triples") + 1)).cast("int")
@@ -71,12 +73,20 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     def same(v: Column, at: Column) -> Column:
         return F.coalesce(F.call_function("shiftright", v, F.col("bits")) == F.call_function("shiftright", F.get("packed", at), F.col("bits")), F.lit(False))
 
-    repeated = F.filter("packed", lambda v, i: same(v, i - 1) | same(v, i + 1))
+    near = F.filter("packed", lambda v, i: same(v, i - 1) | same(v, i + 1))
     place = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bits")) - 1
-    df = df.withColumn("places", F.sort_array(F.transform(repeated, lambda v: v.bitwiseAND(place))))
+    # few are left: these are told apart by the whole hash and then by their words
+    df = df.withColumn("near", F.sort_array(F.transform(near, lambda v: F.struct(F.get("triples", v.bitwiseAND(place).cast("int")).alias("h"), v.bitwiseAND(place).cast("int").alias("at")))))
+
+    def equal(v: Column, other: Column) -> Column:
+        words = [F.get("words", v["at"] + k) == F.get("words", other["at"] + k) for k in range(3)]
+        return F.coalesce((v["h"] == other["h"]) & words[0] & words[1] & words[2], F.lit(False))
+
+    repeated = F.filter("near", lambda v, i: equal(v, F.get("near", i - 1)) | equal(v, F.get("near", i + 1)))
+    df = df.withColumn("places", F.sort_array(F.transform(repeated, lambda v: v["at"].cast("bigint"))))
     gaps = F.transform("places", lambda x, i: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get("places", i + 1) - x, F.lit(3).cast("bigint"))))
     covered = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint"))).drop("triples", "bits", "packed", "places")
+    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint"))).drop("words", "triples", "bits", "packed", "near", "places")
 
 
 @dataclass(frozen=True)
