@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from needledrop.llm import tokens
+from needledrop.scratch import materialise
 
 K = 5
 BINS = np.uint64(64)
-#: The benchmark is a query set of any size, gone through in blocks of about so many items.
+#: The benchmark is a query set of any size, gone through in blocks of about so many items and bytes of text.
 BLOCK_ITEMS = 10_000
+BLOCK_BYTES = 16 << 20
 WORD = re.compile(r"(?:[a-z0-9]|[^\x00-\x7F])+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 PAIR = "doc_id bigint, item_id bigint, n_shared bigint, n_shingles bigint"
@@ -91,9 +93,12 @@ def leaks_of(index: Index, exact: dict[int, set], column, containment: float) ->
                     yield at + doc, i, n, len(want)
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    queries = benchmark.filter("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
-    blocks = max(1, -(-queries.count() // BLOCK_ITEMS))
+def _item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """Blocks of distinct items: their bytes are bounded, but for a single item that is longer."""
+    queries = materialise(benchmark.filter("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct())
+    size = queries.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("longest")).first()
+    # half a block of expected bytes keeps a hashed block within the bound
+    blocks = max(1, -(-size["items"] // BLOCK_ITEMS), -(-2 * size["bytes"] // max(block_bytes, size["longest"])) if size["bytes"] > block_bytes else 1)
     for block in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         yield [(r["item_id"], r["text"]) for r in part.collect()]
@@ -130,7 +135,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, that leak no item; no shuffle of texts."""
+    """The rows of ``docs``, all columns, that leak no item; no shuffle of texts.
+
+    Null and short texts leak nothing and stay, as do all rows where the benchmark is empty. Repeated
+    rows stay or go together; an empty table gives none; further columns stay, whatever their names.
+    """
     import pyarrow as pa
 
     column = docs.columns.index("text")

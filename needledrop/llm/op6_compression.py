@@ -133,7 +133,11 @@ def classify(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least_score: float = 0.5, **fitting) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is at least ``least_score``; no shuffle of texts."""
+    """The rows of ``docs``, all columns, whose score is at least ``least_score``; no shuffle of texts.
+
+    Null and empty texts have the curve's value at 0. Repeated rows stay or go together; with one class
+    or no labels the score is constant; an empty table gives none; further columns stay, whatever their names.
+    """
     import pyarrow as pa
 
     model, at = fit(docs, labels, **fitting), docs.columns.index("text")
