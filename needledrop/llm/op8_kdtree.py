@@ -2,8 +2,8 @@
 
 The whole table is one node at first. Every node that stands for more than one shard is
 split at a weighted median along its widest metadata dimension; weights are bytes. The
-median is found by distributed histograms over an order-preserving key, refined digit by
-digit, so no node's rows ever meet in one task. Only DataFrame functions are used.
+median is found by distributed histograms over an order-preserving key: the bin that holds
+it is cut into bins again, so no node's rows ever meet in one task. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -15,16 +15,23 @@ from pyspark.sql import functions as F
 
 from needledrop.scratch import materialise
 
-#: The order key has 62 bits: 31 of the dimension's place, 31 of a hash that parts equal places.
-DIGIT = 16
-KEY_BITS = 62
-#: Slots are dealt within (shard, part); so many parts keep a shard out of one task.
-PARTS = 64
+#: The order key has 62 bits: 31 of the dimension's place, 31 of a hash that parts equal places. A range of keys is cut into so many bins.
+BINS = 256
+#: Slots are dealt within (shard, part): at least so many parts, and more where a part would have more rows than this.
+PARTS, PART_ROWS = 64, 50_000
 
 
-def text_code(text: Column) -> Column:
-    """An order-preserving number of a string's first seven bytes; null counts as empty."""
-    return F.conv(F.hex(F.rpad(F.substring(F.coalesce(text, F.lit("")).cast("binary"), 1, 7), 7, F.lit(b"\x00"))), 16, 10).cast("double")
+def ranked(rows: DataFrame, name: str, code: str) -> DataFrame:
+    """Add ``code``, the rank of the string ``name`` among all its distinct values; null counts as empty.
+
+    Distinct values are dealt by ranges and numbered within each, past the counts of the ranges before.
+    """
+    value = F.coalesce(F.col(name), F.lit(""))
+    parts = materialise(rows.select(value.alias("value")).distinct().repartitionByRange("value").select("value", F.spark_partition_id().alias("range")))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # one row a partition
+    codes = parts.join(starts, "range").select("value", (F.col("start") + F.row_number().over(Window.partitionBy("range").orderBy("value")) - 1).cast("double").alias(code))
+    return rows.join(codes, value == codes["value"]).drop("value")
 
 
 def _place(dim: str, low: float, high: float) -> Column:
@@ -76,32 +83,25 @@ def kd_shards(rows: DataFrame, dims: list[str], n_shards: int | None = None, tar
 
     while any(k > 1 for k in nodes.values()):
         spans = now.groupBy("shard").agg(F.sum("size").alias("bytes"), *[(F.max(f"p{n}") - F.min(f"p{n}")).alias(n) for n in names]).collect()
-        search = {r["shard"]: {"dim": max(range(len(names)), key=lambda i, r=r: (r[names[i]], -i)), "prefix": 0, "left": r["bytes"] * (nodes[r["shard"]] // 2) / nodes[r["shard"]]} for r in spans if nodes[r["shard"]] > 1}
-        done, bits = {}, 0
-        while search and bits < KEY_BITS:
-            step = min(DIGIT, KEY_BITS - bits)
-            bins = (
-                _looked_up(now, [(k, v["dim"], v["prefix"]) for k, v in search.items()], "dim int, prefix bigint")
-                .withColumn("key", key_along())
-                .filter(F.shiftright("key", KEY_BITS - bits) == F.col("prefix"))
-                .groupBy("shard", F.shiftright("key", KEY_BITS - bits - step).alias("bin"))
-                .agg(F.sum("size").alias("bytes"))
-            )
+        search = {r["shard"]: {"dim": max(range(len(names)), key=lambda i, r=r: (r[names[i]], -i)), "left": r["bytes"] * (nodes[r["shard"]] // 2) / nodes[r["shard"]]} for r in spans if nodes[r["shard"]] > 1}
+        done = {}
+        search = {k: v | {"low": 0, "high": 2**62 - 1} for k, v in search.items()}
+        while search:
+            keyed = _looked_up(now, [(k, v["dim"], v["low"], v["high"]) for k, v in search.items()], "dim int, low bigint, high bigint").withColumn("key", key_along()).filter("key between low and high")
+            bins = keyed.groupBy("shard", F.expr(f"(key - low) div ((high - low) div {BINS} + 1)").alias("bin")).agg(F.sum("size").alias("bytes"), F.min("key").alias("least"), F.max("key").alias("most"))
             upto = Window.partitionBy("shard").orderBy("bin")
             hit = (
                 _looked_up(bins.withColumn("upto", F.sum("bytes").over(upto)), [(k, float(v["left"])) for k, v in search.items()], "goal double")
                 .filter(F.col("upto") >= F.col("goal"))
-                .groupBy(F.col("shard").alias("node")).agg(F.min_by(F.struct("bin", "bytes", "upto"), "bin").alias("hit"))
+                .groupBy(F.col("shard").alias("node")).agg(F.min_by(F.struct("least", "most", "bytes", "upto"), "bin").alias("hit"))
             )
-            bits += step
             for r in hit.collect():
-                node, (at, weight, end) = r["node"], r["hit"]
-                before = end - weight
+                node, (low, high, weight, end) = r["node"], r["hit"]
                 v = search[node]
-                v["prefix"], v["left"] = at, v["left"] - before
-                if weight <= slack or bits == KEY_BITS:
-                    nearer = at if v["left"] < weight / 2 else at + 1
-                    done[node] = (v["dim"], nearer << (KEY_BITS - bits))
+                v["left"] -= end - weight
+                v["low"], v["high"] = low, high
+                if weight <= slack or low == high:
+                    done[node] = (v["dim"], low if v["left"] < weight / 2 else high + 1)
             search = {k: v for k, v in search.items() if k not in done}
         level = []
         for node, (dim, cut) in done.items():
@@ -116,9 +116,9 @@ def kd_shards(rows: DataFrame, dims: list[str], n_shards: int | None = None, tar
     return now.drop("tie", *[f"p{n}" for n in names])
 
 
-def slots(sharded: DataFrame) -> DataFrame:
+def slots(sharded: DataFrame, n_parts: int = PARTS) -> DataFrame:
     """Add ``slot``: each shard's rows numbered from 0 without gaps, in an order of hashed row_id."""
-    parted = sharded.withColumn("part", F.pmod(F.xxhash64("row_id", F.lit("part")), F.lit(PARTS)))
+    parted = sharded.withColumn("part", F.pmod(F.xxhash64("row_id", "text_crc32", "size"), F.lit(n_parts)))
     counts = parted.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -136,9 +136,10 @@ def shard_documents(docs: DataFrame, n_shards: int | None = 16, target_bytes: in
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     meta = materialise(docs.select(F.col("doc_id").alias("row_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source"))
-    keyed = meta.select("*", text_code(F.col("lang")).alias("lang_code"), text_code(F.col("source")).alias("source_code"), F.log2("size").alias("size_code"), F.col("row_id").cast("double").alias("id_code"))
+    keyed = ranked(ranked(meta, "lang", "lang_code"), "source", "source_code").select("*", F.log2("size").alias("size_code"), F.col("row_id").cast("double").alias("id_code"))
     placed = kd_shards(keyed, ["lang_code", "source_code", "size_code", "id_code"], n_shards, target_bytes).drop("lang_code", "source_code", "size_code", "id_code")
-    return slots(placed).select(
+    most = placed.groupBy("shard").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+    return slots(placed, max(PARTS, -(-most // PART_ROWS))).select(
         F.col("row_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "lang", "source",
     )
