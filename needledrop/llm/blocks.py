@@ -29,9 +29,9 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[int, i
 
 
 def in_blocks(docs: DataFrame, n: int) -> DataFrame:
-    """block, doc_id and text as bytes (null: empty) of every row."""
+    """block, doc_id and text as bytes (null: empty) of every row. Rows of one id are in one block, those of none are dealt by text."""
     return docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
     )
 
@@ -88,13 +88,13 @@ def binary(table: pa.Table, name: str) -> pa.Array:
     return column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
 
 
-def by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places of its entries in their order) of each bucket that has any."""
-    order = np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in range(n):
-        if edges[b] < edges[b + 1]:
-            yield b, order[edges[b] : edges[b + 1]]
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and 0 <= bucket.min() and bucket.max() < 1 << 16 else bucket, kind="stable")
+    found = bucket[order]
+    edges = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(found)], strict=True) if len(edges) else ():
+        yield int(found[a]), order[a:b]
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -108,7 +108,7 @@ def send_minimisers(block: int, table: pa.Table, width: int, buckets: int) -> li
     fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
     count = np.minimum(np.add.reduceat(fresh, first), 255).astype(np.uint8)
     bucket, rest = _split_key(key[first], buckets)
-    return [(block, b, blocks.pack(_six(rest[at]), count[at])) for b, at in blocks.by_bucket(bucket, buckets)]
+    return [(block, b, blocks.pack(_six(rest[at]), count[at])) for b, at in blocks.by_bucket(bucket)]
 
 
 def share_minimisers(bucket: int, got: list[tuple[int, bytes]], most: int = HOT) -> list[tuple[int, int, bytes]]:
@@ -182,7 +182,7 @@ def send_fragments(block: int, table: pa.Table, got: list[tuple[int, bytes]], wi
     s = Shared(table, got, width, buckets)
     rows = []
     docs = s.f.ids[s.doc]
-    for b, at in blocks.by_bucket(s.bucket, buckets):
+    for b, at in blocks.by_bucket(s.bucket):
         known = list(s.numbers[b])
         least = np.full(len(known), NO_DOC, dtype=np.int64)
         np.minimum.at(least, s.number[at], docs[at])
@@ -383,7 +383,7 @@ def remove_spans(block: int, table: pa.Table, got: list[tuple[int, bytes]], widt
     marks = np.zeros(len(f.data) + 1, dtype=np.int32)
     told = {b - buckets: p for b, p in got if b >= buckets}
     docs = f.ids[s.doc]
-    for b, at in blocks.by_bucket(s.bucket, buckets):
+    for b, at in blocks.by_bucket(s.bucket):
         counts, lengths, least = blocks.unpack(told[b], np.uint32, np.uint32, np.int64)
         ends = np.cumsum(counts.astype(np.int64))
         n = counts[s.number[at]].astype(np.int64)

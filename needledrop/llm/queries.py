@@ -66,7 +66,7 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10_lines.drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256", "removed")
+    return op10_lines.drop_lines(table(spark, sf_dir, "documents"), texts=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -39,8 +39,8 @@ class Powers:
 
 POWERS = Powers()
 
-_LETTERS = np.zeros(256, dtype=bool)
-_LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+LETTERS = np.zeros(256, dtype=bool)
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -59,7 +59,7 @@ def slices(column, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, n
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _LETTERS, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = LETTERS, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text number, start and end of each word; by default runs of ASCII letters and digits, lower-cased, and of bytes above 127."""
     n = len(data)
     if n == 0:

@@ -321,7 +321,8 @@ def brute_lines(rows):
     return Counter(out)
 
 
-def test_op10_equals_brute_force(spark, rows):
+@pytest.mark.parametrize("most", [op10_lines.HOT, 5])
+def test_op10_equals_brute_force(spark, rows, most):
     rng = random.Random(11)
     variants = []
     base = prose(rng, 25).split()
@@ -331,7 +332,7 @@ def test_op10_equals_brute_force(spark, rows):
             w[rng.randrange(len(w))] = rng.choice(WORDS)
         variants.append((300 + i, prose(rng, 6) + "\n" + " ".join(w) + "\n\n...\n" + prose(rng, 4)))
     both = rows + variants
-    got = op10_lines.drop_lines(documents(spark, both)).select("doc_id", "n_lines", "n_removed", "kept_sha256", "removed").collect()
+    got = op10_lines.drop_lines(documents(spark, both), most=most).select("doc_id", "n_lines", "n_removed", "kept_sha256", "removed").collect()
     assert Counter((r[0], r[1], r[2], r[3], tuple(r[4])) for r in got) == brute_lines(both)
     assert op10_lines.drop_lines(documents(spark, [])).count() == 0
 
