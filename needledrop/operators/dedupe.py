@@ -49,9 +49,21 @@ def _with_tokens(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return pairs.join(named.select(F.col(key).alias("a"), F.col("tokens").alias("ta")), "a").join(named.select(F.col(key).alias("b"), F.col("tokens").alias("tb")), "b")
 
 
-def name_edges(pairs: DataFrame, rows: DataFrame, key: str = "path") -> DataFrame:
-    """Pairs with at least two words in common and a word overlap of ``NAME_HIGH``."""
-    t = _with_tokens(pairs, rows, key)
+def name_edges(rows: DataFrame, key: str = "path", width: float = BAND_SECS, value: str = "duration_secs") -> DataFrame:
+    """Pairs within ``width`` of each other with at least two words in common and a word overlap of ``NAME_HIGH``.
+
+    Two such names share one of the first few of their words, rare ones first, so only rows that
+    share such a word in neighbouring bands meet; all pairs of a band are never made.
+    """
+    named = materialise(rows.select(F.col(key).alias("id"), F.col(value).alias("v"), text.name_tokens(F.col("name")).alias("tokens")).filter(F.size("tokens") >= 2))
+    words = named.select("id", "v", F.size("tokens").alias("n"), F.explode("tokens").alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("often")).filter("often > 1")  # a word of one row meets none, but takes its place
+    ranked = words.join(often, "word", "left").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1)), "word")))
+    first = ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.lit(NAME_HIGH) * F.col("n") - 1e-9) + 1) & F.col("often").isNotNull())
+    first = first.select("id", "v", "word", F.floor(F.col("v") / width).alias("band"))
+    right = first.select(F.col("id").alias("b"), F.col("v").alias("vb"), "word", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
+    pairs = first.withColumnRenamed("id", "a").join(right, ["word", "band"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("v") - F.col("vb")) <= width)).select("a", "b").distinct()
+    t = pairs.join(named.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(named.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     return t.filter((F.size(F.array_intersect("ta", "tb")) >= 2) & (text.token_overlap(F.col("ta"), F.col("tb")) >= NAME_HIGH)).select("a", "b")
 
 
@@ -80,12 +92,25 @@ def with_fingerprint(rows: DataFrame) -> DataFrame:
     return named.withColumn("fp", F.transform("words", lambda w, i: F.hash(w, F.get("words", i + 1)))).drop("words")
 
 
-def alignments(pairs: DataFrame, max_offset: int) -> DataFrame:
-    """Add the best alignment of ``fa`` and ``fb`` to pairs (a, b): score, the mean of differing bits over the
-    overlap, and coverage, the overlap over the shorter length; of all offsets that of the least score, then of the most coverage.
+def offsets(work: DataFrame, fp: DataFrame, tries: int = 3) -> DataFrame:
+    """(a, b, offset) of work pairs: the ``tries`` offsets at which most fingerprint values of the two agree.
+
+    The offsets come from the values themselves, whatever the shift: each value of one text meets its places
+    in the other. Pairs that share no value have none.
+    """
+    places = fp.select("id", F.posexplode("fp").alias("at", "value"))
+    left = work.join(places.select(F.col("id").alias("a"), F.col("at").alias("i"), "value"), "a")
+    met = left.join(places.select(F.col("id").alias("b"), F.col("at").alias("j"), "value"), ["b", "value"])
+    votes = met.groupBy("a", "b", (F.col("i") - F.col("j")).alias("offset")).agg(F.count("*").alias("votes"))
+    w = Window.partitionBy("a", "b").orderBy(F.desc("votes"), F.abs("offset"), "offset")
+    return votes.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= tries).select("a", "b", "offset")
+
+
+def alignments(pairs: DataFrame) -> DataFrame:
+    """The best alignment of ``fa`` and ``fb`` of each (a, b) among its rows' offsets: score, the mean of differing bits
+    over the overlap, and coverage, the overlap over the shorter length; the least score, then the most coverage.
     """
-    o = pairs.withColumn("offset", F.explode(F.sequence(F.lit(-max_offset), F.lit(max_offset))))
-    o = o.withColumns({"x": F.slice("fa", F.greatest("offset", F.lit(0)) + 1, F.size("fa")), "y": F.slice("fb", F.greatest(-F.col("offset"), F.lit(0)) + 1, F.size("fb"))})
+    o = pairs.withColumns({"x": F.slice("fa", F.greatest("offset", F.lit(0)) + 1, F.size("fa")), "y": F.slice("fb", F.greatest(-F.col("offset"), F.lit(0)) + 1, F.size("fb"))})
     o = o.withColumn("n", F.least(F.size("x"), F.size("y"))).filter("n > 0")
     o = o.withColumn("bits", F.zip_with(F.slice("x", 1, F.col("n")), F.slice("y", 1, F.col("n")), lambda p, q: F.bit_count(p.bitwiseXOR(q))))
     score = F.aggregate("bits", F.lit(0), lambda s, v: s + v) / F.col("n")
@@ -93,15 +118,26 @@ def alignments(pairs: DataFrame, max_offset: int) -> DataFrame:
     return o.groupBy("a", "b").agg(best.alias("best")).select("a", "b", F.col("best.score").alias("score"), (-F.col("best.minus_coverage")).alias("coverage"))
 
 
-def content_edges(work: DataFrame, rows: DataFrame, key: str = "path", max_offset: int = 3) -> DataFrame:
-    """Work pairs whose fingerprints (column ``fp``) align, with score and coverage; weaker ones need a name overlap."""
-    fp = materialise(rows.select(key, "fp"))  # else every join would hash all texts again
-    aligned = work.join(fp.select(F.col(key).alias("a"), F.col("fp").alias("fa")), "a").join(fp.select(F.col(key).alias("b"), F.col("fp").alias("fb")), "b")
-    best = alignments(aligned, max_offset)
+def content_edges(work: DataFrame, rows: DataFrame, key: str = "path") -> DataFrame:
+    """Work pairs whose fingerprints (column ``fp``) align, with score and coverage; weaker ones need a name overlap.
+
+    Only texts that differ are aligned; what they find holds for their copies, and copies of one text have score 0.
+    """
+    keyed = materialise(rows.select(F.col(key).alias("id"), "fp", F.xxhash64("fp").alias("code")))  # else every join would hash all texts again
+    reps = keyed.groupBy("code", "fp").agg(F.min("id").alias("rep"))
+    of = materialise(keyed.select("id", "code", "fp").join(reps, ["code", "fp"]).select("id", "rep"))
+    texts = reps.select(F.col("rep").alias("id"), "fp").filter(F.size("fp") > 0)
+    pairs = work.join(of.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
+    unequal = materialise(pairs.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    tried = offsets(unequal, texts)
+    tried = tried.join(texts.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(texts.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
+    found = alignments(tried).select(F.col("a").alias("x"), F.col("b").alias("y"), "score", "coverage")
+    same = pairs.filter("ra = rb").join(texts.select(F.col("id").alias("ra")), "ra", "left_semi").select("a", "b", F.lit(0.0).alias("score"), F.lit(1.0).alias("coverage"))
+    best = pairs.filter("ra <> rb").join(found, (F.least("ra", "rb") == F.col("x")) & (F.greatest("ra", "rb") == F.col("y"))).select("a", "b", "score", "coverage").unionByName(same)
     good = best.filter((F.col("score") <= SCORE_MAX) & (F.col("coverage") >= COVERAGE_MIN))
-    same = (F.col("score") <= SCORE_SAME) & (F.col("coverage") >= COVERAGE_SAME)
+    sure = (F.col("score") <= SCORE_SAME) & (F.col("coverage") >= COVERAGE_SAME)
     named = _with_tokens(good, rows, key)
-    return named.filter(same | (text.token_overlap(F.col("ta"), F.col("tb")) >= NAME_LOW)).select("a", "b", "score", "coverage")
+    return named.filter(sure | (text.token_overlap(F.col("ta"), F.col("tb")) >= NAME_LOW)).select("a", "b", "score", "coverage")
 
 
 def assemble(rows: DataFrame, parts: DataFrame) -> DataFrame:

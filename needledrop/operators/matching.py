@@ -14,22 +14,16 @@ COVER_NAMES = ("cover", "folder", "front", "album", "artwork")
 def purchase_matches(catalog: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (path, item_key): file stem or folder equals the item's title; or album or title does and the artists agree.
 
-    An OR of equalities would be a nested loop; each equality is its own join on the title key.
+    An OR of equalities would be a nested loop; each row brings its four keys to one join on the title key.
     Artists agree if equal, if either holds the other, or if either is empty. Empty titles never match.
     """
     keys = items.select("item_key", text.match_key(F.col("title")).alias("key"), text.match_key(F.coalesce("band_name", F.lit(""))).alias("band")).filter("key <> ''")
-    rows = catalog.select(
-        "path", text.match_key(F.coalesce("artist", F.lit(""))).alias("artist_key"), text.match_key(text.stem(F.col("path"))).alias("k0"),
-        text.match_key(text.folder_name(F.col("path"))).alias("k1"), text.match_key(F.coalesce("album", F.lit(""))).alias("k2"), text.match_key(F.coalesce("title", F.lit(""))).alias("k3"),
-    )
+    names = [(text.stem(F.col("path")), False), (text.folder_name(F.col("path")), False), (F.coalesce("album", F.lit("")), True), (F.coalesce("title", F.lit("")), True)]
+    rows = catalog.select("path", text.match_key(F.coalesce("artist", F.lit(""))).alias("artist_key"), F.array(*[F.struct(text.match_key(c).alias("key"), F.lit(tied).alias("tied")) for c, tied in names]).alias("keys"))
+    rows = rows.select("path", "artist_key", F.inline("keys")).filter("key <> ''")
     a, b = F.col("artist_key"), F.col("band")
     agree = (a == "") | (b == "") | a.contains(b) | b.contains(a)
-    out = None
-    for k in ("k0", "k1", "k2", "k3"):
-        hit = rows.select("path", "artist_key", F.col(k).alias("key")).filter("key <> ''").join(keys, "key")
-        hit = (hit.filter(agree) if k in ("k2", "k3") else hit).select("path", "item_key")
-        out = hit if out is None else out.unionByName(hit)
-    return out.distinct()
+    return rows.join(keys, "key").filter(~F.col("tied") | agree).select("path", "item_key").distinct()
 
 
 def ledger_rows(ledger: DataFrame) -> DataFrame:
@@ -80,12 +74,20 @@ def guess_from_name(tracks: DataFrame) -> DataFrame:
 
 
 def lookup_candidates(queries: DataFrame, recordings: DataFrame, top: int = 5) -> DataFrame:
-    """The best ``top`` recordings for each (path, title, artist): equal titles, equal artists where one is given."""
-    q = queries.select("path", text.norm_text(F.col("title")).alias("k_title"), text.norm_text(F.coalesce("artist", F.lit(""))).alias("q_artist")).filter("k_title <> ''")
-    r = recordings.select("recording_id", "score", text.norm_text(F.col("title")).alias("k_title"), text.norm_text(F.col("artist")).alias("r_artist"))
-    hits = q.join(r, "k_title").filter((F.col("q_artist") == "") | (F.col("q_artist") == F.col("r_artist")))
-    w = Window.partitionBy("path").orderBy(F.desc("score"), "recording_id")
-    return hits.withColumn("place", F.row_number().over(w).cast("bigint")).filter(F.col("place") <= top).select("path", "recording_id", "score", "place")
+    """The best ``top`` recordings for each (path, title, artist): equal titles, equal artists where one is given.
+
+    The best of each title, and of each title and artist, are found first, so a query meets ``top`` rows, not all of its title.
+    """
+    q = queries.select("path", text.norm_text(F.col("title")).alias("k_title"), text.norm_text(F.coalesce("artist", F.lit(""))).alias("k_artist")).filter("k_title <> ''")
+    r = recordings.select("recording_id", "score", text.norm_text(F.col("title")).alias("k_title"), text.norm_text(F.coalesce("artist", F.lit(""))).alias("k_artist"))
+
+    def best(*by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(F.desc("score"), "recording_id")
+        return r.withColumn("place", F.row_number().over(w).cast("bigint")).filter(F.col("place") <= top).select(*by, "recording_id", "score", "place")
+
+    given = F.col("k_artist") != ""
+    hits = q.filter(given).join(best("k_title", "k_artist"), ["k_title", "k_artist"]).select("path", "recording_id", "score", "place")
+    return hits.unionByName(q.filter(~given).join(best("k_title"), "k_title").select("path", "recording_id", "score", "place"))
 
 
 def _extension(path: Column) -> Column:

@@ -103,6 +103,21 @@ def coalesce_patches(patches: DataFrame, *by: Column | str) -> DataFrame:
     return rows.select(*rows.columns[: len(by)], "path", "tempo.bpm", "tempo.bpm_confidence", "key.key_pc", "waveform")
 
 
+def numbered_patches(patches: DataFrame) -> DataFrame:
+    """One patch a path: the newest tempo group and the newest key, each a struct with its number."""
+    tempo = F.max(F.when(F.col("bpm").isNotNull(), F.struct("seq", "bpm", "bpm_confidence")))
+    key = F.max(F.when(F.col("key_pc").isNotNull(), F.struct("seq", "key_pc")))
+    return patches.groupBy("path").agg(tempo.alias("p_tempo"), key.alias("p_key"))
+
+
+def apply_numbered(tracks: DataFrame, patches: DataFrame) -> DataFrame:
+    """As ``apply_patches`` for rows with bpm_seq and key_seq: a group changes only for a patch of a greater number."""
+    j = tracks.join(patches, "path", "left")
+    newer = {g: F.col(f"p_{g}").isNotNull() & (F.coalesce(s, F.lit(-(2**63))) < F.col(f"p_{g}.seq")) for g, s in (("tempo", "bpm_seq"), ("key", "key_seq"))}
+    fields = {"bpm": ("tempo", "bpm"), "bpm_confidence": ("tempo", "bpm_confidence"), "bpm_seq": ("tempo", "seq"), "key_pc": ("key", "key_pc"), "key_seq": ("key", "seq")}
+    return j.select(*[F.when(newer[fields[c][0]], F.col(f"p_{fields[c][0]}.{fields[c][1]}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in tracks.columns])
+
+
 def apply_patches(tracks: DataFrame, patches: DataFrame) -> DataFrame:
     """Null leaves a field; confidence goes with its tempo even where null; unknown paths are ignored; no row goes."""
     p = patches.select("path", F.col("bpm").alias("p_bpm"), F.col("bpm_confidence").alias("p_conf"), F.col("key_pc").alias("p_key"))

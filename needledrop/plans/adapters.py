@@ -89,7 +89,7 @@ from tracks where track_no % 10 < 3
 """,
     "doc_candidates": r"""
 select doc_id, '/docs/' || source || '/' || cast(doc_id as string) || '.txt' as path,
-  substr(text, 1, 60) as name, source as artist, lang as album,
+  split_part(text, chr(10), 1) as name, source as artist, lang as album,
   cast(n_chars as double) / 8 as duration_secs, n_chars as size_bytes, text
 from documents
 """,

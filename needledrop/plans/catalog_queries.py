@@ -297,9 +297,9 @@ def f15(spark, sf_dir):
     return Tables(spark, sf_dir).catalog.select("path", text.natural_key(F.col("file_name")).alias("sort_key"))
 
 
-@query("f16_match_key", r"select doc_id, trim(regexp_replace(strip_accents(lower(substr(text, 1, 200))), '[^\p{L}\p{N}]+', ' ', 'g')) as match_key from documents")
+@query("f16_match_key", r"select doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]+', ' ', 'g')) as match_key from documents")
 def f16(spark, sf_dir):
-    return Tables(spark, sf_dir).documents.select("doc_id", text.match_key(F.substring("text", 1, 200)).alias("match_key"))
+    return Tables(spark, sf_dir).documents.select("doc_id", text.match_key(F.col("text")).alias("match_key"))
 
 
 @query("f21_name_hash", "select path, substr(sha256(file_name), 1, 16) as name_hash from cat")

@@ -58,9 +58,10 @@ select t.path, coalesce(c.bpm, t.bpm) as bpm, case when c.bpm is not null then c
 def t3(spark, sf_dir):
     t = Tables(spark, sf_dir)
     replay = Replay(_patches(t), "seq")
-    table = replay.snapshots(t.tracks.select("path", "bpm", "bpm_confidence", "key_pc"))
+    none = F.lit(None).cast("bigint")
+    table = replay.snapshots(t.tracks.select("path", "bpm", "bpm_confidence", "key_pc", none.alias("bpm_seq"), none.alias("key_seq")))
     streams.apply_stream(replay.stream, table, replay.checkpoint)
-    return table.read()
+    return table.read().drop("bpm_seq", "key_seq")
 
 
 @query("t4_micro_batch_persistence", "select path, title, true as fresh from tracks where track_no % 4 = 1 union all select path, title, false from tracks_prev where path not in (select path from tracks where track_no % 4 = 1)")

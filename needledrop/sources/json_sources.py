@@ -39,13 +39,17 @@ def recordings(raw: DataFrame, column: str = "json") -> DataFrame:
     )
 
 
-def release_values(raw: DataFrame, key: str, column: str = "json") -> DataFrame:
-    """(key, field, rank, value) of release searches; styles of all results come before genres."""
-    r = raw.select(key, F.from_json(column, RELEASES).alias("d")).select(key, F.posexplode("d.results").alias("result", "r"))
+def release_values(raw: DataFrame, key: str, column: str = "json", order: str | None = None) -> DataFrame:
+    """(key, field, rank, value) of release searches; styles of all results come before genres.
+
+    A search may come as several documents a key, each of bounded size; ``order`` is their column of page numbers.
+    """
+    page = F.col(order) if order else F.lit(0)
+    r = raw.select(key, page.alias("page"), F.from_json(column, RELEASES).alias("d")).select(key, "page", F.posexplode("d.results").alias("result", "r"))
     parts = (("genre", 0, F.col("r.style")), ("genre", 1, F.col("r.genre")), ("year", 0, F.array("r.year")), ("label", 0, F.col("r.label")))
     fields = F.array(*[F.struct(F.lit(field).alias("field"), F.lit(source).alias("source"), values.alias("v")) for field, source, values in parts])
-    v = r.select(key, "result", F.inline(fields)).select(key, "field", "source", "result", F.posexplode("v").alias("pos", "value"))
-    return v.filter("value is not null").select(key, "field", F.struct("source", "result", "pos").alias("rank"), "value")
+    v = r.select(key, "page", "result", F.inline(fields)).select(key, "field", "source", "page", "result", F.posexplode("v").alias("pos", "value"))
+    return v.filter("value is not null").select(key, "field", F.struct("source", "page", "result", "pos").alias("rank"), "value")
 
 
 def snapshot(raw: DataFrame, column: str = "json") -> DataFrame:

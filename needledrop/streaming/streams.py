@@ -41,13 +41,18 @@ class Snapshots:
 
 
 def arrivals(stream: DataFrame, table: Snapshots, checkpoint: str) -> None:
-    """New files against the catalogue: what is unknown or changed is refreshed, the rest reused, nothing removed."""
+    """New files against the catalogue: what is unknown or changed is refreshed, the rest reused, nothing removed.
+
+    Of several versions of a path the newest stays, whatever order they arrive in.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         fresh = sync.last_of_batch(batch, "mtime_ms", "path")
 
         def change(now: DataFrame) -> DataFrame:
-            split = sync.reuse_or_refresh(sync.identities(now), fresh.select("path", "mtime_ms", "size_bytes"))
+            older = fresh.join(now.filter("fresh is not null").select("path", F.col("mtime_ms").alias("had")), "path", "left")
+            fresh_now = older.filter("had is null or mtime_ms >= had").select("path", "mtime_ms", "size_bytes")
+            split = sync.reuse_or_refresh(sync.identities(now), fresh_now)
             return sync.upsert(now, split.select("path", "mtime_ms", "size_bytes", F.col("refresh").alias("fresh")), "path")
 
         table.step(number, change)
@@ -61,8 +66,16 @@ def coalesced_patches(stream: DataFrame, window: str, late: str) -> DataFrame:
 
 
 def apply_stream(stream: DataFrame, table: Snapshots, checkpoint: str) -> None:
-    """Patches applied batch by batch: unknown paths are dropped, no row goes."""
-    run_available(stream, lambda batch, number: table.step(number, lambda now: sync.apply_patches(now, sync.coalesce_patches(batch))), checkpoint)
+    """Patches applied batch by batch: unknown paths are dropped, no row goes.
+
+    The table keeps bpm_seq and key_seq, the numbers of the patches that its tempo and key come from
+    (null: from no patch). A patch wins over those of lesser numbers only, so batches may come in any order.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        table.step(number, lambda now: sync.apply_numbered(now, sync.numbered_patches(batch)))
+
+    run_available(stream, each, checkpoint)
 
 
 def progress(stream: DataFrame) -> DataFrame:
