@@ -11,6 +11,7 @@ a sketch and are not in one class by then are aligned in a second step, so none
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +39,12 @@ MEMBERS = 256
 FEW = 64
 #: Bytes of text in a group of alignments.
 GROUP_BYTES = 4 << 20
+#: Up to so many words an alignment keeps a bit mask of every word.
+MASKED = 4096
+#: Texts that no id names have nodes from here on, so that the least node of a class is a doc_id where it has one.
+STRAY = 1 << 62
+#: Texts with more than this part of all rows get their class from a broadcast table, which has fewer rows than this.
+HOT_PART = 1000
 
 
 def labelled(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,6 +113,35 @@ def sketch(docs: DataFrame, sketches: int = SKETCHES) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), text.alias("text"), F.md5(text).alias("code")).mapInArrow(run, "doc_id bigint, code string, n_words bigint, keys array<bigint>")
 
 
+class Places:
+    """Where each word is in a list, as windows of bits; memory grows with the list, not with its square."""
+
+    def __init__(self, a: list) -> None:
+        self.at: dict = {}
+        for i, x in enumerate(a):
+            self.at.setdefault(x, []).append(i)
+        # short lists have a mask for each word, long ones only for their most frequent words, 64 at most
+        often = 0 if len(a) <= MASKED else len(a) // 64
+        self.mask = {x: self._bits(p, 0, len(a)) for x, p in self.at.items() if len(p) > often}
+
+    @staticmethod
+    def _bits(places: list[int], start: int, width: int) -> int:
+        out = bytearray(width // 8 + 1)
+        for p in places:
+            out[(p - start) >> 3] |= 1 << ((p - start) & 7)
+        return int.from_bytes(out, "little")
+
+    def window(self, x, start: int, width: int, full: int) -> int:
+        """Bit i is set where ``x`` is at ``start`` + i."""
+        if (mask := self.mask.get(x)) is not None:
+            return (mask >> start if start > 0 else mask << -start) & full
+        places = self.at.get(x)
+        if places is None:
+            return 0
+        there = places[bisect_left(places, start) : bisect_left(places, start + width)]
+        return 1 << (there[0] - start) if len(there) == 1 else self._bits(there, start, width) if there else 0
+
+
 def banded_distance(a: list, b: list, most: int) -> int:
     """Edit distance of two sequences where it is at most ``most``, else ``most`` + 1.
 
@@ -126,9 +162,7 @@ def banded_distance(a: list, b: list, most: int) -> int:
     if not n:
         return m
     band = min(most, m)
-    where: dict = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
+    where = Places(a)
     width = 2 * band + 1
     full = (1 << width) - 1
     top = 1 << (width - 1)
@@ -136,8 +170,7 @@ def banded_distance(a: list, b: list, most: int) -> int:
     distance, start = band, band + 1 - width
     row = top
     for j, x in enumerate(b):
-        eq = where.get(x, 0)
-        eq = (eq >> start if start > 0 else eq << -start) & full
+        eq = where.window(x, start, width, full)
         d0 = (((eq & vp) + vp) ^ vp) | eq | vn
         d0 &= full
         hp = vn | (full ^ (d0 | vp))
@@ -198,7 +231,17 @@ def candidate_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     return links.select(F.least("center", "doc_id").alias("center"), F.greatest("center", "doc_id").alias("doc_id"), (F.col("n_words") + F.col("center_words")).alias("n_words")).distinct()
 
 
-def rare_grams(docs: DataFrame, wanted: DataFrame, similarity: float) -> DataFrame:
+def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (node and other columns) with each node's text as bytes.
+
+    Merged at every size: what is wanted grows with the corpus, so it is not broadcast where it happens to be little.
+    """
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("first_id"), text.alias("text"), F.md5(text).alias("code"))
+    return texts.join(wanted.join(nodes.select("node", "first_id", "code"), "node").hint("merge"), ["first_id", "code"]).drop("first_id", "code")
+
+
+def rare_grams(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, similarity: float) -> DataFrame:
     """(doc_id, gram) of the wanted texts: so many of the rarest word pairs that two texts alike share one of them.
 
     An edit breaks at most two of the n - 1 word pairs of the longer text, so that (2 * similarity - 1) * n - 1
@@ -214,8 +257,8 @@ def rare_grams(docs: DataFrame, wanted: DataFrame, similarity: float) -> DataFra
                 label, owner = labelled(value, owner)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at + owner]), pa.array(label.view(np.int64))], ["doc_id", "gram"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    grams = materialise(texts.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id").mapInArrow(run, "doc_id bigint, gram bigint").distinct())
+    texts = texts_of(docs, nodes, wanted.select(F.col("doc_id").alias("node")).distinct())
+    grams = materialise(texts.select("node", "text").mapInArrow(run, "doc_id bigint, gram bigint").distinct())
     often = grams.groupBy("gram").agg(F.count("*").alias("often")).filter("often > 1")  # a pair of one text meets nothing, but takes its place
     ranked = grams.join(often, "gram", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     w = Window.partitionBy("doc_id")
@@ -223,7 +266,7 @@ def rare_grams(docs: DataFrame, wanted: DataFrame, similarity: float) -> DataFra
     return ranked.filter(F.col("place") <= F.col("n") - F.ceil((2 * similarity - 1) * F.col("n") - 1 - 1e-6)).filter("often > 1").select("doc_id", "gram")
 
 
-def other_pairs(docs: DataFrame, shared: DataFrame, tried: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+def other_pairs(docs: DataFrame, nodes: DataFrame, shared: DataFrame, tried: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """All further pairs with a sketch in common that can be alike and that ``classes`` does not join yet.
 
     A key whose texts are in one class asks nothing, so a large group of copies costs no pairs. A mixed key of
@@ -235,7 +278,7 @@ def other_pairs(docs: DataFrame, shared: DataFrame, tried: DataFrame, classes: D
     members = materialise(named.join(mixed.select("key", "n"), "key"))
     few = members if similarity <= 0.6 else members.filter(F.col("n") <= FEW)  # word pairs tell too little of looser bounds
     many = members.filter(F.lit(similarity > 0.6) & (F.col("n") > FEW)).select("doc_id", "n_words", "part").distinct()
-    grams = many.join(rare_grams(docs, many, similarity), "doc_id")
+    grams = many.join(rare_grams(docs, nodes, many, similarity), "doc_id")
     sides = few.filter("doc_id <> c.doc_id").select("key", "doc_id", "n_words", "part"), few.select("key", "doc_id", "n_words", "part")
     grams = materialise(grams.select(F.col("gram").alias("key"), "doc_id", "n_words", "part"))
 
@@ -248,7 +291,7 @@ def other_pairs(docs: DataFrame, shared: DataFrame, tried: DataFrame, classes: D
     return pairs.join(tried.select("center", "doc_id").hint("merge"), ["center", "doc_id"], "left_anti")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose alignment reaches ``similarity``.
 
     Pairs are dealt by center; a center of many members is dealt over several groups, each of which
@@ -258,10 +301,8 @@ def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     groups = max(3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-facts["words"] * 7 // GROUP_BYTES))
     sizes = pairs.groupBy("center").agg((F.floor((F.count("*") - 1) / MEMBERS) + 1).alias("parts"))
     dealt = pairs.join(sizes, "center").select("center", "doc_id", F.pmod(F.xxhash64("center", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), F.lit(groups)).cast("int").alias("group"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    wanted = dealt.select(F.col("doc_id").alias("id"), "group").unionByName(dealt.select(F.col("center").alias("id"), "group")).distinct()
-    # merged at every size: the wanted ids grow with the corpus, so they are not broadcast where they happen to be few
-    there = texts.join(wanted.hint("merge"), "id").select(F.col("group").alias("part"), "id", "text")
+    wanted = dealt.select(F.col("doc_id").alias("node"), "group").unionByName(dealt.select(F.col("center").alias("node"), "group")).distinct()
+    there = texts_of(docs, nodes, wanted).select(F.col("group").alias("part"), F.col("node").alias("id"), "text")
 
     def run(key, rows, links):
         words = {i: [w.lower() for w in WORD.findall(t)] for i, t in zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), strict=True)}
@@ -277,31 +318,64 @@ def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return there.groupBy("part").cogroup(dealt.groupBy("group")).applyInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = SKETCHES) -> DataFrame:
-    """(doc_id, class_id) of every row; class_id is the smallest doc_id of its group of near copies.
+def text_nodes(facts: DataFrame) -> DataFrame:
+    """(code, node, first_id) of each text: its smallest doc_id, of the ids that name it.
 
-    Equal texts are one text from the start, empty and null ones too. Texts of fewer than five
-    words match equal texts only, as an edit is over a fifth of them. A doc_id names one text: of rows that repeat an
-    id with other texts, the one of the smallest text hash is compared. Rows with a null id are in no
-    group (null class_id). An empty table gives none; further columns are ignored.
+    Where rows repeat an id with other texts, the id names the one of the smallest code. A text that no id
+    names has a node above all ids, and the smallest of the ids that it is found under.
     """
+    ids = facts.filter("doc_id is not null").groupBy("doc_id").agg(F.min("code").alias("code"), F.max("code").alias("last"))
+    named = ids.groupBy("code").agg(F.min("doc_id").alias("first_id")).select("code", F.col("first_id").alias("node"), "first_id")
+    several = ids.filter("code <> last").select("doc_id", F.col("code").alias("named"))
+    stray = facts.join(several, "doc_id").filter("code <> named").groupBy("code").agg(F.min("doc_id").alias("first_id")).join(named.select("code"), "code", "left_anti")
+    return named.unionByName(stray.select("code", F.xxhash64("code").bitwiseAND(STRAY - 1).bitwiseOR(STRAY).alias("node"), "first_id"))
+
+
+def text_classes(docs: DataFrame, similarity: float, sketches: int) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and (code, node, first_id, component) of each text; component is the least node of its class."""
     facts = materialise(sketch(docs, sketches))
-    copies = materialise(facts.filter("doc_id is not null").groupBy("code").agg(F.min("doc_id").alias("rep")))
-    owners = facts.filter("doc_id is not null").groupBy("doc_id").agg(F.min("code").alias("code")).join(copies, "code").select("doc_id", "rep")
-    reps = facts.join(copies, [facts["code"] == copies["code"], facts["doc_id"] == copies["rep"]], "left_semi").dropDuplicates(["doc_id"]).filter("n_words > 0")
-    shared = materialise(shared_keys(reps.select("doc_id", "n_words", "keys")))
+    nodes = materialise(text_nodes(facts))
+    reps = facts.withColumnRenamed("doc_id", "first_id").join(nodes, ["code", "first_id"]).dropDuplicates(["node"]).filter("n_words > 0")
+    shared = materialise(shared_keys(reps.select(F.col("node").alias("doc_id"), "n_words", "keys")))
     pairs = materialise(candidate_pairs(shared, similarity))
-    edges = materialise(verify(docs, pairs, similarity))
+    edges = materialise(verify(docs, nodes, pairs, similarity))
     classes = materialise(connected_components(edges))
-    rest = materialise(other_pairs(docs, shared, pairs, classes, similarity))
-    further = materialise(verify(docs, rest, similarity))
+    rest = materialise(other_pairs(docs, nodes, shared, pairs, classes, similarity))
+    further = materialise(verify(docs, nodes, rest, similarity))
     classes = connected_components(edges.unionByName(further))
-    named = owners.join(classes, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(named, "doc_id", "left")
+    return facts, materialise(nodes.join(classes, "node", "left").select("code", "node", "first_id", F.coalesce("component", "node").alias("component")))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = SKETCHES) -> DataFrame:
+    """(doc_id, class_id) of every row; class_id is the smallest doc_id of its group of near copies.
+
+    Equal texts are one text from the start, empty and null ones too. Texts of fewer than five
+    words match equal texts only, as an edit is over a fifth of them. Rows that repeat an id with other
+    texts are judged each by its own text. Rows with a null id are in no group (null class_id). An empty
+    table gives none; further columns are ignored.
+    """
+    facts, texts = text_classes(docs, similarity, sketches)
+    unnamed = texts.filter(F.col("component") >= STRAY).groupBy("component").agg(F.min("first_id").alias("least"))
+    labels = materialise(texts.join(unnamed, "component", "left").select("code", F.coalesce("least", "component").alias("class_id")))
+    rows = facts.select("doc_id", "code")
+    # the rows of a text that a large part of all have are not sent to one task: there are fewer than HOT_PART such texts
+    often = rows.groupBy("code").agg(F.count("*").alias("n")).filter(F.col("n") > F.lit(rows.count() // HOT_PART))
+    hot = F.broadcast(labels.join(often.select("code"), "code").select("code", F.col("class_id").alias("hot_id")))
+    split = rows.join(hot, "code", "left")
+    found = split.filter("hot_id is not null").select("doc_id", F.col("hot_id").alias("class_id"))
+    cold = split.filter("hot_id is null").drop("hot_id").join(labels, "code", "left").select("doc_id", "class_id")
+    return found.unionByName(cold).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, sketches: int = SKETCHES) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one of the smallest doc_id; rows with a null id stay."""
-    gone = near_duplicates(docs, similarity, sketches).filter("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone.hint("merge"), docs["doc_id"].cast("bigint") == gone["doc_id"], "left_anti")
-    return kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    """``docs``, all columns, with one row of each group of near copies: the text of the smallest doc_id.
+
+    Of rows equal in doc_id and text one stays. Where rows repeat an id with other texts, each text is judged by
+    itself, so none is lost that has no near copy. Rows with a null id stay; an empty table gives none; further
+    columns stay, whatever their names.
+    """
+    _, texts = text_classes(docs, similarity, sketches)
+    first = texts.filter("node = component").select(F.col("first_id").alias("id"), "code")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("code"))
+    kept = rows.join(first.hint("merge"), ["id", "code"], "left_semi").dropDuplicates(["id", "code"])
+    return rows.filter("id is null").unionByName(kept).select("row.*")

@@ -8,6 +8,8 @@ import numpy as np
 
 #: Texts are handled in slices of about so many bytes, which bounds a worker's memory.
 SLICE = 1 << 20
+#: A text longer than this is split into words piece by piece.
+PIECE = 4 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 
@@ -60,24 +62,43 @@ def slices(column, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, n
 
 
 def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = LETTERS, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number, start and end of each word; by default runs of ASCII letters and digits, lower-cased, and of bytes above 127."""
-    n = len(data)
-    if n == 0:
+    """Hash, text number, start and end of each word; by default runs of ASCII letters and digits, lower-cased, and of bytes above 127.
+
+    A long text is gone through in pieces that end between words.
+    """
+    parts, at, n = [], 0, len(data)
+    while at < n:
+        end = n
+        if n - at > PIECE:
+            end = at + PIECE
+            while end < n and letters[data[end]]:  # on to the end of the word, a piece at a time
+                gap = np.flatnonzero(~letters[data[end : end + PIECE]])
+                end = end + int(gap[0]) if len(gap) else min(n, end + PIECE)
+        inside = offsets[(offsets > at) & (offsets < end)] - at
+        parts.append((at, *_words(data[at:end], np.concatenate(([0], inside, [end - at])), letters, fold)))
+        at = end
+    if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    value, starts, stops = np.concatenate([p[1] for p in parts]), np.concatenate([p[0] + p[2] for p in parts]), np.concatenate([p[0] + p[3] for p in parts])
+    return value, np.searchsorted(offsets, starts, "right") - 1, starts, stops
+
+
+def _words(data: np.ndarray, edges: np.ndarray, letters: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word; no word crosses an edge."""
+    n = len(data)
     inside = letters[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
-    edges = offsets[:-1][offsets[:-1] < n]
-    first[edges] = inside[edges]
-    ends = offsets[1:][offsets[1:] > 0] - 1
+    begins, ends = edges[edges < n], edges[edges > 0] - 1
+    first[begins] = inside[begins]
     last[ends] = inside[ends]
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
     up, down = POWERS.to(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     value = (total[stops] - total[starts]) * down[starts]
-    return mix(value ^ (stops - starts).astype(np.uint64)), np.searchsorted(offsets, starts, "right") - 1, starts, stops
+    return mix(value ^ (stops - starts).astype(np.uint64)), starts, stops
 
 
 def shingles(word: np.ndarray, text: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -146,6 +146,50 @@ def test_op5_band_equals_full_table():
         assert op5_orderminhash.banded_distance(a, b, most) == min(edit_distance(a, b), most + 1)
 
 
+def test_op5_long_lists_in_bounded_memory():
+    """A pair of 60 000 words each: masks of all words would take 225 MB."""
+    import tracemalloc
+
+    rng = random.Random(14)
+    a = [f"c{rng.randrange(40)}" if rng.random() < 0.4 else f"w{rng.randrange(100_000)}" for _ in range(60_000)]
+    b = scattered(rng, a, 3000)
+    tracemalloc.start()
+    assert op5_orderminhash.alike(a, b, 0.8) and not op5_orderminhash.alike(a, b, 0.99)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+
+
+def test_op5_sparse_masks_equal_full_table(monkeypatch):
+    monkeypatch.setattr(op5_orderminhash, "MASKED", 3)
+    rng = random.Random(15)
+    for _ in range(300):
+        a = [rng.randrange(30) for _ in range(rng.randrange(90))]
+        b = [x for x in a if rng.random() > 0.1] + [rng.randrange(9) for _ in range(rng.randrange(6))]
+        most = rng.randrange(40)
+        assert op5_orderminhash.banded_distance(a, b, most) == min(edit_distance(a, b), most + 1)
+
+
+def test_op5_repeated_ids_lose_no_text(spark):
+    rng = random.Random(16)
+    t, u, v = (prose(rng, 60) for _ in range(3))
+    near = " ".join(["changed", *v.split()[1:]])
+    docs = [(1, t), (1, u), (2, u), (1, t), (5, v), (5, near + " x"), (6, prose(rng, 50)), (6, prose(rng, 50)), (None, t), (None, None)]
+    kept = [r["text"] for r in op5_orderminhash.keep_one(documents(spark, docs)).filter("doc_id is not null").collect()]
+    assert sorted(kept) == sorted([t, u, docs[6][1], docs[7][1], v if v in kept else near + " x"])
+    got = op5_orderminhash.near_duplicates(documents(spark, docs)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in docs) and {r["class_id"] for r in got if r["doc_id"] == 5} == {5}
+
+
+def test_words_of_a_long_text_in_pieces(monkeypatch):
+    rng = random.Random(17)
+    texts = [prose(rng, 40).encode(), b"", b"x" * 100, "é".encode() * 60 + b" end", prose(rng, 9).encode(), b"tail"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = tokens.words(data, offsets)
+    for piece in (1, 7, 16, 50):
+        monkeypatch.setattr(tokens, "PIECE", piece)
+        assert all((x == y).all() for x, y in zip(tokens.words(data, offsets), want, strict=True))
+
+
 def test_op5_classes(spark):
     rng = random.Random(6)
     base = [prose(rng, 120) for _ in range(6)]
