@@ -3,12 +3,12 @@
 Equal strings of ``width`` bytes have the same minimiser, the least hash of their 16-byte
 substrings, so a text falls into fragments, maximal runs of windows with one minimiser, and
 fragments can only match within their minimiser's bucket. Only minimisers of two documents
-or more go on. A bucket joins its distinct fragments into one text and builds that text's
-Burrows-Wheeler transform, kept as runs with the suffix positions at their ends. From these
-samples alone the matching statistics are streamed: at each position the preceding suffix
-and the length of the common prefix follow from the last sample by adding or subtracting
-one. Positions whose statistic reaches ``width`` are chained to classes of equal windows, and
-every class has its smallest document.
+or more go on. A bucket joins its distinct fragments into one text and sorts its suffixes for the
+Burrows-Wheeler transform, of which it keeps the suffix positions at the ends of runs. From these
+samples alone the matching statistics are streamed: from one sample to the next the preceding
+suffix moves by one and the common prefix shrinks by one, so the windows that reach ``width`` are
+intervals, one a run at most. They are chained to classes of equal windows, and every class has
+its smallest document.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ K = 16
 NO_DOC = np.iinfo(np.int64).max
 #: A byte that UTF-8 never has ends each fragment.
 END = 0xFF
-#: Fragments of minimisers with more occurrences are cut into single windows and dealt by their own hash.
-HOT = 20_000
+#: Fragments of minimisers with more bytes in the corpus are cut into single windows and dealt by their own hash.
+HOT = 2 << 20
 #: Bytes of fragments indexed together within a bucket.
 INDEX_BYTES = 1 << 20
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary"
@@ -83,7 +83,7 @@ class Fragments:
 
 
 def _split_key(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket, and the 48 other bits that tell a minimiser within it."""
+    """Bucket, and 48 further bits that tell a minimiser within it."""
     return (key % np.uint64(n)).astype(np.int64), key >> np.uint64(16)
 
 
@@ -98,7 +98,7 @@ def _from_six(x: np.ndarray) -> np.ndarray:
 
 
 def send_minimisers(block: int, table: pa.Table, width: int, buckets: int) -> list[tuple[int, int, bytes]]:
-    """Each minimiser of the block once, with the number of its documents (at most 255 is told)."""
+    """Each minimiser of the block once, with a byte: whether several documents have it, and the bytes of its fragments in quarter octaves, rounded up."""
     f = Fragments(table, width)
     order = np.argsort(f.key, kind="stable")
     key, doc = f.key[order], f.ids[f.doc[order]]
@@ -106,24 +106,25 @@ def send_minimisers(block: int, table: pa.Table, width: int, buckets: int) -> li
         return []
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-    count = np.minimum(np.add.reduceat(fresh, first), 255).astype(np.uint8)
+    several = np.add.reduceat(fresh, first) > 1
+    octaves = np.ceil(4 * np.log2(np.add.reduceat(f.size[order], first)))
+    told = (np.minimum(127, octaves) + 128 * several).astype(np.uint8)
     bucket, rest = _split_key(key[first], buckets)
-    return [(block, b, blocks.pack(_six(rest[at]), count[at])) for b, at in blocks.by_bucket(bucket)]
+    return [(block, b, blocks.pack(_six(rest[at]), told[at])) for b, at in blocks.by_bucket(bucket)]
 
 
 def share_minimisers(bucket: int, got: list[tuple[int, bytes]], most: int = HOT) -> list[tuple[int, int, bytes]]:
-    """Tell each block which of its minimisers another document has too, and which are hot."""
+    """Tell each block which of its minimisers another document has too, and which of them are hot: of over ``most`` bytes."""
     parts = [blocks.unpack(p, np.uint8, np.uint8) for _, p in got]
     rest = np.concatenate([_from_six(p[0]) for p in parts])
-    count = np.concatenate([p[1] for p in parts]).astype(np.int64)
+    told = np.concatenate([p[1] for p in parts]).astype(np.int64)
     owner = np.repeat(np.arange(len(got)), [len(p[1]) for p in parts])
     order = np.argsort(rest, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], rest[order][1:] != rest[order][:-1])))
-    total = np.add.reduceat(count[order], first)
-    each = np.repeat(total, np.diff(np.append(first, len(order))))
-    shared = np.zeros(len(rest), dtype=bool)
-    hot = np.zeros(len(rest), dtype=bool)
-    shared[order], hot[order] = each > 1, each > most
+    docs, size = np.add.reduceat(1 + (told[order] >> 7), first), np.add.reduceat(2.0 ** ((told[order] & 127) / 4), first)
+    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    shared, hot = np.zeros(len(rest), dtype=bool), np.zeros(len(rest), dtype=bool)
+    shared[order], hot[order] = docs[run] > 1, size[run] > most
     edges = np.searchsorted(owner, np.arange(len(got) + 1))
     out = []
     for i, (block, _) in enumerate(got):
@@ -138,22 +139,17 @@ class Shared:
 
     def __init__(self, table: pa.Table, got: list[tuple[int, bytes]], width: int, buckets: int) -> None:
         self.f = f = Fragments(table, width)
-        told, hot = [], []
-        for bucket, payload in got:
-            rest, flag = blocks.unpack(payload, np.uint8, np.uint8)
-            told.append((np.uint64(bucket) << np.uint64(48)) | _from_six(rest))
-            hot.append(flag)
-        told = np.concatenate(told or [np.zeros(0, np.uint64)])
-        hot = np.concatenate(hot or [np.zeros(0, np.uint8)])
-        order = np.argsort(told)
-        told, hot = told[order], hot[order].astype(bool)
         bucket, rest = _split_key(f.key, buckets)
-        name = (bucket.astype(np.uint64) << np.uint64(48)) | rest
-        at = np.minimum(np.searchsorted(told, name), max(0, len(told) - 1))
-        keep = told[at] == name if len(told) else np.zeros(len(name), dtype=bool)
-        is_hot = np.zeros(len(name), dtype=bool)
-        if len(told):
-            is_hot = keep & hot[at]
+        keep, is_hot = np.zeros(len(rest), dtype=bool), np.zeros(len(rest), dtype=bool)
+        mine = dict(blocks.by_bucket(bucket))
+        for b, payload in got:
+            told, hot = blocks.unpack(payload, np.uint8, np.uint8)
+            told, at = _from_six(told), mine[b]
+            order = np.argsort(told)
+            told, hot = told[order], hot[order].astype(bool)
+            where = np.minimum(np.searchsorted(told, rest[at]), len(told) - 1)
+            keep[at] = told[where] == rest[at]
+            is_hot[at] = keep[at] & hot[where]
         place = np.flatnonzero(keep & ~is_hot)
         self.start, self.size, self.doc, self.bucket = f.start[place], f.size[place], f.doc[place], bucket[place]
         if is_hot.any():
@@ -169,7 +165,7 @@ class Shared:
             self.bucket = np.concatenate([self.bucket, own % buckets])
         #: of each occurrence the number of its distinct fragment within (block, bucket)
         text = f.data.tobytes()
-        numbers: list[dict[bytes, int]] = [{} for _ in range(buckets)]
+        numbers: dict[int, dict[bytes, int]] = {b: {} for b in np.unique(self.bucket).tolist()}
         self.number = np.empty(len(self.start), dtype=np.int64)
         for i, (b, s, n) in enumerate(zip(self.bucket.tolist(), self.start.tolist(), self.size.tolist(), strict=True)):
             known = numbers[b]
@@ -236,7 +232,7 @@ def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """The run-length Burrows-Wheeler transform of fragments, with suffix positions at run ends."""
+    """Run ends of the Burrows-Wheeler transform of fragments: the suffix positions there, and their common prefixes."""
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> None:
         self.width, self.n = width, len(text)
@@ -249,7 +245,6 @@ class RunIndex:
         edge |= begins[order]
         edge[1:] |= begins[order[:-1]]
         heads = np.flatnonzero(edge)
-        self.letters, self.lengths = letter[heads], np.diff(np.append(heads, len(order)))
         #: suffix positions at the heads of runs and at the ends of the runs before them
         self.head = order[heads]
         self.before = np.concatenate(([-1], order[heads[1:] - 1])) if len(heads) else np.zeros(0, np.int64)
@@ -273,15 +268,18 @@ class RunIndex:
             live = live[(x == 0) & (out[live] < limit[live])]
         return np.minimum(out, limit)
 
-    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
-        """For every position, streamed from the samples: the preceding suffix and the common prefix with it."""
-        place, last = np.arange(self.n), np.zeros(self.n, dtype=np.int64)
-        last[self.head] = self.head
-        np.maximum.accumulate(last, out=last)
-        before, common = np.empty(self.n, dtype=np.int64), np.empty(self.n, dtype=np.int64)
-        before[self.head], common[self.head] = self.before, self.common
-        gone, start = place - last, before[last]
-        return np.where(start >= 0, start + gone, -1), common[last] - gone
+    def long_matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Intervals of windows that an earlier suffix shares: start, source of the first and length.
+
+        Streamed in text order: from a sample on, the preceding suffix moves along and the common prefix
+        shrinks by one a step, up to the next sample. Only samples with a long enough prefix give anything.
+        """
+        order = np.argsort(self.head)
+        head, before, common = self.head[order], self.before[order], self.common[order]
+        room = np.diff(np.append(head, self.n))
+        size = np.where(before >= 0, np.minimum(common - self.width + 1, room), 0)
+        live = size > 0
+        return head[live], before[live], size[live]
 
 
 def least_documents(fragments: list[bytes], docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,10 +288,10 @@ def least_documents(fragments: list[bytes], docs: np.ndarray, width: int) -> tup
     starts = np.cumsum(sizes) - sizes
     text = np.frombuffer(bytes([END]).join([*fragments, b""]), dtype=np.uint8)
     index = RunIndex(text, starts, sizes, width)
-    link, length = index.matching_statistics()
-    live = np.flatnonzero(length >= width)
-    first = np.arange(index.n)
-    first[live] = link[live]
+    start, source, size = index.long_matches()
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    live, first = np.repeat(start, size) + step, np.arange(index.n)
+    first[live] = np.repeat(source, size) + step
     while len(live):  # to the first suffix of the class of equal windows, doubling the step
         far = first[first[live]]
         moved = far != first[live]
@@ -415,8 +413,6 @@ def drop_repeats(docs: DataFrame, width: int = 50, block_bytes: int = blocks.BLO
     columns are ignored.
     """
     blocks_n, n = blocks.block_count(docs, block_bytes)
-    if n > 1 << 16:
-        raise ValueError("more than 65536 buckets: raise block_bytes")
     rows = blocks.in_blocks(docs, blocks_n)
     told = blocks.answer_each(blocks.send_each(rows, lambda b, t: send_minimisers(b, t, width, n)), lambda b, got: share_minimisers(b, got, hot))
     sent = blocks.with_answers(rows, told, lambda b, t, got: send_fragments(b, t, got, width, n), blocks.MESSAGE)

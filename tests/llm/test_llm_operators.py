@@ -78,6 +78,28 @@ def test_op2_index_finds_the_least_document():
         assert len(values) == at and counts.sum() == len(lengths)
 
 
+def test_op2_index_follows_runs():
+    """Copies of one text with single changed letters: samples and matches grow with the changes, not with the copies."""
+    rng = random.Random(2)
+    text = bytes(rng.choice(b"abcdefgh ") for _ in range(2000))
+    sizes = {}
+    for copies in (10, 100):
+        fragments = [text[:at] + b"X%d" % i + text[at:] for i, at in enumerate(rng.sample(range(2000), copies))]
+        length = np.array([len(f) + 1 for f in fragments])
+        index = op2_runindex.RunIndex(np.frombuffer(bytes([op2_runindex.END]).join([*fragments, b""]), np.uint8), np.cumsum(length) - length, length, 50)
+        start, source, size = index.long_matches()
+        sizes[copies] = len(index.head), len(start)
+        assert size.sum() > 0.9 * (copies - 1) * 1900
+    assert sizes[100][0] < 3 * sizes[10][0] and sizes[100][0] < 0.05 * 200_000 and sizes[100][1] < 2000
+
+
+@pytest.mark.parametrize("hot", [op2_runindex.HOT, 3000])
+def test_op2_one_repeated_letter(spark, hot):
+    rows = [(i, "a" * (60 + 7 * i) + ("b" if i % 3 else "")) for i in range(60)] + [(100, "a" * 49), (101, "x" + "a" * 49)]
+    got = op2_runindex.drop_repeats(documents(spark, rows), hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == brute_spans(rows, 50)
+
+
 def test_op2_empty(spark):
     assert op2_runindex.drop_repeats(documents(spark, []).limit(0)).count() == 0
 
