@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from needledrop.functions import text
 from needledrop.functions.text import blank_to_null
 
 #: Fixed values of the compatibility rules.
@@ -103,3 +104,34 @@ def status_set(compatible: Column, warned: Column, edited: Column, complete: Col
 
 def target_sample_rate(rate: Column) -> Column:
     return F.when(rate.isin(*SAMPLE_RATES), rate).otherwise(44100)
+
+
+#: Target formats with extension, codec at 16 and at 24 bits, and kbit/s where they are lossy.
+TARGETS = {
+    "aiff": ("aiff", "pcm_s16be", "pcm_s24be", None),
+    "wav": ("wav", "pcm_s16le", "pcm_s24le", None),
+    "flac": ("flac", "flac", "flac", None),
+    "alac": ("m4a", "alac", "alac", None),
+    "mp3": ("mp3", "libmp3lame", "libmp3lame", 320),
+    "aac": ("m4a", "aac", "aac", 320),
+}
+TARGET_FORMATS = tuple(TARGETS)
+
+
+def _of_target(target: Column, place: int) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for name, facts in TARGETS.items() for x in (name, facts[place])]), target)
+
+
+def conversion_plan(rows: DataFrame) -> DataFrame:
+    """Add to rows with path, sample_rate, bits_per_sample and ``target`` format: target_rate, codec, target_bits (null if lossy), kbps, output and in_place."""
+    path, target, deep = F.col("path"), F.col("target"), F.col("bits_per_sample") > 16
+    kbps = _of_target(target, 3)
+    output = F.concat(text.parent_folder(path), F.lit("/"), F.trim(text.sanitize_name(text.stem(path))), F.lit("."), _of_target(target, 0))
+    return rows.withColumns({
+        "target_rate": target_sample_rate(F.col("sample_rate")).cast("int"),
+        "codec": F.when(deep, _of_target(target, 2)).otherwise(_of_target(target, 1)),
+        "target_bits": F.when(kbps.isNull(), F.when(deep, 24).otherwise(16)),
+        "kbps": kbps,
+        "output": output,
+        "in_place": output == path,
+    })

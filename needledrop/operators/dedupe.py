@@ -158,6 +158,12 @@ def stored_groups(groups: DataFrame) -> DataFrame:
     return groups.filter("group_id is not null and group_id <> ''")
 
 
+def swap_groups(groups: DataFrame, folder: str) -> DataFrame:
+    """Replace the stored result as a whole, and read it back; an empty result clears it. ``groups`` must not read that folder."""
+    stored_groups(groups).write.mode("overwrite").parquet(folder)
+    return groups.sparkSession.read.schema(groups.schema).parquet(folder)
+
+
 def prune_groups(groups: DataFrame, valid: DataFrame) -> DataFrame:
     """Drop members that are gone, then groups under two; a lost keep becomes the first member."""
     left = groups.join(valid.select("path"), "path", "left_semi")

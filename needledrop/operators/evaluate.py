@@ -58,10 +58,10 @@ def _share(c: Column) -> Column:
 
 
 def tempo_tally(rows: DataFrame) -> DataFrame:
-    """Per tier and engine: verdict counts, shares, mean confidence, and octave answers outside 70 to 180."""
+    """Per tier and engine: verdict counts, shares, mean confidence and times, and octave answers outside 70 to 180."""
     v = {k: F.count_if(F.col("tempo") == k) for k in ("exact", "close", "octave", "wrong", "none")}
     outside = (F.col("tempo") == "octave") & ~F.col("ref_bpm").between(70, 180)
-    return rows.groupBy("tier", "engine").agg(F.count("*").alias("tracks"), *[c.alias(k) for k, c in v.items()], _share(F.col("tempo") == "exact").alias("exact_share"), F.avg("confidence").alias("mean_confidence"), F.count_if(outside).alias("octave_outside"))
+    return rows.groupBy("tier", "engine").agg(F.count("*").alias("tracks"), *[c.alias(k) for k, c in v.items()], _share(F.col("tempo") == "exact").alias("exact_share"), F.avg("confidence").alias("mean_confidence"), F.avg("decode_ms").alias("mean_decode_ms"), F.avg("analyse_ms").alias("mean_analyse_ms"), F.count_if(outside).alias("octave_outside"))
 
 
 def key_tally(rows: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from needledrop.scratch import materialise
+
 #: Ratios of a true tempo to the strongest peak.
 OCTAVES = (0.25, 1 / 3, 0.5, 2 / 3, 0.75, 1.0, 4 / 3, 1.5, 2.0, 3.0, 4.0)
 #: Pitch-class weights of major and minor keys from the tonic, by profile set.
@@ -20,23 +22,27 @@ PROFILES = {
     "temperley": ((0.748, 0.060, 0.488, 0.082, 0.670, 0.460, 0.096, 0.715, 0.104, 0.366, 0.057, 0.400), (0.712, 0.084, 0.474, 0.618, 0.049, 0.460, 0.105, 0.747, 0.404, 0.067, 0.133, 0.330)),
     "shaath": ((6.6, 2.0, 3.5, 2.3, 4.6, 4.0, 2.5, 5.2, 2.4, 3.7, 2.3, 3.4), (6.5, 2.7, 3.5, 5.4, 2.6, 3.5, 2.5, 5.2, 4.0, 2.7, 4.3, 3.2)),
 }
-MIN_FLUX_SHARE, MIN_FRAMES = 0.005, 16
+#: Gates and where measures count as strong.
+MIN_FLUX_SHARE, MIN_FRAMES, MIN_PERIODS = 0.005, 16, 4
 MIN_PEAK, STRONG_PEAK = 0.10, 0.50
 MIN_RATIO, STRONG_RATIO = 1.30, 3.00
 MIN_PHASE_RATIO, STRONG_PHASE_RATIO = 1.25, 3.0
+#: Places by which an onset curve runs ahead of its sound, and the lowest and highest note of a chroma.
+ENVELOPE_LAG, NOTES = 5.0, (24.0, 96.0)
 
 
 @dataclass(frozen=True)
 class TempoRange:
-    """Search range and the preferred tempo; a range that cannot work falls back to 60 to 200."""
+    """Search range and the preferred tempo; a range that cannot work, or goes below ``least``, falls back to 60 to 200."""
 
     low: float = 60.0
     high: float = 200.0
     centre: float = 140.0
     width: float = 0.45
+    least: float = 20.0
 
-    def usable(self, least: float = 20.0) -> "TempoRange":
-        ok = self.low >= least and self.high > self.low * 1.05
+    def usable(self) -> "TempoRange":
+        ok = self.low >= self.least and self.high > self.low * 1.05
         return self if ok else TempoRange(centre=self.centre, width=self.width)
 
 
@@ -54,8 +60,26 @@ def excerpt(series: DataFrame, start: int, length: int, least: int) -> DataFrame
     return series.withColumn("begin", begin).filter((F.col("i") >= F.col("begin")) & (F.col("i") < F.col("begin") + length)).select("series_id", (F.col("i") - F.col("begin")).alias("i"), "v")
 
 
+def frames(series: DataFrame, width: int, hop: int) -> DataFrame:
+    """(series_id, frame_id, samples): whole frames of ``width`` places, one each ``hop`` places; frame_id is the place of the first.
+
+    Each place goes to the frames that hold it, so a series of any length is never one row.
+    """
+    n = series.groupBy("series_id").agg((F.max("i") + 1).alias("n"))
+    first = F.greatest(F.floor((F.col("i") - width) / hop) + 1, F.lit(0))
+    placed = series.join(n, "series_id").withColumn("frame", F.explode(F.sequence(first, F.floor(F.col("i") / hop)))).withColumn("frame_id", F.col("frame") * hop)
+    placed = placed.filter((F.col("i") < F.col("frame_id") + width) & (F.col("frame_id") + width <= F.col("n")))
+    return placed.groupBy("series_id", "frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("samples"))
+
+
+def band_class(bin_: Column, width: int, rate: float) -> Column:
+    """The pitch class of a spectrum's bin; null outside the notes of a chroma."""
+    note = 69.0 + 12.0 * F.log2(bin_ * F.lit(rate / width / 440.0))
+    return F.when((bin_ > 0) & note.between(*NOTES), F.pmod(F.round(note).cast("int"), F.lit(12)))
+
+
 def spectrum(frames: DataFrame, width: int) -> DataFrame:
-    """Magnitudes of Hann-windowed frames (frame_id, samples): frame_id, bin, mag. The only numeric UDF."""
+    """Magnitudes of Hann-windowed frames (series_id, frame_id, samples): series_id, frame_id, bin, mag. The only numeric UDF."""
     import numpy as np
     import pandas as pd
 
@@ -65,9 +89,9 @@ def spectrum(frames: DataFrame, width: int) -> DataFrame:
         for p in parts:
             if len(p):
                 mags = np.abs(np.fft.rfft(np.stack(p["samples"].to_numpy()).astype(float) * window, axis=1))
-                yield pd.DataFrame({"frame_id": np.repeat(p["frame_id"].to_numpy(), mags.shape[1]), "bin": np.tile(np.arange(mags.shape[1]), len(p)), "mag": mags.ravel()})
+                yield pd.DataFrame({"series_id": np.repeat(p["series_id"].to_numpy(), mags.shape[1]), "frame_id": np.repeat(p["frame_id"].to_numpy(), mags.shape[1]), "bin": np.tile(np.arange(mags.shape[1]), len(p)), "mag": mags.ravel()})
 
-    return frames.filter(F.size("samples") == width).select("frame_id", "samples").mapInPandas(run, "frame_id bigint, bin int, mag double")
+    return frames.filter(F.size("samples") == width).select("series_id", "frame_id", "samples").mapInPandas(run, "series_id string, frame_id bigint, bin int, mag double")
 
 
 def onset_envelope(series: DataFrame) -> DataFrame:
@@ -87,18 +111,18 @@ def subtract_moving_mean(series: DataFrame, half: int) -> DataFrame:
 
 
 def autocorrelation(series: DataFrame, max_lag: int) -> DataFrame:
-    """(series_id, lag, acf): zero mean, variance one, each lag over its own overlap; constant series go."""
+    """(series_id, lag, acf) and n, the series' length: zero mean, variance one, each lag over its own overlap; constant series go."""
     arrays = series.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("a"), F.avg("v").alias("mean"), F.var_pop("v").alias("variance"), F.count("*").alias("n"))
     arrays = arrays.filter("variance > 1.2e-7").withColumn("c", F.transform("a", lambda x: x - F.col("mean"))).drop("a")
     lags = arrays.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).withColumn("m", (F.col("n") - F.col("lag")).cast("int"))
     products = F.zip_with(F.slice("c", 1, F.greatest("m", F.lit(0))), F.slice("c", F.col("lag") + 1, F.greatest("m", F.lit(0))), lambda x, y: x * y)
     acf = F.aggregate(products, F.lit(0.0), lambda s, x: s + x) / F.col("m") / F.col("variance")
-    return lags.select("series_id", "lag", F.when(F.col("m") > 0, acf).otherwise(0.0).alias("acf"))
+    return lags.select("series_id", "lag", F.when(F.col("m") > 0, acf).otherwise(0.0).alias("acf"), "n")
 
 
 def pick_peak(acf: DataFrame, min_lag: int, max_lag: int) -> DataFrame:
-    """The first highest lag in range with its value, the range's mean, and whether it is convincing."""
-    r = acf.filter(F.col("lag").between(min_lag, max_lag)).groupBy("series_id").agg(F.max(F.struct("acf", (-F.col("lag")).alias("minus"))).alias("best"), F.avg("acf").alias("mean"))
+    """The first highest lag in range with its value, the range's mean, and whether it is convincing; series of under ``MIN_PERIODS`` of the longest lag go."""
+    r = acf.filter(F.col("n") >= MIN_PERIODS * max_lag).filter(F.col("lag").between(min_lag, max_lag)).groupBy("series_id").agg(F.max(F.struct("acf", (-F.col("lag")).alias("minus"))).alias("best"), F.avg("acf").alias("mean"))
     peak = F.col("best.acf")
     return r.select("series_id", (-F.col("best.minus")).alias("lag"), peak.alias("peak"), "mean", ((peak >= MIN_PEAK) & (peak >= F.col("mean") * MIN_RATIO)).alias("accepted"))
 
@@ -114,6 +138,7 @@ def refine_peak(acf: DataFrame, peaks: DataFrame) -> DataFrame:
 
 def fold_octave(peaks: DataFrame, acf: DataFrame, rate: float, tempo: TempoRange) -> DataFrame:
     """(series_id, bpm): of the related tempos in range, that of the best correlation times preference; the first among equals."""
+    tempo = tempo.usable()
     ratios = F.explode(F.array(*[F.struct(F.lit(i).alias("order"), F.lit(r).alias("ratio")) for i, r in enumerate(OCTAVES)])).alias("o")
     c = peaks.select("series_id", (60.0 * rate / F.col("refined")).alias("base"), ratios).select("series_id", "base", "o.order", (F.col("base") * F.col("o.ratio")).alias("bpm"))
     c = c.filter(F.col("bpm").between(tempo.low, tempo.high)).withColumn("lag", F.round(rate * 60.0 / F.col("bpm")).cast("int"))
@@ -131,21 +156,28 @@ def tempo_confidence(peak: Column, mean: Column) -> Column:
     return F.sqrt(_span(peak, MIN_PEAK, STRONG_PEAK) * _span(ratio, MIN_RATIO, STRONG_RATIO))
 
 
-def beat_phase(envelope: DataFrame, periods: DataFrame, min_beats: int = 8) -> DataFrame:
-    """(series_id, phase, sum, ratio, accepted): a comb of ``period`` places laid at each phase; the first best phase."""
+def beat_phase(envelope: DataFrame, periods: DataFrame, min_beats: int = 8, lag: float = ENVELOPE_LAG) -> DataFrame:
+    """(series_id, phase, sum, ratio, accepted, offset, confidence): a comb of ``period`` places laid at each phase; the first best phase.
+
+    ``offset`` is the phase of the sound, ``lag`` places after that of the curve, within the first period.
+    """
     n = envelope.groupBy("series_id").agg(F.count("*").alias("n"))
     p = periods.filter("period >= 2").join(n, "series_id").withColumn("beats", F.floor(F.col("n") / F.col("period")).cast("int")).filter(F.col("beats") >= min_beats)
     grid = p.withColumn("phase", F.explode(F.sequence(F.lit(0), F.greatest(F.round("period").cast("int"), F.lit(2)) - 1))).withColumn("beat", F.explode(F.sequence(F.lit(0), F.col("beats") - 1)))
     at = grid.select("series_id", "phase", F.round(F.col("phase") + F.col("period") * F.col("beat")).cast("int").alias("i"))
     sums = at.join(envelope, ["series_id", "i"]).groupBy("series_id", "phase").agg(F.sum("v").alias("s"))
+    period = p.select("series_id", "period").distinct()
     best = sums.groupBy("series_id").agg(F.max(F.struct("s", (-F.col("phase")).alias("minus"))).alias("best"), F.avg("s").alias("mean"))
     ratio = F.try_divide("best.s", "mean")
-    return best.select("series_id", (-F.col("best.minus")).alias("phase"), F.col("best.s").alias("sum"), ratio.alias("ratio"), F.coalesce(ratio >= MIN_PHASE_RATIO, F.lit(False)).alias("accepted"))
+    return best.join(period, "series_id").select(
+        "series_id", (-F.col("best.minus")).alias("phase"), F.col("best.s").alias("sum"), ratio.alias("ratio"), F.coalesce(ratio >= MIN_PHASE_RATIO, F.lit(False)).alias("accepted"),
+        F.pmod(lag - F.col("best.minus"), F.col("period")).alias("offset"), _span(ratio, MIN_PHASE_RATIO, STRONG_PHASE_RATIO).alias("confidence"),
+    )
 
 
 def chroma(spectra: DataFrame, pitch_class: Column, min_variation: float = 0.10) -> DataFrame:
     """(series_id, pc, weight) of frames (series_id, frame_id, bin, mag): class means, frames scaled to their largest, summed, scaled again; flat series go."""
-    classes = spectra.withColumn("pc", pitch_class).groupBy("series_id", "frame_id", "pc").agg(F.avg("mag").alias("m"))
+    classes = spectra.withColumn("pc", pitch_class).filter("pc is not null").groupBy("series_id", "frame_id", "pc").agg(F.avg("mag").alias("m"))
     top = F.max("m").over(Window.partitionBy("series_id", "frame_id"))
     summed = classes.withColumn("m", F.when(top > 0, F.col("m") / top).otherwise(0.0)).groupBy("series_id", "pc").agg(F.sum("m").alias("s"))
     whole = Window.partitionBy("series_id")
@@ -179,14 +211,25 @@ def waveform(series: DataFrame, bins: int) -> DataFrame:
     return r.select("series_id", "bin", scale(F.col("peak")).alias("peak"), scale(F.col("rms")).alias("rms"))
 
 
-def features(series: DataFrame, wanted: DataFrame, rate: float, tempo: TempoRange, half: int, min_lag: int, max_lag: int) -> DataFrame:
-    """Tempo, its confidence and beat phase of the wanted series; a grid needs a tempo. The envelope is made once."""
-    from needledrop.scratch import materialise
+def features(series: DataFrame, wanted: DataFrame, rate: float, tempo: TempoRange, half: int, min_lag: int, max_lag: int, width: int = 64, bins: int = 50, profile: str = "shaath") -> DataFrame:
+    """One row per wanted series: bpm, confidence and offset, key_pc and key_minor, and the waveform's peaks; what is not wanted is null.
+
+    ``wanted`` has series_id and wants_tempo, wants_grid, wants_key and wants_waveform. The series are read
+    once; the envelope serves tempo and grid, which needs a tempo.
+    """
+    mine = materialise(series.join(wanted.select("series_id"), "series_id", "left_semi"))
+
+    def of(flag: str) -> DataFrame:
+        return wanted.filter(flag).select("series_id")
 
-    envelope = materialise(subtract_moving_mean(onset_envelope(series.join(wanted.select("series_id"), "series_id", "left_semi")), half))
+    timed = wanted.filter("wants_tempo or wants_grid").select("series_id")
+    envelope = materialise(subtract_moving_mean(onset_envelope(mine.join(timed, "series_id", "left_semi")), half))
     acf = materialise(autocorrelation(envelope, max_lag + 1))
     peaks = refine_peak(acf, pick_peak(acf, min_lag, max_lag).filter("accepted"))
-    bpm = fold_octave(peaks, acf, rate, tempo)
-    grid = beat_phase(envelope, bpm.select("series_id", (rate * 60.0 / F.col("bpm")).alias("period")))
-    rows = peaks.withColumn("confidence", tempo_confidence(F.col("peak"), F.col("mean"))).select("series_id", "confidence").join(bpm, "series_id")
-    return wanted.select("series_id").join(rows, "series_id", "left").join(grid.filter("accepted").select("series_id", "phase"), "series_id", "left").select("series_id", "bpm", "confidence", "phase")
+    bpm = materialise(fold_octave(peaks, acf, rate, tempo).join(peaks.select("series_id", tempo_confidence(F.col("peak"), F.col("mean")).alias("confidence")), "series_id"))
+    grid = beat_phase(envelope, bpm.join(of("wants_grid"), "series_id", "left_semi").select("series_id", (rate * 60.0 / F.col("bpm")).alias("period"))).filter("accepted")
+    spectra = spectrum(frames(mine.join(of("wants_key"), "series_id", "left_semi"), width, width // 2), width)
+    keys = match_key(chroma(spectra, band_class(F.col("bin"), width, rate * 4096)), profile)
+    wave = waveform(mine.join(of("wants_waveform"), "series_id", "left_semi"), bins).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "peak"))), lambda x: x["peak"]).alias("peaks"))
+    out = wanted.select("series_id").join(bpm.join(of("wants_tempo"), "series_id", "left_semi"), "series_id", "left").join(grid.select("series_id", "offset"), "series_id", "left")
+    return out.join(keys.select("series_id", F.col("pc").alias("key_pc"), F.col("minor").alias("key_minor")), "series_id", "left").join(wave, "series_id", "left")

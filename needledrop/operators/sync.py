@@ -185,6 +185,18 @@ def latest_undo(undo: DataFrame, schema: str) -> DataFrame:
     return newest.select(F.inline("items"))
 
 
+def retain_undo(undo: DataFrame, keep: int = 20) -> DataFrame:
+    """The newest ``keep`` groups."""
+    newest = undo.select("undo_id").orderBy(F.desc("undo_id")).limit(keep)
+    return undo.join(F.broadcast(newest), "undo_id", "left_semi")
+
+
+def pop_undo(undo: DataFrame, schema: str) -> DataFrame:
+    """The groups that stay once the newest readable one has been restored: it goes, and so do newer ones that cannot be read."""
+    readable = undo.filter(F.size(F.from_json("payload", schema)) > 0).agg(F.max("undo_id").alias("restored"))
+    return undo.join(F.broadcast(readable), F.col("restored").isNotNull() & (F.col("undo_id") >= F.col("restored")), "left_anti")
+
+
 def overlay(rows: DataFrame, items: DataFrame) -> DataFrame:
     """Put the columns of ``items`` back over the rows of the same path."""
     return merge_written(rows, items)

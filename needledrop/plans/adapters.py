@@ -94,9 +94,9 @@ select doc_id, '/docs/' || source || '/' || cast(doc_id as string) || '.txt' as
 from documents
 """,
     "event_series": r"""
-select event_type as series_id, cast((day(ts) - 1) * 24 + hour(ts) as int) as bucket,
+select event_type as series_id, cast((year(ts) * 366 + dayofyear(ts)) * 24 + hour(ts) as int) as bucket,
   cast(count(*) as double) as v
-from events group by event_type, cast((day(ts) - 1) * 24 + hour(ts) as int)
+from events group by event_type, cast((year(ts) * 366 + dayofyear(ts)) * 24 + hour(ts) as int)
 """,
     "reference": r"""
 select path, bpm, cast(track_no % 4 as double) / 4 as drift, key_pc, key_minor,
@@ -108,6 +108,7 @@ select t.path, e.engine,
   case (t.track_no + e.shift) % 9 when 0 then null when 1 then bpm when 2 then bpm + 0.25 when 3 then bpm + 1.5
     when 4 then bpm * 2 when 5 then bpm / 2 when 6 then bpm * 0.75 when 7 then bpm + 7 else bpm * 1.125 end as bpm,
   cast((t.track_no * 7 + e.shift) % 128 as double) / 128 as confidence,
+  cast((t.track_no * 13 + e.shift) % 400 as double) as decode_ms, cast((t.track_no * 5 + e.shift) % 90 as double) as analyse_ms,
   case when (t.track_no + e.shift) % 6 = 0 then null
     else cast((t.key_pc + (t.track_no + e.shift) % 6 * 7) % 12 as int) end as key_pc,
   case when (t.track_no + e.shift) % 5 = 0 then not t.key_minor else t.key_minor end as key_minor,

@@ -28,7 +28,7 @@ _RELATED = " or ".join(f"abs({_RATIO} / {x} - 1.0::double) <= 0.02::double" for
 _PH = "((d.beat_secs - r.beat_secs) / (60.0::double / r.bpm))"
 VIEWS = {
     "ev": f"""
-select substr(sha256(string_split(d.path, '/')[-1]), 1, 16) as name_hash, d.path, d.engine, d.bpm, d.confidence, d.key_pc, d.key_minor, d.beat_secs, r.bpm as ref_bpm, r.drift as ref_drift, r.key_pc as ref_key_pc, r.key_minor as ref_key_minor,
+select substr(sha256(string_split(d.path, '/')[-1]), 1, 16) as name_hash, d.path, d.engine, d.bpm, d.confidence, d.decode_ms, d.analyse_ms, d.key_pc, d.key_minor, d.beat_secs, r.bpm as ref_bpm, r.drift as ref_drift, r.key_pc as ref_key_pc, r.key_minor as ref_key_minor,
   case when r.drift <= 0.3 then 'steady' else 'drifting' end as tier,
   case when d.bpm is null then 'none' when abs(d.bpm - r.bpm) <= 0.5 then 'exact' when abs(d.bpm - r.bpm) <= 2.0 then 'close' when {_RELATED} then 'octave' else 'wrong' end as tempo,
   {_key_sql('d.key_pc', 'd.key_minor', 'r.key_pc', 'r.key_minor')} as key, {_PH} - floor({_PH}) as turn, least(turn, 1.0::double - turn) as phase
@@ -67,7 +67,7 @@ def e3(spark, sf_dir):
 
 @ev("e4_tempo_tally", """
 select tier, engine, count(*)::bigint as tracks, count(*) filter (where tempo = 'exact')::bigint as exact, count(*) filter (where tempo = 'close')::bigint as "close", count(*) filter (where tempo = 'octave')::bigint as octave,
-  count(*) filter (where tempo = 'wrong')::bigint as wrong, count(*) filter (where tempo = 'none')::bigint as "none", round(100.0::double * count(*) filter (where tempo = 'exact') / count(*), 4) as exact_share, avg(confidence) as mean_confidence,
+  count(*) filter (where tempo = 'wrong')::bigint as wrong, count(*) filter (where tempo = 'none')::bigint as "none", round(100.0::double * count(*) filter (where tempo = 'exact') / count(*), 4) as exact_share, avg(confidence) as mean_confidence, avg(decode_ms) as mean_decode_ms, avg(analyse_ms) as mean_analyse_ms,
   count(*) filter (where tempo = 'octave' and not ref_bpm between 70 and 180)::bigint as octave_outside from ev group by all""")
 def e4(spark, sf_dir):
     return evaluate.tempo_tally(_judged(spark, sf_dir))
@@ -144,11 +144,17 @@ def x16(spark, sf_dir):
     return _judged(spark, sf_dir).select("path", "engine", (F.abs(F.col("bpm") - F.col("ref_bpm")) <= F.col("ref_bpm") * 0.005).alias("grid_holds"), (F.col("bpm").isNotNull() & (F.col("confidence") >= 0.3)).alias("may_write"))
 
 
-@ev("a2_file_inventory")
+@ev("a2_file_inventory", r"""
+with l as (select case when track_no % 3 = 0 then upper(path) else path end as path, size_bytes from tracks union all select path, size_bytes from doc_candidates)
+select path, size_bytes from l where lower(string_split(path, '.')[-1]) in ('aiff', 'aif', 'wav', 'flac', 'alac', 'm4a', 'mp3', 'aac', 'ogg', 'opus', 'wma')""")
 def a2(spark, sf_dir):
-    """The table folder's own Parquet files, as a listing of paths and sizes."""
-    found = files.inventory(spark, sf_dir, ("parquet",))
-    return found.select(F.substring_index("path", "/", -1).alias("name"), "size_bytes")
+    """A listing of the catalogue's files, some with extensions in upper case, and of texts."""
+    t = Tables(spark, sf_dir)
+    listing = t.tracks.select(F.when(F.col("track_no") % 3 == 0, F.upper("path")).otherwise(F.col("path")).alias("path"), "size_bytes").unionByName(t.doc_candidates.select("path", "size_bytes"))
+    return files.audio_files(listing)
+
+
+_LOC = r"'file://localhost' || list_aggregate(list_transform(string_split(path, ''), lambda c: case when regexp_matches(c, '[A-Za-z0-9_.~/,()!+#$@?-]') then c else '%' || hex(c) end), 'string_agg', '')"
 
 
 def _exported(t: Tables):
@@ -156,7 +162,6 @@ def _exported(t: Tables):
     return files.number_by_path(t.catalog.join(grids, "path", "left"))
 
 
-_LOC = r"'file://localhost' || list_aggregate(list_transform(string_split(path, ''), lambda c: case when regexp_matches(c, '[A-Za-z0-9_.~/,()!+#$@?-]') then c else '%' || hex(c) end), 'string_agg', '')"
 
 
 @ev("f19_location_and_facts", f"""
@@ -170,14 +175,37 @@ def f19(spark, sf_dir):
     )
 
 
-@ev("k1_collection_export", r"""
-select row_number() over (order by path)::bigint as track_id, path, bpm > 0 and beat_secs is not null as has_grid, coalesce(title, file_name) as name, printf('%.2f', coalesce(bpm, 0.0)) as tempo, year_number
-from (select c.*, r.beat_secs, try_cast(trim(c.year) as int) as year_number from cat c left join reference r on r.path = c.path)""")
+@ev("k1_collection_export", rf"""
+select row_number() over (order by c.path)::bigint as track_id, c.path, c.bpm > 0 and r.beat_secs is not null as has_grid, coalesce(title, file_name) as name, printf('%.2f', coalesce(c.bpm, 0.0)) as tempo, try_cast(trim(c.year) as int) as year_number,
+  nullif(artist, '') as artist, nullif(album, '') as album, nullif(album_artist, '') as album_artist, nullif(genre, '') as genre, nullif(label, '') as label, case container when 'aiff' then 'AIFF File' when 'wav' then 'WAV File' when 'flac' then 'FLAC File' when 'mp3' then 'MP3 File' else 'Unknown' end as kind,
+  round(duration_secs)::bigint as secs, sample_rate, size_bytes, round(size_bytes * 8.0::double / duration_secs / 1000.0::double)::bigint as kbps, track_number, key_name, strftime(make_timestamp(download_date * 1000), '%Y-%m-%d') as added, {_LOC.replace('path', 'c.path')} as location,
+  case when c.bpm > 0 then printf('%.3f', r.beat_secs) end as beat
+from cat c left join reference r on r.path = c.path""")
 def k1(spark, sf_dir):
     """The exported elements, taken apart again natively so that a comparison sees their parts."""
     lines = files.track_lines(_exported(Tables(spark, sf_dir)))
-    part = lambda name: F.regexp_extract("line", rf' {name}="([^"]*)"', 1)
-    return lines.select("track_id", "path", F.coalesce(F.nullif(F.col("line").contains("<TEMPO "), F.lit(False)), F.lit(False)).alias("has_grid"), part("Name").alias("name"), part("AverageBpm").alias("tempo"), F.nullif(part("Year"), F.lit("")).cast("int").alias("year_number"))
+
+    def part(name: str):
+        return F.nullif(F.regexp_extract("line", rf' {name}="([^"]*)"', 1), F.lit(""))
+
+    texts = {"name": "Name", "tempo": "AverageBpm", "artist": "Artist", "album": "Album", "album_artist": "AlbumArtist", "genre": "Genre", "label": "Label", "kind": "Kind", "key_name": "Tonality", "added": "DateAdded", "location": "Location", "beat": "Inizio"}
+    numbers = {"year_number": ("Year", "int"), "secs": ("TotalTime", "bigint"), "sample_rate": ("SampleRate", "int"), "size_bytes": ("Size", "bigint"), "kbps": ("BitRate", "bigint"), "track_number": ("TrackNumber", "int")}
+    grid = F.coalesce(F.nullif(F.col("line").contains("<TEMPO "), F.lit(False)), F.lit(False)).alias("has_grid")
+    return lines.select("track_id", "path", grid, *[part(n).alias(k) for k, n in texts.items()], *[part(n).cast(kind).alias(k) for k, (n, kind) in numbers.items()])
+
+
+@ev("k1_document", r"""
+with n as (select path, row_number() over (order by path) as track_id from tracks), e as (select i.playlist_id, i.position, n.track_id from playlist_items i join n using (path)),
+l as (select 0 as section, 0::bigint as major, 0::bigint as minor, unnest(['<?xml version="1.0" encoding="UTF-8"?>', '<DJ_PLAYLISTS Version="1.0.0">']) as line
+  union all select 1, 0, 0, '<COLLECTION Entries="' || count(*) || '">' from tracks union all select 3, 0, 0, '</COLLECTION>'
+  union all select 3, 1, 0, '<PLAYLISTS><NODE Type="0" Name="ROOT" Count="' || count(*) || '">' from playlists
+  union all select 4, id, -1, '<NODE Name="' || name || '" Type="1" KeyType="0" Entries="' || (select count(*) from e where e.playlist_id = p.id) || '">' from playlists p
+  union all select 4, playlist_id, position, '<TRACK Key="' || track_id || '"/>' from e union all select 4, id, 9223372036854775807, '</NODE>' from playlists union all select 5, 0, 0, '</NODE></PLAYLISTS>' union all select 5, 1, 0, '</DJ_PLAYLISTS>')
+select section, major, minor, line from l""")
+def k1_document(spark, sf_dir):
+    """The document around the elements: heads, playlist nodes with their entries, and ends; the elements themselves are compared by K1."""
+    t = Tables(spark, sf_dir)
+    return files.document_lines(_exported(t), t.playlists, t.playlist_items).filter("section <> 2").select("section", "major", "minor", "line")
 
 
 @ev("k1_playlist_entries", "select playlist_id, position, row_number::bigint as track_id from playlist_items join (select path, row_number() over (order by path) as row_number from tracks) using (path)")
@@ -186,22 +214,34 @@ def k1_entries(spark, sf_dir):
     return files.playlist_entries(files.number_by_path(t.tracks), t.playlist_items)
 
 
-@ev("k2_round_trip", "select 0::bigint as missing, 0::bigint as added, count(*)::bigint as rows from tracks")
+@ev("k2_round_trip", "select 0::bigint as missing, 0::bigint as added, count(*)::bigint as rows, (select count(*) from playlist_items join tracks using (path))::bigint as entries from tracks")
 def k2(spark, sf_dir):
-    """Rows that are written but not read back, and the other way round."""
-    rows = _exported(Tables(spark, sf_dir))
+    """Rows that are written but not read back, in any attribute, and the other way round; and the playlist entries that come back."""
+    t = Tables(spark, sf_dir)
+    rows = _exported(t)
     folder = _folder(spark, "collection")
-    files.write_lines(files.track_lines(rows), folder)
-    back = files.read_shards(spark, folder).select(F.col("_TrackID").alias("track_id"), files.location_path(F.col("_Location")).alias("path"), F.col("_AverageBpm").alias("bpm"), F.col("_Name").alias("name"))
-    want = rows.select("track_id", "path", F.round(F.coalesce("bpm", F.lit(0.0)), 2).alias("bpm"), F.trim(F.coalesce("title", "file_name")).alias("name"))
-    back = back.withColumn("name", F.trim("name"))
-    missing, added = want.exceptAll(back).agg(F.count("*").alias("missing")), back.exceptAll(want).agg(F.count("*").alias("added"))
-    one = F.lit(1).alias("one")
-    return missing.select("*", one).join(added.select("*", one), "one").join(back.agg(F.count("*").alias("rows")).select("*", one), "one").drop("one")
+    files.write_document(files.document_lines(rows, t.playlists, t.playlist_items), folder)
+    raw = files.read_shards(spark, folder)
+    back = raw.select(
+        F.col("_TrackID").alias("track_id"), files.location_path(F.col("_Location")).alias("path"), F.trim("_Name").alias("name"), F.col("_AverageBpm").alias("bpm"), *[F.trim(f"_{n}").alias(k) for k, n in files.TEXT_ATTRIBUTES.items()],
+        *[F.col(f"_{n}").alias(k) for k, n in files.NUMBER_ATTRIBUTES.items()], F.get("TEMPO", F.lit(0))["_Inizio"].alias("beat_secs"),
+    )
+    facts = files.attributes(rows)
+    want = facts.select(
+        "track_id", "path", F.trim("name").alias("name"), F.round(F.coalesce("bpm", F.lit(0.0)), 2).alias("bpm"), *[F.nullif(F.trim(k), F.lit("")).alias(k) for k in files.TEXT_ATTRIBUTES],
+        *files.NUMBER_ATTRIBUTES, F.when(F.col("bpm") > 0, F.bround("beat_secs", 3)).alias("beat_secs"),
+    )
+    back = back.select("track_id", "path", "name", "bpm", *[F.nullif(k, F.lit("")).alias(k) for k in files.TEXT_ATTRIBUTES], *files.NUMBER_ATTRIBUTES, "beat_secs")
+    entries = spark.read.text(folder).filter("value like '<TRACK Key=%'").agg(F.count("*").alias("entries"))
+    counts = [want.exceptAll(back).agg(F.count("*").alias("missing")), back.exceptAll(want).agg(F.count("*").alias("added")), back.agg(F.count("*").alias("rows")), entries]
+    one, out = F.lit(1).alias("one"), None
+    for c in counts:  # one row each
+        out = c.select("*", one) if out is None else out.join(c.select("*", one), "one")
+    return out.drop("one")
 
 
 @ev("a5_collection_reader", r"""
-select substr(sha256(file_name), 1, 16) as name_hash, round(bpm, 2) as bpm, 0.0::double as drift, round(beat_secs, 3) as beat_secs, key_name as key from cat join (select path, beat_secs from reference) using (path) where bpm > 0""")
+select substr(sha256(file_name), 1, 16) as name_hash, round(bpm, 2) as bpm, 0.0::double as drift, round_even(beat_secs, 3) as beat_secs, key_name as key from cat join (select path, beat_secs from reference) using (path) where bpm > 0""")
 def a5(spark, sf_dir):
     folder = _folder(spark, "collection")
     files.write_lines(files.track_lines(_exported(Tables(spark, sf_dir))), folder)
@@ -244,3 +284,17 @@ with b as (select item_id, hex(encode(text)) as code from benchmark)
 select item_id, list_transform(range(0, length(code) // 8), lambda i: ('0x' || substr(code, (i * 8 + 7)::bigint, 2) || substr(code, (i * 8 + 5)::bigint, 2) || substr(code, (i * 8 + 3)::bigint, 2) || substr(code, (i * 8 + 1)::bigint, 2))::bigint) as words from b""")
 def f20(spark, sf_dir):
     return Tables(spark, sf_dir).benchmark.select("item_id", _blob_words(F.col("text").cast("binary")).alias("words"))
+
+
+@ev("f20_waveform_blob", r"""
+with b as (select item_id, hex(encode(text)) as code from benchmark)
+select item_id, list_transform(range(0, length(code) // 4), lambda i: round(('0x' || substr(code, (i * 4 + 1)::bigint, 2))::bigint / 255.0::double, 9)) as peak, list_transform(range(0, length(code) // 4), lambda i: round(('0x' || substr(code, (i * 4 + 3)::bigint, 2))::bigint / 255.0::double, 9)) as rms from b""")
+def f20_waveform(spark, sf_dir):
+    """Pairs of bytes as peaks and loudness from 0 to 1; a last odd byte is dropped."""
+    code = F.hex(F.col("text").cast("binary"))
+    n = F.floor(F.length(code) / 4).cast("int")
+
+    def side(at: int):
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.round(F.conv(F.substring(code, i * 4 + at, F.lit(2)), 16, 10).cast("double") / 255.0, 9))).otherwise(F.array().cast("array<double>"))
+
+    return Tables(spark, sf_dir).benchmark.select("item_id", side(1).alias("peak"), side(3).alias("rms"))

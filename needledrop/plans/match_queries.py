@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from needledrop.functions import text
 from needledrop.operators import dedupe, matching
 from needledrop.operators.components import connected_components
 from needledrop.plans.registry import Tables, query
-from needledrop.scratch import materialise
+from needledrop.scratch import materialise, scratch_folder
 from needledrop.sources import json_sources
 
 _NORM = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
@@ -112,8 +114,10 @@ def d10(spark, sf_dir):
 
 @dup("d11_result_swap", "select group_id, max(members)::bigint as members from dup group by group_id")
 def d11(spark, sf_dir):
-    """The new result as it reads back from an overwriting write."""
-    kept = materialise(dedupe.stored_groups(_groups(Tables(spark, sf_dir))))
+    """The new result as it reads back after it has replaced an older one."""
+    groups, folder = _groups(Tables(spark, sf_dir)), f"{scratch_folder(spark)}/duplicates/{uuid.uuid4().hex}"
+    dedupe.swap_groups(groups.filter("members > 2").withColumn("keep", F.lit("old")), folder)
+    kept = dedupe.swap_groups(groups, folder)
     return kept.groupBy("group_id").agg(F.max("members").alias("members"))
 
 
@@ -339,9 +343,17 @@ def a8(spark, sf_dir):
     return json_sources.purchases(docs.drop("page").select(F.to_json(F.struct("*")).alias("json")))
 
 
-@match("a10_page_data", r"""select page_id, replace(replace(replace(replace(nullif(regexp_extract(html, '\blang="([^"]*)"', 1), ''), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as data,
-  case when page_id % 3 = 0 then 'flac-url' when page_id % 3 = 1 then 'mp3-url' end as download from pages""")
+@match("a10_page_data", """
+select page_id, case when page_id % 5 = 0 then null when page_id % 4 < 2 then 'https://shop.example/' || coalesce(url, '') || '?a=1&b=2' when page_id % 4 = 2 then 'mp3-' || page_id end as download, page_id % 5 <> 0 and page_id % 4 < 3 as readable from pages""")
 def a10(spark, sf_dir):
-    pick = F.col("page_id") % 3
-    formats = F.from_json(F.when(pick == 0, '{"mp3-v0": "mp3-url", "flac": "flac-url"}').when(pick == 1, '{"mp3-v0": "mp3-url"}').otherwise("{}"), "map<string,string>")
-    return Tables(spark, sf_dir).pages.select("page_id", json_sources.page_attribute(F.col("html"), "lang").alias("data"), json_sources.first_format(formats, ["aiff-lossless", "flac", "mp3-v0"]).alias("download"))
+    """Pages with their data put into an attribute, escaped as sites do: unreadable in every fifth, without a known format in every fourth."""
+    no = F.col("page_id")
+    link = F.concat(F.lit("https://shop.example/"), F.coalesce("url", F.lit("")), F.lit("?a=1&b=2"))
+    urls = F.when(no % 4 < 2, F.create_map(F.lit("mp3-v0"), F.struct(F.lit("other").alias("url")), F.lit("flac"), F.struct(link.alias("url"))))
+    urls = urls.when(no % 4 == 2, F.create_map(F.lit("mp3-v0"), F.struct(F.concat(F.lit("mp3-"), no.cast("string")).alias("url"))))
+    urls = urls.otherwise(F.create_map(F.lit("odd"), F.struct(F.lit("x").alias("url"))))
+    data = F.to_json(F.struct(F.array(F.struct(urls.alias("downloads"))).alias("digital_items")))
+    blob = json_sources.escape(F.when(no % 5 == 0, F.left(data, F.length(data) - 3)).otherwise(data))
+    pages = Tables(spark, sf_dir).pages.select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), F.lit('<div data-blob="'), blob, F.lit('"></div>')).alias("html"))
+    found = json_sources.page_downloads(pages, ["aiff-lossless", "flac", "mp3-v0"])
+    return found.select("page_id", "download", F.col("download").isNotNull().alias("readable"))

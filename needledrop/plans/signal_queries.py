@@ -9,7 +9,7 @@ from needledrop.plans.registry import Tables, query
 
 #: Hourly counts as a series of one sample a second: lags of 6 to 48 hours, a day preferred.
 RATE, HALF, MIN_LAG, MAX_LAG = 1.0, 6, 6, 48
-TEMPO = signal.TempoRange(low=1.2, high=12.0, centre=2.5, width=0.45)
+TEMPO = signal.TempoRange(low=1.2, high=12.0, centre=2.5, width=0.45, least=1.0)
 _RATIOS = "[0.25::double, 1.0::double / 3, 0.5::double, 2.0::double / 3, 0.75::double, 1.0::double, 4.0::double / 3, 1.5::double, 2.0::double, 3.0::double, 4.0::double]"
 VIEWS = {
     "dense": "select g.series_id, g.b - g.lo as i, coalesce(e.v, 0.0)::double as v from (select series_id, lo, unnest(range(lo, hi + 1)) as b from (select series_id, min(bucket) as lo, max(bucket) as hi from event_series group by 1)) g left join event_series e on e.series_id = g.series_id and e.bucket = g.b",
@@ -17,12 +17,12 @@ VIEWS = {
     "env": f"select series_id, i, greatest(v - avg(v) over (partition by series_id order by i rows between {HALF} preceding and {HALF} following), 0.0) as v from flux",
     "cen": "select series_id, i, v - avg(v) over (partition by series_id) as c, var_pop(v) over (partition by series_id) as variance, count(*) over (partition by series_id) as n from env",
     "acf": f"select a.series_id, b.i - a.i as lag, sum(a.c * b.c) / (any_value(a.n) - (b.i - a.i)) / any_value(a.variance) as acf from cen a join cen b on a.series_id = b.series_id and b.i between a.i and a.i + {MAX_LAG + 1} group by 1, 2",
-    "peaks": f"select series_id, lag, acf as peak, mean, acf >= 0.1 and acf >= mean * 1.3 as accepted from (select *, avg(acf) over (partition by series_id) as mean, row_number() over (partition by series_id order by acf desc, lag) as k from acf where lag between {MIN_LAG} and {MAX_LAG}) where k = 1",
+    "peaks": f"select series_id, lag, acf as peak, mean, acf >= 0.1 and acf >= mean * 1.3 as accepted from (select *, avg(acf) over (partition by series_id) as mean, row_number() over (partition by series_id order by acf desc, lag) as k from acf where lag between {MIN_LAG} and {MAX_LAG}) where k = 1 and series_id in (select series_id from env group by 1 having count(*) >= 4 * {MAX_LAG})",
     "refined": "select p.*, p.lag + case when abs(b.y0 - 2 * b.acf + b.y2) >= 1.2e-7 and abs(0.5 * (b.y0 - b.y2) / (b.y0 - 2 * b.acf + b.y2)) <= 0.5 then 0.5 * (b.y0 - b.y2) / (b.y0 - 2 * b.acf + b.y2) else 0 end as refined from peaks p join (select *, lag(acf) over w as y0, lead(acf) over w as y2 from acf window w as (partition by series_id order by lag)) b using (series_id, lag)",
     "folded": f"select series_id, bpm from (select c.*, row_number() over (partition by c.series_id order by greatest(coalesce(a.acf, 0), 0) * exp(-0.5 * pow(log2(bpm / 2.5) / 0.45, 2)) desc, ord) as k from (select series_id, ord, 60.0::double / refined * ratio as bpm from refined, (select unnest({_RATIOS}) as ratio, unnest(range(11)) as ord)) c left join acf a on a.series_id = c.series_id and a.lag = round(60.0 / c.bpm)::int where bpm between 1.2 and 12.0) where k = 1",
     "chr": """
 select series_id, pc, s / max(s) over w as weight from (select series_id, pc, sum(m) as s, 1 as one from (select series_id, frame_id, pc, m / max(m) over (partition by series_id, frame_id) as m from (
-  select label as series_id, vec_id as frame_id, ((k - 1) % 12)::int as pc, avg(abs(embedding[k]::double)) as m from embeddings, (select unnest(range(1, 65)) as k) group by 1, 2, 3)) group by 1, 2)
+  select label as series_id, vec_id as frame_id, (round(69 + 12 * log2((k - 1) * (4096.0::double / 128 / 440)))::int % 12)::int as pc, avg(abs(embedding[k]::double)) as m from embeddings, (select unnest(range(2, 65)) as k) where 69 + 12 * log2((k - 1) * (4096.0::double / 128 / 440)) between 24 and 96 group by 1, 2, 3)) group by 1, 2)
 window w as (partition by series_id) qualify stddev_pop(s) over w / avg(s) over w >= 0.001""",
 }
 
@@ -49,11 +49,11 @@ def x1(spark, sf_dir):
 
 
 @sig("x2_framed_spectrum", """
-select vec_id as frame_id, b::int as bin, round(sqrt(pow(sum(s * cos(2 * pi() * b * (k - 1) / 64)), 2) + pow(sum(s * sin(2 * pi() * b * (k - 1) / 64)), 2)), 5) as mag
-from (select vec_id, k, embedding[k]::double * (0.5 - 0.5 * cos(2 * pi() * (k - 1) / 64)) as s from embeddings, (select unnest(range(1, 65)) as k)), (select unnest(range(33)) as b) group by 1, 2""")
+with f as (select a.series_id, a.i as frame_id, b.i - a.i as k, b.v * (0.5 - 0.5 * cos(2 * pi() * (b.i - a.i) / 64)) as s from dense a join dense b on a.series_id = b.series_id and b.i >= a.i and b.i < a.i + 64
+  join (select series_id, max(i) + 1 as n from dense group by 1) n on n.series_id = a.series_id where a.i % 32 = 0 and a.i + 64 <= n.n)
+select series_id, frame_id::bigint as frame_id, b::int as bin, round(sqrt(pow(sum(s * cos(2 * pi() * b * k / 64)), 2) + pow(sum(s * sin(2 * pi() * b * k / 64)), 2)), 4) as mag from f, (select unnest(range(33)) as b) group by 1, 2, 3""")
 def x2(spark, sf_dir):
-    frames = Tables(spark, sf_dir).embeddings.select(F.col("vec_id").alias("frame_id"), F.col("embedding").cast("array<double>").alias("samples"))
-    return signal.spectrum(frames, 64).withColumn("mag", F.round("mag", 5))
+    return signal.spectrum(signal.frames(_series(spark, sf_dir), 64, 32), 64).withColumn("mag", F.round("mag", 4))
 
 
 @sig("x3_onset_envelope", "select series_id, i::int as i, v from flux")
@@ -68,7 +68,7 @@ def x4(spark, sf_dir):
 
 @sig("x5_autocorrelation", "select series_id, lag::int as lag, round(acf, 6) as acf from acf")
 def x5(spark, sf_dir):
-    return _acf(spark, sf_dir).withColumn("acf", F.round("acf", 6))
+    return _acf(spark, sf_dir).select("series_id", "lag", F.round("acf", 6).alias("acf"))
 
 
 @sig("x6_peak_pick", "select series_id, lag::int as lag, round(peak, 6) as peak, round(mean, 6) as mean, accepted from peaks")
@@ -97,19 +97,19 @@ def x9(spark, sf_dir):
 _PHASE = """
 with n as (select series_id, count(*) as n from env group by 1), s as (select e.series_id, phase, sum(e.v) as s from n, (select unnest(range(24)) as phase), (select unnest(range(0, 200)) as beat), env e where beat < n // 24 and e.series_id = n.series_id and e.i = phase + 24 * beat group by 1, 2),
 r as (select *, avg(s) over (partition by series_id) as mean, row_number() over (partition by series_id order by round(s, 9) desc, phase) as k from s)
-select series_id, phase::int as phase, round(s, 6) as "sum", round(s / mean, 6) as ratio, s / mean >= 1.25 as accepted from r where k = 1"""
+select series_id, phase::int as phase, round(s, 6) as "sum", round(s / mean, 6) as ratio, s / mean >= 1.25 as accepted, ((phase + 5) % 24)::double as "offset", round(least(greatest((s / mean - 1.25) / 1.75, 0), 1), 6) as confidence from r where k = 1"""
 
 
 @sig("x10_beat_phase", _PHASE)
 def x10(spark, sf_dir):
     envelope = _envelope(spark, sf_dir)
     periods = envelope.select("series_id").distinct().withColumn("period", F.lit(24.0))
-    return signal.beat_phase(envelope, periods).withColumns({"sum": F.round("sum", 6), "ratio": F.round("ratio", 6)})
+    return signal.beat_phase(envelope, periods).withColumns({"sum": F.round("sum", 6), "ratio": F.round("ratio", 6), "confidence": F.round("confidence", 6)})
 
 
 def _vectors(spark, sf_dir):
     rows = Tables(spark, sf_dir).embeddings.select(F.col("label").alias("series_id"), F.col("vec_id").alias("frame_id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("bin", "mag"))
-    return signal.chroma(rows.withColumn("mag", F.abs("mag")), F.col("bin") % 12, min_variation=0.001)
+    return signal.chroma(rows.withColumn("mag", F.abs("mag")), signal.band_class(F.col("bin"), 128, 4096.0), min_variation=0.001)
 
 
 @sig("x12_chroma", "select series_id, pc, round(weight, 6) as weight from chr")
@@ -137,8 +137,17 @@ def x14(spark, sf_dir):
     return signal.waveform(_series(spark, sf_dir), 50).withColumns({"peak": F.round("peak", 9), "rms": F.round("rms", 9)})
 
 
-@sig("x15_feature_job")
+@sig("x15_feature_job", f"""
+with w as (select distinct series_id, series_id <> 'click' as wants_tempo, series_id not in ('view', 'click') as wants_waveform from dense),
+n as (select series_id, count(*) as n from dense group by 1), b as (select series_id, bin, n * bin // 50 as lo, n * (bin + 1) // 50 as hi from n, (select unnest(range(50)) as bin)),
+r as (select series_id, bin, max(abs(v)) as peak from b join dense using (series_id) where i >= lo and i < hi group by 1, 2), p as (select series_id, bin, round(least(peak / max(peak) over (partition by series_id), 1), 6) as peak from r),
+g as (select series_id, list(peak order by bin) as peaks from p group by 1)
+select w.series_id, case when wants_tempo then round(f.bpm, 5) end as bpm, case when wants_tempo and f.bpm is not null then round(sqrt(least(greatest((q.peak - 0.1) / 0.4, 0), 1) * least(greatest((case when q.mean > 0 then q.peak / q.mean else 3.0 end - 1.3) / 1.7, 0), 1)), 6) end as confidence,
+  case when wants_waveform then g.peaks end as peaks from w left join (select * from folded join peaks using (series_id) where accepted) f using (series_id) left join peaks q using (series_id) left join g using (series_id)""")
 def x15(spark, sf_dir):
+    """Every feature is computed; the phase and the key are compared by X10 and X13, the rest here."""
     series = _series(spark, sf_dir)
-    wanted = series.select("series_id").distinct().filter("series_id <> 'view'")
-    return signal.features(series, wanted, RATE, TEMPO, HALF, MIN_LAG, MAX_LAG)
+    name = F.col("series_id")
+    wanted = series.select("series_id").distinct().select("series_id", (name != "click").alias("wants_tempo"), (name != "view").alias("wants_grid"), F.lit(True).alias("wants_key"), (~name.isin("view", "click")).alias("wants_waveform"))
+    out = signal.features(series, wanted, RATE, TEMPO, HALF, MIN_LAG, MAX_LAG)
+    return out.select("series_id", F.round("bpm", 5).alias("bpm"), F.round("confidence", 6).alias("confidence"), F.transform("peaks", lambda x: F.round(x, 6)).alias("peaks"))

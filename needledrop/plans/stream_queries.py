@@ -79,7 +79,7 @@ def _progress(t: Tables) -> DataFrame:
     return t.events.select("event_id", (F.floor(F.col("event_id") / 4000)).alias("generation"), F.col("event_type").alias("stage"), (F.col("user_id") % 3 != 0).alias("done"))
 
 
-@query("t5_progress_by_stage", "select event_id // 4000 as generation, event_type as stage, count(*)::bigint as total, count(*) filter (where user_id % 3 <> 0)::bigint as done from events group by 1, 2")
+@query("t5_progress_by_stage", "select event_id // 4000 as generation, event_type as stage, count(*)::bigint as total, count(*) filter (where user_id % 3 <> 0)::bigint as done, count(*) filter (where user_id % 3 = 0) > 0 as running from events group by 1, 2")
 def t5(spark, sf_dir):
     replay = Replay(_progress(Tables(spark, sf_dir)), "event_id")
     return streams.final_rows(streams.progress(replay.stream), spark, replay.out, replay.checkpoint)

@@ -178,6 +178,19 @@ def b17(spark, sf_dir):
     return sync.overlay(now, sync.latest_undo(groups, f"array<struct<{_UNDO.replace(' string', ':string')}>>"))
 
 
+@query("b16_undo_retention", "select undo_id, items from (select track_no % 97 as undo_id, count(*)::bigint as items from tracks group by 1) order by undo_id desc limit 20")
+def b16_retention(spark, sf_dir):
+    t = Tables(spark, sf_dir).tracks
+    return sync.retain_undo(sync.capture_before(t, t.select((F.col("track_no") % 97).alias("undo_id"), "path"), ["title"])).select("undo_id", "items")
+
+
+@query("b17_undo_pop", "select distinct track_no % 97 as undo_id from tracks where track_no % 97 < 3")
+def b17_pop(spark, sf_dir):
+    """Of groups 0 to 4 the newest is unreadable: 3 is restored, and both go."""
+    groups = _undo(Tables(spark, sf_dir)).withColumn("payload", F.when(F.col("undo_id") == 4, "not json").otherwise(F.col("payload")))
+    return sync.pop_undo(groups, f"array<struct<{_UNDO.replace(' string', ':string')}>>").select("undo_id")
+
+
 @query("b18_import_scope", "select path from tracks where starts_with(path, '/lib/O/')")
 def b18(spark, sf_dir):
     return Tables(spark, sf_dir).tracks.filter(sync.inside("/lib/O/", F.col("path"))).select("path")
@@ -269,26 +282,28 @@ def g6(spark, sf_dir):
 
 
 @query("f17_conversion_plan", r"""
-select path, case when sample_rate in (44100, 48000) then sample_rate else 44100 end::int as target_rate, case when bits_per_sample > 16 then 24 else 16 end::int as target_bits,
-  regexp_replace(path, '[^/]*$', '') || regexp_replace(regexp_replace(file_name, '\.[^.]*$', ''), '[/\\:*?"<>|\x00-\x1F\x7F]', '_', 'g') || '.aiff' as output, output = path as in_place
-from cat where not compatible""")
+with p as (select *, ['aiff', 'wav', 'flac', 'alac', 'mp3', 'aac'][(track_no % 6) + 1] as target, bits_per_sample > 16 as deep from cat where not compatible)
+select path, target, case when sample_rate in (44100, 48000) then sample_rate else 44100 end::int as target_rate,
+  case target when 'aiff' then case when deep then 'pcm_s24be' else 'pcm_s16be' end when 'wav' then case when deep then 'pcm_s24le' else 'pcm_s16le' end when 'mp3' then 'libmp3lame' else target end as codec,
+  case when target in ('aiff', 'wav', 'flac', 'alac') then case when deep then 24 else 16 end end::int as target_bits, case when target in ('mp3', 'aac') then 320 end::int as kbps,
+  regexp_replace(path, '[^/]*$', '') || trim(regexp_replace(regexp_replace(file_name, '\.[^.]*$', ''), '[/\\:*?"<>|\x00-\x1F\x7F]', '_', 'g')) || '.' || case when target in ('alac', 'aac') then 'm4a' else target end as output, output = path as in_place from p""")
 def f17(spark, sf_dir):
-    from needledrop.functions import text
-
-    p = F.col("path")
-    out = F.concat(text.parent_folder(p), F.lit("/"), text.sanitize_name(text.stem(p)), F.lit(".aiff"))
     rows = Tables(spark, sf_dir).catalog.filter("not compatible")
-    return rows.select("path", rules.target_sample_rate(F.col("sample_rate")).cast("int").alias("target_rate"), F.when(F.col("bits_per_sample") > 16, 24).otherwise(16).alias("target_bits"), out.alias("output"), (out == p).alias("in_place"))
+    target = F.get(F.array(*map(F.lit, rules.TARGET_FORMATS)), (F.col("track_no") % 6).cast("int"))
+    return rules.conversion_plan(rows.withColumn("target", target)).select("path", "target", "target_rate", "codec", "target_bits", "kbps", "output", "in_place")
 
 
 @query("f18_collision_free_names", """
-with n as (select path, regexp_replace(path, '/[^/]*$', '') as dir, 'track-' || (track_no % 50) as stem from tracks), r as (select *, row_number() over (partition by dir, stem order by path) as k from n)
-select path, dir || '/' || stem || case when k > 1 then ' (' || k || ')' else '' end || '.aiff' as target from r""")
+with n as (select path, track_no, regexp_replace(path, '/[^/]*$', '') as dir, 'track-' || (track_no % 50) as stem from tracks), r as (select *, row_number() over (partition by dir, stem order by path) as i from n),
+e as (select distinct dir, stem, case when track_no % 3 = 0 then 2 else 1 end as t from n where track_no % 7 = 0), h as (select *, t - row_number() over (partition by dir, stem order by t) as at from e),
+k as (select path, r.dir, r.stem, i + count(h.at) as k from r left join h on h.dir = r.dir and h.stem = r.stem and h.at < i group by path, r.dir, r.stem, i)
+select path, dir || '/' || stem || case when k > 1 then ' (' || k || ')' else '' end || '.aiff' as target from k""")
 def f18(spark, sf_dir):
+    from needledrop.functions import text
     from needledrop.operators.naming import free_names
 
     t = Tables(spark, sf_dir).tracks
-    from needledrop.functions import text
-
-    wanted = t.select("path", text.parent_folder(F.col("path")).alias("dir"), F.concat(F.lit("track-"), (F.col("track_no") % 50).cast("string")).alias("stem"), F.lit("aiff").alias("ext"))
-    return free_names(wanted, t.select("path").limit(0)).select("path", "target")
+    wanted = t.select("path", text.parent_folder(F.col("path")).alias("dir"), F.concat(F.lit("track-"), (F.col("track_no") % 50).cast("string")).alias("stem"), F.lit("aiff").alias("ext"), "track_no")
+    number = F.when(F.col("track_no") % 3 == 0, " (2)").otherwise("")
+    there = wanted.filter("track_no % 7 = 0").select(F.concat("dir", F.lit("/"), "stem", number, F.lit(".aiff")).alias("path"))
+    return free_names(wanted, there).select("path", "target")

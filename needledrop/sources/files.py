@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from needledrop.functions.text import EXTENSIONS, blank_to_null, file_name, name_hash
 from needledrop.scratch import materialise
 
-COLLECTION = "_TrackID bigint, _Name string, _AverageBpm double, _Tonality string, _Location string, TEMPO array<struct<_Inizio:double,_Bpm:double>>"
+#: Our columns and the attributes of a collection's elements that hold them.
+TEXT_ATTRIBUTES = {"artist": "Artist", "album": "Album", "album_artist": "AlbumArtist", "genre": "Genre", "label": "Label", "kind": "Kind", "key_name": "Tonality", "added": "DateAdded"}
+NUMBER_ATTRIBUTES = {"secs": "TotalTime", "sample_rate": "SampleRate", "size_bytes": "Size", "kbps": "BitRate", "track_number": "TrackNumber", "year_number": "Year"}
+COLLECTION = ", ".join([
+    "_TrackID bigint, _Name string, _AverageBpm double, _Location string, TEMPO array<struct<_Inizio:double,_Bpm:double>>",
+    *(f"_{n} string" for n in TEXT_ATTRIBUTES.values()), *(f"_{n} bigint" for n in NUMBER_ATTRIBUTES.values()),
+])
 REFERENCE = "name_hash string, bpm double, drift double, secs int, key string, beat_secs double"
 #: Bytes that stay as they are in a location, and what kinds of containers are called.
 PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_.~/,()!+#$@?"
@@ -20,7 +26,12 @@ def inventory(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EX
     """path, size_bytes and mtime of the files below a folder with one of the extensions, without regard to case; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(folder)
     listed = files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
-    return listed.filter(F.lower(F.substring_index("path", ".", -1)).isin(*extensions))
+    return audio_files(listed, extensions)
+
+
+def audio_files(listing: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """The files of a listing that have one of the extensions, without regard to case."""
+    return listing.filter(F.lower(F.substring_index("path", ".", -1)).isin(*extensions))
 
 
 def location_url(path: Column) -> Column:
@@ -52,13 +63,26 @@ def xml_escape(c: Column) -> Column:
     return F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]", "")
 
 
-def number_by_path(tracks: DataFrame, partitions: int = 16) -> DataFrame:
-    """Add ``track_id``, 1-based in path order: ranges of paths are numbered apart and moved by the ranges before them."""
-    ranged = materialise(tracks.repartitionByRange(partitions, "path").withColumn("part", F.spark_partition_id()))
+def number_by_path(tracks: DataFrame) -> DataFrame:
+    """Add ``track_id``, 1-based in path order: ranges of paths are numbered apart and moved by the ranges before them.
+
+    Only paths are sorted and written on the way; there are as many ranges as shuffle partitions.
+    """
+    ranged = materialise(tracks.select("path").repartitionByRange("path").withColumn("part", F.spark_partition_id()))
     counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
     starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return ranged.join(F.broadcast(starts), "part").withColumn("track_id", (F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("path"))).cast("bigint")).drop("part", "start")
+    numbered = ranged.join(F.broadcast(starts), "part").select("path", (F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("path"))).cast("bigint").alias("track_id"))
+    return tracks.join(numbered, "path")
+
+
+def attributes(numbered: DataFrame) -> DataFrame:
+    """Rows with every attribute of an element under our own name."""
+    size, secs = F.col("size_bytes"), F.col("duration_secs")
+    return numbered.withColumns({
+        "name": F.coalesce("title", file_name(F.col("path"))), "kind": kind_of(F.col("container")), "added": date_of_ms(F.col("download_date")), "secs": F.greatest(F.round(secs), F.lit(0.0)).cast("bigint"),
+        "kbps": F.when(size.isNotNull(), bit_rate(size, secs)), "year_number": F.trim("year").try_cast("int").cast("bigint"), "track_number": F.col("track_number").cast("bigint"), "sample_rate": F.col("sample_rate").cast("bigint"),
+    })
 
 
 def track_lines(numbered: DataFrame) -> DataFrame:
@@ -70,19 +94,55 @@ def track_lines(numbered: DataFrame) -> DataFrame:
     def number(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"')), F.lit(""))
 
-    size, secs = F.col("size_bytes"), F.col("duration_secs")
-    year = F.trim("year").try_cast("int")
-    tempo = F.format_string("%.2f", F.coalesce("bpm", F.lit(0.0)))
+    tempo = F.format_string("%.2f", F.bround(F.coalesce("bpm", F.lit(0.0)), 2))  # ties to even, as printf has them
     grid = F.col("beat_secs").isNotNull() & (F.col("bpm") > 0)
+    parts = [number("TrackID", F.col("track_id")), attr("Name", F.col("name"))]
+    parts += [attr(n, F.col(k)) for k, n in TEXT_ATTRIBUTES.items()] + [number(n, F.col(k)) for k, n in NUMBER_ATTRIBUTES.items()]
     line = F.concat(
-        F.lit("<TRACK"), number("TrackID", F.col("track_id")), attr("Name", F.coalesce("title", file_name(F.col("path")))), attr("Artist", F.col("artist")), attr("Album", F.col("album")),
-        attr("AlbumArtist", F.col("album_artist")), attr("Genre", F.col("genre")), attr("Label", F.col("label")), attr("Kind", kind_of(F.col("container"))),
-        number("TotalTime", F.greatest(F.round(secs), F.lit(0.0)).cast("bigint")), number("SampleRate", F.col("sample_rate")), number("Size", size), number("BitRate", F.when(size.isNotNull(), bit_rate(size, secs))),
-        number("TrackNumber", F.col("track_number")), number("Year", year), number("AverageBpm", tempo), attr("Tonality", F.col("key_name")), number("DateAdded", date_of_ms(F.col("download_date"))),
-        number("Location", location_url(F.col("path"))),
-        F.when(grid, F.concat(F.lit('><TEMPO Inizio="'), F.format_string("%.3f", F.col("beat_secs")), F.lit('" Bpm="'), tempo, F.lit('" Metro="4/4" Battito="1"/></TRACK>'))).otherwise("/>"),
+        F.lit("<TRACK"), *parts, number("AverageBpm", tempo), number("Location", location_url(F.col("path"))),
+        F.when(grid, F.concat(F.lit('><TEMPO Inizio="'), F.format_string("%.3f", F.bround("beat_secs", 3)), F.lit('" Bpm="'), tempo, F.lit('" Metro="4/4" Battito="1"/></TRACK>'))).otherwise("/>"),
     )
-    return numbered.select("track_id", "path", line.alias("line"))
+    return attributes(numbered).select("track_id", "path", line.alias("line"))
+
+
+def document_lines(numbered: DataFrame, playlists: DataFrame, items: DataFrame) -> DataFrame:
+    """The whole document as lines (section, major, minor, line) in that order: head, elements, playlist nodes with the entries of exported rows, ends."""
+    spark = numbered.sparkSession
+
+    def fixed(section: int, major: int, *lines: str) -> DataFrame:
+        return spark.range(len(lines)).select(F.lit(section).alias("section"), F.lit(major).cast("bigint").alias("major"), F.lit(0).cast("bigint").alias("minor"), F.get(F.array(*map(F.lit, lines)), F.col("id").cast("int")).alias("line"))
+
+    def rows(df: DataFrame, section: int, major: Column, minor: Column, line: Column) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), major.cast("bigint").alias("major"), minor.cast("bigint").alias("minor"), line.alias("line"))
+
+    zero, one = F.lit(0), F.lit(1)
+    entries = playlist_entries(numbered, items)
+    sizes = entries.groupBy(F.col("playlist_id").alias("id")).agg(F.count("*").alias("n"))
+    nodes = playlists.join(sizes, "id", "left")
+    node = F.concat(F.lit('<NODE Name="'), xml_escape(F.col("name")), F.lit('" Type="1" KeyType="0" Entries="'), F.coalesce("n", F.lit(0)).cast("string"), F.lit('">'))
+    last = F.lit(2**63 - 1)
+    parts = [
+        fixed(0, 0, '<?xml version="1.0" encoding="UTF-8"?>', '<DJ_PLAYLISTS Version="1.0.0">'),
+        rows(numbered.agg(F.count("*").alias("n")), 1, zero, zero, F.concat(F.lit('<COLLECTION Entries="'), F.col("n").cast("string"), F.lit('">'))),
+        rows(track_lines(numbered), 2, F.col("track_id"), zero, F.col("line")),
+        fixed(3, 0, "</COLLECTION>"),
+        rows(playlists.agg(F.count("*").alias("n")), 3, one, zero, F.concat(F.lit('<PLAYLISTS><NODE Type="0" Name="ROOT" Count="'), F.col("n").cast("string"), F.lit('">'))),
+        rows(nodes, 4, F.col("id"), F.lit(-1), node),
+        rows(entries, 4, F.col("playlist_id"), F.col("position"), F.concat(F.lit('<TRACK Key="'), F.col("track_id").cast("string"), F.lit('"/>'))),
+        rows(playlists, 4, F.col("id"), last, F.lit("</NODE>")),
+        fixed(5, 0, "</NODE></PLAYLISTS>"),
+        fixed(5, 1, "</DJ_PLAYLISTS>"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def write_document(lines: DataFrame, folder: str) -> None:
+    """The document as text shards, in order: put one after the other they are one file. A new result replaces an old one."""
+    order = ["section", "major", "minor"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(folder)
 
 
 def playlist_entries(numbered: DataFrame, items: DataFrame) -> DataFrame:

@@ -75,6 +75,13 @@ def unescape(c: Column) -> Column:
     return c
 
 
+def escape(c: Column) -> Column:
+    """The text of an attribute's value."""
+    for entity, char in (("&amp;", "&"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">")):
+        c = F.replace(c, F.lit(char), F.lit(entity))
+    return c
+
+
 def page_attribute(html: Column, attribute: str) -> Column:
     """The unescaped text of the first ``attribute="..."``; null where there is none."""
     return unescape(F.nullif(F.regexp_extract(html, rf'\b{attribute}="([^"]*)"', 1), F.lit("")))
@@ -83,3 +90,14 @@ def page_attribute(html: Column, attribute: str) -> Column:
 def first_format(downloads: Column, preference: list[str]) -> Column:
     """Of a map of formats, the value of the first preferred one that is there."""
     return F.coalesce(*[F.try_element_at(downloads, F.lit(p)) for p in preference])
+
+
+PAGE_DATA = "digital_items array<struct<downloads:map<string,struct<url:string>>>>"
+
+
+def page_downloads(pages: DataFrame, preference: list[str], attribute: str = "data-blob") -> DataFrame:
+    """(page_id, data, download): the page's data as text, and its first item's URL in the first preferred format; null where there is none or the data are no JSON."""
+    rows = pages.select("page_id", page_attribute(F.col("html"), attribute).alias("data"))
+    whole = F.when(F.try_parse_json("data").isNotNull(), F.from_json("data", PAGE_DATA))
+    first = F.get(whole["digital_items"], F.lit(0))["downloads"]
+    return rows.select("page_id", "data", first_format(F.transform_values(first, lambda _, v: v["url"]), preference).alias("download"))

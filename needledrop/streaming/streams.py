@@ -61,7 +61,11 @@ def arrivals(stream: DataFrame, table: Snapshots, checkpoint: str) -> None:
 
 
 def coalesced_patches(stream: DataFrame, window: str, late: str) -> DataFrame:
-    """Per path and event-time window the newest tempo, newest key and any waveform flag; final once the watermark passes."""
+    """Per path and event-time window the newest tempo, newest key and any waveform flag.
+
+    In append mode a window comes out once, when the watermark has passed it; in complete mode every window
+    comes out each time, and none is ever dropped.
+    """
     return sync.coalesce_patches(stream.withWatermark("ts", late), F.window("ts", window))
 
 
@@ -79,8 +83,9 @@ def apply_stream(stream: DataFrame, table: Snapshots, checkpoint: str) -> None:
 
 
 def progress(stream: DataFrame) -> DataFrame:
-    """Done and total by generation and stage."""
-    return stream.groupBy("generation", "stage").agg(F.count("*").alias("total"), F.count_if("done").alias("done"))
+    """Done and total by generation and stage, and whether it is still running."""
+    counts = stream.groupBy("generation", "stage").agg(F.count("*").alias("total"), F.count_if("done").alias("done"))
+    return counts.withColumn("running", F.col("done") < F.col("total"))
 
 
 def latest_generation(stream: DataFrame, table: Snapshots, checkpoint: str) -> None:
