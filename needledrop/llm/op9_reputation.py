@@ -3,17 +3,25 @@
 Labelled page outcomes are counted per host, and the counts are shrunk through
 beta-binomial priors: suffix towards the whole web, registered domain towards its
 suffix, host towards its domain. A page passes if the lower bound of its host's
-posterior reaches a threshold. Explicit allow and block rules come first.
+posterior, a quantile of the beta distribution, reaches a threshold. Explicit allow and
+block rules come first.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Two-label public suffixes under which a registered domain takes a third label.
+from needledrop.llm.skew import look_up
+from needledrop.scratch import materialise
+
+#: Two-label public suffixes under which a registered domain takes a third label. These are the few
+#: that test tables need; the public list of thousands is not in this repository and goes into ``suffixes``.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,10 +34,10 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(url, ADDRESS, 1), UPPER, LOWER), F.regexp_extract(url, ADDRESS, 2)
 
 
-def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    """Public suffix and registered domain; a host of one label is its own domain and suffix."""
+def suffix_and_domain(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
+    """Public suffix and registered domain by a list of two-label suffixes; a host of one label is its own domain and suffix."""
     two = F.substring_index(host, ".", -2)
-    long = two.isin(*TWO_LABEL_SUFFIXES)
+    long = two.isin(*suffixes)
     return (
         F.when(long, two).otherwise(F.substring_index(host, ".", -1)),
         F.when(long, F.substring_index(host, ".", -3)).otherwise(two),
@@ -65,8 +73,46 @@ def _concentration(level: DataFrame) -> float:
     return 1 / min(max(rho, 0.001), 0.5) - 1
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """One row per host of ``pages`` (page_id, url): counts, shrunk mean and posterior lower bound.
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function for positive ``a`` and ``b``: Gauss's series on the side where it falls fast."""
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    log_beta = np.array([math.lgamma(i) + math.lgamma(j) - math.lgamma(i + j) for i, j in zip(p.tolist(), q.tolist(), strict=True)])
+    with np.errstate(divide="ignore"):
+        front = np.exp(p * np.log(y) + q * np.log1p(-y) - log_beta) / p
+    term, total, k = np.ones_like(y), np.ones_like(y), 0
+    while (term > 1e-16 * total).any():
+        term = term * (p + q + k) * y / (p + 1 + k)
+        total, k = total + term, k + 1
+    return np.where(swap, 1 - front * total, front * total)
+
+
+def beta_quantile(a: np.ndarray, b: np.ndarray, tail: float) -> np.ndarray:
+    """Where the beta distribution has ``tail`` of its mass below, by halving; 0 without ``a``, else 1 without ``b``."""
+    out, both = np.where(a <= 0, 0.0, 1.0), (a > 0) & (b > 0)
+    a, b = a[both], b[both]
+    low, high = np.zeros(len(a)), np.ones(len(a))
+    for _ in range(45):
+        middle = (low + high) / 2
+        below = incomplete_beta(a, b, middle) <= tail
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
+    out[both] = high
+    return out
+
+
+def lower_bound(a: Column, b: Column, tail: float) -> Column:
+    """``beta_quantile`` as a column: hosts of the same counts are computed once a batch."""
+
+    @F.pandas_udf("double")
+    def quantile(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs, index = np.unique(np.column_stack([a.to_numpy(float), b.to_numpy(float)]), axis=0, return_inverse=True)
+        return pd.Series(beta_quantile(pairs[:, 0], pairs[:, 1], tail)[index.ravel()])
+
+    return quantile(a, b)
+
+
+def host_reputation(pages: DataFrame, outcomes: DataFrame, tail: float = 0.05, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """One row per host of ``pages`` (page_id, url): counts, shrunk mean and the posterior's ``tail`` quantile as lower bound.
 
     ``outcomes`` has page_id and good (boolean); several outcomes of a page all count, null
     outcomes and outcomes of unknown pages do not. With no outcome at all the mean is 0.5.
@@ -74,44 +120,47 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) ->
     host, _ = url_parts(F.col("url"))
     located = pages.select("page_id", host.alias("host"))
     judged = outcomes.filter("page_id is not null and good is not null").groupBy("page_id").agg(F.count("*").alias("n"), F.count_if("good").alias("k"))
-    suffix, domain = suffix_and_domain(F.col("host"))
-    hosts = (
+    suffix, domain = suffix_and_domain(F.col("host"), suffixes)
+    hosts = materialise(
         located.join(judged, "page_id", "left")
         .groupBy("host")
         .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
         .withColumns({"suffix": suffix, "domain": domain})
     )
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    whole = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    by_suffix = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    whole = by_suffix.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     base = whole["k"] / whole["n"] if whole["n"] else 0.5
 
-    suffixes = suffixes.withColumn("parent", F.lit(base))
-    s = _concentration(suffixes)
-    means = suffixes.select("suffix", ((F.col("k") + s * F.col("parent")) / (F.col("n") + s)).alias("parent"))
+    by_suffix = by_suffix.withColumn("parent", F.lit(base))
+    s = _concentration(by_suffix)
+    means = by_suffix.select("suffix", ((F.col("k") + s * F.col("parent")) / (F.col("n") + s)).alias("parent"))
     domains = domains.join(means, "suffix")
     s = _concentration(domains)
     means = domains.select("domain", ((F.col("k") + s * F.col("parent")) / (F.col("n") + s)).alias("parent"))
-    hosts = hosts.join(means, "domain")
+    hosts = materialise(hosts.join(means, "domain"))
     s = _concentration(hosts)
-    a, b = F.col("k") + s * F.col("parent"), F.col("n") - F.col("k") + s * (1 - F.col("parent"))
-    mean = a / (a + b)
-    return hosts.select("host", "domain", "suffix", "n", "k", mean.alias("mean"), (mean - z * F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))).alias("bound"))
+    shaped = hosts.select("host", "domain", "suffix", "n", "k", (F.col("k") + s * F.col("parent")).alias("a"), (F.col("n") - F.col("k") + s * (1 - F.col("parent"))).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return shaped.select("host", "domain", "suffix", "n", "k", (a / (a + b)).alias("mean"), lower_bound(a, b, tail).alias("bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = (), threshold: float = 0.5, z: float = 1.645) -> DataFrame:
+def filter_urls(
+    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = (), threshold: float = 0.5, tail: float = 0.05, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES,
+) -> DataFrame:
     """Judge every page: page_id, host, path, rule, verdict, mean and bound of its host.
 
-    The longest rule that fits decides; else the host passes if its bound is at least
-    ``threshold``. Null urls have an empty host, which is judged like any other; repeated
+    The longest rule that fits decides; else the host passes if at most ``tail`` of its posterior lies
+    below ``threshold``. Null urls have an empty host, which is judged like any other; repeated
     rows give repeated results; an empty table gives none; further columns are ignored.
     """
     host, path = url_parts(F.col("url"))
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
     located = pages.select("page_id", host.alias("host"), path.alias("path"))
-    known = host_reputation(pages.select("page_id", "url"), outcomes, z).select("host", "mean", "bound")
-    return located.join(known, "host", "left").select(
+    known = materialise(host_reputation(pages.select("page_id", "url"), outcomes, tail, suffixes).select("host", "mean", "bound"))
+    # the pages of a host that has a large part of all are not sent to one task
+    return look_up(located, known, "host").select(
         "page_id", "host", "path", rule.alias("rule"),
-        F.coalesce(action, F.when(F.col("bound") >= threshold, "allow").otherwise("block")).alias("verdict"),
-        "mean", "bound",
+        F.coalesce(action, F.when(F.col("found.bound") >= threshold, "allow").otherwise("block")).alias("verdict"),
+        "found.mean", "found.bound",
     )

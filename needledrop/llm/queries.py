@@ -151,10 +151,14 @@ d as (select suffix, domain, sum(n) as n, sum(k) as k from h group by 1, 2), x a
 x1 as (select *, (select coalesce(sum(k) / nullif(sum(n), 0), 0.5) from x) as parent from x), xs as (select {_RHO} from x1 where n > 0),
 xm as (select suffix, (k + s * parent) / (n + s) as parent from x1, xs), d1 as (select d.*, xm.parent from d join xm using (suffix)), ds as (select {_RHO} from d1 where n > 0),
 dm as (select domain, (k + s * parent) / (n + s) as parent from d1, ds), h1 as (select h.*, dm.parent from h join dm using (domain)), hs as (select {_RHO} from h1 where n > 0),
-b as (select host, k + s * parent as a, n - k + s * (1 - parent) as b from h1, hs), v as (select host, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) as bound from b),
+b as (select host, k + s * parent as a, n - k + s * (1 - parent) as b from h1, hs),
+g as (select host, a, b, greatest(a, b) as p, least(a, b) as q from b where a > 0 and b > 0),
+t as (select host, p, q, exp(sum(ln((p + q + i - 1) * 0.5 / (p + i))) over (partition by host order by i)) as term from g, (select unnest(range(1, 3001)) as i)),
+i as (select host, exp((p + q) * ln(0.5) - lgamma(p) - lgamma(q) + lgamma(p + q)) / p * (1 + sum(term)) as below from t group by host, p, q),
+v as (select b.host, case when b.a <= 0 then false when b.b <= 0 then true when b.a >= b.b then below <= 0.05 else 1 - below <= 0.05 end as good from b left join i using (host)),
 r as (select * from (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) t(act, rh, rp)),
 m as (select distinct host, path, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(act, length(rh || rp)) as act from (select distinct host, path from p) join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by host, path)
-select page_id, host, path, rule, coalesce(act, case when bound >= 0.5 then 'allow' else 'block' end) as verdict from p join v using (host) left join m using (host, path)
+select page_id, host, path, rule, coalesce(act, case when good then 'allow' else 'block' end) as verdict from p join v using (host) left join m using (host, path)
 """
 
 ORACLE_SQL: dict[str, str] = {"op1_mixture_of_sources": OP1_SQL, "op4_benchmark_leaks": OP4_SQL, "op7_warc_round_trip": OP7_SQL, "op9_host_reputation": OP9_SQL}
