@@ -74,17 +74,26 @@ def _concentration(level: DataFrame) -> float:
 
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The regularised incomplete beta function for positive ``a`` and ``b``: Gauss's series on the side where it falls fast."""
+    """The regularised incomplete beta function for positive ``a`` and ``b``: its continued fraction, on the side where it converges fast."""
     swap = x > (a + 1) / (a + b + 2)
     p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
     log_beta = np.array([math.lgamma(i) + math.lgamma(j) - math.lgamma(i + j) for i, j in zip(p.tolist(), q.tolist(), strict=True)])
     with np.errstate(divide="ignore"):
         front = np.exp(p * np.log(y) + q * np.log1p(-y) - log_beta) / p
-    term, total, k = np.ones_like(y), np.ones_like(y), 0
-    while (term > 1e-16 * total).any():
-        term = term * (p + q + k) * y / (p + 1 + k)
-        total, k = total + term, k + 1
-    return np.where(swap, 1 - front * total, front * total)
+    # d_2m = m (q - m) y / ((p + 2m - 1)(p + 2m)), d_2m+1 = -(p + m)(p + q + m) y / ((p + 2m)(p + 2m + 1)), by quotients of neighbours
+    tiny = 1e-300
+    c, d = np.ones_like(y), 1 - (p + q) * y / (p + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    out, m, change = d.copy(), 1, np.full_like(y, 2.0)
+    while (np.abs(change - 1) > 1e-15).any() and m < 100_000:
+        for step in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 + step * d
+            c = 1 + step / c
+            d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
+            change = c * d
+            out = out * change
+        m += 1
+    return np.where(swap, 1 - front * out, front * out)
 
 
 def beta_quantile(a: np.ndarray, b: np.ndarray, tail: float) -> np.ndarray:
