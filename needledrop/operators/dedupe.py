@@ -112,7 +112,7 @@ def alignments(pairs: DataFrame) -> DataFrame:
     """
     o = pairs.withColumns({"x": F.slice("fa", F.greatest("offset", F.lit(0)) + 1, F.size("fa")), "y": F.slice("fb", F.greatest(-F.col("offset"), F.lit(0)) + 1, F.size("fb"))})
     o = o.withColumn("n", F.least(F.size("x"), F.size("y"))).filter("n > 0")
-    o = o.withColumn("bits", F.zip_with(F.slice("x", 1, F.col("n")), F.slice("y", 1, F.col("n")), lambda p, q: F.bit_count(p.bitwiseXOR(q))))
+    o = o.withColumn("bits", F.zip_with(F.slice("x", 1, F.col("n")), F.slice("y", 1, F.col("n")), lambda p, q: F.bit_count(p.bitwiseXOR(q).cast("bigint").bitwiseAND(2**32 - 1))))
     score = F.aggregate("bits", F.lit(0), lambda s, v: s + v) / F.col("n")
     best = F.min(F.struct(score.alias("score"), (-F.col("n") / F.least(F.size("fa"), F.size("fb"))).alias("minus_coverage")))
     return o.groupBy("a", "b").agg(best.alias("best")).select("a", "b", F.col("best.score").alias("score"), (-F.col("best.minus_coverage")).alias("coverage"))

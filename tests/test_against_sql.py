@@ -14,6 +14,8 @@ NAMES = (
     "minimum_slice_albums_needing_work", "a1_catalog_scan", "a9_recording_candidates", "b1_upsert", "b3_incremental_diff", "b7_relocate", "b9_apply_patches", "b17_undo_restore", "c1_facet_filter", "c4_facet_counts",
     "c5_distinct_genres", "d3_metadata_tier", "d4_name_tier", "d8_connected_components", "d12_group_pruning", "d13_album_clusters", "e4_tempo_tally", "e6_phase_report", "e9_paired_runs", "f4_core_title", "f10_parse_key",
     "f19_location_and_facts", "g1_replace_contents", "g5_move_block", "k1_collection_export", "k2_round_trip", "m1_purchase_matches", "m4_field_suggestions", "r1_album_items", "r4_folder_tree", "r5_group_summary",
+    "a2_file_inventory", "a7_json_snapshot", "a8_purchase_ingest", "a10_page_data", "b16_undo_retention", "b17_undo_pop", "f17_conversion_plan", "f18_collision_free_names", "f20_waveform_blob", "k1_document",
+    "m2_collection_origins", "m5_candidate_lookup", "t5_progress_by_stage", "x10_beat_phase", "x12_chroma", "x15_feature_job",
     "r6_playlist_groups", "x2_framed_spectrum", "x8_octave_folding", "x14_waveform", "t2_patch_coalescing", "t3_patch_application",
 )
 

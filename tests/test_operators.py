@@ -93,3 +93,74 @@ def test_entry_imports_without_corpus_operators(spark):
     assert "r5_group_summary" in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_free_names_one_after_the_other(spark):
+    """As a folder fills: each row in path order takes the first name that is not there yet."""
+    rng = random.Random(8)
+    wanted = [(f"/p{i:03d}", f"/d{rng.randrange(2)}", rng.choice(["a", "a", "b", "a (2)", "c (3) x"]), "wav") for i in range(60)]
+    there = {"/d0/a.wav", "/d0/a (3).wav", "/d1/a (2).wav", "/d1/b.wav", "/d1/b (5).wav", "/d0/a (2) (2).wav"}
+    df = spark.createDataFrame(wanted, "path string, dir string, stem string, ext string")
+    got = {r["path"]: r["target"] for r in naming.free_names(df, spark.createDataFrame([(t,) for t in there], "path string")).collect()}
+    assert len(got) == 60 and len(set(got.values())) == 60 and not set(got.values()) & there
+    held = set(there)
+    for path, folder, stem, _ in wanted:
+        if stem in ("b", "c (3) x"):  # stems that no other leads to: exactly the names of a loop
+            k = next(k for k in range(1, 99) if f"{folder}/{stem}{f' ({k})' if k > 1 else ''}.wav" not in held)
+            assert got[path] == f"{folder}/{stem}{f' ({k})' if k > 1 else ''}.wav"
+            held.add(got[path])
+
+
+def brute_alignment(a, b):
+    """(score, coverage) of the best offset of all."""
+    best = None
+    for offset in range(-len(b) + 1, len(a)):
+        x, y = a[max(offset, 0) :], b[max(-offset, 0) :]
+        n = min(len(x), len(y))
+        found = (sum(bin((p ^ q) & 0xFFFFFFFF).count("1") for p, q in zip(x[:n], y[:n])) / n, -n / min(len(a), len(b)))
+        if -found[1] >= dedupe.COVERAGE_MIN and (best is None or found < best):
+            best = found
+    return best
+
+
+def test_content_tier_finds_any_shift(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(260)]
+    texts = {"base": base, "copy": base, "other": [f"v{rng.randrange(3000)}" for _ in range(260)]}
+    for shift in (1, 4, 17, 50):
+        texts[f"front{shift}"] = [f"x{rng.randrange(3000)}" for _ in range(shift)] + base[: 260 - shift]
+        texts[f"back{shift}"] = base[shift:] + [f"x{rng.randrange(3000)}" for _ in range(shift)]
+    worn = list(base)
+    for at in rng.sample(range(260), 20):
+        worn[at] = "changed"
+    texts["worn"] = worn
+    rows = spark.createDataFrame([(k, " ".join(t), "same old name", 100.0) for k, t in texts.items()], "path string, text string, name string, duration_secs double")
+    rows = dedupe.with_fingerprint(rows)
+    fp = {r["path"]: r["fp"] for r in rows.collect()}
+    got = {(r["a"], r["b"]): (r["score"], r["coverage"]) for r in dedupe.content_edges(dedupe.band_pairs(rows), rows).collect()}
+    assert got["base", "copy"] == (0.0, 1.0) and not any("other" in pair for pair in got)
+    for i, a in enumerate(sorted(fp)):
+        for b in sorted(fp)[i + 1 :]:
+            best = brute_alignment(fp[a], fp[b])
+            fits = best is not None and best[0] <= dedupe.SCORE_MAX
+            assert ((a, b) in got) == fits, (a, b, best)
+            if fits:
+                assert abs(got[a, b][0] - best[0]) < 1e-9 and abs(got[a, b][1] + best[1]) < 1e-9
+
+
+def test_patches_in_any_order(spark):
+    from needledrop.operators import sync as s
+
+    rng = random.Random(10)
+    tracks = spark.createDataFrame([(f"/t{i}", float(i), 0.5, i % 12, None, None) for i in range(8)], "path string, bpm double, bpm_confidence double, key_pc int, bpm_seq bigint, key_seq bigint")
+    patches = [(n, f"/t{rng.randrange(10)}", rng.choice([None, 90.0 + n]), rng.choice([None, 0.25]), rng.choice([None, n % 12]), False) for n in range(60)]
+    results = []
+    for order in (list(range(0, 60, 15)), [45, 0, 30, 15]):
+        now = tracks
+        for at in order:
+            batch = spark.createDataFrame(patches[at : at + 15], "seq long, path string, bpm double, bpm_confidence double, key_pc int, waveform boolean")
+            now = s.apply_numbered(now, s.numbered_patches(batch))
+        results.append(sorted(tuple(r) for r in now.collect()))
+    assert results[0] == results[1]
+    whole = s.apply_patches(tracks, s.coalesce_patches(spark.createDataFrame(patches, "seq long, path string, bpm double, bpm_confidence double, key_pc int, waveform boolean")))
+    assert sorted(tuple(r)[:4] for r in whole.collect()) == [r[:4] for r in results[0]]
