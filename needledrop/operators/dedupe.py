@@ -31,17 +31,30 @@ def band_pairs(rows: DataFrame, width: float = BAND_SECS, key: str = "path", val
     return left.join(right, "band").filter((F.col("a") < F.col("b")) & (F.abs(F.col("va") - F.col("vb")) <= width)).select("a", "b")
 
 
+def _by_artist_and_title(rows: DataFrame) -> DataFrame:
+    """Rows with both keys, and the row before within them by length: ``a`` and the ``gap`` to it."""
+    artist = text.norm_text(F.coalesce(text.blank_to_null(F.col("album_artist")), "artist", F.lit("")))
+    title = text.core_title(F.coalesce("title", "name"), F.col("artist"), F.col("album"))
+    keyed = rows.select("path", "duration_secs", artist.alias("k_artist"), title.alias("k_title")).filter("k_artist <> '' and k_title <> ''")
+    w = Window.partitionBy("k_artist", "k_title").orderBy("duration_secs", "path")
+    return keyed.withColumns({"a": F.lag("path").over(w), "gap": F.col("duration_secs") - F.lag("duration_secs").over(w)})
+
+
 def metadata_edges(rows: DataFrame, width: float = METADATA_BAND_SECS) -> DataFrame:
     """Links between neighbours by length within equal (artist, core title), gaps up to ``width``.
 
     The components are those of all pairs within ``width``, with one edge a row at most.
     """
-    artist = text.norm_text(F.coalesce(text.blank_to_null(F.col("album_artist")), "artist", F.lit("")))
-    title = text.core_title(F.coalesce("title", "name"), F.col("artist"), F.col("album"))
-    keyed = rows.select("path", "duration_secs", artist.alias("k_artist"), title.alias("k_title")).filter("k_artist <> '' and k_title <> ''")
+    return _by_artist_and_title(rows).filter(F.col("gap") <= width).select("a", F.col("path").alias("b"))
+
+
+def metadata_components(rows: DataFrame, width: float = METADATA_BAND_SECS) -> DataFrame:
+    """(node, component) of the metadata tier alone: its links are chains, so a run between wider gaps is a component, without rounds."""
     w = Window.partitionBy("k_artist", "k_title").orderBy("duration_secs", "path")
-    linked = keyed.withColumns({"a": F.lag("path").over(w), "gap": F.col("duration_secs") - F.lag("duration_secs").over(w)})
-    return linked.filter(F.col("gap") <= width).select("a", F.col("path").alias("b"))
+    runs = _by_artist_and_title(rows).withColumn("run", F.sum(F.when(F.col("gap") <= width, 0).otherwise(1)).over(w))
+    whole = Window.partitionBy("k_artist", "k_title", "run")
+    named = runs.withColumns({"component": F.min("path").over(whole), "members": F.count("*").over(whole)})
+    return named.filter("members > 1").select(F.col("path").alias("node"), "component")
 
 
 def _with_tokens(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:

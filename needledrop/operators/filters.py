@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from needledrop.functions import text
+from needledrop.scratch import materialise
 
 
 @dataclass
@@ -106,3 +107,12 @@ def sort_tracks(catalog: DataFrame, key: str, descending: bool = False) -> DataF
         "bpm": F.col("bpm"),
     }[key]
     return catalog.withColumn("sort_value", value).orderBy(F.desc_nulls_last("sort_value") if descending else F.asc_nulls_last("sort_value"), "path")
+
+
+def number_in_order(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """Add ``name``, the 1-based place of each row in an order: ranges are numbered apart and moved by the ranges before them."""
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id()))
+    before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    starts = ranged.groupBy("range_no").agg(F.count("*").alias("n")).select("range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = ranged.join(F.broadcast(starts), "range_no").withColumn(name, (F.col("start") + F.row_number().over(Window.partitionBy("range_no").orderBy(*order))).cast("bigint"))
+    return numbered.drop("range_no", "start")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from needledrop.functions import rules, text
@@ -100,11 +99,11 @@ def c10(spark, sf_dir):
     return log.groupBy("level").agg(F.count("*").alias("events"), F.count_if("unread").alias("unread"), F.max(F.greatest("id", F.lit(1000))).cast("bigint").alias("seen"))
 
 
-@query("s1_flat_sort", "select path, bpm, row_number() over (order by bpm desc nulls last, path)::bigint as place from cat where library_dir = '/lib/P'")
+@query("s1_flat_sort", "select path, bpm, row_number() over (order by bpm desc nulls last, path)::bigint as place from cat")
 def s1(spark, sf_dir):
-    # the place makes the order visible to a comparison; one small folder, so one task may number it
-    rows = filters.sort_tracks(catalog.scan(Tables(spark, sf_dir).catalog, "/lib/P"), "bpm", descending=True)
-    return rows.select("path", "bpm", F.row_number().over(Window.orderBy(F.desc_nulls_last("sort_value"), "path")).cast("bigint").alias("place"))
+    # the place makes the order visible to a comparison
+    rows = filters.sort_tracks(Tables(spark, sf_dir).catalog, "bpm", descending=True).select("path", "bpm", "sort_value")
+    return filters.number_in_order(rows, F.desc_nulls_last("sort_value"), F.col("path")).select("path", "bpm", "place")
 
 
 @query("s2_natural_collation", r"""

@@ -46,7 +46,7 @@ def _links(t: Tables):
 
 def _groups(t: Tables):
     rows = t.tracks
-    return materialise(dedupe.assemble(rows, connected_components(_links(t))))
+    return materialise(dedupe.assemble(rows, dedupe.metadata_components(dedupe.candidates(rows))))
 
 
 @dup("d1_candidates", "select path, case when trim(title) <> '' then title else string_split(path, '/')[-1] end as name from tracks")

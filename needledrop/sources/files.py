@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from needledrop.functions.text import EXTENSIONS, blank_to_null, file_name, name_hash
-from needledrop.scratch import materialise
+from needledrop.operators.filters import number_in_order
 
 #: Our columns and the attributes of a collection's elements that hold them.
 TEXT_ATTRIBUTES = {"artist": "Artist", "album": "Album", "album_artist": "AlbumArtist", "genre": "Genre", "label": "Label", "kind": "Kind", "key_name": "Tonality", "added": "DateAdded"}
@@ -64,16 +64,8 @@ def xml_escape(c: Column) -> Column:
 
 
 def number_by_path(tracks: DataFrame) -> DataFrame:
-    """Add ``track_id``, 1-based in path order: ranges of paths are numbered apart and moved by the ranges before them.
-
-    Only paths are sorted and written on the way; there are as many ranges as shuffle partitions.
-    """
-    ranged = materialise(tracks.select("path").repartitionByRange("path").withColumn("part", F.spark_partition_id()))
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
-    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    numbered = ranged.join(F.broadcast(starts), "part").select("path", (F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("path"))).cast("bigint").alias("track_id"))
-    return tracks.join(numbered, "path")
+    """Add ``track_id``, 1-based in path order. Only paths are sorted and written on the way."""
+    return tracks.join(number_in_order(tracks.select("path"), F.col("path"), name="track_id"), "path")
 
 
 def attributes(numbered: DataFrame) -> DataFrame:
