@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from needledrop.operators import filters, sync
 from needledrop.plans.registry import Tables, query
 from needledrop.scratch import scratch_folder
 from needledrop.streaming import streams
@@ -25,8 +27,8 @@ class Replay:
         self.stream = streams.read_stream(self.spark, f"{self.folder}/in", rows.schema)
         self.checkpoint, self.out = f"{self.folder}/checkpoint", f"{self.folder}/out"
 
-    def snapshots(self, first: DataFrame) -> streams.Snapshots:
-        return streams.Snapshots(self.spark, f"{self.folder}/table", first)
+    def log(self, schema: StructType) -> streams.Log:
+        return streams.Log(self.spark, f"{self.folder}/log", schema)
 
 
 def _patches(t: Tables) -> DataFrame:
@@ -39,9 +41,9 @@ from (select * from tracks where track_no % 3 <> 0) d full join tracks_prev p on
 def t1(spark, sf_dir):
     t = Tables(spark, sf_dir)
     replay = Replay(t.tracks.filter("track_no % 3 <> 0").select("path", "mtime_ms", "size_bytes"), "path")
-    table = replay.snapshots(t.tracks_prev.select("path", "mtime_ms", "size_bytes", F.lit(None).cast("boolean").alias("fresh")))
-    streams.arrivals(replay.stream, table, replay.checkpoint)
-    return table.read()
+    log = replay.log(replay.stream.schema)
+    streams.arrivals(replay.stream, log, replay.checkpoint)
+    return streams.arrived(t.tracks_prev.select("path", "mtime_ms", "size_bytes", F.lit(None).cast("boolean").alias("fresh")), log)
 
 
 @query("t2_patch_coalescing", """
@@ -59,20 +61,18 @@ def t3(spark, sf_dir):
     t = Tables(spark, sf_dir)
     replay = Replay(_patches(t), "seq")
     none = F.lit(None).cast("bigint")
-    table = replay.snapshots(t.tracks.select("path", "bpm", "bpm_confidence", "key_pc", none.alias("bpm_seq"), none.alias("key_seq")))
-    streams.apply_stream(replay.stream, table, replay.checkpoint)
-    return table.read().drop("bpm_seq", "key_seq")
+    log = replay.log(sync.numbered_patches(_patches(t)).schema)
+    streams.log_patches(replay.stream, log, replay.checkpoint)
+    return streams.patched(t.tracks.select("path", "bpm", "bpm_confidence", "key_pc", none.alias("bpm_seq"), none.alias("key_seq")), log).drop("bpm_seq", "key_seq")
 
 
 @query("t4_micro_batch_persistence", "select path, title, true as fresh from tracks where track_no % 4 = 1 union all select path, title, false from tracks_prev where path not in (select path from tracks where track_no % 4 = 1)")
 def t4(spark, sf_dir):
-    from needledrop.operators.sync import upsert
-
     t = Tables(spark, sf_dir)
     replay = Replay(t.tracks.filter("track_no % 4 = 1").select("path", "title", F.lit(True).alias("fresh")), "path")
-    table = replay.snapshots(t.tracks_prev.select("path", "title", F.lit(False).alias("fresh")))
-    streams.run_available(replay.stream, lambda batch, n: table.step(n, lambda now: upsert(now, batch, "path")), replay.checkpoint)
-    return table.read()
+    log = replay.log(replay.stream.schema)
+    streams.replacements(replay.stream, log, replay.checkpoint)
+    return streams.replaced(t.tracks_prev.select("path", "title", F.lit(False).alias("fresh")), log, "path")
 
 
 def _progress(t: Tables) -> DataFrame:
@@ -89,18 +89,18 @@ def t5(spark, sf_dir):
 def t6(spark, sf_dir):
     rows = _progress(Tables(spark, sf_dir)).select("event_id", "generation", "stage")
     replay = Replay(rows, "event_id")
-    table = replay.snapshots(rows.limit(0))
-    streams.latest_generation(replay.stream, table, replay.checkpoint)
-    return table.read()
+    log = replay.log(rows.schema)
+    streams.latest_generation(replay.stream, log, replay.checkpoint)
+    return streams.of_newest_generation(log.read().drop("batch"))
 
 
 @query("t7_event_log_stream", "select event_id as id, event_type as level from events order by event_id desc limit 500")
 def t7(spark, sf_dir):
     rows = Tables(spark, sf_dir).events.select(F.col("event_id").alias("id"), F.col("event_type").alias("level"))
     replay = Replay(rows, "id")
-    table = replay.snapshots(rows.limit(0))
-    streams.event_log(replay.stream, table, replay.checkpoint)
-    return table.read()
+    log = replay.log(rows.schema)
+    streams.event_log(replay.stream, log, replay.checkpoint)
+    return filters.newest(log.read().drop("batch"), 500)
 
 
 @query("t8_skip_list_stream", "select '/u/' || user_id as path, arg_max(event_type, event_id) as reason, max(event_id) as seq from events where event_type <> 'purchase' group by 1")

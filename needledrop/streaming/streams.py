@@ -1,7 +1,8 @@
 """Structured Streaming over arrivals, patches, progress and event logs.
 
-State that must outlast a batch is kept in tables in the shared folder; each micro-batch writes
-a new snapshot of its own number, so a batch that is run again overwrites its own result.
+State that must outlast a batch is kept as a log in the shared folder: each micro-batch writes what it
+changes, as little as its rows tell, under its own number, so a batch that is run again overwrites its own
+rows, and no batch rewrites a table. Tables are put together when they are read; ``compact`` keeps logs short.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from needledrop.operators import filters, sync
 
@@ -24,40 +26,42 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-class Snapshots:
-    """A table that grows by micro-batches: version n is written by batch n - 1 from version n - 1."""
+class Log:
+    """Rows of micro-batches in one folder a batch, with the batch's number."""
 
-    def __init__(self, spark: SparkSession, folder: str, first: DataFrame) -> None:
-        self.spark, self.folder, self.schema = spark, folder, first.schema
-        first.write.mode("overwrite").parquet(f"{folder}/0")
-        self.version = 0
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType) -> None:
+        self.spark, self.folder, self.schema = spark, folder, schema
+        self.put(spark.createDataFrame([], schema), -1)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{self.version if version is None else version}")
+    def put(self, rows: DataFrame, number: int) -> None:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
 
-    def step(self, batch: int, change: Callable[[DataFrame], DataFrame]) -> None:
-        change(self.read(batch)).write.mode("overwrite").parquet(f"{self.folder}/{batch + 1}")
-        self.version = batch + 1
+    def read(self) -> DataFrame:
+        with_number = StructType([*self.schema.fields, StructField("batch", LongType())])
+        return self.spark.read.schema(with_number).option("basePath", self.folder).parquet(f"{self.folder}/batch=*")
 
+    def compact(self, merge: Callable[[DataFrame], DataFrame], upto: int) -> "Log":
+        """A new log in which ``merge`` has put the batches up to a number together; this one may then be deleted."""
+        out = Log(self.spark, f"{self.folder}-{upto}", self.schema)
+        out.put(merge(self.read().filter(F.col("batch") <= upto)), upto)
+        for number in sorted(r["batch"] for r in self.read().filter(F.col("batch") > upto).select("batch").distinct().collect()):
+            out.put(self.read().filter(F.col("batch") == number), number)
+        return out
 
-def arrivals(stream: DataFrame, table: Snapshots, checkpoint: str) -> None:
-    """New files against the catalogue: what is unknown or changed is refreshed, the rest reused, nothing removed.
 
-    Of several versions of a path the newest stays, whatever order they arrive in.
-    """
+def newest_files(rows: DataFrame) -> DataFrame:
+    return sync.last_of_batch(rows, "mtime_ms", "path")
 
-    def each(batch: DataFrame, number: int) -> None:
-        fresh = sync.last_of_batch(batch, "mtime_ms", "path")
 
-        def change(now: DataFrame) -> DataFrame:
-            older = fresh.join(now.filter("fresh is not null").select("path", F.col("mtime_ms").alias("had")), "path", "left")
-            fresh_now = older.filter("had is null or mtime_ms >= had").select("path", "mtime_ms", "size_bytes")
-            split = sync.reuse_or_refresh(sync.identities(now), fresh_now)
-            return sync.upsert(now, split.select("path", "mtime_ms", "size_bytes", F.col("refresh").alias("fresh")), "path")
+def arrivals(stream: DataFrame, log: Log, checkpoint: str) -> None:
+    """Log new files: of several versions of a path the newest, whatever order they arrive in."""
+    run_available(stream, lambda batch, number: log.put(newest_files(batch), number), checkpoint)
 
-        table.step(number, change)
 
-    run_available(stream, each, checkpoint)
+def arrived(catalog: DataFrame, log: Log) -> DataFrame:
+    """The catalogue with what has arrived: what is unknown or changed is refreshed, the rest reused, nothing removed."""
+    split = sync.reuse_or_refresh(sync.identities(catalog), newest_files(log.read()).select("path", "mtime_ms", "size_bytes"))
+    return sync.upsert(catalog, split.select("path", "mtime_ms", "size_bytes", F.col("refresh").alias("fresh")), "path")
 
 
 def coalesced_patches(stream: DataFrame, window: str, late: str) -> DataFrame:
@@ -69,17 +73,28 @@ def coalesced_patches(stream: DataFrame, window: str, late: str) -> DataFrame:
     return sync.coalesce_patches(stream.withWatermark("ts", late), F.window("ts", window))
 
 
-def apply_stream(stream: DataFrame, table: Snapshots, checkpoint: str) -> None:
-    """Patches applied batch by batch: unknown paths are dropped, no row goes.
+def log_patches(stream: DataFrame, log: Log, checkpoint: str) -> None:
+    """Log the newest tempo and key of each path and batch, with their numbers."""
+    run_available(stream, lambda batch, number: log.put(sync.numbered_patches(batch), number), checkpoint)
+
+
+def newest_patches(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("path").agg(F.max("p_tempo").alias("p_tempo"), F.max("p_key").alias("p_key"))
 
-    The table keeps bpm_seq and key_seq, the numbers of the patches that its tempo and key come from
-    (null: from no patch). A patch wins over those of lesser numbers only, so batches may come in any order.
-    """
 
-    def each(batch: DataFrame, number: int) -> None:
-        table.step(number, lambda now: sync.apply_numbered(now, sync.numbered_patches(batch)))
+def patched(tracks: DataFrame, log: Log) -> DataFrame:
+    """Rows with bpm_seq and key_seq under all logged patches: unknown paths are dropped, no row goes, and batches may come in any order."""
+    return sync.apply_numbered(tracks, newest_patches(log.read()))
 
-    run_available(stream, each, checkpoint)
+
+def replacements(stream: DataFrame, log: Log, checkpoint: str) -> None:
+    """Log rows that replace those of their key."""
+    run_available(stream, lambda batch, number: log.put(batch, number), checkpoint)
+
+
+def replaced(table: DataFrame, log: Log, *key: str) -> DataFrame:
+    """The table with the last batch's row of each key."""
+    return sync.upsert(table, log.read(), *key, seq="batch")
 
 
 def progress(stream: DataFrame) -> DataFrame:
@@ -88,23 +103,19 @@ def progress(stream: DataFrame) -> DataFrame:
     return counts.withColumn("running", F.col("done") < F.col("total"))
 
 
-def latest_generation(stream: DataFrame, table: Snapshots, checkpoint: str) -> None:
-    """Keep messages of the newest generation only; what an older run still says is dropped."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        def change(now: DataFrame) -> DataFrame:
-            both = now.unionByName(batch.select(*now.columns))
-            newest = both.agg(F.max("generation").alias("newest"))
-            return both.join(F.broadcast(newest), F.col("generation") == F.col("newest"), "left_semi")
+def of_newest_generation(rows: DataFrame) -> DataFrame:
+    newest = rows.agg(F.max("generation").alias("newest"))
+    return rows.join(F.broadcast(newest), F.col("generation") == F.col("newest"), "left_semi")
 
-        table.step(number, change)
 
-    run_available(stream, each, checkpoint)
+def latest_generation(stream: DataFrame, log: Log, checkpoint: str) -> None:
+    """Log messages of each batch's newest generation; what an older run still says falls out at once or when the log is read."""
+    run_available(stream, lambda batch, number: log.put(of_newest_generation(batch), number), checkpoint)
 
 
-def event_log(stream: DataFrame, table: Snapshots, checkpoint: str, keep: int = 500) -> None:
-    """Append events and keep the newest."""
-    run_available(stream, lambda batch, number: table.step(number, lambda now: filters.newest(now.unionByName(batch.select(*now.columns)), keep)), checkpoint)
+def event_log(stream: DataFrame, log: Log, checkpoint: str, keep: int = 500) -> None:
+    """Log the newest events of each batch; the newest of all are among them."""
+    run_available(stream, lambda batch, number: log.put(filters.newest(batch, keep), number), checkpoint)
 
 
 def skip_list(stream: DataFrame) -> DataFrame:

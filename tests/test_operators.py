@@ -164,3 +164,19 @@ def test_patches_in_any_order(spark):
     assert results[0] == results[1]
     whole = s.apply_patches(tracks, s.coalesce_patches(spark.createDataFrame(patches, "seq long, path string, bpm double, bpm_confidence double, key_pc int, waveform boolean")))
     assert sorted(tuple(r)[:4] for r in whole.collect()) == [r[:4] for r in results[0]]
+
+
+def test_log_batches_run_again_and_compact(spark, tmp_path):
+    from needledrop.streaming import streams
+
+    rows = lambda *r: spark.createDataFrame(r, "path string, mtime_ms long, size_bytes long")
+    log = streams.Log(spark, f"{tmp_path}/log", rows(("a", 1, 1)).schema)
+    log.put(rows(("/a", 5, 1), ("/b", 7, 1)), 0)
+    log.put(rows(("/a", 4, 9)), 1)  # an older version that arrives late
+    log.put(rows(("/b", 8, 2)), 2)
+    log.put(rows(("/b", 8, 3)), 2)  # the batch runs again
+    catalog = spark.createDataFrame([("/a", 5, 1, None), ("/c", 1, 1, None)], "path string, mtime_ms long, size_bytes long, fresh boolean")
+    want = [("/a", 5, 1, False), ("/b", 8, 3, True), ("/c", 1, 1, None)]
+    assert sorted(tuple(r) for r in streams.arrived(catalog, log).collect()) == want
+    short = log.compact(streams.newest_files, 1)
+    assert sorted(tuple(r) for r in streams.arrived(catalog, short).collect()) == want and short.read().count() == 3
