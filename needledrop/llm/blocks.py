@@ -19,6 +19,8 @@ MESSAGE = "block int, bucket int, payload binary"
 NAMES = ["block", "bucket", "payload"]
 #: Bytes of text in a block. Larger blocks send fewer and larger messages.
 BLOCK_BYTES = 6 << 20
+#: Pairs that are looked at together in a task.
+STEP = 1 << 19
 
 
 def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:
@@ -123,3 +125,17 @@ def answer_with(sent: DataFrame, more: DataFrame, work: Callable[[int, list[tupl
         return messages(work(bucket, pairs(first), pairs(second)))
 
     return sent.groupBy("bucket").cogroup(more.groupBy("bucket")).applyInArrow(run, MESSAGE)
+
+
+def ranges(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each of ``rows`` with all places from its ``low`` to its ``high``, about ``STEP`` at a time."""
+    some = high - low
+    rows = rows[some[rows] > 0]
+    upto, at = np.cumsum(some[rows]), 0
+    while at < len(rows):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP, "right")))
+        part = rows[at:end]
+        at = end
+        for skip in range(0, int(some[part].max()), STEP):
+            k = np.clip(some[part] - skip, 0, STEP)
+            yield np.repeat(part, k), np.repeat(low[part] + skip - (np.cumsum(k) - k), k) + np.arange(k.sum())

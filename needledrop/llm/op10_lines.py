@@ -42,8 +42,6 @@ SEVERAL, PIVOTS = 64, 16
 NARROW, WIDE = 64, 256
 NO_DOC = np.iinfo(np.int64).max
 NEWLINE = 10
-#: Pairs that are looked at together in a bucket.
-STEP = 1 << 19
 RESULT = "doc_id bigint, n_lines bigint, n_removed bigint, kept_sha256 string, removed array<int>"
 ROWS = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.int32()))])
 
@@ -235,20 +233,6 @@ def _within(word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(group + n, group - (-n * OVER // UNDER), "left"), np.searchsorted(group + n, group + n * UNDER // OVER, "right")
 
 
-def _ranges(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of each row with all of ``low`` to ``high``, about ``STEP`` at a time."""
-    some = high - low
-    rows = rows[some[rows] > 0]
-    upto, at = np.cumsum(some[rows]), 0
-    while at < len(rows):
-        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP, "right")))
-        part = rows[at:end]
-        at = end
-        for skip in range(0, int(some[part].max()), STEP):
-            k = np.clip(some[part] - skip, 0, STEP)
-            yield np.repeat(part, k), np.repeat(low[part] + skip - (np.cumsum(k) - k), k) + np.arange(k.sum())
-
-
 def _may_match(n: np.ndarray, place: np.ndarray, parity: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs pass the positional filter and the bound on the difference."""
     both = n[i] + n[j]
@@ -277,7 +261,7 @@ def plausible(bucket: int, got: list[tuple[int, bytes]], most: int) -> list[tupl
     found = sets > most
     _, high = _within(w, size)
     some = np.arange(len(w))
-    for i, j in _ranges(some, some + 1, np.where(found, 0, high)):
+    for i, j in blocks.ranges(some, some + 1, np.where(found, 0, high)):
         ok = _may_match(size, where, bits[:, None], i, j)
         found[i[ok]] = found[j[ok]] = True
     entry = np.empty(len(order), dtype=np.int64)
@@ -343,7 +327,7 @@ class Entries:
 
     def pairs(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(row, earlier row) for all that pass the filters, some at a time."""
-        for x, y in _ranges(rows, self.low, self.high):
+        for x, y in blocks.ranges(rows, self.low, self.high):
             ok = self.test(x, y)
             yield x[ok], y[ok]
 

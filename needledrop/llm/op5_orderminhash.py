@@ -5,7 +5,8 @@ sketches takes the labelled shingles of the least hashes and keeps them in their
 the text, so that agreement follows edit similarity. Texts that share a sketch are linked to
 the sketch's first text, and to the first of about their own length; a link stands if the banded
 alignment of the words has at most a fifth of the longer text in edits. All other pairs that share
-a sketch and are not in one class by then are aligned in a second step, so none is left out.
+a sketch and are not in one class by then are looked at in a second step, within tasks: the parities
+of hashed word classes bound the edits from below, and the few pairs that pass are aligned, so none is left out.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from needledrop.llm import tokens
+from needledrop.llm import blocks, tokens
+from needledrop.llm.skew import look_up
 from needledrop.operators.components import connected_components
 from needledrop.scratch import materialise
 
@@ -35,23 +37,29 @@ LAST = np.uint64(2**64 - 1)
 WORD = re.compile(rb"(?:[A-Za-z0-9]|[\x80-\xff])+")
 #: Members that are aligned with one text in one group; more are dealt over several.
 MEMBERS = 256
-#: Texts of a key that are compared pair by pair; those of larger keys meet by rare word pairs.
-FEW = 64
+#: Texts of a key that are looked at in one place in the second step; those of larger keys are dealt over pairs of parts.
+HOT = 2048
+#: Rows of the second step in a task, and the least bits of a text's signature.
+ROWS, BITS = 20_000, 256
 #: Bytes of text in a group of alignments.
 GROUP_BYTES = 4 << 20
 #: Up to so many words an alignment keeps a bit mask of every word.
 MASKED = 4096
 #: Texts that no id names have nodes from here on, so that the least node of a class is a doc_id where it has one.
 STRAY = 1 << 62
-#: Texts with more than this part of all rows get their class from a broadcast table, which has fewer rows than this.
-HOT_PART = 1000
 
 
 def labelled(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each value with its occurrence number within its text, and the text."""
     if not len(value):
         return np.zeros(0, np.uint64), owner
-    order = np.lexsort((value, owner))
+    order, close = None, owner[-1] >= 1 << 16
+    if not close:  # text and 48 bits of the value in one number sort fastest
+        key = (owner.astype(np.uint64) << np.uint64(48)) | (value >> np.uint64(16))
+        order = np.argsort(key, kind="stable")
+        close = ((key[order][1:] == key[order][:-1]) & (value[order][1:] != value[order][:-1])).any()
+    if close:
+        order = np.lexsort((value, owner))
     v, o = value[order], owner[order]
     first = np.maximum.accumulate(np.where(np.concatenate(([True], (v[1:] != v[:-1]) | (o[1:] != o[:-1]))), np.arange(len(v)), 0))
     occurrence = np.empty(len(v), dtype=np.uint64)
@@ -95,8 +103,24 @@ def sketch_keys(word: np.ndarray, text: np.ndarray, n_texts: int, sketches: int
     return [np.concatenate(both) for both in zip(order_minhash(word, text, n_texts, sketches), order_minhash(word[short], text[short], n_texts, sketches, 1), strict=True)]
 
 
+def signatures(word: np.ndarray, text: np.ndarray, n_texts: int) -> list[bytes]:
+    """Per text the parities of its words in hash classes, at least two for each word; half as many classes are the halves laid over each other.
+
+    Words have their occurrence number. An edit takes a word away, brings one or does both, and with it the
+    last of its occurrences, so texts of d edits differ in 2 * d parities at most, less one for each word that one is longer.
+    """
+    word, _ = labelled(word, text)
+    edges = np.searchsorted(text, np.arange(n_texts + 1))
+    out = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        classes = max(BITS, 1 << (2 * (b - a) - 1).bit_length()) if b > a else BITS
+        counts = np.bincount((word[a:b] & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+        out.append(np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
 def sketch(docs: DataFrame, sketches: int = SKETCHES) -> DataFrame:
-    """doc_id, a 128-bit hash of the text (null: empty), n_words and the sketch keys of every row."""
+    """doc_id, a 128-bit hash of the text (null: empty), n_words, the sketch keys and the signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,12 +129,13 @@ def sketch(docs: DataFrame, sketches: int = SKETCHES) -> DataFrame:
                 word, text, *_ = tokens.words(data, offsets)
                 keys = sketch_keys(word, text, end - at, sketches)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, end - at), code.slice(at, end - at), pa.array(np.bincount(text, minlength=end - at), pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "code", "n_words", "keys"],
+                    [ids.slice(at, end - at), code.slice(at, end - at), pa.array(np.bincount(text, minlength=end - at), pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signatures(word, text, end - at), pa.binary())],
+                    ["doc_id", "code", "n_words", "keys", "signature"],
                 )
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("bigint"), text.alias("text"), F.md5(text).alias("code")).mapInArrow(run, "doc_id bigint, code string, n_words bigint, keys array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint"), text.alias("text"), F.md5(text).alias("code"))
+    return rows.mapInArrow(run, "doc_id bigint, code string, n_words bigint, keys array<bigint>, signature binary")
 
 
 class Places:
@@ -241,53 +266,106 @@ def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted.join(nodes.select("node", "first_id", "code"), "node").hint("merge"), ["first_id", "code"]).drop("first_id", "code")
 
 
-def rare_grams(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, similarity: float) -> DataFrame:
-    """(doc_id, gram) of the wanted texts: so many of the rarest word pairs that two texts alike share one of them.
-
-    An edit breaks at most two of the n - 1 word pairs of the longer text, so that (2 * similarity - 1) * n - 1
-    of them are in the other text too; repeats within a text count as different pairs.
+class Signatures:
+    """Signatures of texts as rows of 64-bit numbers, one table for each number of classes."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        size = np.array([8 * len(r) for r in raw], dtype=np.int64)
+        self.level = np.round(np.log2(size // BITS)).astype(np.int64)
+        self.rows: list[np.ndarray] = []
+        self.place: list[np.ndarray] = []
+        folded = [np.frombuffer(r, dtype=np.uint64) for r in raw]
+        for level in range(int(self.level.max()), -1, -1):
+            at = np.flatnonzero(self.level >= level)
+            words = (BITS << level) // 64
+            for i in at.tolist():
+                if len(folded[i]) > words:
+                    folded[i] = folded[i][:words] ^ folded[i][words:]
+            place = np.full(len(raw), -1)
+            place[at] = np.arange(len(at))
+            self.rows.insert(0, np.stack([folded[i] for i in at.tolist()]))
+            self.place.insert(0, place)
+
+    def within(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Places of the pairs that differ in at most ``most`` parities, by the fewest classes and then by all that both have."""
+        ok = np.flatnonzero(self._gap(0, x, y) <= most)
+        both = np.minimum(self.level[x[ok]], self.level[y[ok]])
+        keep = np.ones(len(ok), dtype=bool)
+        for level in np.unique(both[both > 0]).tolist():
+            at = np.flatnonzero(both == level)
+            for some in np.array_split(at, max(1, len(at) * (BITS << level) >> 28)):
+                keep[some] = self._gap(level, x[ok[some]], y[ok[some]]) <= most[ok[some]]
+        return ok[keep]
+
+    def _gap(self, level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        rows, place = self.rows[level], self.place[level]
+        return np.bitwise_count(rows[place[x]] ^ rows[place[y]]).sum(axis=1, dtype=np.int64)
+
+
+def plausible(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b, words of both) of a bucket's groups that lie in different parts of the texts and can be alike by lengths and signatures.
+
+    A pair comes out of one group only, that of its first sketch in common.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            for at, _, data, offsets in tokens.slices(column):
-                word, text, *_ = tokens.words(data, offsets)
-                value, owner, _ = tokens.shingles(word, text, 2)
-                label, owner = labelled(value, owner)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + owner]), pa.array(label.view(np.int64))], ["doc_id", "gram"])
-
-    texts = texts_of(docs, nodes, wanted.select(F.col("doc_id").alias("node")).distinct())
-    grams = materialise(texts.select("node", "text").mapInArrow(run, "doc_id bigint, gram bigint").distinct())
-    often = grams.groupBy("gram").agg(F.count("*").alias("often")).filter("often > 1")  # a pair of one text meets nothing, but takes its place
-    ranked = grams.join(often, "gram", "left").withColumn("often", F.coalesce("often", F.lit(1)))
-    w = Window.partitionBy("doc_id")
-    ranked = ranked.withColumns({"place": F.row_number().over(w.orderBy("often", "gram")), "n": F.count("*").over(w) + 1})
-    return ranked.filter(F.col("place") <= F.col("n") - F.ceil((2 * similarity - 1) * F.col("n") - 1 - 1e-6)).filter("often > 1").select("doc_id", "gram")
-
-
-def other_pairs(docs: DataFrame, nodes: DataFrame, shared: DataFrame, tried: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    key, group, ids, n, part, side = (table.column(c).to_numpy() for c in ("key", "group", "doc_id", "n_words", "part", "side"))
+    order = np.lexsort((n, group))
+    key, group, ids, n, part, side = (v[order] for v in (key, group, ids, n, part, side))
+    lists = table.column("keys").to_pylist()
+    keys = np.zeros((len(order), max(map(len, lists))), dtype=np.int64)
+    given = np.zeros(keys.shape, dtype=bool)
+    for i, at in enumerate(order.tolist()):
+        keys[i, : len(lists[at])] = lists[at]
+        given[i, : len(lists[at])] = True
+    raw = table.column("signature").to_pylist()
+    signs = Signatures([raw[i] for i in order.tolist()])
+    number = np.cumsum(np.concatenate(([0], group[1:] != group[:-1])))
+    low = np.searchsorted((number << 34) + n, (number << 34) + np.ceil(similarity * n - 1e-9).astype(np.int64), "left")
+    high = np.searchsorted((number << 34) + n, (number << 34) + np.floor(n / similarity + 1e-9).astype(np.int64), "right")
+    # every pair of different parts has a member outside its group's largest part
+    by_part = np.lexsort((part, number))
+    first = np.flatnonzero(np.concatenate(([True], (number[by_part][1:] != number[by_part][:-1]) | (part[by_part][1:] != part[by_part][:-1]))))
+    size = np.diff(np.append(first, len(by_part)))
+    best = np.lexsort((size, number[by_part[first]]))
+    last = np.append(number[by_part[first[best]]][1:] != number[by_part[first[best]]][:-1], True)
+    largest = part[by_part[first[best[last]]]][number]
+    outside = part != largest
+    found = []
+    for x, y in blocks.ranges(np.flatnonzero(outside), low, high):
+        ok = np.flatnonzero((part[x] != part[y]) & ((side[x] == 0) | (side[x] != side[y])) & (~outside[y] | (ids[x] < ids[y])))
+        x, y = x[ok], y[ok]
+        ok = signs.within(x, y, 2 * np.floor((1 - similarity) * np.maximum(n[x], n[y]) + 1e-9).astype(np.int64) - np.abs(n[x] - n[y]))
+        for some in np.array_split(ok, max(1, len(ok) >> 14)):
+            a, b = x[some], y[some]
+            first = ((keys[a] == keys[b]) & given[a] & given[b]).argmax(axis=1)
+            mine = keys[a, first] == key[a]
+            a, b = a[mine], b[mine]
+            found.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), n[a] + n[b]]))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    return pairs[0], pairs[1], pairs[2]
+
+
+def other_pairs(reps: DataFrame, shared: DataFrame, tried: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """All further pairs with a sketch in common that can be alike and that ``classes`` does not join yet.
 
-    A key whose texts are in one class asks nothing, so a large group of copies costs no pairs. A mixed key of
-    up to ``FEW`` texts asks all pairs of texts in different classes; the texts of larger ones, as of a common
-    passage, meet by their rarest word pairs instead, which no pair alike can miss.
+    A key whose texts are in one class asks nothing, so a large group of copies costs no pairs. The texts of
+    mixed keys meet within tasks, and only pairs that pass the bounds on lengths and edits come out. A key of
+    over ``HOT`` texts is dealt over tasks, each for a pair of its parts.
     """
-    named = materialise(shared.join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", "n_words", "c", F.coalesce("component", "doc_id").alias("part")))
+    named = materialise(shared.join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", "n_words", F.coalesce("component", "doc_id").alias("part")))
     mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2")
-    members = materialise(named.join(mixed.select("key", "n"), "key"))
-    few = members if similarity <= 0.6 else members.filter(F.col("n") <= FEW)  # word pairs tell too little of looser bounds
-    many = members.filter(F.lit(similarity > 0.6) & (F.col("n") > FEW)).select("doc_id", "n_words", "part").distinct()
-    grams = many.join(rare_grams(docs, nodes, many, similarity), "doc_id")
-    sides = few.filter("doc_id <> c.doc_id").select("key", "doc_id", "n_words", "part"), few.select("key", "doc_id", "n_words", "part")
-    grams = materialise(grams.select(F.col("gram").alias("key"), "doc_id", "n_words", "part"))
-
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        left = left.select("key", F.col("doc_id").alias("center"), F.col("n_words").alias("center_words"), F.col("part").alias("center_part"))
-        pairs = left.join(right.hint("merge"), "key").filter("center < doc_id and center_part <> part").filter(_within("n_words", "center_words", similarity))
-        return pairs.select("center", "doc_id", (F.col("n_words") + F.col("center_words")).alias("n_words"))
-
-    pairs = meet(*sides).unionByName(meet(grams, grams)).distinct()
+    members = materialise(named.join(mixed.select("key", F.ceil(F.col("n") / HOT).alias("parts")), "key"))
+    buckets = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-members.count() // ROWS))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    dealt = dealt.select("key", "doc_id", "n_words", "part", F.xxhash64("key", low, high).alias("group"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+    dealt = dealt.withColumn("bucket", F.pmod("group", F.lit(buckets))).join(reps.select(F.col("node").alias("doc_id"), "signature", "keys"), "doc_id")
+
+    def run(key, table):
+        a, b, n = plausible(table, similarity)
+        return pa.table({"center": pa.array(a, pa.int64()), "doc_id": pa.array(b, pa.int64()), "n_words": pa.array(n, pa.int64())})
+
+    pairs = dealt.groupBy("bucket").applyInArrow(run, "center bigint, doc_id bigint, n_words bigint")
     return pairs.join(tried.select("center", "doc_id").hint("merge"), ["center", "doc_id"], "left_anti")
 
 
@@ -300,7 +378,7 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: floa
     facts = pairs.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
     groups = max(3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-facts["words"] * 7 // GROUP_BYTES))
     sizes = pairs.groupBy("center").agg((F.floor((F.count("*") - 1) / MEMBERS) + 1).alias("parts"))
-    dealt = pairs.join(sizes, "center").select("center", "doc_id", F.pmod(F.xxhash64("center", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), F.lit(groups)).cast("int").alias("group"))
+    dealt = materialise(pairs.join(sizes, "center").select("center", "doc_id", F.pmod(F.xxhash64("center", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), F.lit(groups)).cast("int").alias("group")))
     wanted = dealt.select(F.col("doc_id").alias("node"), "group").unionByName(dealt.select(F.col("center").alias("node"), "group")).distinct()
     there = texts_of(docs, nodes, wanted).select(F.col("group").alias("part"), F.col("node").alias("id"), "text")
 
@@ -335,12 +413,12 @@ def text_classes(docs: DataFrame, similarity: float, sketches: int) -> tuple[Dat
     """The sketched rows, and (code, node, first_id, component) of each text; component is the least node of its class."""
     facts = materialise(sketch(docs, sketches))
     nodes = materialise(text_nodes(facts))
-    reps = facts.withColumnRenamed("doc_id", "first_id").join(nodes, ["code", "first_id"]).dropDuplicates(["node"]).filter("n_words > 0")
+    reps = materialise(facts.withColumnRenamed("doc_id", "first_id").join(nodes, ["code", "first_id"]).dropDuplicates(["node"]).filter("n_words > 0").select("node", "n_words", "keys", "signature"))
     shared = materialise(shared_keys(reps.select(F.col("node").alias("doc_id"), "n_words", "keys")))
     pairs = materialise(candidate_pairs(shared, similarity))
     edges = materialise(verify(docs, nodes, pairs, similarity))
     classes = materialise(connected_components(edges))
-    rest = materialise(other_pairs(docs, nodes, shared, pairs, classes, similarity))
+    rest = materialise(other_pairs(reps, shared, pairs, classes, similarity))
     further = materialise(verify(docs, nodes, rest, similarity))
     classes = connected_components(edges.unionByName(further))
     return facts, materialise(nodes.join(classes, "node", "left").select("code", "node", "first_id", F.coalesce("component", "node").alias("component")))
@@ -357,14 +435,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, sketches: int = SK
     facts, texts = text_classes(docs, similarity, sketches)
     unnamed = texts.filter(F.col("component") >= STRAY).groupBy("component").agg(F.min("first_id").alias("least"))
     labels = materialise(texts.join(unnamed, "component", "left").select("code", F.coalesce("least", "component").alias("class_id")))
-    rows = facts.select("doc_id", "code")
-    # the rows of a text that a large part of all have are not sent to one task: there are fewer than HOT_PART such texts
-    often = rows.groupBy("code").agg(F.count("*").alias("n")).filter(F.col("n") > F.lit(rows.count() // HOT_PART))
-    hot = F.broadcast(labels.join(often.select("code"), "code").select("code", F.col("class_id").alias("hot_id")))
-    split = rows.join(hot, "code", "left")
-    found = split.filter("hot_id is not null").select("doc_id", F.col("hot_id").alias("class_id"))
-    cold = split.filter("hot_id is null").drop("hot_id").join(labels, "code", "left").select("doc_id", "class_id")
-    return found.unionByName(cold).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    # the rows of a text that a large part of all have are not sent to one task
+    return look_up(facts.select("doc_id", "code"), labels, "code").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("found.class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, sketches: int = SKETCHES) -> DataFrame:
