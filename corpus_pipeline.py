@@ -14,27 +14,42 @@ from needledrop.scratch import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier rejects go."""
+    """Documents that the compression classifier rejects go.
+
+    Null and empty texts have one score, that of the curve at 0; equal texts stay or go together; an empty
+    table stays empty; columns beside ``documents``' own stay.
+    """
     return op6_compression.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that of the smallest doc_id.
+
+    Null and empty texts are copies of each other. Of rows equal in id and text one stays; a text of a
+    repeated id goes only for a near copy of its own; rows of a null id stay. An empty table stays empty.
+    """
     return op5_orderminhash.keep_one(docs, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold four fifths of a benchmark item's shingles go."""
+    """Documents that hold four fifths of a benchmark item's shingles go.
+
+    Null texts and texts or items of under five words hold nothing and stay; an empty table stays empty.
+    """
     return op4_decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"), containment=0.8)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Nine tenths of the tokens stay, shared out by the source tree's weights in one epoch."""
+    """Nine tenths of the tokens stay, shared out by the source tree's weights in one epoch.
+
+    Null domains, languages and sources are nodes of the tree. Texts without a word, null ones too, go, as
+    they are no tokens; rows of one id in one leaf go or stay together; an empty table stays empty.
+    """
     return op1_mixture.keep_mixture(docs, domain_of_source(), MIX_WEIGHTS, fraction=0.9, seed=MIX_SEED)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sixteen shards of near equal bytes."""
+    """Sixteen shards of near equal bytes. Nulls take part like other values; rows are single units; an empty table gives none."""
     return op8_kdtree.shard_documents(docs, n_shards=16)
 
 

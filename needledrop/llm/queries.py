@@ -27,45 +27,55 @@ def domain_of_source() -> Column:
 
 
 def op1_mixture_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and epochs that a mixture of half of all tokens takes, two epochs at most."""
     return op1_mixture.mix(table(spark, sf_dir, "documents"), domain_of_source(), MIX_WEIGHTS, fraction=0.5, max_epochs=2, seed=MIX_SEED)
 
 
 def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document under 50-byte strings of earlier documents, and the hash of what is left."""
     return op2_runindex.drop_repeats(table(spark, sf_dir, "documents"), width=50).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each text, base rules and the verdict of the learned list."""
     judged = op3_rules.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 0.8 of an item's shingles."""
     return op4_decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), containment=0.8)
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of each document."""
     return op5_orderminhash.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8)
 
 
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all texts."""
     return op6_compression.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of pages written as archives and read back."""
     back = op7_warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0, chunk_bytes=1 << 15)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_kdtree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of near equal bytes."""
     return op8_kdtree.shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
 
 
 def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and verdicts of every url."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 1).alias("good"))
     return op9_reputation.filter_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES, threshold=0.5).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document that repeat or resemble earlier ones."""
     return op10_lines.drop_lines(table(spark, sf_dir, "documents"), texts=False)
 
 
