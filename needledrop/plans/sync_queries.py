@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from needledrop.functions import rules
 from needledrop.operators import membership, sync
-from needledrop.operators.catalog import catalog_view, effective
+from needledrop.operators.catalog import effective
 from needledrop.plans.registry import Tables, query
 
 KEPT = ["path", "library_dir", "mtime_ms", "size_bytes", "title", "artist", "bpm"]

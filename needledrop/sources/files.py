@@ -147,13 +147,8 @@ def write_lines(lines: DataFrame, folder: str, order: str = "track_id") -> None:
     lines.repartitionByRange(order).sortWithinPartitions(order).select("line").write.text(folder)
 
 
-def read_collection(spark: SparkSession, folder: str) -> DataFrame:
-    """Elements of collection shards. Playlist entries have the same tag, but no id."""
-    return spark.read.format("xml").option("rowTag", "TRACK").schema(COLLECTION).load(folder).filter("_TrackID is not null")
-
-
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``read_collection``, from text shards of one element a line, which split at any line."""
+    """Elements of a collection's text shards, one a line, which split at any line. Playlist entries have the same tag, but no id."""
     lines = spark.read.text(folder).filter(F.col("value").startswith("<TRACK "))
     return lines.select(F.from_xml("value", COLLECTION).alias("t")).select("t.*").filter("_TrackID is not null")
 
