@@ -18,7 +18,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from needledrop.llm import blocks
 from needledrop.llm.tokens import BASE, SLICE, mix
