@@ -104,19 +104,23 @@ def _composed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.str.normalize("NFC")
 
 
+def _if_not_ascii(c: Column) -> Column:
+    return F.when(~c.rlike(r"^\p{ASCII}*$"), c)
+
+
 def match_key(c: Column) -> Column:
     """Lower case, accents dropped, other than letters and digits as single spaces.
 
-    Spark has no Unicode normalisation, so one Arrow UDF decomposes; ASCII text never reaches it.
+    Spark has no Unicode normalisation, so one Arrow UDF decomposes; it gets null in place of ASCII text.
     """
-    plain = F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(_decomposed(c))
+    plain = F.coalesce(_decomposed(_if_not_ascii(c)), c)
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(plain), "[̀-ͯ]", ""), r"[^\p{L}\p{N}]+", " "))
 
 
 def name_hash(path: Column) -> Column:
     """Join key of a file name: 16 hexadecimal digits of the SHA-256 of its composed form."""
     name = file_name(path)
-    composed = F.when(name.rlike(r"^\p{ASCII}*$"), name).otherwise(_composed(name))
+    composed = F.coalesce(_composed(_if_not_ascii(name)), name)
     return F.substring(F.sha2(composed, 256), 1, 16)
 
 
