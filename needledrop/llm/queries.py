@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needledrop.llm import op1_mixture, op2_runindex, op3_rules, op4_decontaminate, op5_orderminhash, op6_compression, op7_warc, op8_kdtree, op9_reputation, op10_lines
+from needledrop.llm import op1_mixture, op2_runindex, op3_rules, op4_decontaminate, op5_orderminhash, op6_compression, op7_warc, op8_kdtree, op9_reputation, op10_lines, op11_negatives, op12_tokens, op13_centroids
 
 #: The source tree of the mixture: domains by the number in a source's name.
 DOMAINS = ("web", "books", "news")
@@ -79,6 +79,25 @@ def op10_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_lines.drop_lines(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the positives of every fiftieth vector; every seventh vector's label is moved on by one."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return op11_negatives.mine_negatives(vectors, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text by the word vocabulary of 49 thousand entries."""
+    import public_tokenizers
+
+    return op12_tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op13_heap_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors of 64 components after ten rounds."""
+    found = op13_centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, dims=64, seed="3")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_of_sources": op1_mixture_of_sources,
     "op2_run_length_index": op2_run_length_index,
@@ -90,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kdtree_shards": op8_kdtree_shards,
     "op9_host_reputation": op9_host_reputation,
     "op10_line_join": op10_line_join,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_counts": op12_token_counts,
+    "op13_heap_centroids": op13_heap_centroids,
 }
 
 _SHARE = """
@@ -171,4 +193,37 @@ m as (select distinct host, path, arg_max(rh || rp, length(rh || rp)) as rule, a
 select page_id, host, path, rule, coalesce(act, case when good then 'allow' else 'block' end) as verdict from p join v using (host) left join m using (host, path)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixture_of_sources": OP1_SQL, "op4_benchmark_leaks": OP4_SQL, "op7_warc_round_trip": OP7_SQL, "op9_host_reputation": OP9_SQL}
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+OP11_SQL = rf"""
+with r as materialized (select row_number() over () as k, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where label is not null and {_FINITE}),
+s as materialized (select a.k as ak, a.vec_id as anchor_id, r.k as k, r.vec_id as id, a.label = r.label as same, coalesce(list_sum(list_transform(list_zip(a.v, r.v), lambda z: coalesce(z[1] * z[2], 0))), 0)::bigint as score
+  from r a join r on a.vec_id % 50 = 0 and a.k <> r.k),
+p as (select * from s where same qualify row_number() over (partition by ak order by score desc, id nulls last, k) <= 5),
+n as (select p.ak, p.k as pk, p.anchor_id, p.id as positive_id, p.score as positive_score, s.id as negative_id, s.score as negative_score, row_number() over (partition by p.ak, p.k order by s.score desc, s.id nulls last, s.k)::int as rank
+  from p join s on s.ak = p.ak and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+_OP13_ROUND = """
+a{i} as materialized (select k, any_value(vec_id) as vec_id, any_value(v) as v, arg_min(j, (d, j)) as j, min(d) as d from (
+  select k, vec_id, v, j, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from v, c{i}) group by k),
+"""
+_OP13_MOVE = """
+m{i} as (select j, list(q order by p) as c from (select j, p, ((s - mod(mod(s, n) + n, n)) // n)::bigint as q from (select j, p, sum(x)::bigint as s, count(*)::bigint as n from (select j, unnest(v) as x, unnest(range(len(v))) as p from a{i}) group by j, p)) group by j),
+c{next} as materialized (select c{i}.j, coalesce(m{i}.c, c{i}.c) as c from c{i} left join m{i} using (j)),
+"""
+OP13_SQL = (
+    rf"""
+with v as materialized (select row_number() over () as k, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings where len(embedding) = 64 and {_FINITE}),
+c0 as materialized (select row_number() over (order by sha256('3:' || vec_id) nulls last, v) - 1 as j, v as c from v qualify j < 8),
+"""
+    + "".join(_OP13_ROUND.format(i=i) + _OP13_MOVE.format(i=i, next=i + 1) for i in range(10))
+    + _OP13_ROUND.format(i=10)
+    + """
+i as (select j, sum(d)::bigint as cluster_inertia from a10 group by j)
+select vec_id, j::int as cluster, d::bigint as distance, cluster_inertia, (select sum(d)::bigint from a10) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256 from a10 join i using (j) join c10 using (j)
+"""
+)
+
+ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": OP11_SQL, "op13_heap_centroids": OP13_SQL, "op1_mixture_of_sources": OP1_SQL, "op4_benchmark_leaks": OP4_SQL, "op7_warc_round_trip": OP7_SQL, "op9_host_reputation": OP9_SQL}
