@@ -16,6 +16,8 @@ NAME_HIGH, NAME_LOW = 0.85, 0.5
 #: Bounds of the content tier: differing bits of 32, and the covered share of the shorter fingerprint.
 SCORE_MAX, COVERAGE_MIN = 5.0, 0.7
 SCORE_SAME, COVERAGE_SAME = 3.0, 0.9
+#: Our own: the part of the shorter one's values that a pair shares, the votes of a segment, and the most places from one to the next.
+SHARED_MIN, SEEDS_MIN, GAP_MAX = 0.5, 3, 8
 
 
 def candidates(tracks: DataFrame) -> DataFrame:
@@ -98,55 +100,81 @@ def split_cached(needed: DataFrame, valid: DataFrame) -> DataFrame:
 
 
 def with_fingerprint(rows: DataFrame) -> DataFrame:
-    """Add a document's fingerprint ``fp``: a 32-bit hash of each word and the next, in order."""
+    """Add a document's fingerprint ``fp``: 32 bits of the MD5 of each word and the next, in order."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    # the words are a column of their own: inside the lambda they would be split again for every word
+    # the words are a column of their own: inside the lambda they would be split again for every word, as they are below a filter on fp
     named = rows.withColumn("words", words)
-    return named.withColumn("fp", F.transform("words", lambda w, i: F.hash(w, F.get("words", i + 1)))).drop("words")
+    pair = lambda w, i: F.concat(w, F.lit(" "), F.coalesce(F.get("words", i + 1), F.lit("")))
+    return named.withColumn("fp", F.transform("words", lambda w, i: F.conv(F.left(F.md5(pair(w, i)), F.lit(8)), 16, 10).cast("bigint"))).drop("words")
 
 
-def offsets(work: DataFrame, fp: DataFrame, tries: int = 3) -> DataFrame:
-    """(a, b, offset) of work pairs: the ``tries`` offsets at which most fingerprint values of the two agree.
+def content_pairs(rows: DataFrame, key: str = "path", width: float = BAND_SECS, value: str = "duration_secs", shared: float = SHARED_MIN) -> DataFrame:
+    """Pairs (a, b) that the fingerprints ``fp`` name: within ``width`` of each other, and ``shared`` of the shorter one's different values in both.
 
-    The offsets come from the values themselves, whatever the shift: each value of one text meets its places
-    in the other. Pairs that share no value have none.
+    Rows of one fingerprint and length are one node, their first row; the others are linked to it alone. Nodes meet by an
+    index of values: of n values, of which a partner must have at least s, one of the n - s + 1 rarest is among the
+    partner's. So the list grows with what texts share, not with the square of a length band. Rows without values have none.
     """
-    places = fp.select("id", F.posexplode("fp").alias("at", "value"))
-    left = work.join(places.select(F.col("id").alias("a"), F.col("at").alias("i"), "value"), "a")
-    met = left.join(places.select(F.col("id").alias("b"), F.col("at").alias("j"), "value"), ["b", "value"])
-    votes = met.groupBy("a", "b", (F.col("i") - F.col("j")).alias("offset")).agg(F.count("*").alias("votes"))
-    w = Window.partitionBy("a", "b").orderBy(F.desc("votes"), F.abs("offset"), "offset")
-    return votes.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= tries).select("a", "b", "offset")
+    hashed = materialise(rows.select(F.col(key).alias("id"), F.col(value).cast("double").alias("v"), "fp", F.xxhash64("fp").alias("h1"), F.xxhash64(F.lit(1), "fp").alias("h2"))).filter(F.size("fp") > 0)
+    nodes = hashed.groupBy("h1", "h2", "v").agg(F.min("id").alias("rep"))
+    copies = hashed.select("id", "h1", "h2", "v").join(nodes, ["h1", "h2", "v"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    sets = materialise(hashed.join(nodes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "v", F.array_distinct("fp").alias("values")))
+    entries = sets.select("id", "v", F.size("values").alias("n"), F.floor(F.col("v") / width).alias("band"), F.explode("values").alias("value"))
+    often = entries.groupBy("value").agg(F.count("*").alias("often"))
+    ranked = entries.join(often, "value").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("often", "value")))
+    index = ranked.filter((F.col("place") <= F.col("n") - F.ceil(F.lit(shared) * F.col("n") - 1e-9) + 1) & (F.col("often") > 1)).select(F.col("id").alias("x"), F.col("v").alias("vx"), F.col("n").alias("nx"), "band", "value")
+    probes = entries.select(F.col("id").alias("y"), F.col("v").alias("vy"), F.col("n").alias("ny"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "value")
+    met = index.join(probes, ["value", "band"]).filter((F.abs(F.col("vx") - F.col("vy")) <= width) & (F.struct("nx", "x") < F.struct("ny", "y"))).select("x", "y").distinct()
+    both = met.join(sets.select(F.col("id").alias("x"), F.col("values").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("values").alias("sy")), "y")
+    near = both.filter(F.size(F.array_intersect("sx", "sy")) >= F.ceil(F.lit(shared) * F.size("sx") - 1e-9))
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(copies)
+
+
+def segments(work: DataFrame, fp: DataFrame, seeds: int = SEEDS_MIN, gap: int = GAP_MAX) -> DataFrame:
+    """(a, b, diagonal, first, last) of the stretches at which two texts run alongside, places of a.
+
+    Values that occur once in each of the two vote for the diagonal of their places; votes of one diagonal that follow
+    within ``gap`` places are a segment, if there are ``seeds`` of them. Words put in or left out move on to the next diagonal.
+    """
+    once = fp.select("id", F.posexplode("fp").alias("at", "value")).groupBy("id", "value").agg(F.min("at").alias("at"), F.count("*").alias("n")).filter("n = 1")
+    left = work.select("a", "b").join(once.select(F.col("id").alias("a"), "value", F.col("at").alias("i")), "a")
+    votes = left.join(once.select(F.col("id").alias("b"), "value", F.col("at").alias("j")), ["b", "value"]).select("a", "b", "i", (F.col("i") - F.col("j")).alias("diagonal"))
+    w = Window.partitionBy("a", "b", "diagonal").orderBy("i")
+    runs = votes.withColumn("starts", F.when(F.col("i") - F.lag("i").over(w) <= gap, 0).otherwise(1)).withColumn("run", F.sum("starts").over(w))
+    found = runs.groupBy("a", "b", "diagonal", "run").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("votes"))
+    return found.filter(F.col("votes") >= seeds).select("a", "b", "diagonal", "first", "last")
+
 
+def segment_scores(found: DataFrame, fp: DataFrame, gap: int = GAP_MAX) -> DataFrame:
+    """(a, b, score, coverage): differing bits of 32, as a mean over the places of the shorter text that segments cover, and their share of it.
 
-def alignments(pairs: DataFrame) -> DataFrame:
-    """The best alignment of ``fa`` and ``fb`` of each (a, b) among its rows' offsets: score, the mean of differing bits
-    over the overlap, and coverage, the overlap over the shorter length; the least score, then the most coverage.
+    A segment covers the places from its first to its last vote, and up to ``gap`` further ones on either side where the
+    values are equal. A place under several segments counts once, with its least bits.
     """
-    o = pairs.withColumns({"x": F.slice("fa", F.greatest("offset", F.lit(0)) + 1, F.size("fa")), "y": F.slice("fb", F.greatest(-F.col("offset"), F.lit(0)) + 1, F.size("fb"))})
-    o = o.withColumn("n", F.least(F.size("x"), F.size("y"))).filter("n > 0")
-    o = o.withColumn("bits", F.zip_with(F.slice("x", 1, F.col("n")), F.slice("y", 1, F.col("n")), lambda p, q: F.bit_count(p.bitwiseXOR(q).cast("bigint").bitwiseAND(2**32 - 1))))
-    score = F.aggregate("bits", F.lit(0), lambda s, v: s + v) / F.col("n")
-    best = F.min(F.struct(score.alias("score"), (-F.col("n") / F.least(F.size("fa"), F.size("fb"))).alias("minus_coverage")))
-    return o.groupBy("a", "b").agg(best.alias("best")).select("a", "b", F.col("best.score").alias("score"), (-F.col("best.minus_coverage")).alias("coverage"))
+    pairs = found.groupBy("a", "b").agg(F.collect_list(F.struct("diagonal", "first", "last")).alias("runs"))
+    texts = pairs.join(fp.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(fp.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
+    each = texts.withColumns({"na": F.size("fa"), "nb": F.size("fb"), "run": F.explode("runs")})
+    d, first, last = F.col("run.diagonal"), F.col("run.first"), F.col("run.last")
+    each = each.withColumns({"start": F.greatest(first - gap, d, F.lit(0)), "stop": F.least(last + gap, F.col("na") - 1, F.col("nb") - 1 + d)})
+    n = F.col("stop") - F.col("start") + 1
+    bits = F.zip_with(F.slice("fa", F.col("start") + 1, n), F.slice("fb", F.col("start") - d + 1, n), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    inside = lambda bit, k: F.when((bit == 0) | (F.col("start") + k).between(first, last), bit)
+    places = each.select("a", "b", "na", "nb", "start", d.alias("d"), F.posexplode(F.transform(bits, inside)).alias("k", "bits")).filter("bits is not null")
+    at = F.col("start") + F.col("k")
+    least = places.groupBy("a", "b", "na", "nb", F.when(F.col("na") <= F.col("nb"), at).otherwise(at - F.col("d")).alias("at")).agg(F.min("bits").alias("bits"))
+    return least.groupBy("a", "b", "na", "nb").agg(F.avg("bits").alias("score"), F.count("*").alias("n")).select("a", "b", "score", (F.col("n") / F.least("na", "nb")).alias("coverage"))
 
 
 def content_edges(work: DataFrame, rows: DataFrame, key: str = "path") -> DataFrame:
-    """Work pairs whose fingerprints (column ``fp``) align, with score and coverage; weaker ones need a name overlap.
+    """Work pairs whose fingerprints (column ``fp``) run alongside, with score and coverage; weaker ones need a name overlap.
 
-    Only texts that differ are aligned; what they find holds for their copies, and copies of one text have score 0.
+    Pairs of equal fingerprints have score 0 and are not looked at further.
     """
-    keyed = materialise(rows.select(F.col(key).alias("id"), "fp", F.xxhash64("fp").alias("code")))  # else every join would hash all texts again
-    reps = keyed.groupBy("code", "fp").agg(F.min("id").alias("rep"))
-    of = materialise(keyed.select("id", "code", "fp").join(reps, ["code", "fp"]).select("id", "rep"))
-    texts = reps.select(F.col("rep").alias("id"), "fp").filter(F.size("fp") > 0)
-    pairs = work.join(of.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(of.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
-    unequal = materialise(pairs.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    tried = offsets(unequal, texts)
-    tried = tried.join(texts.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(texts.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
-    found = alignments(tried).select(F.col("a").alias("x"), F.col("b").alias("y"), "score", "coverage")
-    same = pairs.filter("ra = rb").join(texts.select(F.col("id").alias("ra")), "ra", "left_semi").select("a", "b", F.lit(0.0).alias("score"), F.lit(1.0).alias("coverage"))
-    best = pairs.filter("ra <> rb").join(found, (F.least("ra", "rb") == F.col("x")) & (F.greatest("ra", "rb") == F.col("y"))).select("a", "b", "score", "coverage").unionByName(same)
+    keyed = materialise(rows.select(F.col(key).alias("id"), "fp", F.xxhash64("fp").alias("h1"), F.xxhash64(F.lit(1), "fp").alias("h2"))).filter(F.size("fp") > 0)  # else every join would hash all texts again
+    codes = keyed.select("id", "h1", "h2")
+    pairs = materialise(work.join(codes.toDF("a", "p1", "p2"), "a").join(codes.toDF("b", "q1", "q2"), "b").select("a", "b", F.expr("p1 = q1 and p2 = q2").alias("same")))
+    found = segment_scores(segments(pairs.filter("not same"), keyed), keyed)
+    best = found.unionByName(pairs.filter("same").select("a", "b", F.lit(0.0).alias("score"), F.lit(1.0).alias("coverage")))
     good = best.filter((F.col("score") <= SCORE_MAX) & (F.col("coverage") >= COVERAGE_MIN))
     sure = (F.col("score") <= SCORE_SAME) & (F.col("coverage") >= COVERAGE_SAME)
     named = _with_tokens(good, rows, key)

@@ -221,7 +221,7 @@ def k2(spark, sf_dir):
     rows = _exported(t)
     folder = _folder(spark, "collection")
     files.write_document(files.document_lines(rows, t.playlists, t.playlist_items), folder)
-    raw = files.read_shards(spark, folder)
+    raw = files.read_collection(spark, folder)
     back = raw.select(
         F.col("_TrackID").alias("track_id"), files.location_path(F.col("_Location")).alias("path"), F.trim("_Name").alias("name"), F.col("_AverageBpm").alias("bpm"), *[F.trim(f"_{n}").alias(k) for k, n in files.TEXT_ATTRIBUTES.items()],
         *[F.col(f"_{n}").alias(k) for k, n in files.NUMBER_ATTRIBUTES.items()], F.get("TEMPO", F.lit(0))["_Inizio"].alias("beat_secs"),
@@ -240,12 +240,51 @@ def k2(spark, sf_dir):
     return out.drop("one")
 
 
-@ev("a5_collection_reader", r"""
-select substr(sha256(file_name), 1, 16) as name_hash, round(bpm, 2) as bpm, 0.0::double as drift, round_even(beat_secs, 3) as beat_secs, key_name as key from cat join (select path, beat_secs from reference) using (path) where bpm > 0""")
+#: A collection as other programs write it: elements over several lines, a TEMPO on a line of its own, a second one where a tempo changes, unanalysed and misplaced rows, and names that repeat.
+_LAYOUT = r"""
+with t as (select path, track_no, string_split(path, '/')[-1] as name, round(bpm, 2) as bpm, track_no % 600 as secs, key_name, beat_secs from cat join (select path as p, beat_secs from reference) r on r.p = path),
+x as (select name, track_no, 0 as again, case when track_no % 9 = 4 then 0 else bpm end as bpm, track_no % 7 = 3 as bare, track_no % 10 = 7 as lost, secs, key_name, beat_secs, track_no % 4 = 1 as changes from t
+  union all select name, track_no, 1, case when track_no % 3 = 0 then bpm + 1 else bpm end, false, false, secs + 1, key_name, beat_secs, false from t where track_no % 5 = 2),
+r as (select *, case when coalesce(bpm, 0) <= 0 then 'no BPM (never analysed)' when bare then 'no grid (BPM from the tag, not from analysis)' when lost then 'no location' end as reason from x),
+k as (select *, row_number() over (partition by name order by again, track_no) as place, count(*) over (partition by name) as n, count(distinct bpm) over (partition by name) as tempos from r where reason is null)
+"""
+
+
+def _foreign_collection(t: Tables):
+    rows = _exported(t).join(t.reference.select("path"), "path", "left_semi").withColumns({"no": F.col("track_no"), "bpm": F.round("bpm", 2)})
+    copies = rows.filter("no % 5 = 2").withColumns({"again": F.lit(1), "bpm": F.when(F.col("no") % 3 == 0, F.col("bpm") + 1).otherwise(F.col("bpm"))})
+    first = rows.withColumns({"again": F.lit(0), "bpm": F.when(F.col("no") % 9 == 4, F.lit(0.0)).otherwise(F.col("bpm"))})
+    every, once = first.unionByName(copies), F.col("again") == 0
+    beat, tempo = F.format_string("%.3f", F.bround(F.coalesce("beat_secs", F.lit(0.0)), 3)), lambda c: F.format_string("%.2f", F.coalesce(c, F.lit(0.0)))
+    text = lambda c: files.xml_escape(c)
+    place = F.concat(F.lit("file://localhost/other/"), F.col("again").cast("string"), F.replace(files.location_url(F.col("path")), F.lit("file://localhost"), F.lit("")))
+    element = F.concat(
+        F.lit('    <TRACK TrackID="'), (F.col("no") * 2 + F.col("again")).cast("string"), F.lit('" Name="a > b"\n      Tonality="'), F.coalesce(text(F.col("key_name")), F.lit("")), F.lit('" TotalTime="'), (F.col("no") % 600 + F.col("again")).cast("string"),
+        F.lit('"\n      AverageBpm="'), tempo(F.col("bpm")), F.lit('" Location="'), F.when(once & (F.col("no") % 10 == 7), F.lit("")).otherwise(place), F.lit('"'),
+        F.when(once & (F.col("no") % 7 == 3), F.lit("/>")).otherwise(F.concat(
+            F.lit('>\n      <TEMPO Inizio="'), beat, F.lit('" Bpm="'), tempo(F.col("bpm")), F.lit('" Metro="4/4" Battito="1"/>\n'),
+            F.when(once & (F.col("no") % 4 == 1), F.concat(F.lit('      <TEMPO Inizio="60.000" Bpm="'), tempo(F.col("bpm") + 0.5), F.lit('" Metro="4/4" Battito="1"/>\n'))).otherwise(""), F.lit("    </TRACK>"))),
+    )
+    lines = every.select((F.col("again") + 1).alias("section"), F.col("no").alias("major"), F.lit(0).alias("minor"), element.alias("line"))
+    head = '<?xml version="1.0"?>\n<DJ_PLAYLISTS Version="1.0.0">\n  <COLLECTION>'
+    tail = '  </COLLECTION>\n  <PLAYLISTS>\n    <NODE Type="1">\n      <TRACK Key="1"/>\n    </NODE>\n  </PLAYLISTS>\n</DJ_PLAYLISTS>'
+    ends = t.spark.createDataFrame([(0, 0, 0, head), (3, 0, 0, tail)], "section int, major long, minor int, line string")
+    folder = _folder(t.spark, "collection")
+    files.write_document(lines.unionByName(ends), folder)
+    return files.read_collection(t.spark, folder)
+
+
+@ev("a5_collection_reader", _LAYOUT + """
+select substr(sha256(name), 1, 16) as name_hash, bpm, case when changes then 0.5::double else 0.0 end as drift, secs::bigint as secs, round_even(round_even(beat_secs, 3), 4) as beat_secs, key_name as key from k where place = 1 and tempos = 1""")
 def a5(spark, sf_dir):
-    folder = _folder(spark, "collection")
-    files.write_lines(files.track_lines(_exported(Tables(spark, sf_dir))), folder)
-    return files.reference_rows(files.read_shards(spark, folder))
+    return files.reference_rows(_foreign_collection(Tables(spark, sf_dir)))
+
+
+@ev("a5_dropped_rows", _LAYOUT + """
+select reason, count(*)::bigint as n from r where reason is not null group by 1 union all select * from (select 'duplicate filename', count(*)::bigint as n from k where place > 1) where n > 0
+union all select * from (select 'duplicate filename, disagreeing BPM', count(distinct name)::bigint as n from k where tempos > 1) where n > 0""")
+def a5_dropped(spark, sf_dir):
+    return files.dropped_rows(_foreign_collection(Tables(spark, sf_dir)))
 
 
 @ev("k3_reference_csv", "select substr(sha256(string_split(path, '/')[-1]), 1, 16) as name_hash, bpm, drift, (track_no % 600)::int as secs, case when track_no % 5 > 0 then key_pc::varchar end as key, case when track_no % 7 > 0 then beat_secs end as beat_secs from reference join (select path, track_no from tracks) using (path)")

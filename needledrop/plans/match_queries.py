@@ -74,26 +74,47 @@ parts as (select n as node, least(n, min(m)) as component from r group by n)
 """
 
 
-@dup("d5_content_work_list", _NAME_PARTS + "select band.a, band.b from band left join parts x on x.node = band.a left join parts y on y.node = band.b where x.component is null or y.component is null or x.component <> y.component")
-def d5(spark, sf_dir):
-    docs = Tables(spark, sf_dir).doc_candidates
-    pairs = dedupe.band_pairs(docs)
-    return dedupe.content_work(pairs, dedupe.name_edges(docs))
+#: Fingerprints, one node for each of them and length, pairs that share half of the shorter one's values, and which of these the names have not connected.
+_CONTENT = _NAME_PARTS + r""", w as materialized (select path, name, doc_id, duration_secs as v, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from doc_candidates),
+f as materialized (select * exclude w, list_transform(range(1, len(w) + 1), lambda i: ('0x' || left(md5(w[i] || ' ' || coalesce(w[i + 1], '')), 8))::bigint) as fp, list_distinct(fp) as s, min(path) over (partition by w, v) as rep from w where len(w) > 0),
+near as materialized (select band.a, band.b from band join f x on x.path = band.a join f y on y.path = band.b where x.path = x.rep and y.path = y.rep),
+work as materialized (select c.a, c.b from (
+  select a, b from near join f x on x.path = a join f y on y.path = b where len(list_intersect(x.s, y.s)) >= ceil(0.5 * least(len(x.s), len(y.s)))
+  union all select rep, path from f where path <> rep) c left join parts p on p.node = c.a left join parts q on q.node = c.b where p.component is null or q.component is null or p.component <> q.component)
+"""
 
 
-@dup("d6_fingerprint_cache_split", _NAME_PARTS + """, w as (select band.a, band.b from band left join parts x on x.node = band.a left join parts y on y.node = band.b where x.component is null or y.component is null or x.component <> y.component),
-n as (select a as path from w union select b from w) select path, doc_id % 3 = 0 as cached from n join doc_candidates using (path)""")
-def d6(spark, sf_dir):
-    docs = Tables(spark, sf_dir).doc_candidates
-    pairs = dedupe.band_pairs(docs)
-    return dedupe.split_cached(dedupe.files_needed(dedupe.content_work(pairs, dedupe.name_edges(docs))), docs.filter("doc_id % 3 = 0"))
+def _content(t: Tables):
+    """Documents with fingerprints, and the pairs of them that are left for the content tier."""
+    docs = dedupe.with_fingerprint(t.doc_candidates)
+    return docs, dedupe.content_work(dedupe.content_pairs(docs), dedupe.name_edges(t.doc_candidates))
 
 
-@dup("d7_content_tier")
+@dup("d5_content_work_list", _CONTENT + "select a, b from work")
+def d5(spark, sf_dir):
+    return _content(Tables(spark, sf_dir))[1]
+
+
+@dup("d6_fingerprint_cache_split", _CONTENT + "select path, doc_id % 3 = 0 as cached from (select a as path from work union select b from work) join doc_candidates using (path)")
+def d6(spark, sf_dir):
+    docs, work = _content(Tables(spark, sf_dir))
+    return dedupe.split_cached(dedupe.files_needed(work), docs.filter("doc_id % 3 = 0"))
+
+
+@dup("d7_content_tier", _CONTENT + r""",
+o as materialized (select path, value, min(pos) as pos from (select path, unnest(fp) as value, unnest(range(len(fp))) as pos from f) group by all having count(*) = 1),
+n as (select a, b, i, d, sum(case when i - p <= 8 then 0 else 1 end) over (partition by a, b, d order by i) as run from (
+  select a, b, x.pos as i, x.pos - y.pos as d, lag(x.pos) over (partition by a, b, x.pos - y.pos order by x.pos) as p from work join f p on p.path = a join f q on q.path = b and q.fp <> p.fp join o x on x.path = a join o y on y.path = b and y.value = x.value)),
+g as (select a, b, d, min(i) as i0, max(i) as i1 from n group by a, b, d, run having count(*) >= 3),
+e as (select g.a, g.b, d, i0, i1, unnest(range(greatest(i0 - 8, d, 0), least(i1 + 8, len(x.fp) - 1, len(y.fp) - 1 + d) + 1)) as i from g join f x on x.path = g.a join f y on y.path = g.b),
+z as (select e.a, e.b, case when len(x.fp) <= len(y.fp) then i else i - d end as pos, min(bit_count(xor(x.fp[i + 1], y.fp[i - d + 1]))) as bits, any_value(least(len(x.fp), len(y.fp))) as shorter
+  from e join f x on x.path = e.a join f y on y.path = e.b where i between i0 and i1 or x.fp[i + 1] = y.fp[i - d + 1] group by 1, 2, 3),
+sc as (select a, b, avg(bits) as score, count(*) / any_value(shorter) as coverage from z group by a, b union all select a, b, 0, 1 from work join f x on x.path = a join f y on y.path = b where x.fp = y.fp)
+select a, b, round(score, 6) as score, coverage from (select sc.*, len(list_intersect(x.t, y.t)) / nullif(len(list_distinct(x.t || y.t)), 0) as overlap from sc join toks x on x.path = a join toks y on y.path = b)
+where score <= 5 and coverage >= 0.7 and ((score <= 3 and coverage >= 0.9) or coalesce(overlap, 0) >= 0.5)""")
 def d7(spark, sf_dir):
-    docs = dedupe.with_fingerprint(Tables(spark, sf_dir).doc_candidates)
-    pairs = dedupe.band_pairs(docs)
-    return dedupe.content_edges(dedupe.content_work(pairs, dedupe.name_edges(docs)), docs).withColumn("score", F.round("score", 6))
+    docs, work = _content(Tables(spark, sf_dir))
+    return dedupe.content_edges(work, docs).withColumn("score", F.round("score", 6))
 
 
 @dup("d8_connected_components", "select node, component from meta_parts")

@@ -19,6 +19,10 @@ REFERENCE = "name_hash string, bpm double, drift double, secs int, key string, b
 #: Bytes that stay as they are in a location, and what kinds of containers are called.
 PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_.~/,()!+#$@?"
 KINDS = {"aiff": "AIFF File", "aif": "AIFF File", "wav": "WAV File", "wave": "WAV File", "mp3": "MP3 File", "flac": "FLAC File", "m4a": "M4A File", "mp4": "M4A File", "aac": "M4A File"}
+#: Why an element gives no reference row.
+DROPPED = ("no BPM (never analysed)", "no grid (BPM from the tag, not from analysis)", "no location", "duplicate filename", "duplicate filename, disagreeing BPM")
+#: The rest of an element's first tag; a quoted value may hold ``>``.
+OPEN_TAG = r"""^\s(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>"""
 XML_ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"))
 
 
@@ -41,8 +45,12 @@ def location_url(path: Column) -> Column:
     return F.concat(F.lit("file://localhost"), F.array_join(F.transform(codes, lambda h: F.coalesce(F.try_element_at(plain, h), F.concat(F.lit("%"), h))), ""))
 
 
+def _plus_kept(url: Column) -> Column:
+    return F.replace(F.replace(url, F.lit("file://localhost"), F.lit("")), F.lit("+"), F.lit("%2B"))
+
+
 def location_path(url: Column) -> Column:
-    return F.url_decode(F.replace(F.regexp_replace(url, "^file://localhost", ""), F.lit("+"), F.lit("%2B")))
+    return F.url_decode(_plus_kept(url))
 
 
 def kind_of(container: Column) -> Column:
@@ -147,21 +155,48 @@ def write_lines(lines: DataFrame, folder: str, order: str = "track_id") -> None:
     lines.repartitionByRange(order).sortWithinPartitions(order).select("line").write.text(folder)
 
 
-def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Elements of a collection's text shards, one a line, which split at any line. Playlist entries have the same tag, but no id."""
-    lines = spark.read.text(folder).filter(F.col("value").startswith("<TRACK "))
-    return lines.select(F.from_xml("value", COLLECTION).alias("t")).select("t.*").filter("_TrackID is not null")
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    """Elements of collection documents of any layout, with ``place``, their order: a file, its blocks and lines, or a folder of shards.
+
+    Files are cut at each start of an element, wherever it stands, so one file is read by many tasks; an attribute cannot
+    hold a ``<``. Playlist entries have the same tag, but no id; elements without an end fall out.
+    """
+    cut = spark.read.option("lineSep", "<TRACK").text(path)
+    opened = F.regexp_extract("value", OPEN_TAG, 0)
+    whole = F.when(opened.endswith("/>"), opened).when(F.col("value").contains("</TRACK>"), F.concat(F.substring_index("value", "</TRACK>", 1), F.lit("</TRACK>")))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    elements = cut.select(place.alias("place"), F.when(opened != "", F.concat(F.lit("<TRACK"), whole)).alias("element")).filter("element is not null")
+    return elements.select("place", F.from_xml("element", COLLECTION).alias("t")).select("place", "t.*").filter("_TrackID is not null")
+
+
+def _reasons(collection: DataFrame) -> DataFrame:
+    """Elements as reference rows, with the ``reason`` why one is left out by itself."""
+    path = F.coalesce(F.try_url_decode(_plus_kept(F.col("_Location"))), _plus_kept(F.col("_Location")), F.lit(""))
+    name = file_name(path)
+    bpm, grid = F.coalesce("_AverageBpm", F.lit(0.0)), F.coalesce("TEMPO", F.array().cast("array<struct<_Inizio:double,_Bpm:double>>"))
+    reason = F.when(bpm <= 0, DROPPED[0]).when(F.size(grid) == 0, DROPPED[1]).when(name == "", DROPPED[2])
+    return collection.select(
+        "place", reason.alias("reason"), name_hash(path).alias("name_hash"), F.bround(bpm, 2).alias("bpm"), F.bround(F.array_max(grid["_Bpm"]) - F.array_min(grid["_Bpm"]), 2).alias("drift"),
+        F.coalesce("_TotalTime", F.lit(0)).alias("secs"), blank_to_null(F.trim("_Tonality")).alias("key"), F.bround(F.coalesce(F.get(grid, F.lit(0))["_Inizio"], F.lit(0.0)), 4).alias("beat_secs"),
+    )
+
+
+def _by_name(collection: DataFrame) -> DataFrame:
+    first = F.min(F.struct("place", "bpm", "drift", "secs", "key", "beat_secs")).alias("r")
+    return _reasons(collection).filter("reason is null").groupBy("name_hash").agg(first, F.count_distinct("bpm").alias("tempos"), F.count("*").alias("n"))
 
 
 def reference_rows(collection: DataFrame) -> DataFrame:
-    """Reference rows of a collection: a tempo and a grid are needed; of repeated names the first stays, unless their tempos differ."""
-    path = location_path(F.col("_Location"))
-    rows = collection.filter("_AverageBpm > 0 and size(TEMPO) > 0").select(
-        "_TrackID", name_hash(path).alias("name_hash"), F.col("_AverageBpm").alias("bpm"),
-        (F.array_max("TEMPO._Bpm") - F.array_min("TEMPO._Bpm")).alias("drift"), F.get("TEMPO", F.lit(0))["_Inizio"].alias("beat_secs"), blank_to_null(F.col("_Tonality")).alias("key"),
-    )
-    first = F.min(F.struct("_TrackID", "bpm", "drift", "beat_secs", "key")).alias("r")
-    return rows.groupBy("name_hash").agg(first, F.count_distinct("bpm").alias("tempos")).filter("tempos = 1").select("name_hash", "r.bpm", "r.drift", "r.beat_secs", "r.key")
+    """Reference rows of a collection: a tempo, a grid and a location are needed; of repeated names the first stays, unless their tempos differ."""
+    return _by_name(collection).filter("tempos = 1").select("name_hash", "r.bpm", "r.drift", "r.secs", "r.key", "r.beat_secs")
+
+
+def dropped_rows(collection: DataFrame) -> DataFrame:
+    """(reason, n) of the elements that ``reference_rows`` leaves out; a name whose tempos differ counts once beside its repeats."""
+    own = _reasons(collection).filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    names = _by_name(collection).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"), F.count_if(F.col("tempos") > 1).alias("differing"))
+    pair = lambda reason, n: F.struct(F.lit(reason).alias("reason"), F.col(n).alias("n"))
+    return own.unionByName(names.select(F.inline(F.array(pair(DROPPED[3], "repeated"), pair(DROPPED[4], "differing")))).filter("n > 0"))
 
 
 def write_reference(rows: DataFrame, folder: str) -> None:

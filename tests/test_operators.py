@@ -111,41 +111,114 @@ def test_free_names_one_after_the_other(spark):
             held.add(got[path])
 
 
-def brute_alignment(a, b):
-    """(score, coverage) of the best offset of all."""
-    best = None
-    for offset in range(-len(b) + 1, len(a)):
-        x, y = a[max(offset, 0) :], b[max(-offset, 0) :]
-        n = min(len(x), len(y))
-        found = (sum(bin((p ^ q) & 0xFFFFFFFF).count("1") for p, q in zip(x[:n], y[:n])) / n, -n / min(len(a), len(b)))
-        if -found[1] >= dedupe.COVERAGE_MIN and (best is None or found < best):
-            best = found
-    return best
-
-
-def test_content_tier_finds_any_shift(spark):
+def brute_segments(x, y):
+    """Score and coverage of the segments on all diagonals, place by place."""
+    once = lambda f: {v: i for i, v in enumerate(f) if f.count(v) == 1}
+    ux, uy = once(x), once(y)
+    covered = {}
+    for d in range(-len(y) + 1, len(x)):
+        votes = sorted(i for v, i in ux.items() if uy.get(v) == i - d)
+        runs = []
+        for i in votes:
+            if runs and i - runs[-1][-1] <= dedupe.GAP_MAX:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+        for run in runs:
+            if len(run) >= dedupe.SEEDS_MIN:
+                for i in range(max(run[0] - dedupe.GAP_MAX, d, 0), min(run[-1] + dedupe.GAP_MAX, len(x) - 1, len(y) - 1 + d) + 1):
+                    bits = bin(x[i] ^ y[i - d]).count("1")
+                    if run[0] <= i <= run[-1] or not bits:
+                        at = i if len(x) <= len(y) else i - d
+                        covered[at] = min(bits, covered.get(at, 99))
+    return (sum(covered.values()) / len(covered), len(covered) / min(len(x), len(y))) if covered else None
+
+
+def test_content_tier_finds_shifts_and_insertions(spark):
     rng = random.Random(9)
     base = [f"w{rng.randrange(3000)}" for _ in range(260)]
-    texts = {"base": base, "copy": base, "other": [f"v{rng.randrange(3000)}" for _ in range(260)]}
+    texts = {"base": base, "copy": base, "other": [f"v{rng.randrange(3000)}" for _ in range(260)], "short": base[:2], "empty": []}
     for shift in (1, 4, 17, 50):
         texts[f"front{shift}"] = [f"x{rng.randrange(3000)}" for _ in range(shift)] + base[: 260 - shift]
         texts[f"back{shift}"] = base[shift:] + [f"x{rng.randrange(3000)}" for _ in range(shift)]
+    for n in (1, 2, 5, 10, 20):
+        texts[f"more{n}"], texts[f"less{n}"] = list(base), list(base)
+        for at in sorted(rng.sample(range(260), n), reverse=True):
+            texts[f"more{n}"][at:at] = [f"y{rng.randrange(3000)}" for _ in range(rng.randrange(1, 4))]
+            del texts[f"less{n}"][at]
     worn = list(base)
     for at in rng.sample(range(260), 20):
         worn[at] = "changed"
-    texts["worn"] = worn
+    texts["worn"], texts["moved"], texts["repeats"] = worn, base[130:] + base[:130], base + base[:100]
     rows = spark.createDataFrame([(k, " ".join(t), "same old name", 100.0) for k, t in texts.items()], "path string, text string, name string, duration_secs double")
     rows = dedupe.with_fingerprint(rows)
     fp = {r["path"]: r["fp"] for r in rows.collect()}
-    got = {(r["a"], r["b"]): (r["score"], r["coverage"]) for r in dedupe.content_edges(dedupe.band_pairs(rows), rows).collect()}
-    assert got["base", "copy"] == (0.0, 1.0) and not any("other" in pair for pair in got)
+    work = {(r["a"], r["b"]) for r in dedupe.content_pairs(rows).collect()}
+    got = {(r["a"], r["b"]): (r["score"], r["coverage"]) for r in dedupe.content_edges(dedupe.content_pairs(rows), rows).collect()}
+    assert got["base", "copy"] == (0.0, 1.0) and not any("other" in pair or "empty" in pair for pair in got)
+    assert all(("base", f"{kind}{n}") in got for kind in ("more", "less") for n in (1, 2, 5, 10, 20)) and ("base", "moved") in got and ("base", "worn") in got
     for i, a in enumerate(sorted(fp)):
         for b in sorted(fp)[i + 1 :]:
-            best = brute_alignment(fp[a], fp[b])
-            fits = best is not None and best[0] <= dedupe.SCORE_MAX
+            x, y = set(fp[a]), set(fp[b])
+            named = x and y and "copy" not in (a, b) and len(x & y) * 2 >= min(len(x), len(y))
+            assert ((a, b) in work) == bool(named or (a, b) == ("base", "copy")), (a, b)
+            best = brute_segments(fp[a], fp[b])
+            fits = (a, b) in work and best is not None and best[0] <= dedupe.SCORE_MAX and best[1] >= dedupe.COVERAGE_MIN
             assert ((a, b) in got) == fits, (a, b, best)
             if fits:
-                assert abs(got[a, b][0] - best[0]) < 1e-9 and abs(got[a, b][1] + best[1]) < 1e-9
+                assert abs(got[a, b][0] - best[0]) < 1e-9 and abs(got[a, b][1] - best[1]) < 1e-9
+
+
+def test_content_work_grows_with_texts(spark):
+    rng = random.Random(12)
+    common = " ".join(f"common{i}" for i in range(12))
+    sizes = []
+    for n in (40, 400):
+        texts = [common + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(n)]
+        rows = [(f"{i:04}", t, 100.0) for i, t in enumerate(texts)]
+        rows += [(f"{i:04}copy{k}", texts[i], 100.0) for i in range(0, n, 10) for k in range(9)]  # nine copies of every tenth
+        rows += [(f"{i:04}near", texts[i] + " end", 100.0) for i in range(5, n, 10)]
+        df = dedupe.with_fingerprint(spark.createDataFrame(rows, "path string, text string, duration_secs double"))
+        sizes.append(dedupe.content_pairs(df).count())
+    assert sizes == [40, 400]  # a link a copy, a pair a near copy
+
+
+def test_collection_of_any_layout(spark, tmp_path):
+    from needledrop.sources import files
+
+    body = """<?xml version="1.0" encoding="UTF-8"?>
+<!-- TRACK --><DJ_PLAYLISTS Version="1.0.0">
+  <COLLECTION Entries="9">
+    <TRACK TrackID="1" Name="a &lt; b > c" AverageBpm="120.00" TotalTime="61" Tonality=" 8A "
+           Location="file://localhost/m/One%20%2B+x.aiff">
+      <TEMPO Inizio="0.1234" Bpm="119.50" Metro="4/4" Battito="1"/>
+      <TEMPO Inizio="9.0" Bpm="120.25"/>
+    </TRACK>
+    <TRACK
+      TrackID='2' AverageBpm='0.00' Location='file://localhost/m/two.mp3'/><TRACK TrackID="3" AverageBpm="90.00" Location="file://localhost/m/three.mp3"></TRACK>
+    <TRACK TrackID="4" AverageBpm="90.00" Location=""><TEMPO Inizio="0" Bpm="90"/></TRACK>
+    <TRACK TrackID="5" AverageBpm="99.00" Location="file://localhost/n/same.mp3"><TEMPO Bpm="99"/></TRACK>
+    <TRACK TrackID="6" AverageBpm="99.00" TotalTime="7" Location="file://localhost/o/same.mp3"><TEMPO Inizio="5" Bpm="99"/></TRACK>
+    <TRACK TrackID="7" AverageBpm="99.00" Location="file://localhost/n/odd.mp3"><TEMPO Inizio="1" Bpm="99"/></TRACK>
+    <TRACK TrackID="8" AverageBpm="98.00" Location="file://localhost/o/odd.mp3"><TEMPO Inizio="1" Bpm="98"/></TRACK>
+    <TRACK TrackID="9" AverageBpm="77.00" Location="file://localhost/m/100%.mp3"><TEMPO Inizio="1" Bpm="77"/></TRACK>
+  </COLLECTION>
+  <PLAYLISTS><NODE Name="TRACK" Type="1"><TRACK Key="1"/><TRACK Key="2"/></NODE></PLAYLISTS>
+</DJ_PLAYLISTS>
+"""
+    (tmp_path / "c.xml").write_text(body)
+    found = files.read_collection(spark, f"file://{tmp_path}/c.xml")
+    assert [r["_TrackID"] for r in found.orderBy("place").collect()] == list(range(1, 10)) and found.filter("_TrackID = 1").first()["_Name"] == "a < b > c"
+    names = {r["h"]: r["n"] for r in spark.createDataFrame([(n,) for n in ("One ++x.aiff", "same.mp3", "100%.mp3")], "n string").select("n", files.name_hash(F.col("n")).alias("h")).collect()}
+    got = {names.get(r["name_hash"]): tuple(r)[1:] for r in files.reference_rows(found).collect()}
+    assert got == {"One ++x.aiff": (120.0, 0.75, 61, "8A", 0.1234), "same.mp3": (99.0, 0.0, 0, None, 0.0), "100%.mp3": (77.0, 0.0, 0, None, 1.0)}
+    assert {r["reason"]: r["n"] for r in files.dropped_rows(found).collect()} == dict(zip(files.DROPPED, (1, 1, 1, 2, 1), strict=True))
+    try:  # cuts in the middle of elements change nothing
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+        again = files.read_collection(spark, f"file://{tmp_path}/c.xml")
+        assert again.rdd.getNumPartitions() > 5 and [r["_TrackID"] for r in again.orderBy("place").collect()] == list(range(1, 10))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_patches_in_any_order(spark):
