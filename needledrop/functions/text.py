@@ -87,9 +87,18 @@ def parse_year(c: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """A sort key in which digit runs count as numbers; case is ignored."""
-    runs = F.regexp_extract_all(F.lower(c), F.lit("([0-9]+|[^0-9]+)"), 1)
-    return F.array_join(F.transform(runs, lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    """A sort key in which digit runs of any length count as numbers, and neither case nor accents tell letters apart.
+
+    A number is written behind its length, which is written behind the length of that; leading zeros do not count.
+    """
+    runs = F.regexp_extract_all(c, F.lit("([0-9]+|[^0-9]+)"), 1)
+
+    def number(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=[0-9])", "")
+        n = F.length(digits).cast("string")
+        return F.concat(F.length(n).cast("string"), n, digits)
+
+    return F.collate(F.array_join(F.transform(runs, lambda p: F.when(p.rlike("^[0-9]"), number(p)).otherwise(p)), ""), "UNICODE_CI_AI")
 
 
 @F.pandas_udf(StringType())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from needledrop.functions import rules, text
@@ -106,10 +107,24 @@ def s1(spark, sf_dir):
     return filters.number_in_order(rows, F.desc_nulls_last("sort_value"), F.col("path")).select("path", "bpm", "place")
 
 
-@query("s2_natural_collation", r"""
-select path, list_aggregate(list_transform(regexp_extract_all(lower(trim(album_key)), '([0-9]+|[^0-9]+)'), lambda p: case when regexp_matches(p, '^[0-9]+$') then lpad(p, 20, '0') else p end), 'string_agg', '') as sort_value from cat""")
+#: Names in which case, accents and numbers of up to 33 digits differ from row to row, and their order by base letters and numbers.
+_VARIED = r"""
+v as (select path, case track_no % 3 when 0 then replace({0}, 'a', 'á') when 1 then upper({0}) else {0} end || ' ' || track_no % 50 || repeat('0', track_no % 4 * 10) || track_no % 7 as x from cat),
+k as (select path, list_aggregate(list_transform(regexp_extract_all(strip_accents(lower(x)), '([0-9]+|[^0-9]+)'), lambda p: case when regexp_matches(p, '^[0-9]+$') then lpad(ltrim(p, '0'), 60, '0') else p end), 'string_agg', '') as sort_key from v)
+"""
+
+
+def _varied(name: Column) -> Column:
+    no = F.col("track_no")
+    number = F.concat((no % 50).cast("string"), F.repeat(F.lit("0"), (no % 4 * 10).cast("int")), (no % 7).cast("string"))
+    return F.concat(F.when(no % 3 == 0, F.replace(name, F.lit("a"), F.lit("á"))).when(no % 3 == 1, F.upper(name)).otherwise(name), F.lit(" "), number)
+
+
+@query("s2_natural_collation", f"with {_VARIED.format('trim(album_key)')} select path, row_number() over (order by sort_key desc, path)::bigint as place from k")
 def s2(spark, sf_dir):
-    return filters.sort_tracks(Tables(spark, sf_dir).catalog, "album").select("path", "sort_value")
+    rows = Tables(spark, sf_dir).catalog.withColumn("album_key", _varied(F.trim("album_key")))
+    rows = filters.sort_tracks(rows, "album", descending=True).select("path", "sort_value")
+    return filters.number_in_order(rows, F.desc_nulls_last("sort_value"), F.col("path")).select("path", "place")
 
 
 @query("r1_album_items", r"""
@@ -290,10 +305,10 @@ def f14(spark, sf_dir):
     return Tables(spark, sf_dir).catalog.select("path", rules.status_set(F.col("compatible"), warned, F.col("edited"), F.col("complete"), F.col("track_no") % 50 == 0).alias("status"))
 
 
-@query("f15_natural_key", r"""
-select path, list_aggregate(list_transform(regexp_extract_all(lower(file_name), '([0-9]+|[^0-9]+)'), lambda p: case when regexp_matches(p, '^[0-9]+$') then lpad(p, 20, '0') else p end), 'string_agg', '') as sort_key from cat""")
+@query("f15_natural_key", f"with {_VARIED.format('file_name')} select path, row_number() over (order by sort_key, path)::bigint as place from k")
 def f15(spark, sf_dir):
-    return Tables(spark, sf_dir).catalog.select("path", text.natural_key(F.col("file_name")).alias("sort_key"))
+    rows = Tables(spark, sf_dir).catalog.select("path", text.natural_key(_varied(F.col("file_name"))).alias("sort_key"))
+    return filters.number_in_order(rows, F.col("sort_key"), F.col("path")).select("path", "place")
 
 
 @query("f16_match_key", r"select doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]+', ' ', 'g')) as match_key from documents")

@@ -102,14 +102,16 @@ def d6(spark, sf_dir):
 
 
 @dup("d7_content_tier", _CONTENT + r""",
+same as materialized (select a, b from work join f x on x.path = a join f y on y.path = b where x.fp = y.fp),
+unequal as materialized (select a, b from work except select a, b from same),
 o as materialized (select path, value, min(pos) as pos from (select path, unnest(fp) as value, unnest(range(len(fp))) as pos from f) group by all having count(*) = 1),
 n as (select a, b, i, d, sum(case when i - p <= 8 then 0 else 1 end) over (partition by a, b, d order by i) as run from (
-  select a, b, x.pos as i, x.pos - y.pos as d, lag(x.pos) over (partition by a, b, x.pos - y.pos order by x.pos) as p from work join f p on p.path = a join f q on q.path = b and q.fp <> p.fp join o x on x.path = a join o y on y.path = b and y.value = x.value)),
+  select a, b, x.pos as i, x.pos - y.pos as d, lag(x.pos) over (partition by a, b, x.pos - y.pos order by x.pos) as p from unequal join o x on x.path = a join o y on y.path = b and y.value = x.value)),
 g as (select a, b, d, min(i) as i0, max(i) as i1 from n group by a, b, d, run having count(*) >= 3),
 e as (select g.a, g.b, d, i0, i1, unnest(range(greatest(i0 - 8, d, 0), least(i1 + 8, len(x.fp) - 1, len(y.fp) - 1 + d) + 1)) as i from g join f x on x.path = g.a join f y on y.path = g.b),
 z as (select e.a, e.b, case when len(x.fp) <= len(y.fp) then i else i - d end as pos, min(bit_count(xor(x.fp[i + 1], y.fp[i - d + 1]))) as bits, any_value(least(len(x.fp), len(y.fp))) as shorter
   from e join f x on x.path = e.a join f y on y.path = e.b where i between i0 and i1 or x.fp[i + 1] = y.fp[i - d + 1] group by 1, 2, 3),
-sc as (select a, b, avg(bits) as score, count(*) / any_value(shorter) as coverage from z group by a, b union all select a, b, 0, 1 from work join f x on x.path = a join f y on y.path = b where x.fp = y.fp)
+sc as (select a, b, avg(bits) as score, count(*) / any_value(shorter) as coverage from z group by a, b union all select a, b, 0, 1 from same)
 select a, b, round(score, 6) as score, coverage from (select sc.*, len(list_intersect(x.t, y.t)) / nullif(len(list_distinct(x.t || y.t)), 0) as overlap from sc join toks x on x.path = a join toks y on y.path = b)
 where score <= 5 and coverage >= 0.7 and ((score <= 3 and coverage >= 0.9) or coalesce(overlap, 0) >= 0.5)""")
 def d7(spark, sf_dir):

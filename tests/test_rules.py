@@ -82,3 +82,12 @@ def test_natural_order(spark):
 
 def test_match_key_drops_accents(spark):
     assert one(spark, text.match_key(F.lit("Émile--Été №1"))).startswith("emile ete")
+
+
+def test_natural_order(spark):
+    """As a collator that looks at base letters and numbers has it: accents and case do not tell names apart, numbers of any length do."""
+    ranks = [[""], ["10 a"], ["a"], ["a 2", "A 02", "á 2"], ["a 10"], ["a " + "9" * 30], ["a 1" + "0" * 30, "Ä 01" + "0" * 30], ["a 1" + "0" * 29 + "1"], ["ab"], ["Émile", "emile", "EMILE"], ["Zoe", "zoé"]]
+    rows = [(i, x) for i, same in enumerate(ranks) for x in same]
+    df = spark.createDataFrame(rows, "rank int, name string").withColumn("k", text.natural_key(F.col("name")))
+    assert [r["rank"] for r in df.repartition(4).orderBy("k").collect()] == [r[0] for r in rows]
+    assert df.groupBy("k").agg(F.count_distinct("rank").alias("n")).filter("n > 1").count() == 0 and df.select("k").distinct().count() == len(ranks)
