@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.types import StructType
 from needledrop.operators import filters, sync
 from needledrop.plans.registry import Tables, query
 from needledrop.scratch import scratch_folder
-from needledrop.streaming import streams
+from needledrop.streaming import stateful, streams
 
 FILES = 6
 
@@ -19,16 +20,21 @@ FILES = 6
 class Replay:
     """A table as arriving files in ``order``, with folders for a checkpoint and results."""
 
-    def __init__(self, rows: DataFrame, order: str) -> None:
+    def __init__(self, rows: DataFrame, order: str, by_time: bool = False) -> None:
         self.spark = rows.sparkSession
         self.folder = f"{scratch_folder(self.spark)}/stream/{uuid.uuid4().hex}"
-        # one file a range, so that a later file holds later rows
-        rows.repartitionByRange(FILES, order).write.parquet(f"{self.folder}/in")
+        if by_time:  # files are read by their age: one range is written after the other
+            at = F.unix_micros(order)
+            cuts = rows.agg(F.percentile_approx(at, [k / FILES for k in range(1, FILES)])).first()[0]
+            for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+                rows.filter((F.lit(low is None) | (at > F.lit(low))) & (F.lit(high is None) | (at <= F.lit(high)))).coalesce(1).write.mode("append").parquet(f"{self.folder}/in")
+        else:  # one file a range
+            rows.repartitionByRange(FILES, order).write.parquet(f"{self.folder}/in")
         self.stream = streams.read_stream(self.spark, f"{self.folder}/in", rows.schema)
         self.checkpoint, self.out = f"{self.folder}/checkpoint", f"{self.folder}/out"
 
-    def log(self, schema: StructType) -> streams.Log:
-        return streams.Log(self.spark, f"{self.folder}/log", schema)
+    def log(self, schema: StructType, merge: Callable[[DataFrame], DataFrame] | None = None, every: int = 20) -> streams.Log:
+        return streams.Log(self.spark, f"{self.folder}/log", schema, merge, every)
 
 
 def _patches(t: Tables) -> DataFrame:
@@ -41,7 +47,7 @@ from (select * from tracks where track_no % 3 <> 0) d full join tracks_prev p on
 def t1(spark, sf_dir):
     t = Tables(spark, sf_dir)
     replay = Replay(t.tracks.filter("track_no % 3 <> 0").select("path", "mtime_ms", "size_bytes"), "path")
-    log = replay.log(replay.stream.schema)
+    log = replay.log(replay.stream.schema, streams.newest_files, every=2)
     streams.arrivals(replay.stream, log, replay.checkpoint)
     return streams.arrived(t.tracks_prev.select("path", "mtime_ms", "size_bytes", F.lit(None).cast("boolean").alias("fresh")), log)
 
@@ -54,6 +60,17 @@ def t2(spark, sf_dir):
     return rows.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "path", "bpm", "key_pc", "waveform")
 
 
+@query("t2_patch_windows", """
+with recursive p as (select *, epoch_us(ts) // 1000 as ms from patches), w as (select path, min(ms) as s from p group by path union all select w.path, min(p.ms) from w join p on p.path = w.path and p.ms >= w.s + 21600000 group by w.path, w.s)
+select w.path, s as start_ms, arg_max(bpm, seq) filter (where bpm is not null) as bpm, arg_max(struct_pack(c := bpm_confidence), seq) filter (where bpm is not null).c as bpm_confidence, arg_max(key_pc, seq) filter (where key_pc is not null) as key_pc, bool_or(waveform) as waveform, count(*)::bigint as patches
+from w join p on p.path = w.path and p.ms >= s and p.ms < s + 21600000 where s + 21600000 <= (select max(ms) from p) - 86400000 group by w.path, s""")
+def t2_windows(spark, sf_dir):
+    """Windows of six hours from a path's first patch, each once, as far as the watermark of a day has come."""
+    replay = Replay(_patches(Tables(spark, sf_dir)), "ts", by_time=True)
+    stateful.run_with_state(stateful.patch_windows(replay.stream, 21_600_000, "1 day").writeStream.format("parquet").option("path", replay.out), replay.checkpoint)
+    return spark.read.parquet(replay.out)
+
+
 @query("t3_patch_application", """
 with c as (select path, arg_max(bpm, seq) filter (where bpm is not null) as bpm, arg_max(struct_pack(c := bpm_confidence), seq) filter (where bpm is not null) as conf, arg_max(key_pc, seq) filter (where key_pc is not null) as key_pc from patches group by path)
 select t.path, coalesce(c.bpm, t.bpm) as bpm, case when c.bpm is not null then c.conf.c else t.bpm_confidence end as bpm_confidence, coalesce(c.key_pc, t.key_pc) as key_pc from tracks t left join c using (path)""")
@@ -61,7 +78,7 @@ def t3(spark, sf_dir):
     t = Tables(spark, sf_dir)
     replay = Replay(_patches(t), "seq")
     none = F.lit(None).cast("bigint")
-    log = replay.log(sync.numbered_patches(_patches(t)).schema)
+    log = replay.log(sync.numbered_patches(_patches(t)).schema, streams.newest_patches)
     streams.log_patches(replay.stream, log, replay.checkpoint)
     return streams.patched(t.tracks.select("path", "bpm", "bpm_confidence", "key_pc", none.alias("bpm_seq"), none.alias("key_seq")), log).drop("bpm_seq", "key_seq")
 
@@ -70,7 +87,7 @@ def t3(spark, sf_dir):
 def t4(spark, sf_dir):
     t = Tables(spark, sf_dir)
     replay = Replay(t.tracks.filter("track_no % 4 = 1").select("path", "title", F.lit(True).alias("fresh")), "path")
-    log = replay.log(replay.stream.schema)
+    log = replay.log(replay.stream.schema, lambda rows: streams.newest_batches(rows, "path"), every=2)
     streams.replacements(replay.stream, log, replay.checkpoint)
     return streams.replaced(t.tracks_prev.select("path", "title", F.lit(False).alias("fresh")), log, "path")
 
@@ -85,20 +102,24 @@ def t5(spark, sf_dir):
     return streams.final_rows(streams.progress(replay.stream), spark, replay.out, replay.checkpoint)
 
 
-@query("t6_superseded_runs", "select event_id, event_id // 4000 as generation, event_type as stage from events where event_id // 4000 = (select max(event_id // 4000) from events)")
+@query("t6_superseded_runs", """
+with e as (select event_type as job, event_id // 4000 as generation, user_id % 3 <> 0 as done from events), n as (select job, max(generation) as generation from e group by job)
+select job, generation, count(*)::bigint as total, count(*) filter (where done)::bigint as done from e join n using (job, generation) group by 1, 2""")
 def t6(spark, sf_dir):
-    rows = _progress(Tables(spark, sf_dir)).select("event_id", "generation", "stage")
-    replay = Replay(rows, "event_id")
-    log = replay.log(rows.schema)
-    streams.latest_generation(replay.stream, log, replay.checkpoint)
-    return streams.of_newest_generation(log.read().drop("batch"))
+    """Counts of each job's newest generation; messages arrive by user, so those of older runs come among them."""
+    rows = _progress(Tables(spark, sf_dir)).join(Tables(spark, sf_dir).events.select("event_id", "user_id"), "event_id").select("user_id", F.col("stage").alias("job"), "generation", "done")
+    replay = Replay(rows, "user_id")
+    log = replay.log(StructType.fromDDL(stateful.NEWEST), lambda rows: streams.newest_batches(rows, "job"))
+    writer = stateful.newest_generations(replay.stream).writeStream.outputMode("update").foreachBatch(lambda batch, number: log.put(batch, number))
+    stateful.run_with_state(writer, replay.checkpoint)
+    return log.newest("job")
 
 
 @query("t7_event_log_stream", "select event_id as id, event_type as level from events order by event_id desc limit 500")
 def t7(spark, sf_dir):
     rows = Tables(spark, sf_dir).events.select(F.col("event_id").alias("id"), F.col("event_type").alias("level"))
     replay = Replay(rows, "id")
-    log = replay.log(rows.schema)
+    log = replay.log(rows.schema, lambda rows: filters.newest(rows, 500), every=2)
     streams.event_log(replay.stream, log, replay.checkpoint)
     return filters.newest(log.read().drop("batch"), 500)
 

@@ -2,11 +2,13 @@
 
 State that must outlast a batch is kept as a log in the shared folder: each micro-batch writes what it
 changes, as little as its rows tell, under its own number, so a batch that is run again overwrites its own
-rows, and no batch rewrites a table. Tables are put together when they are read; ``compact`` keeps logs short.
+rows, and no batch rewrites a table. Tables are put together when they are read; logs put their batches together as they grow.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,26 +29,91 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
 
 
 class Log:
-    """Rows of micro-batches in one folder a batch, with the batch's number."""
+    """Rows of micro-batches, with the batch's number, and a manifest that says which folders hold them.
 
-    def __init__(self, spark: SparkSession, folder: str, schema: StructType) -> None:
-        self.spark, self.folder, self.schema = spark, folder, schema
-        self.put(spark.createDataFrame([], schema), -1)
+    A batch is written to a folder of its own, then a new version of the manifest names it; a version appears by a rename,
+    so a reader sees all of a batch or nothing, and a batch that is run again takes its former place. After ``every``
+    batches they are put together by ``merge`` (rows to fewer rows of the same columns) into one folder. What a version no
+    longer names is deleted at the next putting together, so a reader that has begun ends undisturbed. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType, merge: Callable[[DataFrame], DataFrame] | None = None, every: int = 20) -> None:
+        self.spark, self.folder, self.schema, self.merge, self.every = spark, folder, schema, merge, every
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[str]:
+        there = self._path(f"{self.folder}/_manifest")
+        return sorted(f.getPath().getName() for f in self._files.listStatus(there) if not f.getPath().getName().startswith(".")) if self._files.exists(there) else []
+
+    def manifest(self) -> dict:
+        """``upto``: the last batch that is put together in ``base``; ``batches``: the folder of each later one; ``old``: folders to delete."""
+        versions = self._versions()
+        if not versions:
+            return {"version": 0, "upto": -1, "base": None, "batches": {}, "old": []}
+        stream = self._files.open(self._path(f"{self.folder}/_manifest/{versions[-1]}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, manifest: dict) -> None:
+        manifest["version"] += 1
+        name, hidden = self._path(f"{self.folder}/_manifest/{manifest['version']:012}"), self._path(f"{self.folder}/_manifest/.{uuid.uuid4().hex}")
+        out = self._files.create(hidden, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if self._files.exists(name) or not self._files.rename(hidden, name):
+            raise RuntimeError(f"another writer has published version {manifest['version']} of {self.folder}")
+        for old in self._versions()[:-3]:
+            self._files.delete(self._path(f"{self.folder}/_manifest/{old}"), False)
+
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        folder = f"{self.folder}/{kind}-{uuid.uuid4().hex}"
+        rows.write.parquet(folder)
+        return folder
 
     def put(self, rows: DataFrame, number: int) -> None:
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
+        manifest = self.manifest()
+        if number <= manifest["upto"]:
+            return  # a batch that is run again after it has been put together with others
+        before = manifest["batches"].get(str(number))
+        manifest["batches"][str(number)] = self._write(rows.select(*self.schema.names, F.lit(number).cast("bigint").alias("batch")), "batch")
+        manifest["old"] += [before] if before else []
+        self._publish(manifest)
+        if self.merge is not None and len(manifest["batches"]) >= self.every:
+            self.compact()
 
     def read(self) -> DataFrame:
+        manifest = self.manifest()
         with_number = StructType([*self.schema.fields, StructField("batch", LongType())])
-        return self.spark.read.schema(with_number).option("basePath", self.folder).parquet(f"{self.folder}/batch=*")
-
-    def compact(self, merge: Callable[[DataFrame], DataFrame], upto: int) -> "Log":
-        """A new log in which ``merge`` has put the batches up to a number together; this one may then be deleted."""
-        out = Log(self.spark, f"{self.folder}-{upto}", self.schema)
-        out.put(merge(self.read().filter(F.col("batch") <= upto)), upto)
-        for number in sorted(r["batch"] for r in self.read().filter(F.col("batch") > upto).select("batch").distinct().collect()):
-            out.put(self.read().filter(F.col("batch") == number), number)
-        return out
+        folders = [*([manifest["base"]] if manifest["base"] else []), *manifest["batches"].values()]
+        return self.spark.read.schema(with_number).parquet(*folders) if folders else self.spark.createDataFrame([], with_number)
+
+    def compact(self) -> None:
+        """Put all batches together into one folder."""
+        manifest = self.manifest()
+        if self.merge is None or not manifest["batches"]:
+            return
+        upto = max(map(int, manifest["batches"]))
+        merged = self.merge(self.read())
+        merged = merged if "batch" in merged.columns else merged.withColumn("batch", F.lit(upto).cast("bigint"))
+        base = self._write(merged.select(*self.schema.names, "batch"), "base")
+        for folder in manifest["old"]:
+            self._files.delete(self._path(folder), True)
+        old = [*([manifest["base"]] if manifest["base"] else []), *manifest["batches"].values()]
+        self._publish(manifest | {"upto": upto, "base": base, "batches": {}, "old": old})
+
+    def newest(self, *key: str) -> DataFrame:
+        """The last batch's row of each key."""
+        return newest_batches(self.read(), *key).drop("batch")
+
+
+def newest_batches(rows: DataFrame, *key: str) -> DataFrame:
+    """The last batch's row of each key, with its number."""
+    rest = [c for c in rows.columns if c not in (*key, "batch")]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct("batch", *rest), "batch").alias("r"))
+    return last.select(*key, "r.*")
 
 
 def newest_files(rows: DataFrame) -> DataFrame:
@@ -103,16 +170,6 @@ def progress(stream: DataFrame) -> DataFrame:
     return counts.withColumn("running", F.col("done") < F.col("total"))
 
 
-def of_newest_generation(rows: DataFrame) -> DataFrame:
-    newest = rows.agg(F.max("generation").alias("newest"))
-    return rows.join(F.broadcast(newest), F.col("generation") == F.col("newest"), "left_semi")
-
-
-def latest_generation(stream: DataFrame, log: Log, checkpoint: str) -> None:
-    """Log messages of each batch's newest generation; what an older run still says falls out at once or when the log is read."""
-    run_available(stream, lambda batch, number: log.put(of_newest_generation(batch), number), checkpoint)
-
-
 def event_log(stream: DataFrame, log: Log, checkpoint: str, keep: int = 500) -> None:
     """Log the newest events of each batch; the newest of all are among them."""
     run_available(stream, lambda batch, number: log.put(filters.newest(batch, keep), number), checkpoint)

@@ -243,7 +243,8 @@ def test_log_batches_run_again_and_compact(spark, tmp_path):
     from needledrop.streaming import streams
 
     rows = lambda *r: spark.createDataFrame(r, "path string, mtime_ms long, size_bytes long")
-    log = streams.Log(spark, f"{tmp_path}/log", rows(("a", 1, 1)).schema)
+    log = streams.Log(spark, f"file://{tmp_path}/log", rows(("a", 1, 1)).schema, streams.newest_files)
+    assert log.read().count() == 0
     log.put(rows(("/a", 5, 1), ("/b", 7, 1)), 0)
     log.put(rows(("/a", 4, 9)), 1)  # an older version that arrives late
     log.put(rows(("/b", 8, 2)), 2)
@@ -251,5 +252,57 @@ def test_log_batches_run_again_and_compact(spark, tmp_path):
     catalog = spark.createDataFrame([("/a", 5, 1, None), ("/c", 1, 1, None)], "path string, mtime_ms long, size_bytes long, fresh boolean")
     want = [("/a", 5, 1, False), ("/b", 8, 3, True), ("/c", 1, 1, None)]
     assert sorted(tuple(r) for r in streams.arrived(catalog, log).collect()) == want
-    short = log.compact(streams.newest_files, 1)
-    assert sorted(tuple(r) for r in streams.arrived(catalog, short).collect()) == want and short.read().count() == 3
+    begun = log.read()  # a reader from before
+    log.compact()
+    log.put(rows(("/b", 1, 1)), 2)  # and once more, after it has been put together with others
+    assert sorted(tuple(r) for r in streams.arrived(catalog, log).collect()) == want and log.read().count() == 2 and begun.count() == 4
+
+
+def test_log_of_many_batches_stays_short(spark, tmp_path):
+    from needledrop.streaming import streams
+
+    schema = spark.createDataFrame([("a", 1, 1)], "path string, mtime_ms long, size_bytes long").schema
+    log = streams.Log(spark, f"file://{tmp_path}/log", schema, lambda rows: streams.newest_batches(rows, "path"), every=10)
+    folders = 0
+    for i in range(60):
+        log.put(spark.createDataFrame([(f"/{i % 7}", i, i)], schema), i)
+        folders = max(folders, sum(1 for x in (tmp_path / "log").iterdir() if x.name != "_manifest"))
+    assert folders <= 22 and len(list((tmp_path / "log" / "_manifest").glob("[0-9]*"))) <= 3
+    assert sorted((r["path"], r["size_bytes"]) for r in log.newest("path").collect()) == [(f"/{k}", max(i for i in range(60) if i % 7 == k)) for k in range(7)]
+
+
+def test_patch_windows_restart_and_late_rows(spark, tmp_path):
+    from datetime import datetime, timezone
+
+    from needledrop.streaming import stateful, streams
+
+    schema = "ts timestamp, path string, seq long, bpm double, bpm_confidence double, key_pc int, waveform boolean"
+    at = lambda s: datetime.fromtimestamp(1_700_000_000 + s, timezone.utc)
+    batches = [
+        [(at(5), "/a", 2, None, None, 3, False), (at(0), "/a", 1, 100.0, 0.5, None, False), (at(12), "/a", 3, 90.0, None, None, False)],  # out of order
+        [(at(9), "/a", 4, 101.0, 0.25, None, True), (at(30), "/b", 5, 1.0, 1.0, 1, None)],
+        [(at(1), "/a", 6, 77.0, 1.0, 1, False), (at(60), "/b", 7, None, None, 2, False)],  # the first is late by then
+        [(at(100), "/c", 8, 5.0, 1.0, None, False)],
+    ]
+    late, sizes = 0, []
+    for i, rows in enumerate(batches):  # each run takes up the checkpoint of the one before
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = streams.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame(rows, schema).schema)
+        late += stateful.run_with_state(stateful.patch_windows(stream, 10_000, "10 seconds").writeStream.format("parquet").option("path", f"{tmp_path}/out"), f"{tmp_path}/checkpoint")
+        sizes.append(spark.read.schema(stateful.WINDOW).parquet(f"{tmp_path}/out").count())
+    zero = 1_700_000_000_000
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    want = [("/a", zero, 101.0, 0.25, 3, True, 3), ("/a", zero + 12_000, 90.0, None, None, False, 1), ("/b", zero + 30_000, 1.0, 1.0, 1, False, 1), ("/b", zero + 60_000, None, None, 2, False, 1)]
+    assert got == want and late == 1 and sizes == [0, 1, 3, 4]
+
+
+def test_newest_generation_passes_over_older_runs(spark, tmp_path):
+    from needledrop.streaming import stateful, streams
+
+    schema = "job string, generation long, done boolean"
+    seen = {}
+    for rows in ([("x", 1, True), ("y", 4, False), ("x", 1, False)], [("x", 2, True), ("x", 1, True), ("y", 3, True)], [("x", 1, True), ("x", 2, False)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = streams.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame(rows, schema).schema, 100)
+        stateful.run_with_state(stateful.newest_generations(stream).writeStream.outputMode("update").foreachBatch(lambda b, n: seen.update({r["job"]: tuple(r)[1:] for r in b.collect()})), f"{tmp_path}/checkpoint")
+    assert seen == {"x": (2, 2, 1), "y": (4, 1, 0)}
