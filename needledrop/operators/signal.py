@@ -68,10 +68,44 @@ def frames(series: DataFrame, width: int, hop: int) -> DataFrame:
     n = series.groupBy("series_id").agg((F.max("i") + 1).alias("n"))
     first = F.greatest(F.floor((F.col("i") - width) / hop) + 1, F.lit(0))
     placed = series.join(n, "series_id").withColumn("frame", F.explode(F.sequence(first, F.floor(F.col("i") / hop)))).withColumn("frame_id", F.col("frame") * hop)
-    placed = placed.filter((F.col("i") < F.col("frame_id") + width) & (F.col("frame_id") + width <= F.col("n")))
+    placed = placed.filter((F.col("i") >= F.col("frame_id")) & (F.col("i") < F.col("frame_id") + width) & (F.col("frame_id") + width <= F.col("n")))
     return placed.groupBy("series_id", "frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("samples"))
 
 
+def chunks(series: DataFrame, size: int) -> DataFrame:
+    """Rows (series_id, i, v) as (series_id, chunk_no, samples) of ``size`` places each, the last one of what is left."""
+    placed = series.groupBy("series_id", F.floor(F.col("i") / size).alias("chunk_no")).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"))
+    return placed.select("series_id", "chunk_no", F.transform("s", lambda x: x["v"]).alias("samples"))
+
+
+def with_halo(pcm: DataFrame, size: int, reach: int) -> DataFrame:
+    """Chunks of ``size`` places with ``halo``, the up to ``reach`` places that follow: only the heads of later chunks move to earlier ones."""
+    steps = -(-reach // size)
+    k = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("k")
+    heads = pcm.select("series_id", "chunk_no", k, "samples").select("series_id", (F.col("chunk_no") - F.col("k")).alias("chunk_no"), "k", F.slice("samples", 1, F.least(F.lit(size), F.lit(reach) - (F.col("k") - 1) * size)).alias("head")).filter("chunk_no >= 0")
+    if steps == 1:
+        halos = heads.select("series_id", "chunk_no", F.col("head").alias("halo"))
+    else:
+        halos = heads.groupBy("series_id", "chunk_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "head"))), lambda x: x["head"])).alias("halo"))
+    return pcm.join(halos, ["series_id", "chunk_no"], "left").withColumn("halo", F.coalesce("halo", F.array().cast(pcm.schema["samples"].dataType)))
+
+
+def lengths(pcm: DataFrame) -> DataFrame:
+    """(series_id, n) of chunked series; only sizes are summed."""
+    return pcm.groupBy("series_id").agg(F.sum(F.size("samples")).alias("n"))
+
+
+def chunk_frames(pcm: DataFrame, size: int, width: int, hop: int) -> DataFrame:
+    """The frames of ``frames``, cut within chunks of ``size`` places and their halo: no place moves but to the chunk before."""
+    whole = with_halo(pcm, size, width - 1).withColumn("s", F.concat("samples", "halo"))
+    base = F.col("chunk_no") * size
+    first = F.pmod(-base, F.lit(hop))  # of the chunk's places, the first that starts a frame
+    last = F.least(F.size("samples") - 1, F.size("s") - width)
+    starts = F.when(first <= last, F.sequence(first, last, F.lit(hop).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    cut = F.transform(starts, lambda o: F.struct((base + o).alias("frame_id"), F.slice("s", (o + 1).cast("int"), width).alias("samples")))
+    return whole.select("series_id", F.inline(cut))
+
+
 def band_class(bin_: Column, width: int, rate: float) -> Column:
     """The pitch class of a spectrum's bin; null outside the notes of a chroma."""
     note = 69.0 + 12.0 * F.log2(bin_ * F.lit(rate / width / 440.0))
@@ -98,10 +132,15 @@ def onset_envelope(series: DataFrame) -> DataFrame:
     """Rises from place to place; series that hardly rise or are too short go."""
     w = Window.partitionBy("series_id").orderBy("i")
     before = F.lag("v").over(w)
-    flux = series.withColumn("flux", F.when(before.isNotNull(), F.greatest(F.col("v") - before, F.lit(0.0))))  # the first place has no rise
-    whole = Window.partitionBy("series_id")
-    flux = flux.withColumns({"total": F.sum(F.abs("v")).over(whole), "rise": F.sum("flux").over(whole), "n": F.count("flux").over(whole)})
-    return flux.filter(F.col("flux").isNotNull() & (F.col("n") >= MIN_FRAMES) & (F.col("rise") >= MIN_FLUX_SHARE * F.col("total"))).select("series_id", (F.col("i") - 1).alias("i"), F.col("flux").alias("v"))
+    rises = series.withColumn("rise", F.when(before.isNotNull(), F.greatest(F.col("v") - before, F.lit(0.0))))  # the first place has no rise
+    totals = rises.groupBy("series_id").agg(F.sum(F.abs("v")).alias("total"))
+    return gated_rises(rises.filter("rise is not null").select("series_id", (F.col("i") - 1).alias("i"), F.col("rise").alias("v")), totals)
+
+
+def gated_rises(rises: DataFrame, totals: DataFrame) -> DataFrame:
+    """Rises (series_id, i, v) of series that rise by enough of their total and are long enough."""
+    enough = rises.groupBy("series_id").agg(F.sum("v").alias("rise"), F.count("*").alias("n")).join(totals, "series_id").filter((F.col("n") >= MIN_FRAMES) & (F.col("rise") >= MIN_FLUX_SHARE * F.col("total")))
+    return rises.join(enough.select("series_id"), "series_id", "left_semi")
 
 
 def subtract_moving_mean(series: DataFrame, half: int) -> DataFrame:
@@ -177,7 +216,11 @@ def beat_phase(envelope: DataFrame, periods: DataFrame, min_beats: int = 8, lag:
 
 def chroma(spectra: DataFrame, pitch_class: Column, min_variation: float = 0.10) -> DataFrame:
     """(series_id, pc, weight) of frames (series_id, frame_id, bin, mag): class means, frames scaled to their largest, summed, scaled again; flat series go."""
-    classes = spectra.withColumn("pc", pitch_class).filter("pc is not null").groupBy("series_id", "frame_id", "pc").agg(F.avg("mag").alias("m"))
+    return class_weights(spectra.withColumn("pc", pitch_class).filter("pc is not null").groupBy("series_id", "frame_id", "pc").agg(F.avg("mag").alias("m")), min_variation)
+
+
+def class_weights(classes: DataFrame, min_variation: float = 0.10) -> DataFrame:
+    """(series_id, pc, weight) of the class means m of frames."""
     top = F.max("m").over(Window.partitionBy("series_id", "frame_id"))
     summed = classes.withColumn("m", F.when(top > 0, F.col("m") / top).otherwise(0.0)).groupBy("series_id", "pc").agg(F.sum("m").alias("s"))
     whole = Window.partitionBy("series_id")
@@ -211,25 +254,76 @@ def waveform(series: DataFrame, bins: int) -> DataFrame:
     return r.select("series_id", "bin", scale(F.col("peak")).alias("peak"), scale(F.col("rms")).alias("rms"))
 
 
-def features(series: DataFrame, wanted: DataFrame, rate: float, tempo: TempoRange, half: int, min_lag: int, max_lag: int, width: int = 64, bins: int = 50, profile: str = "shaath") -> DataFrame:
+def feature_parts(pcm: DataFrame, wanted: DataFrame, size: int, cut: tuple[int, int, int], rate: float, width: int, bins: int) -> DataFrame:
+    """(series_id, begin, kind, key, value) of all that features are made of, in one pass over the chunks.
+
+    ``cut`` is the excerpt's start, length and least rest, as in ``excerpt``. Kinds: ``rise`` by place of the excerpt, ``total`` of its
+    absolute values, ``note``, class means of its frames by frame * 12 + class, and ``peak`` by bin of the whole series.
+    """
+    import numpy as np
+    import pandas as pd
+
+    start, length, least = cut
+    n = lengths(pcm).select("series_id", "n", F.when(F.col("n") - start < least, 0).otherwise(start).alias("begin"))
+    rows = with_halo(pcm.join(wanted, "series_id"), size, width).join(n, "series_id")
+    window, bin_no = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(width) / width), np.arange(width // 2 + 1)
+    note = 69.0 + 12.0 * np.log2(np.maximum(bin_no, 1) * (rate / width / 440.0))
+    class_of = np.where((bin_no > 0) & (note >= NOTES[0]) & (note <= NOTES[1]), np.floor(np.abs(note) + 0.5).astype(int) % 12, -1)
+    hop, classes = width // 2, [c for c in range(12) if (class_of == c).any()]
+
+    def parts(r):
+        own, base, begin, stop = np.asarray(r.samples, float), r.chunk_no * size, r.begin, min(r.begin + length, r.n)
+        s = np.concatenate((own, np.asarray(r.halo, float)))
+        if r.wants_tempo or r.wants_grid:
+            at = np.arange(max(begin - base, 0), min(len(own), stop - 1 - base))
+            yield "rise", base + at - begin, np.maximum(s[at + 1] - s[at], 0.0)
+            yield "total", np.zeros(1, int), np.abs(own[max(begin - base, 0) : max(stop - base, 0)]).sum(keepdims=True)
+        if r.wants_key and classes:
+            first = begin if begin >= base else base + (begin - base) % hop
+            at = np.arange(first, min(base + len(own), stop - width + 1), hop)
+            if len(at):
+                mags = np.abs(np.fft.rfft(np.stack([s[a - base : a - base + width] for a in at]) * window, axis=1))
+                for c in classes:
+                    yield "note", (at - begin) * 12 + c, mags[:, class_of == c].mean(axis=1)
+        if r.wants_waveform and len(own):
+            k = min(r.n, bins)
+            bin_ = ((base + np.arange(len(own)) + 1) * k - 1) // r.n
+            edge = np.flatnonzero(np.diff(bin_, prepend=-1))
+            yield "peak", bin_[edge], np.maximum.reduceat(np.abs(own), edge)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                for kind, key, value in parts(r):
+                    yield pd.DataFrame({"series_id": r.series_id, "begin": r.begin, "kind": kind, "key": key, "value": value})
+
+    return rows.mapInPandas(run, "series_id string, begin bigint, kind string, key bigint, value double")
+
+
+def features(pcm: DataFrame, wanted: DataFrame, rate: float, tempo: TempoRange, half: int, min_lag: int, max_lag: int, size: int, cut: tuple[int, int, int], key_rate: float, width: int = 64, bins: int = 50, profile: str = "shaath") -> DataFrame:
     """One row per wanted series: bpm, confidence and offset, key_pc and key_minor, and the waveform's peaks; what is not wanted is null.
 
-    ``wanted`` has series_id and wants_tempo, wants_grid, wants_key and wants_waveform. The series are read
-    once; the envelope serves tempo and grid, which needs a tempo.
+    ``pcm`` has chunks of ``size`` places, ``wanted`` series_id and wants_tempo, wants_grid, wants_key and wants_waveform. The
+    chunks are read once; what comes of them is one table, of which each feature reads its kind. Tempo, grid and key are
+    of the excerpt ``cut``; ``offset``, the first beat, is a place of the whole series. A grid needs a tempo.
     """
-    mine = materialise(series.join(wanted.select("series_id"), "series_id", "left_semi"))
+    parts = materialise(feature_parts(pcm, wanted, size, cut, key_rate, width, bins), "kind")
 
     def of(flag: str) -> DataFrame:
         return wanted.filter(flag).select("series_id")
 
-    timed = wanted.filter("wants_tempo or wants_grid").select("series_id")
-    envelope = materialise(subtract_moving_mean(onset_envelope(mine.join(timed, "series_id", "left_semi")), half))
+    rises = gated_rises(parts.filter("kind = 'rise'").select("series_id", F.col("key").alias("i"), F.col("value").alias("v")), parts.filter("kind = 'total'").groupBy("series_id").agg(F.sum("value").alias("total")))
+    envelope = materialise(subtract_moving_mean(rises, half))
     acf = materialise(autocorrelation(envelope, max_lag + 1))
     peaks = refine_peak(acf, pick_peak(acf, min_lag, max_lag).filter("accepted"))
     bpm = materialise(fold_octave(peaks, acf, rate, tempo).join(peaks.select("series_id", tempo_confidence(F.col("peak"), F.col("mean")).alias("confidence")), "series_id"))
     grid = beat_phase(envelope, bpm.join(of("wants_grid"), "series_id", "left_semi").select("series_id", (rate * 60.0 / F.col("bpm")).alias("period"))).filter("accepted")
-    spectra = spectrum(frames(mine.join(of("wants_key"), "series_id", "left_semi"), width, width // 2), width)
-    keys = match_key(chroma(spectra, band_class(F.col("bin"), width, rate * 4096)), profile)
-    wave = waveform(mine.join(of("wants_waveform"), "series_id", "left_semi"), bins).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "peak"))), lambda x: x["peak"]).alias("peaks"))
-    out = wanted.select("series_id").join(bpm.join(of("wants_tempo"), "series_id", "left_semi"), "series_id", "left").join(grid.select("series_id", "offset"), "series_id", "left")
+    begins = parts.filter("kind = 'total'").groupBy("series_id").agg(F.max("begin").alias("begin"))
+    grid = grid.join(begins, "series_id").select("series_id", (F.col("offset") + F.col("begin")).alias("offset"))
+    notes = parts.filter("kind = 'note'").select("series_id", F.floor(F.col("key") / 12).alias("frame_id"), (F.col("key") % 12).cast("int").alias("pc"), F.col("value").alias("m"))
+    keys = match_key(class_weights(notes), profile)
+    peak = parts.filter("kind = 'peak'").groupBy("series_id", F.col("key").alias("bin")).agg(F.max("value").alias("peak"))
+    wave = peak.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "peak"))), lambda x: x["peak"]).alias("p")).withColumn("top", F.array_max("p"))
+    wave = wave.select("series_id", F.transform("p", lambda x: F.when(F.col("top") > 0, F.least(x / F.col("top"), F.lit(1.0))).otherwise(x)).alias("peaks"))
+    out = wanted.select("series_id").join(bpm.join(of("wants_tempo"), "series_id", "left_semi"), "series_id", "left").join(grid, "series_id", "left")
     return out.join(keys.select("series_id", F.col("pc").alias("key_pc"), F.col("minor").alias("key_minor")), "series_id", "left").join(wave, "series_id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from needledrop.operators import signal
@@ -9,6 +11,8 @@ from needledrop.plans.registry import Tables, query
 
 #: Hourly counts as a series of one sample a second: lags of 6 to 48 hours, a day preferred.
 RATE, HALF, MIN_LAG, MAX_LAG = 1.0, 6, 6, 48
+#: Places in a chunk, and the excerpt of features: start, length and the least that may be left.
+CHUNK, CUT = 100, (48, 600, 240)
 TEMPO = signal.TempoRange(low=1.2, high=12.0, centre=2.5, width=0.45, least=1.0)
 _RATIOS = "[0.25::double, 1.0::double / 3, 0.5::double, 2.0::double / 3, 0.75::double, 1.0::double, 4.0::double / 3, 1.5::double, 2.0::double, 3.0::double, 4.0::double]"
 VIEWS = {
@@ -26,6 +30,11 @@ select series_id, pc, s / max(s) over w as weight from (select series_id, pc, su
 window w as (partition by series_id) qualify stddev_pop(s) over w / avg(s) over w >= 0.001""",
 }
 
+#: The same views over the excerpt, for the one-pass job.
+VIEWS["e_dense"] = f"with n as (select *, max(i) over (partition by series_id) + 1 as n from dense), b as (select *, case when n - {CUT[0]} < {CUT[2]} then 0 else {CUT[0]} end as start from n) select series_id, i - start as i, v, start from b where i >= start and i < start + {CUT[1]}"
+for _name in ("flux", "env", "cen", "acf", "peaks", "refined", "folded"):
+    VIEWS[f"e_{_name}"] = re.sub(r"\b(from|join) (dense|flux|env|cen|acf|peaks|refined)\b", r"\1 e_\2", VIEWS[_name])
+
 
 def sig(name, sql=None):
     return query(name, sql, VIEWS)
@@ -53,7 +62,7 @@ with f as (select a.series_id, a.i as frame_id, b.i - a.i as k, b.v * (0.5 - 0.5
   join (select series_id, max(i) + 1 as n from dense group by 1) n on n.series_id = a.series_id where a.i % 32 = 0 and a.i + 64 <= n.n)
 select series_id, frame_id::bigint as frame_id, b::int as bin, round(sqrt(pow(sum(s * cos(2 * pi() * b * k / 64)), 2) + pow(sum(s * sin(2 * pi() * b * k / 64)), 2)), 4) as mag from f, (select unnest(range(33)) as b) group by 1, 2, 3""")
 def x2(spark, sf_dir):
-    return signal.spectrum(signal.frames(_series(spark, sf_dir), 64, 32), 64).withColumn("mag", F.round("mag", 4))
+    return signal.spectrum(signal.chunk_frames(signal.chunks(_series(spark, sf_dir), CHUNK), CHUNK, 64, 32), 64).withColumn("mag", F.round("mag", 4))
 
 
 @sig("x3_onset_envelope", "select series_id, i::int as i, v from flux")
@@ -137,17 +146,30 @@ def x14(spark, sf_dir):
     return signal.waveform(_series(spark, sf_dir), 50).withColumns({"peak": F.round("peak", 9), "rms": F.round("rms", 9)})
 
 
-@sig("x15_feature_job", f"""
-with w as (select distinct series_id, series_id <> 'click' as wants_tempo, series_id not in ('view', 'click') as wants_waveform from dense),
+@sig("x15_feature_job", rf"""
+with w as (select distinct series_id, series_id <> 'click' as wants_tempo, series_id <> 'view' as wants_grid, series_id not in ('view', 'click') as wants_waveform from dense),
 n as (select series_id, count(*) as n from dense group by 1), b as (select series_id, bin, n * bin // 50 as lo, n * (bin + 1) // 50 as hi from n, (select unnest(range(50)) as bin)),
 r as (select series_id, bin, max(abs(v)) as peak from b join dense using (series_id) where i >= lo and i < hi group by 1, 2), p as (select series_id, bin, round(least(peak / max(peak) over (partition by series_id), 1), 6) as peak from r),
-g as (select series_id, list(peak order by bin) as peaks from p group by 1)
-select w.series_id, case when wants_tempo then round(f.bpm, 5) end as bpm, case when wants_tempo and f.bpm is not null then round(sqrt(least(greatest((q.peak - 0.1) / 0.4, 0), 1) * least(greatest((case when q.mean > 0 then q.peak / q.mean else 3.0 end - 1.3) / 1.7, 0), 1)), 6) end as confidence,
-  case when wants_waveform then g.peaks end as peaks from w left join (select * from folded join peaks using (series_id) where accepted) f using (series_id) left join peaks q using (series_id) left join g using (series_id)""")
+g as (select series_id, list(peak order by bin) as peaks from p group by 1),
+f as (select x.series_id, x.bpm, 60.0 / x.bpm as period, round(sqrt(least(greatest((q.peak - 0.1) / 0.4, 0), 1) * least(greatest((case when q.mean > 0 then q.peak / q.mean else 3.0 end - 1.3) / 1.7, 0), 1)), 6) as confidence
+  from e_folded x join e_peaks q on q.series_id = x.series_id and q.accepted),
+c as (select f.series_id, period, len, phase, beat from (select f.*, (select count(*) from e_env e where e.series_id = f.series_id) as len from f where period >= 2) f, (select unnest(range(60)) as phase), (select unnest(range(400)) as beat) where phase < greatest(round(period), 2) and beat < floor(len / period) and floor(len / period) >= 8),
+s as (select c.series_id, phase, any_value(period) as period, sum(e.v) as s from c join e_env e on e.series_id = c.series_id and e.i = round(phase + period * beat)::bigint group by 1, 2),
+k as (select *, avg(s) over (partition by series_id) as mean, row_number() over (partition by series_id order by round(s, 9) desc, phase) as k from s),
+o as (select series_id, (phase + 5) - floor((phase + 5) / period) * period + (select any_value(start) from e_dense d where d.series_id = k.series_id) as offset_ from k where k = 1 and s / mean >= 1.25),
+d as (select a.series_id, a.i as frame_id, bin, sqrt(pow(sum(b.v * (0.5 - 0.5 * cos(2 * pi() * (b.i - a.i) / 64)) * cos(2 * pi() * bin * (b.i - a.i) / 64)), 2) + pow(sum(b.v * (0.5 - 0.5 * cos(2 * pi() * (b.i - a.i) / 64)) * sin(2 * pi() * bin * (b.i - a.i) / 64)), 2)) as mag
+  from e_dense a join e_dense b on a.series_id = b.series_id and b.i >= a.i and b.i < a.i + 64 join (select series_id, max(i) + 1 as len from e_dense group by 1) z on z.series_id = a.series_id, (select unnest(range(1, 33)) as bin) where a.i % 32 = 0 and a.i + 64 <= len group by 1, 2, 3),
+m as (select series_id, frame_id, (round(69 + 12 * log2(bin * (4096.0::double / 64 / 440)))::int % 12)::int as pc, avg(mag) as m from d where 69 + 12 * log2(bin * (4096.0::double / 64 / 440)) between 24 and 96 group by 1, 2, 3),
+h as (select series_id, pc, sum(m) as s from (select series_id, pc, case when max(m) over (partition by series_id, frame_id) > 0 then m / max(m) over (partition by series_id, frame_id) else 0 end as m from m) group by 1, 2),
+v as (select series_id, pc, s / max(s) over (partition by series_id) as weight from h qualify stddev_pop(s) over (partition by series_id) / avg(s) over (partition by series_id) >= 0.10),
+t as (select series_id, t, corr(weight, ({_MAJOR})[(pc - t + 12) % 12 + 1]) as a, corr(weight, ({_MINOR})[(pc - t + 12) % 12 + 1]) as b from v, (select unnest(range(12)) as t) group by 1, 2),
+y as (select * from (select series_id, t::int as pc, false as minor, a as c from t union all select series_id, t::int, true, b from t) qualify row_number() over (partition by series_id order by c desc, pc, minor) = 1)
+select w.series_id, case when wants_tempo then round(f.bpm, 5) end as bpm, case when wants_tempo then f.confidence end as confidence, case when wants_grid then round(o.offset_, 4) end as "offset", y.pc as key_pc, y.minor as key_minor, case when wants_waveform then g.peaks end as peaks
+from w left join f using (series_id) left join o using (series_id) left join y on y.series_id = w.series_id and y.c >= 0.30 left join g on g.series_id = w.series_id""")
 def x15(spark, sf_dir):
-    """Every feature is computed; the phase and the key are compared by X10 and X13, the rest here."""
+    """Tempo, grid on the clock of the whole series, key and waveform from one pass over chunks; clicks have no tempo of their own, views no grid."""
     series = _series(spark, sf_dir)
     name = F.col("series_id")
-    wanted = series.select("series_id").distinct().select("series_id", (name != "click").alias("wants_tempo"), (name != "view").alias("wants_grid"), F.lit(True).alias("wants_key"), (~name.isin("view", "click")).alias("wants_waveform"))
-    out = signal.features(series, wanted, RATE, TEMPO, HALF, MIN_LAG, MAX_LAG)
-    return out.select("series_id", F.round("bpm", 5).alias("bpm"), F.round("confidence", 6).alias("confidence"), F.transform("peaks", lambda x: F.round(x, 6)).alias("peaks"))
+    wanted = Tables(spark, sf_dir).event_series.select("series_id").distinct().select("series_id", (name != "click").alias("wants_tempo"), (name != "view").alias("wants_grid"), F.lit(True).alias("wants_key"), (~name.isin("view", "click")).alias("wants_waveform"))
+    out = signal.features(signal.chunks(series, CHUNK), wanted, RATE, TEMPO, HALF, MIN_LAG, MAX_LAG, CHUNK, CUT, 4096.0)
+    return out.select("series_id", F.round("bpm", 5).alias("bpm"), F.round("confidence", 6).alias("confidence"), F.round("offset", 4).alias("offset"), "key_pc", "key_minor", F.transform("peaks", lambda x: F.round(x, 6)).alias("peaks"))

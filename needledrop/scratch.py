@@ -20,12 +20,12 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def materialise(df: DataFrame, *partitions: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, in folders by ``partitions`` if there are any, and read it back.
 
     This cuts the lineage, so a lost executor costs a re-read and no recomputation.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/needledrop/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partitions).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

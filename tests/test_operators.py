@@ -306,3 +306,39 @@ def test_newest_generation_passes_over_older_runs(spark, tmp_path):
         stream = streams.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame(rows, schema).schema, 100)
         stateful.run_with_state(stateful.newest_generations(stream).writeStream.outputMode("update").foreachBatch(lambda b, n: seen.update({r["job"]: tuple(r)[1:] for r in b.collect()})), f"{tmp_path}/checkpoint")
     assert seen == {"x": (2, 2, 1), "y": (4, 1, 0)}
+
+
+def test_chunked_frames_equal_rows(spark):
+    """Frames cut within chunks and their halo, whatever the sizes; what is shuffled is chunks, not places."""
+    from needledrop.operators import signal
+
+    rng = random.Random(5)
+    rows = [(s, i, rng.uniform(-1, 1)) for s, n in (("a", 1003), ("b", 64), ("c", 63), ("d", 1), ("e", 200)) for i in range(n)]
+    series = spark.createDataFrame(rows, "series_id string, i int, v double")
+    for size, width, hop in ((100, 64, 32), (64, 64, 64), (50, 64, 16), (7, 20, 5), (10, 35, 40), (2000, 64, 32)):
+        got = {(r["series_id"], r["frame_id"]): r["samples"] for r in signal.chunk_frames(signal.chunks(series, size), size, width, hop).collect()}
+        want = {(r["series_id"], r["frame_id"]): r["samples"] for r in signal.frames(series, width, hop).collect()}
+        assert got == want and len(want) > 10
+
+
+def test_features_on_the_track_clock(spark):
+    """A pulse of 24 places behind a silent start: the first beat is a place of the whole series, in one scan of the chunks."""
+    import math
+
+    from needledrop.operators import signal
+
+    n, period = 1500, 24
+    tone = lambda i: math.sin(2 * math.pi * 440 * i / 4096)
+    rows = [("pulse", i, (6.0 if i % period == 7 else 0.0) + 0.001 * (i * 7919 % 13)) for i in range(n)] + [("tone", i, tone(i)) for i in range(n)] + [("short", i, float(i % 2)) for i in range(20)]
+    series = spark.createDataFrame(rows, "series_id string, i int, v double")
+    wanted = spark.createDataFrame([(s, True, True, True, s != "tone") for s in ("pulse", "tone", "short", "missing")], "series_id string, wants_tempo boolean, wants_grid boolean, wants_key boolean, wants_waveform boolean")
+    tempo = signal.TempoRange(low=1.2, high=12.0, centre=2.5, width=0.45, least=1.0)
+    for start in (0, 100, 101, 1400):  # the last leaves too little, and the excerpt begins at 0
+        got = {r["series_id"]: r for r in signal.features(signal.chunks(series, 90), wanted, 1.0, tempo, 6, 6, 48, 90, (start, 900, 300), 4096.0).collect()}
+        assert set(got) == {"pulse", "tone", "short", "missing"} and abs(got["pulse"]["bpm"] - 60 / period) < 0.02
+        begin = 0 if start == 1400 else start
+        # the envelope's first place is the rise to the second sample, and sounds lie ENVELOPE_LAG after it
+        assert abs((got["pulse"]["offset"] - begin) - (7 - 1 - begin + signal.ENVELOPE_LAG) % period) < 1.0 and begin <= got["pulse"]["offset"] < begin + period + 1
+        assert got["tone"]["key_pc"] is not None and got["tone"]["peaks"] is None and len(got["short"]["peaks"]) == 20 and got["missing"]["peaks"] is None
+    parts = signal.feature_parts(signal.chunks(series, 90), wanted, 90, (0, 900, 300), 4096.0, 64, 50)
+    assert parts._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
