@@ -213,16 +213,31 @@ def prune_groups(groups: DataFrame, valid: DataFrame) -> DataFrame:
     return left.filter("members >= 2").withColumn("keep", F.when(F.col("has_keep"), F.col("keep")).otherwise(F.col("first"))).drop("has_keep", "first")
 
 
+def folder_links(folders: DataFrame, least_shared: int) -> DataFrame:
+    """Links (a, b) that connect the folders of (group_id, folder) that share at least ``least_shared`` groups.
+
+    Folders of the same groups are linked to the first of them. Others meet on all but ``least_shared - 1`` of their groups,
+    rare ones first: two that share enough share one of those, so a group of very many folders makes no pairs by itself.
+    """
+    sets = materialise(folders.groupBy("folder").agg(F.array_sort(F.collect_set("group_id")).alias("groups")).filter(F.size("groups") >= least_shared))
+    first = materialise(sets.groupBy("groups").agg(F.min("folder").alias("x")))
+    equal = sets.join(first, "groups").filter("folder <> x").select(F.col("x").alias("a"), F.col("folder").alias("b"))
+    entries = first.select("x", F.size("groups").alias("n"), F.explode("groups").alias("group_id"))
+    often = entries.groupBy("group_id").agg(F.count("*").alias("often")).filter("often > 1")
+    ranked = entries.join(often, "group_id", "left").withColumn("place", F.row_number().over(Window.partitionBy("x").orderBy(F.coalesce("often", F.lit(1)), "group_id")))
+    index = ranked.filter((F.col("place") <= F.col("n") - least_shared + 1) & F.col("often").isNotNull()).select("x", "group_id")
+    met = index.join(index.withColumnRenamed("x", "y"), "group_id").filter("x < y").select("x", "y").distinct()
+    both = met.join(first.select("x", F.col("groups").alias("gx")), "x").join(first.select(F.col("x").alias("y"), F.col("groups").alias("gy")), "y")
+    return both.filter(F.size(F.array_intersect("gx", "gy")) >= least_shared).select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(equal)
+
+
 def album_clusters(groups: DataFrame, tracks: DataFrame, least_shared: int = 2) -> DataFrame:
     """Folders that share duplicate groups: (folder, cluster, keep, tracks) with the version to keep.
 
     Kept: lossless before lossy, more tracks, shorter mean title, larger size, then the first folder.
     """
     members = groups.select("group_id", "path", text.parent_folder(F.col("path")).alias("folder"))
-    folders = members.select("group_id", "folder").distinct()
-    pairs = folders.alias("x").join(folders.alias("y"), (F.col("x.group_id") == F.col("y.group_id")) & (F.col("x.folder") < F.col("y.folder")))
-    links = pairs.groupBy(F.col("x.folder").alias("a"), F.col("y.folder").alias("b")).agg(F.count("*").alias("n")).filter(F.col("n") >= least_shared)
-    parts = connected_components(links)
+    parts = connected_components(folder_links(members.select("group_id", "folder").distinct(), least_shared))
     facts = members.join(tracks.select("path", "lossless", "title", "size_bytes"), "path").groupBy("folder").agg(
         F.min("lossless").alias("lossless"), F.count_distinct("path").alias("tracks"), F.avg(F.length(F.coalesce("title", F.lit("")))).alias("mean_title"), F.sum("size_bytes").alias("bytes"),
     )

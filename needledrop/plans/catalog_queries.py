@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from needledrop.functions import rules, text
 from needledrop.operators import catalog, filters, grouping
+from needledrop.scratch import scratch_folder
+from needledrop.sources.snapshots import Snapshot
 from needledrop.plans.registry import Tables, query
 
 ROOT = "/lib"
@@ -27,6 +31,13 @@ def a1(spark, sf_dir):
     return rows.select("path", "compatible", "complete", "key_name", "camelot", "format").orderBy("path")
 
 
+@query("a1_snapshot_scan", "select path, title, library_dir from tracks where library_dir = '/lib/F'")
+def a1_snapshot(spark, sf_dir):
+    """One library of a catalogue that is stored by library: only its folder is read."""
+    rows = Tables(spark, sf_dir).tracks.select("path", "title", "library_dir")
+    return Snapshot(spark, f"{scratch_folder(spark)}/snapshot/{uuid.uuid4().hex}", rows.schema).create(rows).read("/lib/F")
+
+
 @query("b2_effective_metadata", "select path, title, artist, album, album_artist, genre, year, track_number, label, bpm, edited from eff")
 def b2(spark, sf_dir):
     t = Tables(spark, sf_dir)

@@ -153,9 +153,9 @@ def d12(spark, sf_dir):
 
 
 def _scene(t: Tables):
-    """Two rips of the same albums: each track of three brands again in a lossy folder."""
+    """Two rips of the same albums: four of five tracks again in a lossy folder, of some albums a few only."""
     base = t.tracks.select("path", "title", "lossless", "size_bytes", "track_no")
-    copy = base.filter("track_no % 42 in (2, 4)").select(F.replace("path", F.lit("/lib/"), F.lit("/rip/")).alias("path"), F.concat(F.lit("01 "), "title").alias("title"), F.lit(False).alias("lossless"), (F.col("size_bytes") - 1).alias("size_bytes"), "track_no")
+    copy = base.filter("track_no % 5 <> 1 and (track_no % 200 > 40 or track_no % 97 = 3)").select(F.replace("path", F.lit("/lib/"), F.lit("/rip/")).alias("path"), F.concat(F.lit("01 "), "title").alias("title"), F.lit(False).alias("lossless"), (F.col("size_bytes") - 1).alias("size_bytes"), "track_no")
     rows = base.unionByName(copy)
     groups = copy.select(F.col("track_no").cast("string").alias("group_id"), F.explode(F.array(F.replace("path", F.lit("/rip/"), F.lit("/lib/")), "path")).alias("path"))
     return rows, groups.join(rows.select("path", "size_bytes"), "path")
@@ -163,7 +163,7 @@ def _scene(t: Tables):
 
 _SCENE = r"""
 with base as (select path, title, lossless, size_bytes, track_no from tracks),
-cp as (select replace(path, '/lib/', '/rip/') as path, '01 ' || title as title, false as lossless, size_bytes - 1 as size_bytes, track_no from base where track_no % 42 in (2, 4)),
+cp as (select replace(path, '/lib/', '/rip/') as path, '01 ' || title as title, false as lossless, size_bytes - 1 as size_bytes, track_no from base where track_no % 5 <> 1 and (track_no % 200 > 40 or track_no % 97 = 3)),
 rws as (select *, regexp_replace(path, '/[^/]*$', '') as folder from (select * from base union all select * from cp)),
 g as (select track_no::varchar as group_id, unnest([replace(path, '/rip/', '/lib/'), path]) as path from cp),
 m as (select g.group_id, r.path, r.folder, r.lossless, r.title, r.size_bytes from g join rws r using (path)),

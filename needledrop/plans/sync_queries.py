@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from needledrop.functions import rules
 from needledrop.operators import membership, sync
 from needledrop.operators.catalog import effective
+from needledrop.scratch import scratch_folder
+from needledrop.sources.snapshots import Snapshot
 from needledrop.plans.registry import Tables, query
 
 KEPT = ["path", "library_dir", "mtime_ms", "size_bytes", "title", "artist", "bpm"]
@@ -39,6 +43,28 @@ def b1(spark, sf_dir):
     return sync.upsert(t.tracks_prev.select(*KEPT), batch, "path", seq="seq")
 
 
+def _snapshot(rows):
+    return Snapshot(rows.sparkSession, f"{scratch_folder(rows.sparkSession)}/snapshot/{uuid.uuid4().hex}", rows.schema).create(rows)
+
+
+@query("b1_snapshot_upsert", """
+select path, library_dir, title from tracks where track_no % 2 = 0 and library_dir = '/lib/O' union all select path, library_dir, title from tracks_prev where library_dir <> '/lib/O' or path not in (select path from tracks where track_no % 2 = 0)""")
+def b1_snapshot(spark, sf_dir):
+    """Rows of one library put into the stored catalogue; the folders of the others are neither read nor written."""
+    t = Tables(spark, sf_dir)
+    snapshot = _snapshot(t.tracks_prev.select("path", "library_dir", "title"))
+    snapshot.upsert(t.tracks.filter("track_no % 2 = 0 and library_dir = '/lib/O'").select("path", "library_dir", "title"), "path")
+    return snapshot.read()
+
+
+@query("b5_snapshot_prune", "select path, library_dir from tracks_prev where library_dir <> '/lib/F' or path in (select path from tracks where track_no % 3 <> 0)")
+def b5_snapshot(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    snapshot = _snapshot(t.tracks_prev.select("path", "library_dir"))
+    snapshot.prune(_disk(t), "/lib/F", full_sweep=True)
+    return snapshot.read()
+
+
 @query("b3_incremental_diff", """
 select coalesce(d.path, p.path) as path, case when d.path is null then 'removed' when p.path is null then 'added' else 'kept' end as status
 from (select path from tracks where track_no % 3 <> 0) d full join tracks_prev p on d.path = p.path""")

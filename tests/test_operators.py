@@ -342,3 +342,63 @@ def test_features_on_the_track_clock(spark):
         assert got["tone"]["key_pc"] is not None and got["tone"]["peaks"] is None and len(got["short"]["peaks"]) == 20 and got["missing"]["peaks"] is None
     parts = signal.feature_parts(signal.chunks(series, 90), wanted, 90, (0, 900, 300), 4096.0, 64, 50)
     assert parts._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+
+
+def test_snapshot_touches_only_folders_that_change(spark, tmp_path):
+    from needledrop.sources.snapshots import Snapshot
+
+    schema = "path string, library_dir string, title string"
+    rows = [(f"/lib {d}/x=%/{i}", f"/lib {d}/x=%", "old") for d in "abc" for i in range(5)]
+    snapshot = Snapshot(spark, f"file://{tmp_path}/s", spark.createDataFrame(rows, schema).schema).create(spark.createDataFrame(rows, schema))
+    state = lambda: {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet")}
+    titles = lambda: sorted((r["path"], r["title"]) for r in snapshot.read().collect())
+    before, want = state(), {r[0]: r[2] for r in rows}
+    snapshot.upsert(spark.createDataFrame([("/lib a/x=%/1", "/lib a/x=%", "new"), ("/lib a/x=%/9", "/lib a/x=%", "new"), ("/lib d/1", "/lib d", "new")], schema), "path")
+    want |= {"/lib a/x=%/1": "new", "/lib a/x=%/9": "new", "/lib d/1": "new"}
+    after = state()
+    assert titles() == sorted(want.items()) and [k for k in before if before[k] != after[k]] == [k for k in before if "lib a" in k] and len(after) == 4
+    plan = snapshot.read("/lib a/x=%")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(library_dir" in plan and snapshot.read("/lib a/x=%").count() == 6
+    assert len(snapshot.read("/lib a/x=%").inputFiles()) <= len(snapshot.read().inputFiles())
+    keep = spark.createDataFrame([("/lib b/x=%/2",)], "path string")
+    snapshot.prune(keep, "/lib b/x=%", full_sweep=False)
+    assert titles() == sorted(want.items())
+    snapshot.prune(keep, "/lib b/x=%", full_sweep=True)
+    snapshot.prune(keep, "/lib d", full_sweep=True)  # nothing is left of this one
+    snapshot.delete(spark.createDataFrame([("/lib c/x=%/0", "/lib c/x=%")], "path string, library_dir string"))
+    want = {p: t for p, t in want.items() if not p.startswith(("/lib b", "/lib d", "/lib c/x=%/0"))} | {"/lib b/x=%/2": "old"}
+    assert titles() == sorted(want.items()) and len(state()) == 3
+    snapshot.delete(snapshot.read("/lib c/x=%").select("path", "library_dir"))
+    assert len(state()) == 2
+
+
+def test_folder_links_equal_brute_force(spark):
+    rng = random.Random(4)
+    for k in (1, 2, 3):
+        sets = {f"f{i:02}": {f"g{min(rng.randrange(12), rng.randrange(12))}" for _ in range(rng.randrange(1, 6))} for i in range(40)}
+        df = spark.createDataFrame([(g, f) for f, gs in sets.items() for g in gs], "group_id string, folder string")
+        got = {r["node"]: r["component"] for r in connected_components(dedupe.folder_links(df, k)).collect()}
+        own = {f: f for f in sets}
+        for _ in sets:
+            for x in sets:
+                for y in sets:
+                    if x != y and len(sets[x] & sets[y]) >= k:
+                        own[x] = own[y] = min(own[x], own[y])
+        linked = {x for x in sets for y in sets if x != y and len(sets[x] & sets[y]) >= k}
+        assert got == {f: own[f] for f in linked}
+
+
+def test_folder_links_of_a_very_common_group(spark):
+    rows = [("common", f"f{i}") for i in range(10_000)] + [(f"own{i}", f"f{i}") for i in range(10_000)] + [("pair", "f1"), ("pair", "f2")]
+    links = dedupe.folder_links(spark.createDataFrame(rows, "group_id string, folder string"), 2)
+    assert [tuple(r) for r in links.collect()] == [("f1", "f2")]
+
+
+def test_inventory_lists_files_at_any_depth(spark, tmp_path):
+    from needledrop.sources import files
+
+    for name in ("a.mp3", "x/b.FLAC", "x/y/c.txt", "x/y/z/d.wav"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    got = {r["path"].removeprefix(f"file:{tmp_path}/"): r["size_bytes"] for r in files.inventory(spark, f"file://{tmp_path}").collect()}
+    assert got == {"a.mp3": 5, "x/b.FLAC": 5, "x/y/z/d.wav": 5}
