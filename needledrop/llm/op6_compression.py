@@ -73,8 +73,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, sample_blocks: int = 8192, dictionary_bytes: int = 65536) -> dict:
     """Fit on at most ``rows_per_class`` whole rows a class, the smallest by a hash of their id.
 
-    Two thirds of the rows build the dictionaries, from about ``sample_blocks`` blocks a class taken by hash
-    all along the texts; one third fits the curve, weighted to the classes' true shares. Its differences come
+    Two thirds of the rows build the dictionaries: each gives one block, and all of them about ``sample_blocks`` further
+    ones a class, in proportion to their lengths, by hash all along the texts. One third fits the curve, weighted to the classes' true shares. Its differences come
     from executors; the driver gets the sampled blocks and a few numbers a row.
     """
     known = labels.filter("quality in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -92,7 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 3000, sample_b
     total = {q: sum(r["blocks"] for r in facts if r["quality"] == q and not r["curve"]) for q in (0, 1)}
     keep = {q: int(2**30 * min(1.0, sample_blocks / max(1, total[q]))) for q in (0, 1)}
     places = rows.filter("part <> 0").withColumn("at", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    places = places.filter(F.pmod(F.xxhash64("doc_id", "at"), F.lit(2**30)) < F.when(F.col("quality") == 1, keep[1]).otherwise(keep[0]))
+    own = F.col("at") == F.pmod(F.xxhash64("doc_id", F.lit("own")), F.col("blocks"))  # each row has one block at least
+    places = places.filter(own | (F.pmod(F.xxhash64("doc_id", "at"), F.lit(2**30)) < F.when(F.col("quality") == 1, keep[1]).otherwise(keep[0])))
     samples = places.select("quality", "doc_id", "at", F.substring("text", F.col("at") * BLOCK + 1, F.lit(BLOCK)).alias("block")).collect()
     samples = sorted((r["quality"], r["doc_id"], r["at"], bytes(r["block"])) for r in samples)
     good, bad = (build_dictionary([b for q, _, _, b in samples if q == quality], dictionary_bytes) for quality in (1, 0))
