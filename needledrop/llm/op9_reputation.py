@@ -14,14 +14,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from needledrop.llm.skew import look_up
 from needledrop.scratch import materialise
 
-#: Two-label public suffixes under which a registered domain takes a third label. These are the few
-#: that test tables need; the public list of thousands is not in this repository and goes into ``suffixes``.
+#: Some public suffix rules of two labels. The public list of thousands, with its wildcards and exceptions,
+#: is not in this repository; its rules go into ``suffixes``, as texts or as a table.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,14 +34,31 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(url, ADDRESS, 1), UPPER, LOWER), F.regexp_extract(url, ADDRESS, 2)
 
 
-def suffix_and_domain(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
-    """Public suffix and registered domain by a list of two-label suffixes; a host of one label is its own domain and suffix."""
-    two = F.substring_index(host, ".", -2)
-    long = two.isin(*suffixes)
-    return (
-        F.when(long, two).otherwise(F.substring_index(host, ".", -1)),
-        F.when(long, F.substring_index(host, ".", -3)).otherwise(two),
-    )
+def suffix_rules(spark: SparkSession, suffixes: Sequence[str] | DataFrame) -> DataFrame:
+    """(end, more, exception) of public suffix rules: of texts, or of a DataFrame's ``rule`` column.
+
+    ``x`` makes the labels x a suffix, ``*.x`` any one label before them too, ``!x`` makes a name of what ``*`` would cover.
+    """
+    rules = suffixes if isinstance(suffixes, DataFrame) else spark.createDataFrame([(s,) for s in suffixes], "rule string")
+    rule, wild, exception = F.lower(F.trim("rule")), F.col("rule").startswith("*."), F.col("rule").startswith("!")
+    end = F.when(wild, F.substring(rule, 3, 1 << 20)).when(exception, F.substring(rule, 2, 1 << 20)).otherwise(rule)
+    return rules.filter("rule is not null").select(end.alias("end"), F.when(wild, 1).when(exception, -1).otherwise(0).alias("more"), exception.alias("exception")).distinct()
+
+
+def with_suffixes(hosts: DataFrame, suffixes: Sequence[str] | DataFrame = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """``hosts``, one row a ``host``, with its public suffix and registered domain: suffix and one label more.
+
+    Every end of a host looks for its rules by a join. An exception wins, then the longest rule; without any, the last
+    label is the suffix. A host that has no further label is its own domain.
+    """
+    rules = suffix_rules(hosts.sparkSession, suffixes)
+    labels, n = F.split("host", r"\."), F.size(F.split("host", r"\."))
+    ends = hosts.select("host", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))).alias("k", "end"))
+    fits = ends.join(rules, "end").withColumn("labels", F.col("k") + 1 + F.col("more")).filter("labels between 1 and n")
+    best = fits.groupBy("host").agg(F.max(F.struct("exception", "labels"))["labels"].alias("labels"))
+    k = F.coalesce("labels", F.lit(1))
+    last = lambda m: F.array_join(F.slice(labels, F.greatest(n - m + 1, F.lit(1)), m), ".")
+    return hosts.join(best, "host", "left").withColumns({"suffix": last(k), "domain": last(k + 1)}).drop("labels")
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -120,7 +137,7 @@ def lower_bound(a: Column, b: Column, tail: float) -> Column:
     return quantile(a, b)
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, tail: float = 0.05, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, tail: float = 0.05, suffixes: Sequence[str] | DataFrame = TWO_LABEL_SUFFIXES) -> DataFrame:
     """One row per host of ``pages`` (page_id, url): counts, shrunk mean and the posterior's ``tail`` quantile as lower bound.
 
     ``outcomes`` has page_id and good (boolean); several outcomes of a page all count, null
@@ -129,13 +146,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, tail: float = 0.05, s
     host, _ = url_parts(F.col("url"))
     located = pages.select("page_id", host.alias("host"))
     judged = outcomes.filter("page_id is not null and good is not null").groupBy("page_id").agg(F.count("*").alias("n"), F.count_if("good").alias("k"))
-    suffix, domain = suffix_and_domain(F.col("host"), suffixes)
-    hosts = materialise(
-        located.join(judged, "page_id", "left")
-        .groupBy("host")
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
-        .withColumns({"suffix": suffix, "domain": domain})
-    )
+    counted = located.join(judged, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
+    hosts = materialise(with_suffixes(materialise(counted), suffixes).select("host", "n", "k", "suffix", "domain"))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     by_suffix = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     whole = by_suffix.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
@@ -155,7 +167,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, tail: float = 0.05, s
 
 
 def filter_urls(
-    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = (), threshold: float = 0.5, tail: float = 0.05, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES,
+    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = (), threshold: float = 0.5, tail: float = 0.05, suffixes: Sequence[str] | DataFrame = TWO_LABEL_SUFFIXES,
 ) -> DataFrame:
     """Judge every page: page_id, host, path, rule, verdict, mean and bound of its host.
 

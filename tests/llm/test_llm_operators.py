@@ -494,10 +494,15 @@ def test_op9_beta_quantile_equals_integration():
     assert op9_reputation.beta_quantile(np.array([0.0, 3.0]), np.array([2.0, 0.0]), 0.05).tolist() == [0.0, 1.0]
 
 
-def test_op9_suffix_table(spark):
-    hosts = spark.createDataFrame([("a.b.shop.city.xx",), ("x.co.uk",), ("one",)], "host string")
-    suffix, domain = op9_reputation.suffix_and_domain(F.col("host"), ("city.xx",))
-    assert [tuple(r) for r in hosts.select(suffix, domain).collect()] == [("city.xx", "shop.city.xx"), ("uk", "co.uk"), ("one", "one")]
+def test_op9_suffix_rules(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("a.shop.city.xx", "city.xx", "x.co.uk", "one", "", "a.b.ck", "b.ck", "ck", "www.ck", "a.www.ck", "deep.a.b.kobe.jp", "p.city.kobe.jp", "x.kobe.jp", "a.b.c.d.example")], "host string")
+    rules = ["city.xx", "*.ck", "!www.ck", "jp", "*.kobe.jp", "!city.kobe.jp", "d.example", "c.d.example"]
+    want = {
+        "a.shop.city.xx": ("city.xx", "shop.city.xx"), "city.xx": ("city.xx", "city.xx"), "x.co.uk": ("uk", "co.uk"), "one": ("one", "one"), "": ("", ""), "a.b.ck": ("b.ck", "a.b.ck"), "b.ck": ("b.ck", "b.ck"), "ck": ("ck", "ck"),
+        "www.ck": ("ck", "www.ck"), "a.www.ck": ("ck", "www.ck"), "deep.a.b.kobe.jp": ("b.kobe.jp", "a.b.kobe.jp"), "p.city.kobe.jp": ("kobe.jp", "city.kobe.jp"), "x.kobe.jp": ("x.kobe.jp", "x.kobe.jp"), "a.b.c.d.example": ("c.d.example", "b.c.d.example"),
+    }
+    for given in (rules, spark.createDataFrame([(r,) for r in [*rules, None]], "rule string")):
+        assert {r["host"]: (r["suffix"], r["domain"]) for r in op9_reputation.with_suffixes(hosts, given).collect()} == want
 
 
 def test_op1_null_sources_have_a_domain_of_their_own(spark):
