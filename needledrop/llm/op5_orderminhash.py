@@ -305,17 +305,11 @@ class Signatures:
 def plausible(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (a, b, words of both) of a bucket's groups that lie in different parts of the texts and can be alike by lengths and signatures.
 
-    A pair comes out of one group only, that of its first sketch in common.
+    A pair may come out of several groups, of one bucket once.
     """
-    key, group, ids, n, part, side = (table.column(c).to_numpy() for c in ("key", "group", "doc_id", "n_words", "part", "side"))
+    group, ids, n, part, side = (table.column(c).to_numpy() for c in ("group", "doc_id", "n_words", "part", "side"))
     order = np.lexsort((n, group))
-    key, group, ids, n, part, side = (v[order] for v in (key, group, ids, n, part, side))
-    lists = table.column("keys").to_pylist()
-    keys = np.zeros((len(order), max(map(len, lists))), dtype=np.int64)
-    given = np.zeros(keys.shape, dtype=bool)
-    for i, at in enumerate(order.tolist()):
-        keys[i, : len(lists[at])] = lists[at]
-        given[i, : len(lists[at])] = True
+    group, ids, n, part, side = (v[order] for v in (group, ids, n, part, side))
     raw = table.column("signature").to_pylist()
     signs = Signatures([raw[i] for i in order.tolist()])
     number = np.cumsum(np.concatenate(([0], group[1:] != group[:-1])))
@@ -334,13 +328,9 @@ def plausible(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarra
         ok = np.flatnonzero((part[x] != part[y]) & ((side[x] == 0) | (side[x] != side[y])) & (~outside[y] | (ids[x] < ids[y])))
         x, y = x[ok], y[ok]
         ok = signs.within(x, y, 2 * np.floor((1 - similarity) * np.maximum(n[x], n[y]) + 1e-9).astype(np.int64) - np.abs(n[x] - n[y]))
-        for some in np.array_split(ok, max(1, len(ok) >> 14)):
-            a, b = x[some], y[some]
-            first = ((keys[a] == keys[b]) & given[a] & given[b]).argmax(axis=1)
-            mine = keys[a, first] == key[a]
-            a, b = a[mine], b[mine]
-            found.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), n[a] + n[b]]))
-    pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        a, b = x[ok], y[ok]
+        found.append(np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), n[a] + n[b]]), axis=1))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
     return pairs[0], pairs[1], pairs[2]
 
 
@@ -349,23 +339,25 @@ def other_pairs(reps: DataFrame, shared: DataFrame, tried: DataFrame, classes: D
 
     A key whose texts are in one class asks nothing, so a large group of copies costs no pairs. The texts of
     mixed keys meet within tasks, and only pairs that pass the bounds on lengths and edits come out. A key of
-    over ``HOT`` texts is dealt over tasks, each for a pair of its parts.
+    over ``HOT`` texts is dealt over tasks, each for a pair of its parts: a text goes to as many as there are parts,
+    with its signature and little beside it.
     """
     named = materialise(shared.join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", "n_words", F.coalesce("component", "doc_id").alias("part")))
     mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2")
     members = materialise(named.join(mixed.select("key", F.ceil(F.col("n") / HOT).alias("parts")), "key"))
-    buckets = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-members.count() // ROWS))
+    sent = members.agg(F.coalesce(F.sum("parts"), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sent // ROWS))
     own = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    dealt = dealt.select("key", "doc_id", "n_words", "part", F.xxhash64("key", low, high).alias("group"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
-    dealt = dealt.withColumn("bucket", F.pmod("group", F.lit(buckets))).join(reps.select(F.col("node").alias("doc_id"), "signature", "keys"), "doc_id")
+    dealt = dealt.select("doc_id", "n_words", "part", F.xxhash64("key", low, high).alias("group"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+    dealt = dealt.withColumn("bucket", F.pmod("group", F.lit(buckets))).join(reps.select(F.col("node").alias("doc_id"), "signature"), "doc_id")
 
     def run(key, table):
         a, b, n = plausible(table, similarity)
         return pa.table({"center": pa.array(a, pa.int64()), "doc_id": pa.array(b, pa.int64()), "n_words": pa.array(n, pa.int64())})
 
-    pairs = dealt.groupBy("bucket").applyInArrow(run, "center bigint, doc_id bigint, n_words bigint")
+    pairs = dealt.groupBy("bucket").applyInArrow(run, "center bigint, doc_id bigint, n_words bigint").distinct()
     return pairs.join(tried.select("center", "doc_id").hint("merge"), ["center", "doc_id"], "left_anti")
 
 
