@@ -33,30 +33,40 @@ def band_pairs(rows: DataFrame, width: float = BAND_SECS, key: str = "path", val
     return left.join(right, "band").filter((F.col("a") < F.col("b")) & (F.abs(F.col("va") - F.col("vb")) <= width)).select("a", "b")
 
 
-def _by_artist_and_title(rows: DataFrame) -> DataFrame:
-    """Rows with both keys, and the row before within them by length: ``a`` and the ``gap`` to it."""
+def _by_artist_and_title(rows: DataFrame, width: float) -> DataFrame:
+    """Rows with both keys and their band of lengths: rows of one key and band are within ``width`` of each other."""
     artist = text.norm_text(F.coalesce(text.blank_to_null(F.col("album_artist")), "artist", F.lit("")))
     title = text.core_title(F.coalesce("title", "name"), F.col("artist"), F.col("album"))
-    keyed = rows.select("path", "duration_secs", artist.alias("k_artist"), title.alias("k_title")).filter("k_artist <> '' and k_title <> ''")
-    w = Window.partitionBy("k_artist", "k_title").orderBy("duration_secs", "path")
-    return keyed.withColumns({"a": F.lag("path").over(w), "gap": F.col("duration_secs") - F.lag("duration_secs").over(w)})
+    keyed = rows.select("path", F.col("duration_secs").alias("v"), artist.alias("k_artist"), title.alias("k_title"))
+    return materialise(keyed.filter("k_artist <> '' and k_title <> '' and v is not null").withColumn("band", F.floor(F.col("v") / width)))
+
+
+def _bands(keyed: DataFrame, width: float) -> DataFrame:
+    """A row a key and band: its rows, first and last by length, least path, and the ``before`` that its first row links to."""
+    bands = keyed.groupBy("k_artist", "k_title", "band").agg(F.count("*").alias("n"), F.min(F.struct("v", "path")).alias("first"), F.max(F.struct("v", "path")).alias("last"), F.min("path").alias("least"))
+    before = F.lag("last").over(Window.partitionBy("k_artist", "k_title").orderBy("band"))
+    return bands.withColumn("before", F.when(F.col("first.v") - before["v"] <= width, before["path"]))
 
 
 def metadata_edges(rows: DataFrame, width: float = METADATA_BAND_SECS) -> DataFrame:
     """Links between neighbours by length within equal (artist, core title), gaps up to ``width``.
 
-    The components are those of all pairs within ``width``, with one edge a row at most.
+    The components are those of all pairs within ``width``, with one edge a row at most. Bands of lengths are ordered
+    apart, and the first row of a band is linked to the last one before.
     """
-    return _by_artist_and_title(rows).filter(F.col("gap") <= width).select("a", F.col("path").alias("b"))
+    keyed = _by_artist_and_title(rows, width)
+    inside = keyed.withColumn("a", F.lag("path").over(Window.partitionBy("k_artist", "k_title", "band").orderBy("v", "path"))).filter("a is not null").select("a", F.col("path").alias("b"))
+    return inside.unionByName(_bands(keyed, width).filter("before is not null").select(F.col("before").alias("a"), F.col("first.path").alias("b")))
 
 
 def metadata_components(rows: DataFrame, width: float = METADATA_BAND_SECS) -> DataFrame:
-    """(node, component) of the metadata tier alone: its links are chains, so a run between wider gaps is a component, without rounds."""
-    w = Window.partitionBy("k_artist", "k_title").orderBy("duration_secs", "path")
-    runs = _by_artist_and_title(rows).withColumn("run", F.sum(F.when(F.col("gap") <= width, 0).otherwise(1)).over(w))
-    whole = Window.partitionBy("k_artist", "k_title", "run")
-    named = runs.withColumns({"component": F.min("path").over(whole), "members": F.count("*").over(whole)})
-    return named.filter("members > 1").select(F.col("path").alias("node"), "component")
+    """(node, component) of the metadata tier alone, without rounds and without ordering rows: a band is in one component, and a run of linked bands."""
+    keyed = _by_artist_and_title(rows, width)
+    key = ("k_artist", "k_title")
+    runs = _bands(keyed, width).withColumn("run", F.count_if(F.col("before").isNull()).over(Window.partitionBy(*key).orderBy("band")))
+    whole = Window.partitionBy(*key, "run")
+    named = runs.select(*key, "band", F.min("least").over(whole).alias("component"), F.sum("n").over(whole).alias("members")).filter("members > 1")
+    return keyed.join(named, [*key, "band"]).select(F.col("path").alias("node"), "component")
 
 
 def _with_tokens(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -52,6 +52,34 @@ def t1(spark, sf_dir):
     return streams.arrived(t.tracks_prev.select("path", "mtime_ms", "size_bytes", F.lit(None).cast("boolean").alias("fresh")), log)
 
 
+@query("t1_watch_stream", """
+with d as (select path, track_no % 4 as k, mtime_ms, size_bytes from tracks)
+select coalesce(d.path, p.path) as path, coalesce(d.mtime_ms, p.mtime_ms) as mtime_ms, coalesce(d.size_bytes, p.size_bytes) as size_bytes, case when d.path is null then null else not coalesce(d.mtime_ms = p.mtime_ms and d.size_bytes = p.size_bytes, false) end as fresh
+from (select * from d where k in (0, 2)) d full join tracks_prev p on p.path = d.path where coalesce(d.path, p.path) not in (select path from d where k = 1)""")
+def t1_watch(spark, sf_dir):
+    """Notices of files that are seen, seen and then gone, or gone and then seen again; a quarter of all has none."""
+    t = Tables(spark, sf_dir)
+    k, no = F.col("track_no") % 4, F.col("track_no")
+    when = lambda seq, there: F.struct(seq.cast("bigint").alias("seq"), "path", F.when(there, F.col("mtime_ms")).alias("mtime_ms"), F.when(there, F.col("size_bytes")).alias("size_bytes"))
+    rows = t.tracks.filter(k < 3).select(F.inline(F.array(when(no * 2, k != 2), when(no * 2 + 1, k != 1))))
+    replay = Replay(rows, "mtime_ms")  # batches come in any order
+    log = replay.log(rows.schema, lambda r: streams.last_notices(r), every=2)
+    streams.notices(replay.stream, log, replay.checkpoint)
+    return streams.watched(t.tracks_prev.select("path", "mtime_ms", "size_bytes", F.lit(None).cast("boolean").alias("fresh")), log)
+
+
+@query("t1_notice_bursts", """
+with e as (select event_type as library_dir, ts, ts - lag(ts) over (partition by event_type order by ts) as gap from events),
+b as (select *, sum(case when gap <= interval 20 minutes then 0 else 1 end) over (partition by library_dir order by ts) as burst from e)
+select library_dir, count(*)::bigint as notices, min(ts) as first, max(ts) as last from b group by library_dir, burst having max(ts) + interval 20 minutes <= (select max(ts) from events) - interval 1 day""")
+def t1_bursts(spark, sf_dir):
+    """Notices within twenty minutes of each other as one burst, once each, as far as the watermark of a day has come."""
+    rows = Tables(spark, sf_dir).events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("library_dir"))
+    replay = Replay(rows, "ts", by_time=True)
+    out = streams.final_rows(streams.bursts(replay.stream, "20 minutes", "1 day"), spark, replay.out, replay.checkpoint, mode="append")
+    return out.withColumns({"first": F.col("first").cast("timestamp_ntz"), "last": F.col("last").cast("timestamp_ntz")})
+
+
 @query("t2_patch_coalescing", """
 select time_bucket(interval 6 hours, ts) as window_start, path, arg_max(bpm, seq) filter (where bpm is not null) as bpm, arg_max(key_pc, seq) filter (where key_pc is not null) as key_pc, bool_or(waveform) as waveform from patches group by 1, 2""")
 def t2(spark, sf_dir):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from needledrop.operators import filters, sync
+from needledrop.scratch import materialise
 
 
 def read_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 2) -> DataFrame:
@@ -131,6 +132,29 @@ def arrived(catalog: DataFrame, log: Log) -> DataFrame:
     return sync.upsert(catalog, split.select("path", "mtime_ms", "size_bytes", F.col("refresh").alias("fresh")), "path")
 
 
+def bursts(stream: DataFrame, gap: str, late: str) -> DataFrame:
+    """Change notices (ts, library_dir) of a library that follow each other within ``gap``, as one: what a sync answers to."""
+    found = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("burst"), "library_dir").agg(F.count("*").alias("notices"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return found.drop("burst")
+
+
+def last_notices(rows: DataFrame) -> DataFrame:
+    return sync.last_of_batch(rows, "seq", "path")
+
+
+def notices(stream: DataFrame, log: Log, checkpoint: str) -> None:
+    """Log the last notice (seq, path, mtime_ms, size_bytes) of each path and batch; one without a time says that the file is gone."""
+    run_available(stream, lambda batch, number: log.put(last_notices(batch), number), checkpoint)
+
+
+def watched(catalog: DataFrame, log: Log) -> DataFrame:
+    """The catalogue after all notices, in any order of batches: files that are gone go, new and changed ones are refreshed, the rest stays."""
+    last = materialise(last_notices(log.read()).drop("batch"))
+    gone = last.filter("mtime_ms is null")
+    split = sync.reuse_or_refresh(sync.identities(catalog), last.filter("mtime_ms is not null").select("path", "mtime_ms", "size_bytes"))
+    return sync.upsert(sync.delete_paths(catalog, gone), split.select("path", "mtime_ms", "size_bytes", F.col("refresh").alias("fresh")), "path")
+
+
 def coalesced_patches(stream: DataFrame, window: str, late: str) -> DataFrame:
     """Per path and event-time window the newest tempo, newest key and any waveform flag.
 
