@@ -14,17 +14,19 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from needledrop.llm import tokens
+from needledrop.llm.skew import look_up
 from needledrop.scratch import materialise
 
 K = 5
 BINS = np.uint64(64)
-#: The benchmark is a query set of any size, gone through in blocks of about so many items and bytes of text.
-BLOCK_ITEMS = 10_000
-BLOCK_BYTES = 16 << 20
+#: So many items and bytes of their texts are sent to all executors; more meet the documents in a join, behind a map of so many bits (64 MB).
+FEW_ITEMS, FEW_BYTES = 10_000, 16 << 20
+MAP_BITS = 29
 WORD = re.compile(r"(?:[a-z0-9]|[^\x00-\x7F])+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 PAIR = "doc_id bigint, item_id bigint, n_shared bigint, n_shingles bigint"
@@ -93,21 +95,17 @@ def leaks_of(index: Index, exact: dict[int, set], column, containment: float) ->
                     yield at + doc, i, n, len(want)
 
 
-def _item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """Blocks of distinct items: their bytes are bounded, but for a single item that is longer."""
-    queries = materialise(benchmark.filter("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct())
-    size = queries.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("longest")).first()
-    # half a block of expected bytes keeps a hashed block within the bound
-    blocks = max(1, -(-size["items"] // BLOCK_ITEMS), -(-2 * size["bytes"] // max(block_bytes, size["longest"])) if size["bytes"] > block_bytes else 1)
-    for block in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+def distinct_items(benchmark: DataFrame) -> tuple[DataFrame, bool]:
+    """(number, item_id, text) of the items, rows equal in both once, and whether they are few enough to be sent to all executors."""
+    rows = benchmark.filter("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
+    items = materialise(rows.withColumn("number", F.monotonically_increasing_id()))
+    size = items.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    return items, size["items"] <= FEW_ITEMS and size["bytes"] <= FEW_BYTES
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], containment: float) -> DataFrame:
-    import pyarrow as pa
-
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _search(docs: DataFrame, items: DataFrame, containment: float) -> DataFrame:
+    """Leaks by one pass over the documents with the items at hand."""
+    shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, exact = Index(shared.value), {}
@@ -119,42 +117,128 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], containment: float) -
     return docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(run, PAIR)
 
 
+def _salted(hashes: np.ndarray, size: int) -> np.ndarray:
+    return tokens.mix(hashes ^ np.uint64(size * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+
+
+def signature_entries(items: DataFrame) -> DataFrame:
+    """(hash, size, number, bit): an item's least hash of each bin, the size of its class and a hash of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number, index = batch.column(0).to_numpy(), Index([(0, t) for t in batch.column(1).to_pylist()])
+            size, item = np.array([e[2] for e in index.entries], np.int32), np.array([e[1] for e in index.entries], np.int64)
+            bit = np.concatenate([_salted(index.keys[size == s], s) for s in np.unique(size).tolist()]) if len(size) else index.keys
+            order = np.argsort(size, kind="stable")
+            yield pa.RecordBatch.from_arrays([pa.array(index.keys[order].view(np.int64)), pa.array(size[order]), pa.array(number[item[order]]), pa.array(bit.view(np.int64))], ["hash", "size", "number", "bit"])
+
+    return items.select("number", "text").mapInArrow(run, "hash bigint, size int, number bigint, bit bigint")
+
+
+def window_entries(texts: DataFrame, sizes: list[int], bits: int, seen: np.ndarray) -> DataFrame:
+    """(code, hash, size) of the documents' windows, as far as an item may have the entry: ``seen`` has a bit for each hash of both."""
+    shared = texts.sparkSession.sparkContext.broadcast(seen)
+    shift = np.uint64(64 - bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = shared.value
+        for batch in batches:
+            found = set()
+            for at, _, data, offsets in tokens.slices(batch.column(1)):
+                word, owner, *_ = tokens.words(data, offsets)
+                hashes, text, _ = tokens.shingles(word, owner, K)
+                start = np.searchsorted(text, text, "left") if len(text) else text
+                stop = np.searchsorted(text, text, "right") if len(text) else text
+                for size in sizes:
+                    place = _salted(hashes, size) >> shift
+                    for p in np.flatnonzero(seen[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).tolist():
+                        h, a = hashes[p], int(start[p])
+                        for w in {(p - a) // size, max(0, (p - a) // size - 1)}:
+                            window = hashes[a + w * size : min(int(stop[p]), a + (w + 2) * size)]
+                            if window[window % BINS == h % BINS].min() == h:
+                                found.add((at + int(text[p]), int(h.view(np.int64)), size))
+                                break
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], ["code", "hash", "size"])
+
+    return texts.select("code", "text").mapInArrow(run, "code string, hash bigint, size int")
+
+
+def _join(docs: DataFrame, items: DataFrame, containment: float) -> DataFrame:
+    """(code, item_id, n_shared, n_shingles) of texts by their MD5 that leak, for a benchmark of any size: entries meet by a join.
+
+    Only a map of bits passes the driver: sixteen an entry, up to ``MAP_BITS``; a fuller map lets more entries through to the join.
+    """
+    entries = materialise(signature_entries(items))
+    facts = entries.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()
+    bits = min(max((16 * facts["n"]).bit_length(), 16), MAP_BITS)
+    place = F.shiftrightunsigned("bit", 64 - bits)
+    words = entries.groupBy(F.shiftright(place, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(bit, {64 - bits}) & 31 as int))")).alias("bits")).toPandas()
+    seen = np.zeros(1 << (bits - 5), np.uint32)
+    seen[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    texts = coded(docs).select("code", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    met = window_entries(texts, sorted(facts["sizes"]), bits, seen.astype("<u4").view(np.uint8)).distinct()
+    pairs = materialise(met.join(entries, ["hash", "size"]).select("code", "number").distinct())
+    wanted = texts.join(pairs.select("code").distinct(), "code", "left_semi").dropDuplicates(["code"])
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // FEW_ITEMS))
+    part = F.pmod(F.xxhash64("code"), F.lit(parts)).alias("part")
+
+    def run(key, texts: pa.Table, pairs: pa.Table) -> pa.Table:
+        have = {c: exact_shingles(t.decode("utf-8", "replace")) for c, t in zip(texts.column("code").to_pylist(), texts.column("text").to_pylist(), strict=True)}
+        rows, exact = [], {}
+        for code, item, text in zip(*(pairs.column(c).to_pylist() for c in ("code", "item_id", "text")), strict=True):
+            want = exact.setdefault(text, exact_shingles(text))
+            n = len(want & have[code])
+            if n >= containment * len(want) - 1e-9:
+                rows.append((code, item, n, len(want)))
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table([pa.array([r[i] for r in rows], kinds[i]) for i in range(4)], names=["code", "item_id", "n_shared", "n_shingles"])
+
+    named = pairs.join(items, "number").select(part, "code", "item_id", "text")
+    return wanted.select(part, "code", "text").groupBy("part").cogroup(named.groupBy("part")).applyInArrow(run, "code string, item_id bigint, n_shared bigint, n_shingles bigint")
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("code", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8) -> DataFrame:
     """Pairs (doc_id, item_id, n_shared, n_shingles) where a document holds that share of an item's shingles.
 
     ``benchmark`` has item_id and text; rows equal in both count once. Words are lower-cased runs of
     letters and digits. Items or documents of fewer than five words, null ones too, have no shingle
     and match nothing. Repeated document rows give repeated pairs; empty tables give none; further
-    columns are ignored. Each block of items passes through the driver and over all documents.
+    columns are ignored. Up to ``FEW_ITEMS`` items of ``FEW_BYTES`` are sent to all executors and looked for in one
+    pass over the documents; signatures of more meet those of the documents in a join.
     """
-    out = None
-    for items in _item_blocks(benchmark):
-        pairs = _search(docs, items, containment)
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    items, few = distinct_items(benchmark)
+    if few:
+        return _search(docs, items, containment)
+    leaks = materialise(_join(docs, items, containment)).groupBy("code").agg(F.collect_list(F.struct("item_id", "n_shared", "n_shingles")).alias("leaks"))
+    rows = coded(docs.select("doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "code")
+    return look_up(rows, materialise(leaks), "code").select("doc_id", F.inline("found.leaks"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, that leak no item; no shuffle of texts.
+    """The rows of ``docs``, all columns, that leak no item; up to ``FEW_ITEMS`` items without a shuffle of texts.
 
     Null and short texts leak nothing and stay, as do all rows where the benchmark is empty. Repeated
     rows stay or go together; an empty table gives none; further columns stay, whatever their names.
     """
-    import pyarrow as pa
-
-    column = docs.columns.index("text")
-    for items in _item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, exact = Index(shared.value), {}
-            for batch in batches:
-                text = batch.column(column)
-                if text.null_count:
-                    text = text.fill_null("")
-                keep = np.ones(batch.num_rows, dtype=bool)
-                keep[[row for row, *_ in leaks_of(index, exact, text, containment)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    items, few = distinct_items(benchmark)
+    if not few:
+        rows = docs.select(F.struct("*").alias("row"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("code"))
+        return rows.join(materialise(_join(docs.select("doc_id", "text"), items, containment)).select("code").distinct(), "code", "left_anti").select("row.*")
+    shared, column = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.collect()]), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, exact = Index(shared.value), {}
+        for batch in batches:
+            text = batch.column(column)
+            if text.null_count:
+                text = text.fill_null("")
+            keep = np.ones(batch.num_rows, dtype=bool)
+            keep[[row for row, *_ in leaks_of(index, exact, text, containment)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

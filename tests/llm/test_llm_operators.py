@@ -386,11 +386,50 @@ def test_op8_median_along_whole_strings(spark):
         assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got))) for k in weight)
 
 
-def test_op4_item_blocks_are_bounded_by_bytes(spark):
-    items = [(i, "w" * (i % 50 + 1)) for i in range(300)] + [(900, None), (1, "ww")]
-    blocks = list(op4_decontaminate._item_blocks(spark.createDataFrame(items, "item_id long, text string"), block_bytes=1000))
-    assert len(blocks) > 5 and all(sum(len(t) for _, t in b) <= 1000 for b in blocks)
-    assert sorted(x for b in blocks for x in b) == sorted({x for x in items if x[1]})
+@pytest.mark.parametrize("containment", [0.8, 0.5])
+def test_op4_join_equals_one_pass(spark, monkeypatch, containment):
+    """A benchmark of any size by the join of signatures: the rows of the pass that has all items at hand."""
+    rng = random.Random(31)
+    items = [(i, prose(rng, rng.choice((5, 6, 8, 13, 21, 34, 60)))) for i in range(120)] + [(500, "only four words here"), (501, None), (3, "another text of item number three")]
+    docs = []
+    for i in range(60):
+        w = prose(rng, rng.randrange(5, 900)).split()
+        for _ in range(rng.randrange(3)):
+            own = items[rng.randrange(120)][1].split()
+            for k in rng.sample(range(len(own)), len(own) // 12):
+                own[k] = "edited"
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = own
+        docs.append((i, " ".join(w)))
+    docs += [(100 + i, docs[i % 7][1]) for i in range(30)] + [(0, docs[1][1]), (None, docs[2][1]), (200, None), (201, "")]
+    d, b = documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    want, kept = ([tuple(r) for r in f(d, b, containment).collect()] for f in (op4_decontaminate.find_leaks, op4_decontaminate.drop_leaks))
+    monkeypatch.setattr(op4_decontaminate, "FEW_ITEMS", 50)
+    joined = op4_decontaminate.find_leaks(d, b, containment)
+    assert sorted(map(repr, map(tuple, joined.collect()))) == sorted(map(repr, want)) and len(want) > 20 and joined.columns == ["doc_id", "item_id", "n_shared", "n_shingles"]
+    rest = op4_decontaminate.drop_leaks(d, b, containment)
+    assert sorted(map(repr, map(tuple, rest.collect()))) == sorted(map(repr, kept)) and rest.columns == d.columns
+    monkeypatch.setattr(op4_decontaminate, "MAP_BITS", 8)  # a full map lets all entries through
+    assert sorted(map(repr, map(tuple, op4_decontaminate.find_leaks(d, b, containment).collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("n_words", [5, 8, 12, 20, 40, 60, 200])
+def test_op4_recall_of_candidates(n_words):
+    """Items of which at least four fifths of the shingles are in a long text are candidates there."""
+    rng = random.Random(n_words)
+    items = [(i, prose(rng, n_words)) for i in range(60)]
+    index, found = op4_decontaminate.Index(items), 0
+    for i, (_, text) in enumerate(items):
+        own = text.split()
+        for _ in range((n_words - 4) // 5 // 5):  # an edit takes up to five shingles
+            own[rng.randrange(len(own))] = "edited"
+        w = prose(rng, 3000).split()
+        at = rng.randrange(len(w))
+        data = np.frombuffer(" ".join([*w[:at], *own, *w[at:]]).encode(), np.uint8)
+        word, owner, *_ = tokens.words(data, np.array([0, len(data)], np.int64))
+        hashes, text_no, _ = tokens.shingles(word, owner, op4_decontaminate.K)
+        found += i in index.candidates(hashes, text_no)[0]
+    assert found >= 0.98 * len(items)
 
 
 def test_op6_accuracy_on_labels_never_learnt(spark):
