@@ -17,6 +17,8 @@ NAMES = (
     "a2_file_inventory", "a7_json_snapshot", "a8_purchase_ingest", "a10_page_data", "b16_undo_retention", "b17_undo_pop", "f17_conversion_plan", "f18_collision_free_names", "f20_waveform_blob", "k1_document",
     "m2_collection_origins", "m5_candidate_lookup", "t5_progress_by_stage", "x10_beat_phase", "x12_chroma", "x15_feature_job",
     "r6_playlist_groups", "x2_framed_spectrum", "x8_octave_folding", "x14_waveform", "t2_patch_coalescing", "t3_patch_application",
+    "a1_snapshot_scan", "a5_collection_reader", "a5_dropped_rows", "b1_snapshot_upsert", "b5_snapshot_prune", "d5_content_work_list", "d7_content_tier", "d15_lone_groups", "f15_natural_key", "s2_natural_collation", "t1_watch_stream",
+    "t1_notice_bursts", "t2_patch_windows", "t6_superseded_runs", "t7_event_log_stream",
 )
 
 
