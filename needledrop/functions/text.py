@@ -117,12 +117,18 @@ def _if_not_ascii(c: Column) -> Column:
     return F.when(~c.rlike(r"^\p{ASCII}*$"), c)
 
 
-def match_key(c: Column) -> Column:
+def is_ascii(*columns: Column) -> Column:
+    """Whether all of some texts are ASCII; nulls are."""
+    return F.concat_ws("", *columns).rlike(r"^\p{ASCII}*$")
+
+
+def match_key(c: Column, ascii_only: bool = False) -> Column:
     """Lower case, accents dropped, other than letters and digits as single spaces.
 
-    Spark has no Unicode normalisation, so one Arrow UDF decomposes; it gets null in place of ASCII text.
+    Spark has no Unicode normalisation, so one Arrow UDF decomposes; it gets null in place of ASCII text, and
+    is left out where texts are known to be ``ascii_only``.
     """
-    plain = F.coalesce(_decomposed(_if_not_ascii(c)), c)
+    plain = c if ascii_only else F.coalesce(_decomposed(_if_not_ascii(c)), c)
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(plain), "[̀-ͯ]", ""), r"[^\p{L}\p{N}]+", " "))
 
 

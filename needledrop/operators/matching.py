@@ -16,10 +16,18 @@ def purchase_matches(catalog: DataFrame, items: DataFrame) -> DataFrame:
 
     An OR of equalities would be a nested loop; each row brings its four keys to one join on the title key.
     Artists agree if equal, if either holds the other, or if either is empty. Empty titles never match.
+    Rows of ASCII names, most of all, do not pass through Python.
     """
     keys = items.select("item_key", text.match_key(F.col("title")).alias("key"), text.match_key(F.coalesce("band_name", F.lit(""))).alias("band")).filter("key <> ''")
-    names = [(text.stem(F.col("path")), False), (text.folder_name(F.col("path")), False), (F.coalesce("album", F.lit("")), True), (F.coalesce("title", F.lit("")), True)]
-    rows = catalog.select("path", text.match_key(F.coalesce("artist", F.lit(""))).alias("artist_key"), F.array(*[F.struct(text.match_key(c).alias("key"), F.lit(tied).alias("tied")) for c, tied in names]).alias("keys"))
+    raw = {"artist": F.coalesce("artist", F.lit("")), "stem": text.stem(F.col("path")), "folder": text.folder_name(F.col("path")), "album": F.coalesce("album", F.lit("")), "title": F.coalesce("title", F.lit(""))}
+    named = catalog.select("path", *[c.alias(f"n_{n}") for n, c in raw.items()])
+    plain = text.is_ascii(*[F.col(f"n_{n}") for n in raw])
+
+    def keyed(rows: DataFrame, ascii_only: bool) -> DataFrame:
+        keys = [F.struct(text.match_key(F.col(f"n_{n}"), ascii_only).alias("key"), F.lit(n in ("album", "title")).alias("tied")) for n in raw if n != "artist"]
+        return rows.select("path", text.match_key(F.col("n_artist"), ascii_only).alias("artist_key"), F.array(*keys).alias("keys"))
+
+    rows = keyed(named.filter(plain), True).unionByName(keyed(named.filter(~plain), False))
     rows = rows.select("path", "artist_key", F.inline("keys")).filter("key <> ''")
     a, b = F.col("artist_key"), F.col("band")
     agree = (a == "") | (b == "") | a.contains(b) | b.contains(a)
