@@ -482,7 +482,7 @@ def drop_lines(docs: DataFrame, block_bytes: int = blocks.BLOCK_BYTES, most: int
     kept bytes for every row. Words are lower-cased runs of letters and digits; lines without one stay. A
     null text is empty and has one line. Rows of equal doc_id follow each other by text; rows of a null
     id come last, in an order of hashes. Equal sets are told by a hash of 128 bits. An empty table gives no rows; further columns
-    are ignored.
+    are ignored. A very long text is one row of its block; a very long line is a set like others.
     """
     n_blocks, n = blocks.block_count(docs, block_bytes)
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))

@@ -409,7 +409,7 @@ def drop_repeats(docs: DataFrame, width: int = 50, block_bytes: int = blocks.BLO
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and the kept bytes for every row.
     A null text is empty; texts shorter than ``width`` stay whole; rows of equal doc_id do not
     match each other; a null doc_id comes after all others; an empty table gives none; further
-    columns are ignored.
+    columns are ignored. A very long text is one row of its block, and takes part whole.
     """
     blocks_n, n = blocks.block_count(docs, block_bytes)
     rows = blocks.in_blocks(docs, blocks_n)

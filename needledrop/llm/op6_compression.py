@@ -127,7 +127,7 @@ def classify(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
 
     Labels come from rows that are not held out; language, source and id are no inputs. Null and
     empty texts get the curve's value at 0. Repeated rows are scored row by row; with one class or
-    no labels the score is constant; further columns are ignored.
+    no labels the score is constant; a very long text is compressed whole, block by block; further columns are ignored.
     """
     model = fit(docs, labels, **fitting)
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "difference")

@@ -132,7 +132,8 @@ def shard_documents(docs: DataFrame, n_shards: int | None = 16, target_bytes: in
     Returns doc_id, size (UTF-8 bytes of the text plus 1; a null text has none), text_crc32, law,
     shard, slot, grown_shard (always null: a k-d tree moves rows when it grows), lang and source.
     Rows are single units: equal texts and repeated rows may part. Null doc_id, lang and source
-    take part like any other value; an empty table gives no rows; further columns are ignored.
+    take part like any other value; a very long text is one row of its size; an empty table gives no rows;
+    further columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     meta = materialise(docs.select(F.col("doc_id").alias("row_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source"))

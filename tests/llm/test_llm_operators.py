@@ -701,3 +701,23 @@ def test_pipeline_stages_on_odd_rows(spark):
                 assert out.columns == df.columns, name
     near = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, spark.createDataFrame(odd, schema), sf).collect()
     assert Counter(r["doc_id"] for r in near) == Counter({None: 2, 1: 1, 3: 1, 4: 1})  # 2 is empty as 1 is
+
+
+def test_very_long_texts(spark):
+    """Texts and a page of 300 000 words."""
+    rng = random.Random(41)
+    many = [f"{rng.randrange(20_000)}x" for _ in range(300_000)]
+    long = "\n".join(" ".join(many[i : i + 20]) for i in range(0, len(many), 20))
+    tail = "\n" + " ".join(f"tail{i}" for i in range(12))
+    rows = [(0, long), (1, long + tail), (2, "a short one"), (3, " ".join(many))]
+    docs = documents(spark, rows)
+    cut = {r["doc_id"]: r for r in op2_runindex.drop_repeats(docs).select("doc_id", "n_bytes", "n_removed").collect()}
+    assert cut[0]["n_removed"] == 0 and cut[1]["n_removed"] == len(long) and cut[2]["n_removed"] == 0 and 0 < cut[3]["n_removed"] < cut[3]["n_bytes"]
+    counts = {r["doc_id"]: r for r in op3_rules.text_statistics(docs).collect()}
+    assert all(tuple(counts[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute_statistics(t) for i, t in rows)
+    lines = {r["doc_id"]: r["n_removed"] for r in op10_lines.drop_lines(docs, texts=False).select("doc_id", "n_removed").collect()}
+    assert lines == {0: 0, 1: 15_000, 2: 0, 3: 0}
+    pages = spark.createDataFrame([(1, "http://a/1", long), (2, "http://a/2", long), (3, "http://a/3", tail)], "page_id long, url string, html string")
+    back = {r["page_id"]: r for r in op7_warc.round_trip(pages, min_bytes=0, chunk_bytes=1 << 15).collect()}
+    digest = base64.b32encode(hashlib.sha1(long.encode()).digest()).decode()
+    assert back[1]["payload_digest"] == back[2]["payload_digest"] == digest and (back[1]["refers_to"], back[2]["refers_to"]) == (2, None) and back[1]["payload_bytes"] == len(long)
