@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from needledrop.functions import text
 from needledrop.operators import dedupe, matching
-from needledrop.operators.components import connected_components
 from needledrop.plans.registry import Tables, query
 from needledrop.scratch import materialise, scratch_folder
 from needledrop.sources import json_sources
@@ -121,7 +120,8 @@ def d7(spark, sf_dir):
 
 @dup("d8_connected_components", "select node, component from meta_parts")
 def d8(spark, sf_dir):
-    return connected_components(_links(Tables(spark, sf_dir)))
+    """Components of the metadata links; these are runs of bands of lengths, so no rounds over links are needed."""
+    return dedupe.metadata_components(dedupe.candidates(Tables(spark, sf_dir).tracks))
 
 
 @dup("d9_group_assembly", "select group_id, path, size_bytes, keep, members::bigint as members from dup")
