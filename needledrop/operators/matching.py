@@ -6,19 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from needledrop.functions import text
+from needledrop.scratch import materialise
 
 IMAGES = ("jpg", "jpeg", "png", "webp")
 COVER_NAMES = ("cover", "folder", "front", "album", "artwork")
 
 
-def purchase_matches(catalog: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct (path, item_key): file stem or folder equals the item's title; or album or title does and the artists agree.
+def _catalog_keys(catalog: DataFrame) -> DataFrame:
+    """(path, artist_key, key, tied): each row's four keys; a ``tied`` one asks for the artist too. Empty ones are left out.
 
-    An OR of equalities would be a nested loop; each row brings its four keys to one join on the title key.
-    Artists agree if equal, if either holds the other, or if either is empty. Empty titles never match.
     Rows of ASCII names, most of all, do not pass through Python.
     """
-    keys = items.select("item_key", text.match_key(F.col("title")).alias("key"), text.match_key(F.coalesce("band_name", F.lit(""))).alias("band")).filter("key <> ''")
     raw = {"artist": F.coalesce("artist", F.lit("")), "stem": text.stem(F.col("path")), "folder": text.folder_name(F.col("path")), "album": F.coalesce("album", F.lit("")), "title": F.coalesce("title", F.lit(""))}
     named = catalog.select("path", *[c.alias(f"n_{n}") for n, c in raw.items()])
     plain = text.is_ascii(*[F.col(f"n_{n}") for n in raw])
@@ -28,10 +26,70 @@ def purchase_matches(catalog: DataFrame, items: DataFrame) -> DataFrame:
         return rows.select("path", text.match_key(F.col("n_artist"), ascii_only).alias("artist_key"), F.array(*keys).alias("keys"))
 
     rows = keyed(named.filter(plain), True).unionByName(keyed(named.filter(~plain), False))
-    rows = rows.select("path", "artist_key", F.inline("keys")).filter("key <> ''")
-    a, b = F.col("artist_key"), F.col("band")
-    agree = (a == "") | (b == "") | a.contains(b) | b.contains(a)
-    return rows.join(keys, "key").filter(~F.col("tied") | agree).select("path", "item_key").distinct()
+    return rows.select("path", "artist_key", F.inline(F.array_distinct("keys"))).filter("key <> ''")
+
+
+def _item_keys(items: DataFrame, *more: str) -> DataFrame:
+    return items.select("item_key", text.match_key(F.col("title")).alias("key"), text.match_key(F.coalesce("band_name", F.lit(""))).alias("band"), *more).filter("key <> ''")
+
+
+def _parts(c: Column, lengths: Column) -> Column:
+    """The different parts of a text that have one of some lengths."""
+    starts = lambda n: F.when(n <= F.length(c), F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(lengths, starts)))
+
+
+def agreeing_artists(artists: DataFrame, bands: DataFrame) -> DataFrame:
+    """Distinct (key, artist_key, band) of (key, artist_key) and (key, band) whose names agree: equal, one within the other, or one empty.
+
+    A name within another is one of its parts, so pairs meet in joins on parts of the lengths that the other side of the
+    key has; the names of one key are not compared with each other. An empty name is a part of every other.
+    """
+    a, b = artists.select("key", "artist_key").distinct(), bands.select("key", "band").distinct()
+
+    def within(whole: DataFrame, name: str, part: DataFrame, part_name: str) -> DataFrame:
+        lengths = part.groupBy("key").agg(F.collect_set(F.length(part_name)).alias("lengths"))
+        cut = whole.join(lengths, "key").select("key", name, F.explode(_parts(F.col(name), F.col("lengths"))).alias(part_name))
+        return cut.join(part, ["key", part_name]).select("key", "artist_key", "band")
+
+    return within(a, "artist_key", b, "band").unionByName(within(b, "band", a, "artist_key")).distinct()
+
+
+def _named_keys(catalog: DataFrame, items: DataFrame, *more: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Catalogue keys that some item has, item keys, and the names that agree, written for several uses."""
+    keys = materialise(_item_keys(items, *more))
+    rows = materialise(_catalog_keys(catalog).join(keys.select("key").distinct(), "key", "left_semi"))
+    return rows, keys, materialise(agreeing_artists(rows.filter("tied"), keys))
+
+
+def purchase_matches(catalog: DataFrame, items: DataFrame) -> DataFrame:
+    """Distinct (path, item_key): file stem or folder equals the item's title; or album or title does and the artists agree.
+
+    An OR of equalities would be a nested loop; each row brings its four keys to joins on the title key. Artists agree if
+    equal, if either holds the other, or if either is empty; which names do is found once a name, so only rows that match meet.
+    """
+    rows, keys, agree = _named_keys(catalog, items)
+    free = rows.filter("not tied").join(keys, "key").select("path", "item_key")
+    tied = rows.filter("tied").join(agree, ["key", "artist_key"]).select("path", "key", "band").join(keys, ["key", "band"]).select("path", "item_key")
+    return free.unionByName(tied).distinct()
+
+
+def matched_items(catalog: DataFrame, items: DataFrame) -> DataFrame:
+    """Distinct item_key of ``purchase_matches``, without its pairs."""
+    rows, keys, agree = _named_keys(catalog, items)
+    free = keys.join(rows.filter("not tied").select("key").distinct(), "key", "left_semi")
+    tied = keys.join(agree.select("key", "band").distinct(), ["key", "band"], "left_semi")
+    return free.select("item_key").unionByName(tied.select("item_key")).distinct()
+
+
+def latest_matches(catalog: DataFrame, items: DataFrame) -> DataFrame:
+    """(path, item_key): each row's match of the highest ``ordinal``, without its other pairs: the last item of a key, and of a key and artist, is found first."""
+    rows, keys, agree = _named_keys(catalog, items, "ordinal")
+    last = lambda of, *by: of.groupBy(*by).agg(F.max_by(F.struct("item_key", "ordinal"), "ordinal").alias("m"))
+    free = rows.filter("not tied").join(last(keys, "key"), "key").select("path", "m")
+    names = agree.join(last(keys, "key", "band"), ["key", "band"]).groupBy("key", "artist_key").agg(F.max_by("m", F.col("m.ordinal")).alias("m"))
+    tied = rows.filter("tied").join(names, ["key", "artist_key"]).select("path", "m")
+    return free.unionByName(tied).groupBy("path").agg(F.max_by("m", F.col("m.ordinal")).alias("m")).select("path", "m.item_key")
 
 
 def ledger_rows(ledger: DataFrame) -> DataFrame:
@@ -40,13 +98,13 @@ def ledger_rows(ledger: DataFrame) -> DataFrame:
 
 
 def track_origins(matches: DataFrame, ledger: DataFrame, tracks: DataFrame, items: DataFrame) -> DataFrame:
-    """Each purchased row's item, of matches and ledger hits; the later item wins."""
+    """Each purchased row's item, of matches (all, or each row's latest) and ledger hits; the later item wins."""
     hits = matches.unionByName(ledger_rows(ledger).join(tracks.select("path"), "path", "left_semi").select("path", "item_key"))
     return hits.join(items.select("item_key", "ordinal"), "item_key").groupBy("path").agg(F.max_by("item_key", "ordinal").alias("item_key"))
 
 
 def item_presence(items: DataFrame, matches: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Items with whether they are there: matched, or with a ledger entry that is not empty."""
+    """Items with whether they are there: among ``matches`` (of rows, or of items alone), or with a ledger entry that is not empty."""
     there = matches.select("item_key").unionByName(ledger.filter(F.size("paths") > 0).select("item_key")).distinct()
     return items.join(there.withColumn("there", F.lit(True)), "item_key", "left").select("item_key", F.col("there").isNotNull().alias("present"))
 
