@@ -252,7 +252,7 @@ def m2(spark, sf_dir):
 @match("m2_item_presence", "select item_key, item_key in (select item_key from hits) or item_key in (select item_key from ledger) as present from purchases")
 def m2_items(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return matching.item_presence(t.purchases, matching.purchase_matches(t.tracks, t.purchases), _ledger(t))
+    return matching.item_presence(t.purchases, matching.matched_items(t.tracks, t.purchases), _ledger(t))
 
 
 @match("m3_prune_ledger", "select item_key, list(path order by path) as paths from (select item_key, unnest(paths) as path from ledger) where path not in (select path from tracks where track_no % 3 = 1) group by 1")
