@@ -246,7 +246,8 @@ def m1(spark, sf_dir):
 select path, arg_max(item_key, ordinal) as item_key from (select path, item_key from hits union select l.path, l.item_key from (select item_key, unnest(paths) as path from ledger) l join tracks using (path)) join itm using (item_key) group by path""")
 def m2(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return matching.track_origins(matching.purchase_matches(t.tracks, t.purchases), _ledger(t), t.tracks, _items(t))
+    items = _items(t)
+    return matching.track_origins(matching.latest_matches(t.tracks, items), _ledger(t), t.tracks, items)
 
 
 @match("m2_item_presence", "select item_key, item_key in (select item_key from hits) or item_key in (select item_key from ledger) as present from purchases")
