@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from needledrop.operators import evaluate
 from needledrop.plans.registry import Tables, query
-from needledrop.scratch import scratch_folder
+from needledrop.scratch import materialise, scratch_folder
 from needledrop.sources import files
 
 _CAM = "case when (({m} + 8) % 12 + 12) % 12 = 0 then 12 else (({m} + 8) % 12 + 12) % 12 end"
@@ -251,7 +251,8 @@ k as (select *, row_number() over (partition by name order by again, track_no) a
 
 
 def _foreign_collection(t: Tables):
-    rows = _exported(t).join(t.reference.select("path"), "path", "left_semi").withColumns({"no": F.col("track_no"), "bpm": F.round("bpm", 2)})
+    rows = t.catalog.join(t.reference.select("path", "beat_secs"), "path").select("path", F.col("track_no").alias("no"), F.round("bpm", 2).alias("bpm"), "key_name", "beat_secs")
+    rows = materialise(rows)  # read for elements and copies, each by the writer's sampling and sorting
     copies = rows.filter("no % 5 = 2").withColumns({"again": F.lit(1), "bpm": F.when(F.col("no") % 3 == 0, F.col("bpm") + 1).otherwise(F.col("bpm"))})
     first = rows.withColumns({"again": F.lit(0), "bpm": F.when(F.col("no") % 9 == 4, F.lit(0.0)).otherwise(F.col("bpm"))})
     every, once = first.unionByName(copies), F.col("again") == 0

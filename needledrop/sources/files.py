@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from needledrop.functions.text import EXTENSIONS, blank_to_null, file_name, name_hash
 from needledrop.operators.filters import number_in_order
+from needledrop.scratch import materialise
 
 #: Our columns and the attributes of a collection's elements that hold them.
 TEXT_ATTRIBUTES = {"artist": "Artist", "album": "Album", "album_artist": "AlbumArtist", "genre": "Genre", "label": "Label", "kind": "Kind", "key_name": "Tonality", "added": "DateAdded"}
@@ -18,6 +19,7 @@ COLLECTION = ", ".join([
 REFERENCE = "name_hash string, bpm double, drift double, secs int, key string, beat_secs double"
 #: Bytes that stay as they are in a location, and what kinds of containers are called.
 PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_.~/,()!+#$@?"
+PLAIN_CLASS = "A-Za-z0-9_.~/,()!+#$@?\\-"
 KINDS = {"aiff": "AIFF File", "aif": "AIFF File", "wav": "WAV File", "wave": "WAV File", "mp3": "MP3 File", "flac": "FLAC File", "m4a": "M4A File", "mp4": "M4A File", "aac": "M4A File"}
 #: Why an element gives no reference row.
 DROPPED = ("no BPM (never analysed)", "no grid (BPM from the tag, not from analysis)", "no location", "duplicate filename", "duplicate filename, disagreeing BPM")
@@ -39,10 +41,13 @@ def audio_files(listing: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) ->
 
 
 def location_url(path: Column) -> Column:
-    """``file://localhost`` and the path, each byte that is not plain as ``%XX``."""
+    """``file://localhost`` and the path, each byte that is not plain as ``%XX``: plain stretches stay as they are."""
     plain = F.create_map(*[F.lit(x) for c in PLAIN for x in (f"{ord(c):02X}", c)])
     codes = F.regexp_extract_all(F.hex(path.cast("binary")), F.lit("(..)"), 1)
-    return F.concat(F.lit("file://localhost"), F.array_join(F.transform(codes, lambda h: F.coalesce(F.try_element_at(plain, h), F.concat(F.lit("%"), h))), ""))
+    by_byte = F.array_join(F.transform(codes, lambda h: F.coalesce(F.try_element_at(plain, h), F.concat(F.lit("%"), h))), "")
+    runs = F.regexp_extract_all(path, F.lit(f"([{PLAIN_CLASS}]+|[^{PLAIN_CLASS}]+)"), 1)
+    by_run = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^[{PLAIN_CLASS}]"), r).otherwise(F.regexp_replace(F.hex(r.cast("binary")), "(..)", "%$1"))), "")
+    return F.concat(F.lit("file://localhost"), F.when(F.is_valid_utf8(path), by_run).otherwise(by_byte))
 
 
 def _plus_kept(url: Column) -> Column:
@@ -181,20 +186,21 @@ def _reasons(collection: DataFrame) -> DataFrame:
     )
 
 
-def _by_name(collection: DataFrame) -> DataFrame:
+def _by_name(reasons: DataFrame) -> DataFrame:
     first = F.min(F.struct("place", "bpm", "drift", "secs", "key", "beat_secs")).alias("r")
-    return _reasons(collection).filter("reason is null").groupBy("name_hash").agg(first, F.count_distinct("bpm").alias("tempos"), F.count("*").alias("n"))
+    return reasons.filter("reason is null").groupBy("name_hash").agg(first, F.count_distinct("bpm").alias("tempos"), F.count("*").alias("n"))
 
 
 def reference_rows(collection: DataFrame) -> DataFrame:
     """Reference rows of a collection: a tempo, a grid and a location are needed; of repeated names the first stays, unless their tempos differ."""
-    return _by_name(collection).filter("tempos = 1").select("name_hash", "r.bpm", "r.drift", "r.secs", "r.key", "r.beat_secs")
+    return _by_name(_reasons(collection)).filter("tempos = 1").select("name_hash", "r.bpm", "r.drift", "r.secs", "r.key", "r.beat_secs")
 
 
 def dropped_rows(collection: DataFrame) -> DataFrame:
     """(reason, n) of the elements that ``reference_rows`` leaves out; a name whose tempos differ counts once beside its repeats."""
-    own = _reasons(collection).filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
-    names = _by_name(collection).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"), F.count_if(F.col("tempos") > 1).alias("differing"))
+    reasons = materialise(_reasons(collection))  # elements are parsed once for both counts
+    own = reasons.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    names = _by_name(reasons).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"), F.count_if(F.col("tempos") > 1).alias("differing"))
     pair = lambda reason, n: F.struct(F.lit(reason).alias("reason"), F.col(n).alias("n"))
     return own.unionByName(names.select(F.inline(F.array(pair(DROPPED[3], "repeated"), pair(DROPPED[4], "differing")))).filter("n > 0"))
 
