@@ -218,7 +218,7 @@ def k1_entries(spark, sf_dir):
 def k2(spark, sf_dir):
     """Rows that are written but not read back, in any attribute, and the other way round; and the playlist entries that come back."""
     t = Tables(spark, sf_dir)
-    rows = _exported(t)
+    rows = materialise(_exported(t))
     folder = _folder(spark, "collection")
     files.write_document(files.document_lines(rows, t.playlists, t.playlist_items), folder)
     raw = files.read_collection(spark, folder)
@@ -233,7 +233,9 @@ def k2(spark, sf_dir):
     )
     back = back.select("track_id", "path", "name", "bpm", *[F.nullif(k, F.lit("")).alias(k) for k in files.TEXT_ATTRIBUTES], *files.NUMBER_ATTRIBUTES, "beat_secs")
     entries = spark.read.text(folder).filter("value like '<TRACK Key=%'").agg(F.count("*").alias("entries"))
-    counts = [want.exceptAll(back).agg(F.count("*").alias("missing")), back.exceptAll(want).agg(F.count("*").alias("added")), back.agg(F.count("*").alias("rows")), entries]
+    sides = want.withColumn("side", F.lit(1)).unionByName(back.withColumn("side", F.lit(-1)))  # each read once
+    surplus = sides.groupBy(*want.columns).agg(F.sum("side").alias("n"), F.count_if(F.col("side") < 0).alias("read"))
+    counts = [surplus.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in (("missing", F.greatest("n", F.lit(0))), ("added", F.greatest(-F.col("n"), F.lit(0))), ("rows", F.col("read")))]), entries]
     one, out = F.lit(1).alias("one"), None
     for c in counts:  # one row each
         out = c.select("*", one) if out is None else out.join(c.select("*", one), "one")
