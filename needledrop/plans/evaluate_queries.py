@@ -185,8 +185,12 @@ def k1(spark, sf_dir):
     """The exported elements, taken apart again natively so that a comparison sees their parts."""
     lines = files.track_lines(_exported(Tables(spark, sf_dir)))
 
+    # an element's attributes have different names and hold no quotes, so all are found in two passes over a line
+    found = [F.regexp_extract_all("line", F.lit(r' (\w+)="([^"]*)"'), k) for k in (1, 2)]
+    lines = lines.withColumn("found", F.map_from_arrays(*found))
+
     def part(name: str):
-        return F.nullif(F.regexp_extract("line", rf' {name}="([^"]*)"', 1), F.lit(""))
+        return F.nullif(F.try_element_at("found", F.lit(name)), F.lit(""))
 
     texts = {"name": "Name", "tempo": "AverageBpm", "artist": "Artist", "album": "Album", "album_artist": "AlbumArtist", "genre": "Genre", "label": "Label", "kind": "Kind", "key_name": "Tonality", "added": "DateAdded", "location": "Location", "beat": "Inizio"}
     numbers = {"year_number": ("Year", "int"), "secs": ("TotalTime", "bigint"), "sample_rate": ("SampleRate", "int"), "size_bytes": ("Size", "bigint"), "kbps": ("BitRate", "bigint"), "track_number": ("TrackNumber", "int")}
