@@ -14,7 +14,8 @@ from needledrop.plans.registry import Tables, query
 from needledrop.scratch import scratch_folder
 from needledrop.streaming import stateful, streams
 
-FILES = 6
+#: Files, at least, and the batches that they arrive in.
+FILES, BATCHES = 6, 3
 
 
 class Replay:
@@ -23,14 +24,11 @@ class Replay:
     def __init__(self, rows: DataFrame, order: str, by_time: bool = False) -> None:
         self.spark = rows.sparkSession
         self.folder = f"{scratch_folder(self.spark)}/stream/{uuid.uuid4().hex}"
-        if by_time:  # files are read by their age: one range is written after the other
-            at = F.unix_micros(order)
-            cuts = rows.agg(F.percentile_approx(at, [k / FILES for k in range(1, FILES)])).first()[0]
-            for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-                rows.filter((F.lit(low is None) | (at > F.lit(low))) & (F.lit(high is None) | (at <= F.lit(high)))).coalesce(1).write.mode("append").parquet(f"{self.folder}/in")
-        else:  # one file a range
-            rows.repartitionByRange(FILES, order).write.parquet(f"{self.folder}/in")
-        self.stream = streams.read_stream(self.spark, f"{self.folder}/in", rows.schema)
+        rows.repartitionByRange(max(FILES, self.spark.sparkContext.defaultParallelism), order).write.parquet(f"{self.folder}/in")  # one file a range
+        files = streams.data_files(self.spark, f"{self.folder}/in")
+        if by_time:
+            streams.set_ages(self.spark, files)
+        self.stream = streams.read_stream(self.spark, f"{self.folder}/in", rows.schema, -(-len(files) // BATCHES))
         self.checkpoint, self.out = f"{self.folder}/checkpoint", f"{self.folder}/out"
 
     def log(self, schema: StructType, merge: Callable[[DataFrame], DataFrame] | None = None, every: int = 20) -> streams.Log:

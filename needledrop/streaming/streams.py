@@ -8,6 +8,7 @@ rows, and no batch rewrites a table. Tables are put together when they are read;
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -24,6 +25,24 @@ def read_stream(spark: SparkSession, folder: str, schema, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def data_files(spark: SparkSession, folder: str) -> list[str]:
+    """The Parquet files of a folder by name, which is the order of the partitions that were written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f.getPath().toString() for f in found if f.getPath().getName().endswith(".parquet"))
+
+
+def set_ages(spark: SparkSession, files: list[str]) -> None:
+    """Make each file a second younger than the one before: a stream reads files by their age. An error where a file keeps its own age."""
+    newest = int(time.time())
+    for k, f in enumerate(files):
+        path, at = spark._jvm.org.apache.hadoop.fs.Path(f), (newest - len(files) + k) * 1000
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        there.setTimes(path, at, -1)
+        if there.getFileStatus(path).getModificationTime() != at:
+            raise RuntimeError(f"the age of {f} cannot be set")
+
+
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Hand all that has arrived to ``each`` batch by batch, then stop."""
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
