@@ -86,7 +86,7 @@ work as materialized (select c.a, c.b from (
 def _content(t: Tables):
     """Documents with fingerprints, and the pairs of them that are left for the content tier."""
     docs = dedupe.with_fingerprint(t.doc_candidates)
-    return docs, dedupe.content_work(dedupe.content_pairs(docs), dedupe.name_edges(t.doc_candidates))
+    return docs, dedupe.unconnected(dedupe.content_pairs(docs), dedupe.name_components(t.doc_candidates))
 
 
 @dup("d5_content_work_list", _CONTENT + "select a, b from work")
