@@ -83,9 +83,10 @@ work as materialized (select c.a, c.b from (
 """
 
 
-def _content(t: Tables):
-    """Documents with fingerprints, and the pairs of them that are left for the content tier."""
+def _content(t: Tables, stored: bool = False):
+    """Documents with fingerprints, ``stored`` where these are read again, and the pairs of them that are left for the content tier."""
     docs = dedupe.with_fingerprint(t.doc_candidates)
+    docs = materialise(docs.select("path", "name", "duration_secs", "fp")) if stored else docs
     return docs, dedupe.unconnected(dedupe.content_pairs(docs), dedupe.name_components(t.doc_candidates))
 
 
@@ -114,7 +115,7 @@ sc as (select a, b, avg(bits) as score, count(*) / any_value(shorter) as coverag
 select a, b, round(score, 6) as score, coverage from (select sc.*, len(list_intersect(x.t, y.t)) / nullif(len(list_distinct(x.t || y.t)), 0) as overlap from sc join toks x on x.path = a join toks y on y.path = b)
 where score <= 5 and coverage >= 0.7 and ((score <= 3 and coverage >= 0.9) or coalesce(overlap, 0) >= 0.5)""")
 def d7(spark, sf_dir):
-    docs, work = _content(Tables(spark, sf_dir))
+    docs, work = _content(Tables(spark, sf_dir), stored=True)
     return dedupe.content_edges(work, docs).withColumn("score", F.round("score", 6))
 
 
