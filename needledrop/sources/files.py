@@ -16,6 +16,8 @@ COLLECTION = ", ".join([
     "_TrackID bigint, _Name string, _AverageBpm double, _Location string, TEMPO array<struct<_Inizio:double,_Bpm:double>>",
     *(f"_{n} string" for n in TEXT_ATTRIBUTES.values()), *(f"_{n} bigint" for n in NUMBER_ATTRIBUTES.values()),
 ])
+#: Columns of a numbered row that its element is made of.
+EXPORTED = ("track_id", "path", "title", "artist", "album", "album_artist", "genre", "label", "container", "key_name", "download_date", "duration_secs", "size_bytes", "sample_rate", "track_number", "year", "bpm", "beat_secs")
 REFERENCE = "name_hash string, bpm double, drift double, secs int, key string, beat_secs double"
 #: Bytes that stay as they are in a location, and what kinds of containers are called.
 PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_.~/,()!+#$@?"
@@ -144,10 +146,10 @@ def document_lines(numbered: DataFrame, playlists: DataFrame, items: DataFrame)
     return out
 
 
-def write_document(lines: DataFrame, folder: str) -> None:
-    """The document as text shards, in order: put one after the other they are one file. A new result replaces an old one."""
+def write_document(lines: DataFrame, folder: str, compression: str = "none") -> None:
+    """The document as text shards, in order: put one after the other they are one file, with ``gzip`` too. A new result replaces an old one."""
     order = ["section", "major", "minor"]
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(folder)
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(folder, compression=compression)
 
 
 def playlist_entries(numbered: DataFrame, items: DataFrame) -> DataFrame:
