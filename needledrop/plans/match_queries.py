@@ -87,7 +87,7 @@ def _content(t: Tables, stored: bool = False):
     """Documents with fingerprints, ``stored`` where these are read again, and the pairs of them that are left for the content tier."""
     docs = dedupe.with_fingerprint(t.doc_candidates)
     docs = materialise(docs.select("path", "name", "duration_secs", "fp")) if stored else docs
-    return docs, dedupe.unconnected(dedupe.content_pairs(docs), dedupe.name_components(t.doc_candidates))
+    return docs, dedupe.content_pairs(docs, parts=materialise(dedupe.name_components(t.doc_candidates)))
 
 
 @dup("d5_content_work_list", _CONTENT + "select a, b from work")
